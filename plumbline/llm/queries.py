@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
-from . import sharding, urlfilter
+from . import packing, sharding, simhash, tokenids, topk, urlfilter
 from .common import read
 
 
+def op1_simhash(spark, sf_dir):
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op4_urlfilter(spark, sf_dir):
     return urlfilter.judge(read(spark, sf_dir, "pages"), urlfilter.entries(spark))
 
 
+def op6_topk(spark, sf_dir):
+    return topk.nearest(read(spark, sf_dir, "embeddings"))
+
+
 def op8_sharding(spark, sf_dir):
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_urlfilter, op8_sharding)}
-ORACLE = {"op4_urlfilter": urlfilter.ORACLE}
+def op9_tokenids(spark, sf_dir):
+    return tokenids.round_trip(read(spark, sf_dir, "documents"))
+
+
+def op10_packing(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op4_urlfilter, op6_topk, op8_sharding, op9_tokenids, op10_packing)}
+ORACLE = {"op4_urlfilter": urlfilter.ORACLE, "op6_topk": topk.ORACLE}
