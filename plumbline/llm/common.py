@@ -37,3 +37,10 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def doc_crc(column: str = "doc_id"):
     """crc32 of an id's decimal text, as the fold rules use it."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def teaching(labels: DataFrame, target: str, allowed) -> DataFrame:
+    """(doc_id, y) of the labelled ids that ``allowed`` admits. Label rows with a null id or label, and ids with labels that
+    disagree, teach nothing; repeated rows count once."""
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1) & allowed)
+    return rows.groupBy("doc_id").agg(F.min(target).alias("y"), F.max(target).alias("y2")).where("y = y2").select("doc_id", F.col("y").cast("int").alias("y"))

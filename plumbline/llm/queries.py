@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, simhash, tokenids, topk, urlfilter
+from . import packing, quality, sharding, simhash, tokenids, topk, toxicity, urlfilter
 from .common import read
 
 
@@ -10,6 +10,10 @@ def op1_simhash(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.classified(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_urlfilter(spark, sf_dir):
     return urlfilter.judge(read(spark, sf_dir, "pages"), urlfilter.entries(spark))
 
@@ -18,6 +22,10 @@ def op6_topk(spark, sf_dir):
     return topk.nearest(read(spark, sf_dir, "embeddings"))
 
 
+def op7_quality(spark, sf_dir):
+    return quality.classified(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op8_sharding(spark, sf_dir):
     return sharding.shard(read(spark, sf_dir, "documents"))
 
@@ -30,5 +38,5 @@ def op10_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op4_urlfilter, op6_topk, op8_sharding, op9_tokenids, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_urlfilter, op6_topk, op7_quality, op8_sharding, op9_tokenids, op10_packing)}
 ORACLE = {"op4_urlfilter": urlfilter.ORACLE, "op6_topk": topk.ORACLE}
