@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, quality, sharding, simhash, tokenids, topk, toxicity, urlfilter
+from . import decontam, packing, pii, quality, sharding, simhash, tokenids, topk, toxicity, urlfilter
 from .common import read
 
 
@@ -14,10 +14,18 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.classified(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_pii(spark, sf_dir):
+    return pii.digest(read(spark, sf_dir, "documents"))
+
+
 def op4_urlfilter(spark, sf_dir):
     return urlfilter.judge(read(spark, sf_dir, "pages"), urlfilter.entries(spark))
 
 
+def op5_decontam(spark, sf_dir):
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op6_topk(spark, sf_dir):
     return topk.nearest(read(spark, sf_dir, "embeddings"))
 
@@ -38,5 +46,8 @@ def op10_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_toxicity, op4_urlfilter, op6_topk, op7_quality, op8_sharding, op9_tokenids, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simhash, op2_toxicity, op3_pii, op4_urlfilter, op5_decontam, op6_topk, op7_quality, op8_sharding, op9_tokenids, op10_packing)
+}
 ORACLE = {"op4_urlfilter": urlfilter.ORACLE, "op6_topk": topk.ORACLE}

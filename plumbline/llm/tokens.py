@@ -20,8 +20,8 @@ import numpy as np
 from .common import END_ID, TOKENIZER
 
 #: Pieces and words whose ids a process keeps; beyond that it forgets all and begins again.
-KEPT_PIECES = 250_000
-KEPT_WORDS = 400_000
+KEPT_PIECES = 600_000
+KEPT_WORDS = 1_000_000
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_L}]*")
 _WORD = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
