@@ -1,54 +1,52 @@
-"""Encoding by a public tokenizer's file inside tasks.
+"""Encoding by a public byte-level BPE tokenizer's file inside tasks.
 
 Words repeat, so the library encodes each word once and its ids are kept. That is exact where text is cut only at places
-where the byte-level tokenizer's own pattern begins a new word, since no merge crosses words:
+where the tokenizer's own pattern begins a new word, since no merge crosses words:
 
-* before a space that a non-space character follows (``pieces``);
+* before a space that a non-space character follows (a piece);
 * within a piece of plain characters (tab, line ends, ASCII and Latin-1 letters), at each match of that pattern (``_WORD``,
-  written out for those characters).
+  written out for those characters); such a word goes straight to the library's model, in the model's alphabet of bytes.
 
-Texts with other characters, or with a special token's string, are cut in the first way only, or not at all.
+Pieces with other characters, and texts with a special token's string, are not cut further; the whole tokenizer encodes them.
 """
 
 from __future__ import annotations
 
 import os
 import re
-
-import numpy as np
+from array import array
 
 from .common import END_ID, TOKENIZER
 
-#: Pieces and words whose ids a process keeps; beyond that it forgets all and begins again.
-KEPT_PIECES = 600_000
-KEPT_WORDS = 1_000_000
+#: Words and pieces whose ids a process keeps in each of two generations: once the new one is full it becomes the old one, and
+#: what is met again moves from the old one to the new.
+KEPT_WORDS = 600_000
+KEPT_PIECES = 300_000
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_L}]*")
 _WORD = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
 _CUT = re.compile(r" (?=\S)")
 
 
-class _Words(dict):
-    def __init__(self, tokenizer):
-        self.encode = tokenizer.encode
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        out = self[word] = np.array(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return out
-
+def _alphabet() -> dict[int, int]:
+    """A byte-level model's letter for each byte. Printable ones stand for themselves, the others follow from 256."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: b for b in printable} | {b: 256 + i for i, b in enumerate(others)}
 
-class _Pieces(dict):
-    """Keys lack the space that stands before a piece."""
 
-    def __init__(self, words: _Words):
-        self.words = words
+class _Kept(dict):
+    def __init__(self, most: int, make):
+        self.most, self.make, self.old = most, make, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= KEPT_PIECES:
+    def __missing__(self, key: str) -> bytes:
+        out = self.old.pop(key, None)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
             self.clear()
-        out = self[piece] = b"".join(map(self.words.__getitem__, _WORD.findall(" " + piece)))
+        self[key] = out
         return out
 
 
@@ -60,23 +58,39 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
-        self.end = np.array([end_id], "<u4").tobytes()
-        self.words = _Words(self.tokenizer)
-        self.pieces = _Pieces(self.words)
+        self.end = array("I", [end_id]).tobytes()
+        self.model, self.alphabet = self.tokenizer.model, _alphabet()
+        self.words = _Kept(KEPT_WORDS, self._word)
+        #: Keys lack the space that stands before a piece.
+        self.pieces = _Kept(KEPT_PIECES, self._piece)
+
+    def _word(self, word: str) -> bytes:
+        letters = word.encode().decode("latin-1").translate(self.alphabet)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        return self._plain(" " + piece)
+
+    def _plain(self, text: str) -> bytes:
+        return b"".join(map(self.words.__getitem__, _WORD.findall(text)))
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """A null text counts as an empty one: the end id alone."""
         if not text:
             return self.end
         if "<|" in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + self.end
+            return self._whole(text) + self.end
         if not _PLAIN.fullmatch(text):
             first, *rest = _CUT.split(text)
-            return b"".join([self.words[first], *[self.words[" " + x] for x in rest], self.end])
+            parts = [first, *[" " + x for x in rest]]
+            return b"".join([self._plain(x) if _PLAIN.fullmatch(x) else self._whole(x) for x in parts]) + self.end
         if "  " in text or " \n" in text or " \t" in text or " \r" in text or text[0] == " " or text[-1] == " ":
-            return b"".join(map(self.words.__getitem__, _WORD.findall(text))) + self.end
+            return self._plain(text) + self.end
         first, *rest = text.split(" ")
-        return b"".join(map(self.words.__getitem__, _WORD.findall(first))) + b"".join(map(self.pieces.__getitem__, rest)) + self.end
+        return self._plain(first) + b"".join(map(self.pieces.__getitem__, rest)) + self.end
 
 
 _encoders: dict[tuple, Encoder] = {}
