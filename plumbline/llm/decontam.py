@@ -97,7 +97,9 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = None
     for b in range(blocks):
         block = listed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else listed
-        hits = at.join(F.broadcast(block), "hash").where(F.slice("words", F.col("pos") + 1, WINDOW) == F.col("item_words"))
+        # compared word by word: an equality of arrays would become a join key of its own
+        same = F.forall(F.zip_with(F.slice("words", F.col("pos") + 1, WINDOW), F.col("item_words"), lambda a, b: a == b), lambda x: x)
+        hits = at.join(F.broadcast(block), "hash").where(same)
         slots = F.filter(
             F.zip_with(F.arrays_zip(F.col("item_words").alias("w"), F.col("item_raw").alias("r")), F.slice("raw", F.col("pos") + 1, WINDOW), lambda i, d: F.struct(i["w"].alias("w"), F.lower(i["r"]).alias("i"), F.lower(d).alias("d"))),
             lambda s: ~_plain(s["w"]),
