@@ -252,7 +252,7 @@ def year_filter(s, d):
 
 @query
 def model_cutoffs(s, d):
-    return decontaminate.model_cutoffs(m(s, d), tables.cutoffs(s))
+    return decontaminate.model_cutoffs(m(s, d), tables.cutoffs(s)).withColumn("cutoff", F.col("cutoff").cast("string"))
 
 
 @query

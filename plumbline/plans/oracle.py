@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .contracts import COLUMNS
+
 _M = """
 m AS (SELECT r_name || '_' || CASE WHEN l_linestatus = 'F' THEN 'IC50' ELSE 'Ki' END AS task, r_name AS target, CASE WHEN l_linestatus = 'F' THEN 'IC50' ELSE 'Ki' END AS type,
   l_partkey AS mol_id, p_brand || ' ' || p_type AS structure, l_suppkey AS doc_id, l_orderkey AS assay_id, CAST(year(l_shipdate) AS INTEGER) AS year,
@@ -77,11 +79,11 @@ rg AS (SELECT * FROM x WHERE in_registry), ds AS (SELECT * FROM x WHERE NOT in_r
 fl AS (SELECT ds.doc_id, ds.source, key_full IN (SELECT key_full FROM rg) AS exact_full, s.src IS NOT NULL AS exact_short, s.src AS exact_sources FROM ds
        LEFT JOIN (SELECT key_short, list_sort(list_distinct(list(source))) AS src FROM rg GROUP BY ALL) s USING (key_short))"""
 _J = _X + """,
-o AS (SELECT a.doc_id, b.doc_id AS reg_id, a.n AS an, b.n AS bn, count(*) AS both FROM g a JOIN g b USING (feature) WHERE a.doc_id IN (SELECT doc_id FROM ds) AND b.doc_id IN (SELECT doc_id FROM rg) GROUP BY ALL),
-j AS (SELECT *, CAST(both AS DOUBLE) / (an + bn - both) AS similarity FROM o),
+o AS (SELECT a.doc_id, b.doc_id AS reg_id, a.n AS an, b.n AS bn, count(*) AS "both" FROM g a JOIN g b USING (feature) WHERE a.doc_id IN (SELECT doc_id FROM ds) AND b.doc_id IN (SELECT doc_id FROM rg) GROUP BY ALL),
+j AS (SELECT *, CAST("both" AS DOUBLE) / (an + bn - "both") AS similarity FROM o),
 sm AS (SELECT ds.doc_id, coalesce(max(similarity), 0e0) AS similarity FROM ds LEFT JOIN j USING (doc_id) GROUP BY ALL)"""
 _F = _J + """,
-an AS (SELECT fl.*, NOT exact_full AND NOT exact_short AND coalesce(nr, false) AS near FROM fl LEFT JOIN (SELECT doc_id, bool_or(both * 1000 > (an + bn - both) * 800) AS nr FROM j GROUP BY ALL) USING (doc_id)),
+an AS (SELECT fl.*, NOT exact_full AND NOT exact_short AND coalesce(nr, false) AS near FROM fl LEFT JOIN (SELECT doc_id, bool_or("both" * 1000 > (an + bn - "both") * 800) AS nr FROM j GROUP BY ALL) USING (doc_id)),
 st AS (SELECT source, count(*) AS total, count(*) FILTER (exact_full) AS f, count(*) FILTER (NOT exact_full AND exact_short) AS h, count(*) FILTER (near) AS r FROM an GROUP BY ALL),
 lg AS (SELECT source, u.step_no, u.step, u.removed, u."left" FROM st, LATERAL (SELECT unnest([0, 1, 2, 3]) AS step_no, unnest(['raw', 'exact_full', 'exact_short', 'near']) AS step,
        unnest([0, f, h, r]) AS removed, unnest([total, total - f, total - f - h, total - f - h - r]) AS "left") u)"""
@@ -112,10 +114,10 @@ def _iv(x: str, name: str) -> str:
 
 
 def _picks(source: str, by: str, key: str = "mol_id") -> str:
-    return f"""kk AS (SELECT *, dense_rank() OVER (PARTITION BY {by} ORDER BY {key}) - 1 AS at FROM (SELECT DISTINCT {by}, {key} FROM {source})),
+    return f"""kk AS (SELECT *, dense_rank() OVER (PARTITION BY {by} ORDER BY {key}) - 1 AS "at" FROM (SELECT DISTINCT {by}, {key} FROM {source})),
 kg AS (SELECT {by}, count(*) AS g FROM kk GROUP BY ALL), kb AS (SELECT *, unnest(range(0, g)) AS i FROM (SELECT *, unnest(range(0, 20)) AS b FROM kg)),
-kp AS (SELECT {by}, b, CAST('0x' || substr(md5(concat_ws('|', '0', b, i)), 1, 8) AS BIGINT) % g AS at FROM kb),
-wt AS (SELECT {by}, {key}, b, count(*) AS w FROM kp JOIN kk USING ({by}, at) GROUP BY ALL)"""
+kp AS (SELECT {by}, b, CAST('0x' || substr(md5(concat_ws('|', '0', b, i)), 1, 8) AS BIGINT) % g AS "at" FROM kb),
+wt AS (SELECT {by}, {key}, b, count(*) AS w FROM kp JOIN kk USING ({by}, "at") GROUP BY ALL)"""
 
 
 _FD = _P.rstrip() + ",\n" + _picks("p", "task, split") + """,
@@ -135,9 +137,9 @@ pb AS (SELECT a.*, b.e2 AS base_e2, slice_type, slice_value FROM pe a JOIN pe b
        WHERE a.model <> 'mean_by_brand')"""
 _CL = _X + """,
 dv AS (SELECT lang AS task, doc_id AS mol_id, log10(n_chars + 1) AS y, CASE WHEN doc_id % 5 = 0 THEN 'test' ELSE 'train' END AS part FROM x),
-cp AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn, count(*) AS both FROM g a JOIN g b USING (feature) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
-ca AS (SELECT u.task, a, b, u.part AS pa, v.part AS pb, CAST(both AS DOUBLE) / (an + bn - both) AS similarity, abs(u.y - v.y) AS delta FROM cp JOIN dv u ON a = u.mol_id JOIN dv v ON b = v.mol_id
-       WHERE u.task = v.task AND both * 1000 >= (an + bn - both) * 800 AND abs(u.y - v.y) >= 2e-2)"""
+cp AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS an, b.n AS bn, count(*) AS "both" FROM g a JOIN g b USING (feature) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+ca AS (SELECT u.task, a, b, u.part AS pa, v.part AS pb, CAST("both" AS DOUBLE) / (an + bn - "both") AS similarity, abs(u.y - v.y) AS delta FROM cp JOIN dv u ON a = u.mol_id JOIN dv v ON b = v.mol_id
+       WHERE u.task = v.task AND "both" * 1000 >= (an + bn - "both") * 800 AND abs(u.y - v.y) >= 2e-2)"""
 _V = _M + """,
 vm AS (SELECT *, structure || '-' || (assay_id % 2) AS full_key FROM m), vk AS (SELECT task, mol_id, count(DISTINCT full_key) AS k FROM vm GROUP BY ALL),
 vd AS (SELECT task, mol_id, doc_id, avg(y) AS y, array_to_string(list_sort(list_distinct(list(full_key))), ';') AS keys FROM vm JOIN (SELECT task, mol_id FROM vk WHERE k > 1) USING (task, mol_id) GROUP BY ALL),
@@ -185,7 +187,7 @@ _RAW = {
       LEFT JOIN (SELECT task, count(*) FILTER (same) AS n_same, avg(delta) FILTER (same) AS delta_same, count(*) FILTER (NOT same) AS n_other, avg(delta) FILTER (NOT same) AS delta_other FROM vp GROUP BY task) USING (task)""",
     "exact_match_flags": "WITH" + _X + "SELECT doc_id, exact_full, exact_short, array_to_string(exact_sources, ';') AS exact_sources FROM fl",
     "exact_rate": "WITH" + _X + "SELECT avg(CASE WHEN exact_full THEN 1e0 ELSE 0e0 END) AS full_rate, avg(CASE WHEN exact_short THEN 1e0 ELSE 0e0 END) AS short_rate, count(*) AS n FROM fl",
-    "near_duplicates": "WITH" + _J + "SELECT doc_id, reg_id, both, similarity FROM j WHERE both * 1000 > (an + bn - both) * 800",
+    "near_duplicates": "WITH" + _J + 'SELECT doc_id, reg_id, "both", similarity FROM j WHERE "both" * 1000 > (an + bn - "both") * 800',
     "max_similarity": "WITH" + _J + "SELECT * FROM sm",
     "decontam_funnel": "WITH" + _F + "SELECT * FROM lg",
     "loss_totals": "WITH" + _F + "SELECT step, CAST(sum(removed) AS BIGINT) AS removed FROM lg GROUP BY step",
@@ -200,15 +202,15 @@ _RAW = {
     "threshold_sweep": "WITH" + _J + "SELECT threshold, count(*) FILTER (similarity > threshold) AS removed, CAST(count(*) FILTER (similarity > threshold) AS DOUBLE) / count(*) AS share FROM sm, (SELECT unnest([5e-1, 6e-1, 7e-1, 8e-1, 9e-1, 95e-2]) AS threshold) GROUP BY threshold",
     "containment_hits": "WITH" + _X + """, bw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z]+') AS words FROM benchmark),
       bg AS (SELECT item_id, len(gs) AS n, unnest(gs) AS feature FROM (SELECT item_id, list_distinct(list_transform(range(1, len(words) - 1), lambda i: array_to_string(words[i:i + 2], ' '))) AS gs FROM bw WHERE len(words) >= 3))
-      SELECT item_id, doc_id, count(*) AS both, CAST(count(*) AS DOUBLE) / any_value(bg.n) AS containment FROM bg JOIN g USING (feature) GROUP BY item_id, doc_id HAVING CAST(count(*) AS DOUBLE) / any_value(bg.n) >= 0.8""",
+      SELECT item_id, doc_id, count(*) AS "both", CAST(count(*) AS DOUBLE) / any_value(bg.n) AS containment FROM bg JOIN g USING (feature) GROUP BY item_id, doc_id HAVING CAST(count(*) AS DOUBLE) / any_value(bg.n) >= 0.8""",
     "registry_totals": "WITH" + _X + "SELECT source, count(*) AS n, count(DISTINCT key_full) AS n_full, count(DISTINCT key_short) AS n_short FROM rg GROUP BY source",
     "registry_upsert": "WITH" + _X + "SELECT source, count(*) AS n FROM x WHERE source IN ('src0', 'src1', 'src2') GROUP BY source UNION ALL SELECT source, count(*) * 10 FROM x WHERE source IN ('src3', 'src4') GROUP BY source",
     "split_random": "WITH" + _P + "SELECT task, mol_id, part FROM pr",
     "split_temporal": "WITH" + _P + "SELECT task, mol_id, part FROM pt",
     "split_scaffold": "WITH RECURSIVE" + _E + f""", gs AS (SELECT task, structure, count(*) AS size, {_hash('task', 'structure')} AS h FROM e GROUP BY task, structure),
-      go AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY h, structure) AS at, CAST(round_even(sum(size) OVER (PARTITION BY task) * 2e-1, 0) AS BIGINT) AS budget FROM gs),
-      fo AS (SELECT task, structure, at, budget, CASE WHEN size <= budget THEN size ELSE 0 END AS used, size <= budget AS taken FROM go WHERE at = 1
-             UNION ALL SELECT g.task, g.structure, g.at, g.budget, CASE WHEN used + g.size <= g.budget THEN used + g.size ELSE used END, used + g.size <= g.budget FROM fo JOIN go g ON g.task = fo.task AND g.at = fo.at + 1)
+      go AS (SELECT *, row_number() OVER (PARTITION BY task ORDER BY h, structure) AS "at", CAST(round_even(sum(size) OVER (PARTITION BY task) * 2e-1, 0) AS BIGINT) AS budget FROM gs),
+      fo AS (SELECT task, structure, "at", budget, CASE WHEN size <= budget THEN size ELSE 0 END AS used, size <= budget AS taken FROM go WHERE "at" = 1
+             UNION ALL SELECT g.task, g.structure, g."at", g.budget, CASE WHEN used + g.size <= g.budget THEN used + g.size ELSE used END, used + g.size <= g.budget FROM fo JOIN go g ON g.task = fo.task AND g."at" = fo."at" + 1)
       SELECT e.task, mol_id, CASE WHEN taken THEN 'test' ELSE 'train' END AS part FROM e JOIN fo ON e.task = fo.task AND e.structure = fo.structure""",
     "predictions_long": "WITH" + _P + "SELECT * FROM p",
     "predictions_completion": "WITH" + _P + "SELECT * FROM p WHERE split = 'random'",
@@ -245,7 +247,7 @@ _RAW = {
       zz AS (SELECT u.task, u.mol_id AS a, v.mol_id AS b FROM st u JOIN st v ON u.task = v.task AND u.structure = v.structure AND u.mol_id < v.mol_id)
       SELECT x.task, x.split, x.seed, x.model, count(*) AS n_pairs, avg(CASE WHEN sign(x.y - v.y) = sign(x.pred - v.pred) THEN 1e0 ELSE 0e0 END) AS sign_acc, sqrt(avg(((x.y - v.y) - (x.pred - v.pred)) ** 2)) AS rmse_delta
       FROM zz JOIN pz x ON zz.task = x.task AND zz.a = x.mol_id JOIN pz v ON zz.task = v.task AND zz.b = v.mol_id AND x.model = v.model GROUP BY ALL""",
-    "similarity_to_train": "WITH" + _CL + """, sx AS (SELECT dv.task, dv.mol_id, coalesce(max(CAST(both AS DOUBLE) / (an + bn - both)), 0e0) AS similarity FROM dv LEFT JOIN
+    "similarity_to_train": "WITH" + _CL + """, sx AS (SELECT dv.task, dv.mol_id, coalesce(max(CAST("both" AS DOUBLE) / (an + bn - "both")), 0e0) AS similarity FROM dv LEFT JOIN
         (SELECT cp.* FROM cp JOIN dv ON b = mol_id WHERE part = 'train') q ON q.a = dv.mol_id WHERE part = 'test' GROUP BY ALL)
       SELECT *, CASE WHEN similarity < 0.4 THEN '<0.4' WHEN similarity < 0.6 THEN '0.4-0.6' WHEN similarity < 0.8 THEN '0.6-0.8' ELSE '>=0.8' END AS sim_bin FROM sx""",
     "ks_statistic": "WITH" + _P + """, kc AS (SELECT task, y, count(*) FILTER (part = 'test') AS a, count(*) FILTER (part <> 'test') AS b FROM pr GROUP BY ALL),
@@ -271,6 +273,13 @@ _RAW = {
     "cutoff_table": "WITH " + _CUT + "SELECT model, CAST(cutoff AS VARCHAR) AS cutoff, basis, cut_year FROM cu",
 }
 
-#: Doubles of each query, rounded as the queries round theirs.
-DOUBLES = {}
-SQL = _RAW
+
+
+def _typed(name: str) -> str:
+    """The query with its columns in the types of its contract, doubles at six decimals."""
+    columns = (c.split() for c in COLUMNS[name].split(", "))
+    out = [f'round(CAST("{c}" AS DOUBLE), 6) AS "{c}"' if t == "double" else f'CAST("{c}" AS {t.upper()}) AS "{c}"' for c, t in columns]
+    return f"SELECT {', '.join(out)} FROM ({_RAW[name]})"
+
+
+SQL = {name: _typed(name) for name in _RAW}
