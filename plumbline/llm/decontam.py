@@ -7,9 +7,12 @@ together; there, the same filled slot of the item must have the same filling in
 alignment is dropped. A document is contaminated by an item if consistent windows hold at least ``SHARE`` of the item's, or
 if ``ALIGNED`` of them lie in one alignment, as many as a passage of 13 words has.
 
+Before the join, a blocked Bloom filter of the item windows, a constant of the plan, thins the windows of each document where
+they stand, so that only possible hits become rows and take their words along.
+
 Item windows with fewer than two plain words prove nothing and are not joined; an item of fewer than ``WINDOW`` words has no
 window and is not looked for. Items of equal words are one class, named by their least id. The items' windows are joined in
-blocks of at most ``BLOCK`` windows, each broadcast, in as many passes as they need; documents are never shuffled, only the
+blocks of about ``BLOCK`` windows, each broadcast, in as many passes as they need; documents are never shuffled, only the
 windows found are, after partial aggregation.
 """
 
@@ -23,7 +26,7 @@ from .common import written
 WINDOW = 5
 SHARE = 0.8
 ALIGNED = 9
-BLOCK = 500_000
+BLOCK = 50_000
 
 #: Words that are units where they follow a number.
 UNITS = (
@@ -74,12 +77,30 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     items = benchmark.where("item_id IS NOT NULL").select("item_id", raw_words(F.col("text")).alias("raw"))
     items = items.groupBy("raw").agg(F.min("item_id").alias("item_id")).withColumn("words", template(F.col("raw")))
     items = items.select("item_id", "raw", "words", windows(F.col("words")).alias("hashes"))
-    rows = items.select("item_id", "raw", "words", F.posexplode("hashes").alias("item_pos", "hash"))
+    # outer, since Spark would else test the arrays for rows in a filter of its own, and compute them for each element again
+    rows = items.select("item_id", "raw", "words", F.posexplode_outer("hashes").alias("item_pos", "hash")).where("hash IS NOT NULL")
     rows = rows.select("hash", "item_id", "item_pos", F.slice("words", F.col("item_pos") + 1, WINDOW).alias("item_words"), F.slice("raw", F.col("item_pos") + 1, WINDOW).alias("item_raw"))
     rows = written(rows.where(F.size(F.filter("item_words", _plain)) >= 2), "item_windows")
     return rows.join(F.broadcast(rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("item_windows"))), "item_id")
 
 
+def bloom(listed: DataFrame, n: int):
+    """A test of hashes against the listed ones, two bits in a word of 63 for each, about four hashes a word."""
+    words = 1 << max(0, (n // 4).bit_length())
+    bits = [F.pmod(F.shiftrightunsigned("hash", s), F.lit(63)) for s in (20, 40)]
+    rows = listed.select(F.pmod("hash", F.lit(words)).cast("int").alias("word"), F.explode(F.array(*bits)).alias("bit")).distinct()
+    table = [0] * words
+    for r in rows.collect():  # at most two for each window of the block
+        table[r.word] |= 1 << r.bit
+    filled = F.expr(f"array({', '.join(f'{w}L' for w in table)})")
+
+    def possible(h: Column) -> Column:
+        word = F.get(filled, F.pmod(h, F.lit(words)).cast("int"))
+        return (F.getbit(word, F.pmod(F.shiftrightunsigned(h, 20), F.lit(63)).cast("int")) + F.getbit(word, F.pmod(F.shiftrightunsigned(h, 40), F.lit(63)).cast("int"))) == 2
+
+    return possible
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, text_hash, item_id, windows, aligned, item_windows, share: a row for each contaminated document and item class.
 
@@ -92,16 +113,19 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     parts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), raw_words(F.col("text")).alias("raw"))
     parts = parts.withColumn("words", template(F.col("raw")))
     parts = parts.select("doc_id", "text_hash", "raw", "words", windows(F.col("words")).alias("hashes"))
-    # outer, since Spark would else test the arrays for rows in a filter of its own and compute them twice
-    at = parts.select("doc_id", "text_hash", "raw", "words", F.posexplode_outer("hashes").alias("pos", "hash"))
     found = None
     for b in range(blocks):
         block = listed.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b) if blocks > 1 else listed
+        possible = bloom(block, n // blocks)
+        at = F.filter(F.sequence(F.lit(0), F.size("hashes") - 1), lambda i: possible(F.get("hashes", i)))
+        at = F.when(F.size("hashes") > 0, at)
+        hit = F.transform(at, lambda i: F.struct(i.alias("pos"), F.get("hashes", i).alias("hash"), F.slice("words", i + 1, WINDOW).alias("words"), F.slice("raw", i + 1, WINDOW).alias("raw")))
+        hits = parts.select("doc_id", "text_hash", F.explode_outer(hit).alias("hit")).where("hit IS NOT NULL").select("doc_id", "text_hash", "hit.*")
         # compared word by word: an equality of arrays would become a join key of its own
-        same = F.forall(F.zip_with(F.slice("words", F.col("pos") + 1, WINDOW), F.col("item_words"), lambda a, b: a == b), lambda x: x)
-        hits = at.join(F.broadcast(block), "hash").where(same)
+        same = F.forall(F.zip_with("words", "item_words", lambda a, b: a == b), lambda x: x)
+        hits = hits.join(F.broadcast(block), "hash").where(same)
         slots = F.filter(
-            F.zip_with(F.arrays_zip(F.col("item_words").alias("w"), F.col("item_raw").alias("r")), F.slice("raw", F.col("pos") + 1, WINDOW), lambda i, d: F.struct(i["w"].alias("w"), F.lower(i["r"]).alias("i"), F.lower(d).alias("d"))),
+            F.zip_with(F.arrays_zip(F.col("item_words").alias("w"), F.col("item_raw").alias("r")), "raw", lambda i, d: F.struct(i["w"].alias("w"), F.lower(i["r"]).alias("i"), F.lower(d).alias("d"))),
             lambda s: ~_plain(s["w"]),
         )
         hits = hits.select("doc_id", "text_hash", "item_id", "item_windows", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", slots.alias("slots"))
