@@ -1,9 +1,11 @@
 """Bound-certified repacking of token pieces into fixed-length sequences.
 
 Pieces are dealt to groups of about ``GROUP``; each group is packed by best-fit decreasing and compared with a lower bound
-from dual feasible functions. Where the two agree, no packing of the group needs fewer sequences, and it is finished. Groups
-with a gap keep their full sequences and give up the pieces of all others; these are dealt anew and packed again, for as
-long as that saves sequences and at most ``ROUNDS`` times. Only counts reach the driver; a group never grows with the input.
+from dual feasible functions. Where the two agree, no packing of the group needs fewer sequences, and it is finished but for
+sequences at most half full, what rounding up may have cost it. Groups with a gap keep their full sequences and give up the
+pieces of all others. What is given up is dealt anew and packed again, for as
+long as that saves sequences and at most ``ROUNDS`` times, in groups four times as large each time. Only counts reach the
+driver; a group's bound doesn't grow with the input.
 """
 
 from __future__ import annotations
@@ -94,7 +96,7 @@ def _pack(df: pd.DataFrame) -> pd.DataFrame:
     bins, offsets = best_fit(lengths)
     used = np.bincount(bins, weights=lengths).astype(np.int64)
     gap = len(used) - lower_bound(lengths)
-    return df.assign(bin=bins, offset=offsets, open=(gap > 0) & (used[bins] < LENGTH), bins=len(used), gap=gap)
+    return df.assign(bin=bins, offset=offsets, open=(used[bins] <= LENGTH // 2) | ((gap > 0) & (used[bins] < LENGTH)), bins=len(used), gap=gap)
 
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
@@ -112,7 +114,7 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> D
         n = left.count()
         if not n:
             break
-        dealt = left.withColumn("part", F.pmod(F.xxhash64("salt", F.lit(k)), F.lit(-(-n // GROUP))).cast("long"))
+        dealt = left.withColumn("part", F.pmod(F.xxhash64("salt", F.lit(k)), F.lit(-(-n // (GROUP << (2 * k))))).cast("long"))
         packed = written(dealt.groupBy("part").applyInPandas(_pack, schema), f"round{k}")
         number = ((F.lit(k * (1 << 40)) + F.shiftleft("part", 20) + F.col("bin")) * 2).alias("sequence_id")
         now = packed.select("part", "bin").distinct().count()
