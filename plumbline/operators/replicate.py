@@ -32,7 +32,7 @@ def entities(m: DataFrame) -> DataFrame:
     """mol_id, y (mean of document means), n_docs, first_year, structure for each entity of a task; the structure of the earliest
     measurement, by document and assay where years tie."""
     first = F.min(F.struct(F.coalesce("year", F.lit(9999)).alias("year"), "doc_id", "assay_id", "structure"))
-    rows = m.where("mol_id IS NOT NULL AND doc_id IS NOT NULL AND y IS NOT NULL")
+    rows = m.where("mol_id IS NOT NULL AND doc_id IS NOT NULL AND y IS NOT NULL AND NOT isnan(y)")
     by_doc = rows.groupBy("task", "mol_id", "doc_id").agg(F.avg("y").alias("y"), F.min("year").alias("year"), first.alias("first"))
     return by_doc.groupBy("task", "mol_id").agg(
         F.avg("y").alias("y"), F.count(F.lit(1)).alias("n_docs"), F.min("year").alias("first_year"), F.min("first")["structure"].alias("structure")
