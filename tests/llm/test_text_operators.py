@@ -154,14 +154,16 @@ def brute_contaminated(texts, items):
     out = set()
     for d, t in texts.items():
         raw, words = brute_template(t)
+        where = {}
+        for a in range(len(words) - 4):
+            where.setdefault(tuple(words[a : a + 5]), []).append(a)
         for key, item in classes.items():
             iraw, iw = list(key), brute_template(items[item])[1]
             useful = [p for p in range(len(iw) - 4) if sum(w[0] != "<" for w in iw[p : p + 5]) >= 2]
             lines = {}
             for p in useful:
-                for a in range(len(words) - 4):
-                    if words[a : a + 5] == iw[p : p + 5]:
-                        lines.setdefault(a - p, set()).add(p)
+                for a in where.get(tuple(iw[p : p + 5]), ()):
+                    lines.setdefault(a - p, set()).add(p)
             good = {}
             for shift, at in lines.items():
                 slots = {(iw[q], iraw[q].lower(), raw[q + shift].lower()) for p in at for q in range(p, p + 5) if iw[q][0] == "<"}
