@@ -16,7 +16,8 @@ def shingles(df: DataFrame, key: str, words: str = "words", k: int = 3) -> DataF
     at = F.expr(f"CASE WHEN size({words}) >= {k} THEN sequence(1, size({words}) - {k - 1}) ELSE array() END")
     grams = F.transform(at, lambda i: F.array_join(F.slice(F.col(words), i, k), " "))
     rows = df.select(key, F.array_distinct(grams).alias("grams"))
-    return rows.select(key, F.size("grams").alias("n"), F.explode("grams").alias("feature"))
+    # outer, since Spark would else test the arrays for rows in a filter of its own and compute the words for each shingle again
+    return rows.select(key, F.size("grams").alias("n"), F.explode_outer("grams").alias("feature")).where("feature IS NOT NULL")
 
 
 def overlaps(left: DataFrame, right: DataFrame, lkey: str, rkey: str) -> DataFrame:
