@@ -186,8 +186,10 @@ def _features(text: pd.Series) -> pd.Series:
 
 def fit(docs: DataFrame, labels: DataFrame, allowed=None) -> Additive:
     rows = teaching(labels, "quality", F.lit(True) if allowed is None else allowed).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = written(docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("doc_id", "y", _features("text").alias("x")), "quality_sample")
-    held = sample.orderBy("doc_id", "x").limit(2 * SAMPLE).toPandas()
+    # of rows that repeat an id, the least text teaches
+    texts = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    sample = written(texts.select("doc_id", "y", _features("text").alias("x")), "quality_sample")
+    held = sample.orderBy("doc_id").toPandas()  # at most SAMPLE rows
     x = np.array(held["x"].tolist(), float).reshape(-1, len(FEATURES))
     return Additive(x, held["y"].to_numpy(float))
 
