@@ -31,6 +31,8 @@ SAMPLE = 4000
 CALIBRATE = 4
 WORDS = 300_000
 PAIRS = 300_000
+#: Distinct triples of words that a task holds before it passes them on.
+HELD = 100_000
 #: Times the square root of one more than the predicted count.
 DISCOUNT = 3.0
 #: Words added to a text's length, so that a few words prove little.
@@ -110,26 +112,33 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, allowed, sample: int) -> DataFrame:
-    """(doc_id, y, text, turn) of at most ``sample`` labelled documents of each class."""
+    """(doc_id, y, text, turn) of at most ``sample`` labelled documents of each class; of rows that repeat an id, the least text."""
     rows = teaching(labels, target, allowed)
     order = F.xxhash64("doc_id")
     parts = [rows.where(F.col("y") == c).orderBy(order, "doc_id").limit(sample) for c in (0, 1)]
     picked = parts[0].unionAll(parts[1]).withColumn("turn", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(CALIBRATE)))
     # at most 2 * sample rows of a few bytes
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y", "turn").agg(F.min("text").alias("text"))
 
 
 def _count(rows: DataFrame):
     """(y, a, b, n): class y has n distinct words before the pair of neighbours a, b; a is empty where a text begins."""
 
+    def told(y: int, triples: set):
+        before, a, b = zip(*triples)
+        return pd.DataFrame({"y": y, "before": before, "a": a, "b": b})
+
     def task(frames):
+        held: dict[int, set] = defaultdict(set)
         for df in frames:
-            held: dict[int, set] = defaultdict(set)
-            for y, text in zip(df["y"], df["text"]):
+            for y, text in zip(df["y"].tolist(), df["text"]):
                 found = words(text)
-                held[int(y)].update(zip(["", "", *found], ["", *found], found))
-            for y, c in held.items():
-                yield pd.DataFrame({"y": y, "before": [k[0] for k in c], "a": [k[1] for k in c], "b": [k[2] for k in c]})
+                held[y].update(zip(["", "", *found], ["", *found], found))
+                if len(held[y]) > HELD:
+                    yield told(y, held.pop(y))
+        for y, triples in held.items():
+            if triples:
+                yield told(y, triples)
 
     seen = rows.select("y", "text").mapInPandas(task, "y int, before string, a string, b string").distinct()
     return seen.groupBy("y", "a", "b").agg(F.count(F.lit(1)).alias("n"))
