@@ -1,37 +1,37 @@
-"""Toxicity by class-conditional Kneser-Ney models of word sequences.
-
-Both classes, toxic and ordinary, have a model of word pairs that backs off to words, and both back off to counts that the
-classes share. As in Kneser-Ney smoothing's lower orders, counts are not of tokens but of continuations, the distinct words seen before
-a word or a pair, so that repeated words, lines and copies of a text count once; and observed counts are discounted by an absolute amount. What
-is discounted here is a class's departure from what the shared counts predict for it: an expression too rare to depart by more
-than the discount keeps the shared probability in both classes, and moves no score. A text's evidence is the difference of its
-two log-likelihoods divided by its number of words; two numbers fitted on labelled documents that the counts left out turn it
-into a score.
-
-Counts come from a bounded sample of labelled rows (``SAMPLE`` of each class, the least by a hash of the id), gathered by
-Spark; the model is at most ``WORDS`` words and ``PAIRS`` pairs, so what is sent to the tasks is bounded.
+"""Toxicity by class-conditional counts of words and pairs of words, with backoff to shared predictions.
+
+Both classes, toxic and ordinary, have counts of words and of pairs of neighbours, over all labelled rows that are admitted.
+What is counted are documents that hold an expression, and texts that are equal count once in a class: such counts add up, so
+classes of different sizes compare, which counts of distinct neighbours don't, since those of frequent words run full. A class's
+departure from what the shared counts predict for it is discounted: an expression too rare to depart by more than the discount
+keeps the shared probability in both classes, and moves no score. A text's evidence is the sum of its words' and pairs' log odds
+divided by its number of words; two numbers fitted on labelled documents that the counts left out turn it into a score.
+
+Counts and odds are Spark's; what they hold grows with the labelled rows, of which the driver sees eight bytes each. Only the two numbers come from a bounded sample, a
+``CALIBRATE``-th of the rows, at most ``SAMPLE / CALIBRATE`` of each class. Up to ``ENTRIES`` expressions with odds are sent to the
+tasks; where there are more, texts' expressions are joined to them.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from .common import doc_crc, teaching, written
 
-#: Labelled documents of each class that the model is made of, and of these the share that fits the two numbers.
+#: Of labelled documents, the part that fits the two numbers, and that part of ``SAMPLE`` of each class at most.
 SAMPLE = 4000
 CALIBRATE = 4
-WORDS = 300_000
-PAIRS = 300_000
-#: Distinct triples of words that a task holds before it passes them on.
+#: Expressions with odds that are sent to the tasks at most.
+ENTRIES = 1_000_000
+#: Distinct expressions that a task holds before it passes them on.
 HELD = 100_000
 #: Times the square root of one more than the predicted count.
 DISCOUNT = 3.0
@@ -57,38 +57,31 @@ def log_odds(count: tuple[float, float], share: float) -> float:
     return out
 
 
+def odds_column(n0: Column, n1: Column, share: Column) -> Column:
+    """``log_odds`` of columns."""
+    both, out = n0 + n1, F.lit(0.0)
+    for n, part, sign in ((n0, 1 - share, -1), (n1, share, 1)):
+        predicted = both * part
+        excess = F.abs(n - predicted) - DISCOUNT * F.sqrt(predicted + 1)
+        out = out + F.when(excess > 0, sign * F.log((predicted + F.signum(n - predicted) * excess) / predicted)).otherwise(0.0)
+    return out
+
+
+def expressions(found: list[str]):
+    """The words, and each pair of neighbours as two words with a space between."""
+    yield from found
+    yield from map(" ".join, zip(found, found[1:]))
+
+
 class Model:
-    """word[w] and pair["a b"]: log odds; a pair without its own backs off to its second word's, an unknown word to 0."""
-
-    def __init__(self, continuation: list[Counter], pair_counts: list[Counter], total: list[float]):
-        total = [total[0] + 1.0, total[1] + 1.0]
-        share = total[1] / sum(total)
-        self.word: dict[str, float] = {}
-        for w in continuation[0].keys() | continuation[1].keys():
-            odds = log_odds((continuation[0].get(w, 0), continuation[1].get(w, 0)), share)
-            if odds:
-                self.word[w] = odds
-        history = [Counter(), Counter()]
-        for c, table in enumerate(pair_counts):
-            for (a, _), n in table.items():
-                history[c][a] += n
-        self.pair: dict[str, float] = {}
-        for a, b in pair_counts[0].keys() | pair_counts[1].keys():
-            before = history[0][a] + 1.0, history[1][a] + 1.0
-            odds = log_odds((pair_counts[0].get((a, b), 0), pair_counts[1].get((a, b), 0)), before[1] / sum(before))
-            if odds and b not in self.word:
-                self.pair[f"{a} {b}"] = odds
-        self.slope, self.shift = 1.0, 0.0
+    """table: (entry, odds) of each expression with odds; odds: the same as a dict, None where there are more than ``ENTRIES``.
+    An unknown expression has 0."""
 
-    def evidence(self, text: str | None) -> float:
-        """Difference of the length-normalised log-likelihoods; 0 for a text without words."""
-        found = words(text)
-        get = self.word.get
-        total = math.fsum([get(w, 0.0) for w in found])
-        if self.pair:
-            get = self.pair.get
-            total += math.fsum([get(p, 0.0) for p in map(" ".join, zip(found, found[1:]))])
-        return total / (len(found) + PRIOR_WORDS)
+    def __init__(self, table: DataFrame):
+        self.table, self.odds = table, None
+        if table.count() <= ENTRIES:
+            self.odds = {r.entry: r.odds for r in table.toLocalIterator()}
+        self.slope, self.shift = 1.0, 0.0
 
     def calibrate(self, evidence: np.ndarray, label: np.ndarray) -> None:
         """Logistic regression on the evidence; a fold with one class keeps slope 1 and shift 0."""
@@ -107,78 +100,133 @@ class Model:
         self.slope, self.shift = float(w[0] / scale), float(w[1])
 
     def score(self, text: str | None) -> float:
-        z = max(-30.0, min(30.0, self.slope * self.evidence(text) + self.shift))
+        return self.probability(evidence(text, self.odds))
+
+    def probability(self, evidence: float) -> float:
+        z = max(-30.0, min(30.0, self.slope * evidence + self.shift))
         return 1 / (1 + math.exp(-z))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, target: str, allowed, sample: int) -> DataFrame:
-    """(doc_id, y, text, turn) of at most ``sample`` labelled documents of each class; of rows that repeat an id, the least text."""
-    rows = teaching(labels, target, allowed)
-    order = F.xxhash64("doc_id")
-    parts = [rows.where(F.col("y") == c).orderBy(order, "doc_id").limit(sample) for c in (0, 1)]
-    picked = parts[0].unionAll(parts[1]).withColumn("turn", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(CALIBRATE)))
-    # at most 2 * sample rows of a few bytes
-    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y", "turn").agg(F.min("text").alias("text"))
+def evidence(text: str | None, odds: dict[str, float]) -> float:
+    """Sum of the odds, normalised by length; 0 for a text without words."""
+    found, get = words(text), odds.get
+    return math.fsum(get(e, 0.0) for e in expressions(found)) / (len(found) + PRIOR_WORDS)
+
 
+def with_evidence(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with the column evidence."""
+    if model.odds is not None:
+        sent = docs.sparkSession.sparkContext.broadcast(model.odds)
 
-def _count(rows: DataFrame):
-    """(y, a, b, n): class y has n distinct words before the pair of neighbours a, b; a is empty where a text begins."""
+        @F.pandas_udf(DoubleType())
+        def told(text: pd.Series) -> pd.Series:
+            return pd.Series([evidence(t, sent.value) for t in text], dtype="float64")
 
-    def told(y: int, triples: set):
-        before, a, b = zip(*triples)
-        return pd.DataFrame({"y": y, "before": before, "a": a, "b": b})
+        return docs.withColumn("evidence", told("text"))
 
     def task(frames):
-        held: dict[int, set] = defaultdict(set)
         for df in frames:
-            for y, text in zip(df["y"].tolist(), df["text"]):
+            for text, key in zip(df["text"], df["text_key"]):
                 found = words(text)
-                held[y].update(zip(["", "", *found], ["", *found], found))
-                if len(held[y]) > HELD:
-                    yield told(y, held.pop(y))
-        for y, triples in held.items():
-            if triples:
-                yield told(y, triples)
+                counts = Counter(expressions(found))
+                yield pd.DataFrame({"text_key": key, "size": len(found), "entry": list(counts), "n": list(counts.values())})
+
+    keyed = docs.withColumn("text_key", F.sha2(F.col("text").cast("binary"), 256))
+    held = keyed.where("text IS NOT NULL").select("text", "text_key").mapInPandas(task, "text_key string, size long, entry string, n long")
+    # copies give the same rows, which count once
+    sums = held.distinct().join(model.table, "entry").groupBy("text_key", "size").agg(F.sum(F.col("n") * F.col("odds")).alias("total"))
+    sums = sums.select("text_key", (F.col("total") / (F.col("size") + PRIOR_WORDS)).alias("evidence"))
+    out = keyed.join(sums, "text_key", "left").withColumn("evidence", F.coalesce("evidence", F.lit(0.0)))
+    return out.select(*docs.columns, "evidence")
 
-    seen = rows.select("y", "text").mapInPandas(task, "y int, before string, a string, b string").distinct()
-    return seen.groupBy("y", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+
+def labelled(docs: DataFrame, labels: DataFrame, target: str, allowed) -> DataFrame:
+    """(doc_id, y, key, rows, turn): a row for each class and text of the labelled documents, with how many rows of docs it has; of
+    rows that repeat an id, those with the text of least hash."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash")).join(teaching(labels, target, allowed), "doc_id")
+    each = rows.groupBy("doc_id", "y", "text_hash").agg(F.count(F.lit(1)).alias("rows"))
+    each = each.groupBy("doc_id", "y").agg(F.min(F.struct("text_hash", "rows")).alias("least")).select("doc_id", "y", "least.*")
+    each = each.groupBy("y", "text_hash").agg(F.min(F.struct("doc_id", "rows")).alias("least")).select("y", "text_hash", "least.*")
+    return each.select("doc_id", "y", F.xxhash64("doc_id", "text_hash").alias("key"), "rows", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(CALIBRATE)).alias("turn"))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", "text", F.xxhash64("doc_id", F.xxhash64("text")).alias("key"))
+
+
+def _count(docs: DataFrame, picked: DataFrame, pairs: bool) -> DataFrame:
+    """(entry, n0, n1): picked texts of the ordinary and of the toxic class that hold each word, or each pair. The picked keys go to
+    the tasks as eight bytes each, so that texts stay where they are."""
+    keys = [np.sort(picked.where(F.col("y") == c).select("key").toPandas()["key"].to_numpy(np.int64)) for c in (0, 1)]
+    repeated = {r.key: r.rows for r in picked.where("rows > 1").select("key", "rows").toLocalIterator()}
+    sent = docs.sparkSession.sparkContext.broadcast((keys, repeated))
+
+    def told(held: Counter):
+        y, entry = zip(*held)
+        return pd.DataFrame({"y": y, "entry": entry, "n": list(held.values())})
+
+    def task(frames):
+        held: Counter = Counter()
+        keys, repeated = sent.value
+        for df in frames:
+            for y in (0, 1):
+                if not len(keys[y]):
+                    continue
+                found = df["key"].to_numpy(np.int64)
+                at = np.minimum(np.searchsorted(keys[y], found), len(keys[y]) - 1)
+                for i in np.flatnonzero(keys[y][at] == found):
+                    own = words(df["text"].iat[i])
+                    weight = 1 / repeated.get(int(found[i]), 1)
+                    for e in set(map(" ".join, zip(own, own[1:])) if pairs else own):
+                        held[y, e] += weight
+                    if len(held) > HELD:
+                        yield told(held)
+                        held.clear()
+        if held:
+            yield told(held)
+
+    seen = _keyed(docs).select("text", "key").mapInPandas(task, "y int, entry string, n double")
+    return seen.groupBy("entry").agg(*[F.round(F.sum(F.when(F.col("y") == c, F.col("n")).otherwise(0.0)), 3).alias(f"n{c}") for c in (0, 1)])
+
+
+def odds_table(single: DataFrame, pair: DataFrame) -> DataFrame:
+    """(entry, odds) of each expression whose odds are not 0, of counts of words and of pairs; a pair counts only where its second
+    word has none."""
+    single = written(single, "toxic_counts")
+    total = single.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
+    share = (total[1] + 1.0) / (total[0] + total[1] + 2.0)
+    word = single.select("entry", ((F.col("n1") + 1.0) / (F.col("n0") + F.col("n1") + 2.0)).alias("share"), odds_column(F.col("n0"), F.col("n1"), F.lit(share)).alias("odds"))
+    word = written(word.where("odds <> 0"), "toxic_words")
+    few = (lambda df: F.broadcast(df)) if word.count() <= ENTRIES else (lambda df: df)
+    # no count up to DISCOUNT departs by more than the discount, whatever the share
+    pair = pair.where(F.col("n0") + F.col("n1") > DISCOUNT)
+    pair = pair.select("*", F.split_part("entry", F.lit(" "), F.lit(1)).alias("a"), F.split_part("entry", F.lit(" "), F.lit(2)).alias("b"))
+    pair = pair.join(few(word.select(F.col("entry").alias("a"), "share")), "a", "left").join(few(word.select(F.col("entry").alias("b"))), "b", "left_anti")
+    pair = pair.select("entry", odds_column(F.col("n0"), F.col("n1"), F.coalesce("share", F.lit(share))).alias("odds")).where("odds <> 0")
+    return written(word.select("entry", "odds").unionAll(pair), "toxic_odds")
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed=None) -> Model:
     """A model of toxicity from the labelled rows that ``allowed`` (a condition on doc_id) admits. With no such rows every
     text's score is the same."""
     allowed = F.lit(True) if allowed is None else allowed
-    sample = written(labelled(docs, labels, "toxic", allowed, SAMPLE), "toxic_sample")
-    pairs = written(_count(sample.where("turn <> 0")), "toxic_pairs")
-    word = written(pairs.groupBy("y", "b").agg(F.count(F.lit(1)).alias("n")), "toxic_words")
-    continuation, pair = [Counter(), Counter()], [Counter(), Counter()]
-    for y in (0, 1):
-        for r in word.where((F.col("y") == y) & (F.col("n") > 1)).orderBy(F.col("n").desc(), "b").limit(WORDS // 2).toLocalIterator():
-            continuation[y][r.b] = r.n
-        for r in pairs.where((F.col("y") == y) & (F.col("a") != "") & (F.col("n") > 1)).orderBy(F.col("n").desc(), "a", "b").limit(PAIRS // 2).toLocalIterator():
-            pair[y][(r.a, r.b)] = r.n
-    total = {r.y: r.n for r in word.groupBy("y").agg(F.sum("n").alias("n")).collect()}
-    model = Model(continuation, pair, [total.get(0, 0), total.get(1, 0)])
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf(DoubleType())
-    def evidence(text: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.evidence(t) for t in text], dtype="float64")
-
-    held = sample.where("turn = 0").select("y", evidence("text").alias("e")).toPandas()  # at most 2 * SAMPLE rows
-    model.calibrate(held["e"].to_numpy(float), held["y"].to_numpy(float))
+    rows = written(labelled(docs, labels, "toxic", allowed), "toxic_rows")
+    order = F.xxhash64("doc_id")
+    parts = [rows.where((F.col("y") == c) & (F.col("turn") == 0)).orderBy(order, "doc_id").limit(SAMPLE // CALIBRATE) for c in (0, 1)]
+    out = written(parts[0].unionAll(parts[1]), "toxic_left_out")
+    counted = written(rows.join(F.broadcast(out.select("key", "y")), ["key", "y"], "left_anti"), "toxic_counted")
+    model = Model(odds_table(_count(docs, counted, False), _count(docs, counted, True)))
+    # at most 2 * SAMPLE / CALIBRATE rows
+    texts = _keyed(docs).join(F.broadcast(out.select("key", "y")), "key").dropDuplicates(["key", "y"])
+    held = with_evidence(texts, model).select("y", "evidence").toPandas()
+    model.calibrate(held["evidence"].to_numpy(float), held["y"].to_numpy(float))
     return model
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """docs with the columns toxic_score and toxic (score of at least 0.5)."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-
-    @F.pandas_udf(DoubleType())
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.score(t) for t in text], dtype="float64")
-
-    out = docs.withColumn("toxic_score", score("text"))
+    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("evidence") * model.slope + model.shift))
+    out = with_evidence(docs, model).withColumn("toxic_score", 1 / (1 + F.exp(-z))).drop("evidence")
     return out.withColumn("toxic", F.when(F.col("toxic_score") >= 0.5, 1).otherwise(0))
 
 

@@ -204,3 +204,26 @@ def test_benchmark_in_blocks_gives_the_same(spark, docs, monkeypatch):
     whole = sorted(decontam.contaminated(docs(texts), bench).collect())
     monkeypatch.setattr(decontam, "BLOCK", 100)
     assert sorted(decontam.contaminated(docs(texts), bench).collect()) == whole != []
+
+
+def test_toxicity_counts_every_labelled_row(spark, docs, monkeypatch):
+    rng = random.Random(17)
+    y = [i % 3 == 0 for i in range(300)]
+    texts = [_prose(rng, 20, ["grob"] if t else []) for t in y]
+    df = docs([*texts, texts[0]])
+    labels = spark.createDataFrame([(i, 1, int(t)) for i, t in enumerate(y)] + [(300, 1, 1)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(toxicity, "SAMPLE", 40)  # 10 of each class are left out
+    model = toxicity.fit(df, labels)
+    expect = toxicity.log_odds((0, 90), _share(texts, y, model))
+    assert abs(model.odds["grob"] - expect) < 0.05
+    whole = {r.doc_id: r.toxic_score for r in toxicity.scored(df, model).collect()}
+    assert all(abs(whole[i] - model.score(t)) < 1e-12 for i, t in enumerate(texts))
+    monkeypatch.setattr(toxicity, "ENTRIES", 0)  # joined, not sent
+    joined = toxicity.fit(df, labels)
+    assert joined.odds is None
+    assert all(abs(r.toxic_score - whole[r.doc_id]) < 1e-9 for r in toxicity.scored(df, joined).collect())
+
+
+def _share(texts, y, model):
+    n = [sum(len(set(toxicity.words(t))) for t, c in zip(texts, y) if c == k) for k in (False, True)]
+    return n[1] * 0.9 / (n[0] * 0.95 + n[1] * 0.9)
