@@ -4,7 +4,7 @@ A text becomes words; numbers, names (capitalised words that begin no sentence)
 placeholders, other words lower case. Each window of ``WINDOW`` template words of a benchmark item is hash-joined with the
 documents' windows and the words themselves are compared. Windows of one document and item that keep the same distance belong
 together; there, the same filled slot of the item must have the same filling in the document wherever it recurs, or the
-alignment is dropped. A document is contaminated by an item if consistent windows hold at least ``SHARE`` of the item's, or
+alignment is dropped, except for a run of at least ``ALIGNED`` windows that hold the item's words unchanged. A document is contaminated by an item if consistent windows hold at least ``SHARE`` of the item's, or
 if ``ALIGNED`` of them lie in one alignment, as many as a passage of 13 words has.
 
 Before the join, a blocked Bloom filter of the item windows, a constant of the plan, thins the windows of each document where
@@ -128,13 +128,16 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             F.zip_with(F.arrays_zip(F.col("item_words").alias("w"), F.col("item_raw").alias("r")), "raw", lambda i, d: F.struct(i["w"].alias("w"), F.lower(i["r"]).alias("i"), F.lower(d).alias("d"))),
             lambda s: ~_plain(s["w"]),
         )
-        hits = hits.select("doc_id", "text_hash", "item_id", "item_windows", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", slots.alias("slots"))
+        hits = hits.select("doc_id", "text_hash", "item_id", "item_windows", (F.col("pos") - F.col("item_pos")).alias("shift"), "item_pos", F.forall(slots, lambda s: s["i"] == s["d"]).alias("verbatim"), slots.alias("slots"))
         found = hits if found is None else found.unionAll(hits)
     lines = found.groupBy("doc_id", "text_hash", "item_id", "item_windows", "shift").agg(
-        F.collect_set("item_pos").alias("at"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
+        F.collect_set("item_pos").alias("at"), F.sort_array(F.collect_set(F.when(F.col("verbatim"), F.col("item_pos")))).alias("verbatim"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots")
     )
     consistent = F.size("slots") == F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(s["w"], s["i"]))))
-    out = lines.where(consistent).groupBy("doc_id", "text_hash", "item_id", "item_windows").agg(
+    starts = F.when(F.size("verbatim") >= ALIGNED, F.sequence(F.lit(0), F.size("verbatim") - ALIGNED))
+    run = F.coalesce(F.exists(starts, lambda i: F.get("verbatim", i + (ALIGNED - 1)) - F.get("verbatim", i) == ALIGNED - 1), F.lit(False))
+    lines = lines.select("doc_id", "text_hash", "item_id", "item_windows", F.when(consistent, F.col("at")).when(run, F.col("verbatim")).alias("at"))
+    out = lines.where("at IS NOT NULL").groupBy("doc_id", "text_hash", "item_id", "item_windows").agg(
         F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("windows"), F.max(F.size("at")).alias("aligned")
     )
     out = out.withColumn("share", F.col("windows") / F.col("item_windows"))

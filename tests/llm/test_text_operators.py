@@ -227,3 +227,13 @@ def test_toxicity_counts_every_labelled_row(spark, docs, monkeypatch):
 def _share(texts, y, model):
     n = [sum(len(set(toxicity.words(t))) for t, c in zip(texts, y) if c == k) for k in (False, True)]
     return n[1] * 0.9 / (n[0] * 0.95 + n[1] * 0.9)
+
+
+def test_decontamination_keeps_a_verbatim_run_beside_a_changed_filling(spark, docs):
+    rng = random.Random(31)
+    words = _prose(rng, 60).split()
+    words[5] = words[55] = "2"
+    changed = [*words[:55], "7", *words[56:]]
+    bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
+    got = [(r.doc_id, r.aligned) for r in decontam.contaminated(docs([" ".join(changed), _prose(rng, 60)]), bench).collect()]
+    assert [g[0] for g in got] == [0] and got[0][1] >= 50
