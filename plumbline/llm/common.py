@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,22 +17,52 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder in the one that the cluster names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new folder in the one that the cluster names in spark.checkpoint.dir. A temporary one stands in only where that is unset
+    and driver and executors are one process; a cluster without it is an error, since its executors share no local folder."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+def remove(paths: list[str]) -> None:
+    from pyarrow import fs
+
+    for path in paths:
+        system, root = fs.FileSystem.from_uri(path)
+        if system.get_file_info(root).type == fs.FileType.Directory:
+            system.delete_dir(root)
+
+
+@contextmanager
+def scratch():
+    """Folders made inside are removed at the end: for work whose result has been written elsewhere by then."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        remove(_made.pop())
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet in the shared folder and read again: lineage ends here, lost executors cost no more than
     their running tasks, and the planner knows the table's size."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
+    return written_at(df, f"{shared_dir(df.sparkSession)}/{name}")
+
+
+def written_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def doc_crc(column: str = "doc_id"):

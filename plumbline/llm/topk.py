@@ -7,8 +7,9 @@ still gain is at most the sum, over dimensions, of the next segment's impact; wh
 quantising error. Processing stops only when these bounds prove that all but a few vectors are below the k-th best, of this
 block or an earlier one; the possible members are then scored exactly. With nothing left to process the proof still holds.
 
-Queries are searched in batches of about ``BATCH`` that a task can hold: one pass over all vectors for each batch, with the k
-best of each task merged by a window. Blocks and batches are the only units held in memory.
+Every task indexes the blocks of its partition once, at most ``BLOCKS`` of them, and goes through all queries, which it reads
+``BATCH`` at a time from a table in the shared folder; the k best of each task are merged by a window. So there is one pass over
+the vectors, whatever the number of queries, and blocks and a batch are all that is held in memory.
 """
 
 from __future__ import annotations
@@ -18,32 +19,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shared_dir, written, written_at
 
 K = 10
 BATCH = 4096
 BLOCK = 8192
+BLOCKS = 16
 #: Segments processed between two tests, and the share of a block that may be rescored.
 STEP = 96
 MEMBERS = 1 / 32
 
 
 def integers(embeddings: DataFrame, scale: int = 1024) -> DataFrame:
-    """vec_id and floor(scale * component). Rows with a null id or vector, or a null or non-finite component, take no part; of
-    rows that repeat an id the least vector stands."""
+    """row, vec_id and floor(scale * component). Rows with a null id or vector, or a null or non-finite component, take no part;
+    every other row does, those that repeat an id too: ``row`` tells them apart."""
     whole = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & whole)
     v = F.transform("embedding", lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("long"))
-    return rows.select("vec_id", v.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
+    return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", v.alias("v"))
 
 
 class Block:
     """An impact-ordered index of vectors of one length."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        self.ids, self.vectors = ids, vectors
+    def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
+        self.rows, self.ids, self.vectors = rows, ids, vectors
         n, d = vectors.shape
-        top = int(np.abs(vectors).max(initial=0))
+        top = self.top = max(abs(int(vectors.max(initial=0))), abs(int(vectors.min(initial=0))))
         self.shift = max(0, top.bit_length() - 5)
         level = vectors >> self.shift
         dims, lows, postings = [], [], []
@@ -60,10 +62,18 @@ class Block:
         self.low = np.concatenate(lows) if lows else np.zeros(0, np.int64)
         self.high = self.low + (1 << self.shift) - 1
 
-    def search(self, query_id: int, q: np.ndarray, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
-        """Numbers and exact scores of all vectors that may be among the k best scores of at least floor."""
+    def search(self, row: int, q: np.ndarray, k: int, floor: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and exact scores of all vectors, but the query's own row, that may be among the k best scores of at least
+        floor. Where sums may leave the whole numbers that a double holds, every vector is scored; where they may leave 64
+        bits, an error says so."""
         n, d = self.vectors.shape
-        own = self.ids == query_id
+        own = self.rows == row
+        reach = sum(map(abs, q.tolist())) * (self.top + (1 << self.shift))
+        if reach >= 1 << 62 or self.top >= (1 << 63) - 1:
+            raise OverflowError(f"scores of up to {reach} don't fit 64 bits")
+        if reach >= 1 << 51:
+            possible = np.flatnonzero(~own)
+            return possible, self.vectors[possible] @ q
         c = q[self.dim]
         most, least = np.where(c > 0, c * self.high, c * self.low), np.where(c > 0, c * self.low, c * self.high)
         base = np.full(d, np.iinfo(np.int64).max)
@@ -97,77 +107,88 @@ class Block:
         return possible, self.vectors[possible] @ q
 
 
-def _blocks(batches):
+def _blocks(batches) -> list[Block]:
+    """The index of a partition, a block at a time; vectors of one length share a block."""
+    out, held = [], {}
+
+    def close(n):
+        out.append(Block(*(np.concatenate(x) for x in zip(*held.pop(n)))))
+
     for batch in batches:
-        ids, v = batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("v")
+        row, ids, v = (batch.column(c) for c in ("row", "vec_id", "v"))
+        row, ids = row.to_numpy(zero_copy_only=False), ids.to_numpy(zero_copy_only=False)
         length = np.diff(v.offsets.to_numpy())
-        flat, start = v.flatten().to_numpy(zero_copy_only=False), v.offsets.to_numpy() - v.offsets[0].as_py()
-        for n in np.unique(length):
-            rows = np.flatnonzero(length == n)
-            for a in range(0, len(rows), BLOCK):
-                part = rows[a : a + BLOCK]
-                yield ids[part], flat[start[part][:, None] + np.arange(n)].reshape(len(part), n)
+        flat, start = v.flatten().to_numpy(zero_copy_only=False), v.offsets.to_numpy()[:-1] - v.offsets[0].as_py()
+        for n in np.unique(length).tolist():
+            at = np.flatnonzero(length == n)
+            for a in range(0, len(at), BLOCK):
+                part = at[a : a + BLOCK]
+                held.setdefault(n, []).append((row[part], ids[part], flat[start[part][:, None] + np.arange(n)].reshape(len(part), n)))
+                if sum(len(x[0]) for x in held[n]) >= BLOCK:
+                    close(n)
+    for n in list(held):
+        close(n)
+    return out
+
+
+def _queries(path: str):
+    """(row, vec_id, vector) of the table at path, a batch at a time."""
+    from pyarrow import dataset, fs
+
+    system, root = fs.FileSystem.from_uri(path)
+    for batch in dataset.dataset(root, filesystem=system, format="parquet").to_batches(columns=["row", "vec_id", "v"], batch_size=BATCH, batch_readahead=1, fragment_readahead=1):
+        yield [(r, i, np.array(v, np.int64)) for r, i, v in zip(*(batch.column(c).to_pylist() for c in ("row", "vec_id", "v")))]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score: for each query (vec_id, v) its k best other vectors, ties to the smaller id; fewer if
-    there are fewer. Vectors of another length than the query's have no product with it and take no part. No queries or no
-    vectors give no rows. Products are exact while sums stay below 2 ** 53."""
+    """query_id, rank, vec_id, score, query_row: for each query (row, vec_id, v) its k best other rows, ties to the smaller id;
+    fewer if there are fewer. Queries that share an id have their own ranks each. Vectors of another length than the query's have
+    no product with it and take no part. No queries or no vectors give no rows."""
     spark = vectors.sparkSession
-    n = queries.count()
-    batches = max(1, -(-n // BATCH))
-    parts = vectors.rdd.getNumPartitions()
-    if parts < spark.sparkContext.defaultParallelism:
-        vectors = vectors.repartition(spark.sparkContext.defaultParallelism)
-    best = None
-    for b in range(batches):
-        asked = [(r.vec_id, np.array(r.v, np.int64)) for r in queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(batches)) == b).collect()]
-        sent = spark.sparkContext.broadcast(asked)
-
-        def task(parts, sent=sent):
-            top: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-            for ids, rows in _blocks(parts):
-                block = Block(ids, rows)
-                for query_id, q in sent.value:
-                    if len(q) != rows.shape[1]:
+    path = f"{shared_dir(spark)}/queries"
+    written_at(queries.select("row", "vec_id", "v"), path)
+    if "://" not in path and not path.startswith("file:"):
+        path = f"file://{path}"
+    n = vectors.count()
+    parts = max(spark.sparkContext.defaultParallelism, -(-n // (BLOCK * BLOCKS)))
+
+    def task(parts):
+        blocks = _blocks(parts)
+        for asked in _queries(path) if blocks else ():
+            out = []
+            for row, query_id, q in asked:
+                ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                for block in blocks:
+                    if block.vectors.shape[1] != len(q):
                         continue
-                    had = top.get(query_id)
-                    floor = int(had[1][-1]) if had is not None and len(had[1]) == k else None
-                    at, scores = block.search(query_id, q, k, floor)
-                    found, scores = (ids[at], scores) if had is None else (np.concatenate((had[0], ids[at])), np.concatenate((had[1], scores)))
-                    keep = np.lexsort((found, -scores))[:k]
-                    top[query_id] = found[keep], scores[keep]
-            if top:
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(np.array(list(top), np.int64), [len(x[0]) for x in top.values()])),
-                        pa.array(np.concatenate([x[0] for x in top.values()]).astype(np.int64)),
-                        pa.array(np.concatenate([x[1] for x in top.values()]).astype(np.int64)),
-                    ],
-                    names=["query_id", "vec_id", "score"],
-                )
-
-        found = vectors.select("vec_id", "v").mapInArrow(task, "query_id long, vec_id long, score long")
-        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-        ranked = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
-        ranked = ranked.select("query_id", "rank", "vec_id", "score")
-        if batches > 1:
-            ranked = written(ranked, f"batch{b}")
-        best = ranked if best is None else best.unionAll(ranked)
-    return best
+                    at, found = block.search(row, q, k, int(scores[-1]) if len(scores) == k else None)
+                    ids, scores = np.concatenate((ids, block.ids[at])), np.concatenate((scores, found))
+                    keep = np.lexsort((ids, -scores))[:k]
+                    ids, scores = ids[keep], scores[keep]
+                out.append((row, query_id, ids, scores))
+            if out:
+                sizes = [len(x[2]) for x in out]
+                columns = [np.repeat(np.array([x[j] for x in out], np.int64), sizes) for j in (0, 1)] + [np.concatenate([x[j] for x in out]).astype(np.int64) for j in (2, 3)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_row", "query_id", "vec_id", "score"])
+
+    found = vectors.select("row", "vec_id", "v").repartition(parts).mapInArrow(task, "query_row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
+    ranked = found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", "vec_id", "score", "query_row")
 
 
 def nearest(embeddings: DataFrame, every: int = 100, k: int = K) -> DataFrame:
-    """Queries are the rows whose vec_id is divisible by ``every``."""
+    """query_id, rank, vec_id, score. Queries are the rows whose vec_id is divisible by ``every``, candidates all rows but the
+    query's own; rows that repeat an id are queries and candidates each for itself."""
     vectors = written(integers(embeddings), "vectors")
-    return search(vectors, vectors.where(F.col("vec_id") % every == 0), k)
+    return search(vectors, vectors.where(F.col("vec_id") % every == 0), k).drop("query_row")
 
 
 ORACLE = f"""
-WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+WITH e AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
-      FROM e q JOIN e c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
+p AS (SELECT q.r, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+      FROM e q JOIN e c ON q.r <> c.r WHERE q.vec_id % 100 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= {K}
 """

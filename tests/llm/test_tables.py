@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from plumbline.llm import sharding, topk, urlfilter
 
@@ -82,7 +83,7 @@ def test_topk_matches_brute_force(spark):
     x[50:60] = x[0]
     rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     bad = [(1000, None), (1001, [float("nan")] * 16), (1002, [None] * 16), (1003, [float("inf")] * 16), (None, rows[0][1]), (1100, [1.0, 2.0]), (1101, [0.5, 0.5])]
-    df = spark.createDataFrame(rows + bad + rows[:20], "vec_id long, embedding array<float>").selectExpr("*", "1 AS label", "2 AS v")
+    df = spark.createDataFrame(rows + bad, "vec_id long, embedding array<float>").selectExpr("*", "1 AS label", "2 AS v")
     got = {}
     for r in topk.nearest(df).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
@@ -96,6 +97,34 @@ def test_topk_matches_brute_force(spark):
     assert topk.nearest(df.limit(0)).collect() == []
 
 
+def test_topk_keeps_every_row_of_a_repeated_id(spark):
+    rows = [(0, [1.0, 0.0]), (1, [9.0, 0.0]), (1, [1.0, 0.0]), (2, [2.0, 0.0]), (100, [0.0, 1.0]), (100, [1.0, 1.0]), (100, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.nearest(df).collect())
+    v, expect = [(i, np.array(x) * 1024) for i, x in rows], []
+    for a, (i, x) in enumerate(v):
+        if i % 100 == 0:
+            order = sorted(((-int(x @ y), j) for b, (j, y) in enumerate(v) if a != b))
+            expect += [(i, k + 1, j, -s) for k, (s, j) in enumerate(order)]
+    assert got == sorted(expect) and (0, 1, 1, 9 * 1024 * 1024) in got
+    import duckdb
+
+    t = df.toPandas()
+    sql = duckdb.sql(topk.ORACLE.replace("FROM embeddings", "FROM t")).fetchall()
+    assert sorted(sql) == got and len(t) == 7
+
+
+def test_topk_of_large_components_is_exact_or_an_error(spark):
+    def top(rows):
+        return [(r.vec_id, r.score) for r in sorted(topk.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 100).collect(), key=lambda r: r["rank"])]
+
+    a, b = 2.0**17 + 1, 2.0**17 - 1  # products beyond 2 ** 53
+    assert top([(0, [a, b]), (1, [a, a]), (3, [a, b + 2**-9])]) == [(1, int(a * 1024) * (int(a * 1024) + int(b * 1024))), (3, int(a * 1024) ** 2 + int(b * 1024) * int((b + 2**-9) * 1024))]
+    for bad in (1e30, 1e9):
+        with pytest.raises(Exception, match="64 bits"):
+            top([(0, [bad, 1.0]), (1, [bad, 2.0])])
+
+
 def test_batches_of_queries_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(2)
     df = spark.createDataFrame([(100 * i, [float(v) for v in r]) for i, r in enumerate(rng.normal(0, 1, (60, 8)))], "vec_id long, embedding array<float>")
@@ -108,6 +137,6 @@ def test_a_block_stops_early_on_proof(monkeypatch):
     rng = np.random.default_rng(3)
     x = rng.integers(-300, 300, (4000, 32))
     x[7] = x[11] = 900
-    block, q = topk.Block(np.arange(4000), x), np.full(32, 50)
+    block, q = topk.Block(np.arange(4000), np.arange(4000), x), np.full(32, 50)
     at, scores = block.search(-1, q, 2, None)
     assert {7, 11} <= set(at.tolist()) and len(at) < 4000 and (scores == x[at] @ q).all()
