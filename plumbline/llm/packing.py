@@ -15,7 +15,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import END_ID, TOKENIZER, written
@@ -23,6 +23,7 @@ from .tokens import encoder
 
 LENGTH = 1024
 GROUP = 8192
+#: At most 4 rounds and 2 ** 20 bins of a group fit a sequence's number.
 ROUNDS = 4
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -96,19 +97,26 @@ def _pack(df: pd.DataFrame) -> pd.DataFrame:
     bins, offsets = best_fit(lengths)
     used = np.bincount(bins, weights=lengths).astype(np.int64)
     gap = len(used) - lower_bound(lengths)
-    return df.assign(bin=bins, offset=offsets, open=(used[bins] <= LENGTH // 2) | ((gap > 0) & (used[bins] < LENGTH)), bins=len(used), gap=gap)
+    return df.assign(bin=bins, offset=offsets, open=(used[bins] <= LENGTH // 2) | ((gap > 0) & (used[bins] < LENGTH)), group_bins=len(used), group_bound=len(used) - gap)
+
+
+def sequence_number(round_: int, part: Column, bin_: Column) -> Column:
+    """An even number for each (round, group, bin): 1 bit, 2 for the round, 20 for the bin, the other 40 for the group."""
+    return (F.shiftleft(F.shiftleft(part.cast("long"), 20).bitwiseOR(bin_.cast("long")), 2) + F.lit(round_)) * 2
 
 
 def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece.
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset, group_bins, group_bound: a row for each piece; the last two
+    are the sequences of the group it was packed in and the bound that certifies them.
 
     Every row of docs is packed, repeated rows, null ids and null or empty texts included; an empty table gives no rows.
     """
     made = written(pieces(docs, LENGTH, tokenizer, end_id).withColumn("salt", F.monotonically_increasing_id()), "pieces")
     names = [c for c in made.columns if c != "salt"]
-    out = made.where(F.col("length") == LENGTH).select(*names, (2 * F.col("salt") + 1).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    out = made.where(F.col("length") == LENGTH).select(*names, (2 * F.col("salt") + 1).alias("sequence_id"), *[F.lit(x).cast("long").alias(c) for c, x in (("offset", 0), ("group_bins", 1), ("group_bound", 1))])
     left = made.where(F.col("length") < LENGTH)
-    schema = f"{PIECES}, salt long, part long, bin long, offset long, open boolean, bins long, gap long"
+    schema = f"{PIECES}, salt long, part long, bin long, offset long, open boolean, group_bins long, group_bound long"
+    last = ("sequence_id", "offset", "group_bins", "group_bound")
     before = None
     for k in range(ROUNDS):
         n = left.count()
@@ -116,17 +124,17 @@ def pack(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> D
             break
         dealt = left.withColumn("part", F.pmod(F.xxhash64("salt", F.lit(k)), F.lit(-(-n // (GROUP << (2 * k))))).cast("long"))
         packed = written(dealt.groupBy("part").applyInPandas(_pack, schema), f"round{k}")
-        number = ((F.lit(k * (1 << 40)) + F.shiftleft("part", 20) + F.col("bin")) * 2).alias("sequence_id")
+        number = sequence_number(k, F.col("part"), F.col("bin")).alias("sequence_id")
         now = packed.select("part", "bin").distinct().count()
         if before is not None and now >= before[0]:
             out = out.unionByName(before[1])  # nothing saved: the last round's places stand
             break
-        rows = packed.select(*names, number, "offset", "open", "salt")
-        out = out.unionByName(rows.where("NOT open").select(*names, "sequence_id", "offset"))
+        rows = packed.select(*names, number, *last[1:], "open", "salt")
+        out = out.unionByName(rows.where("NOT open").select(*names, *last))
         open_ = rows.where("open")
         if k == ROUNDS - 1:
-            out = out.unionByName(open_.select(*names, "sequence_id", "offset"))
+            out = out.unionByName(open_.select(*names, *last))
             break
-        before = (open_.select("sequence_id").distinct().count(), open_.select(*names, "sequence_id", "offset"))
+        before = (open_.select("sequence_id").distinct().count(), open_.select(*names, *last))
         left = open_.select(*names, "salt")
     return out

@@ -1,15 +1,19 @@
 import random
+import re
 import zlib
 
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from plumbline.llm import sharding, topk, urlfilter
 
 
 def test_urls_match_brute_force(spark):
     urls = [None, "", "nothing", "http://COM/", "http://a.com", "http://a.com/x", "https://Example.com/en/1?q#f", "http://x.www.example.com/en/", "http://www.example.com/EN/", "ftp://b.net/es/1", "http://b.net/fr",
-            "http://casino-win.example.org/", "http://m.free-bets.example.net/de/", "http://notcasino-win.example.org/", "a://b://c.com/d", "http://..com/", "http:///com/", "http://" + "a." * 3000 + "net/es/" + "y" * 5000]
+            "http://casino-win.example.org/", "http://m.free-bets.example.net/de/", "http://notcasino-win.example.org/", "a://b://c.com/d", "http://..com/", "http:///com/", "http://" + "a." * 3000 + "net/es/" + "y" * 5000,
+            "http://me@free-bets.example.net:8080/x", "http://CHEAP-pills.example.com.", "http://cheap-pills.example.com?q", "http://com:80/", "http://a.com./"]
     rows = [(i % 15, u) for i, u in enumerate(urls)] + [(None, "http://a.com/x")]
     pages = spark.createDataFrame([(i, u, "h", "h2") for i, u in rows], "page_id long, url string, html string, host string")
 
@@ -19,26 +23,32 @@ def test_urls_match_brute_force(spark):
         host = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:cut])
         path = rest[cut:].split("?")[0].split("#")[0]
 
-        def fits(entry):
+        plain = re.sub(r"\.+$", "", re.sub(r":[0-9]*$", "", host.rpartition("@")[2]))
+
+        def fits(entry, host=host):
             h, p = entry.split("/", 1)
             return (host == h or host.endswith("." + h)) and path.startswith("/" + p)
 
         best = max((e for e, _ in urlfilter.RULES if fits(e)), key=len, default=None)
-        verdict = dict(urlfilter.RULES)[best] if best else "block" if any(map(fits, urlfilter.LISTED)) else "allow"
+        hit = any(plain == h or plain.endswith("." + h) for h in (x.split("/")[2] for x in urlfilter.LISTED))
+        verdict = dict(urlfilter.RULES)[best] if best else "block" if hit else "allow"
         return host, path, best, verdict
 
     expect = sorted(((i, *brute(u)) for i, u in rows), key=str)
-    for limit in (urlfilter.BROADCAST_ENTRIES, 0):
-        urlfilter.BROADCAST_ENTRIES, old = limit, urlfilter.BROADCAST_ENTRIES
-        got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(pages.drop("host"), urlfilter.entries(spark)).collect()]
-        urlfilter.BROADCAST_ENTRIES = old
-        assert sorted(got, key=str) == expect
+    got = [(r.page_id, r.host, r.path, r.rule, r.verdict) for r in urlfilter.judge(pages.drop("host"), urlfilter.entries(spark)).collect()]
+    assert sorted(got, key=str) == expect
+    renamed = pages.select(urlfilter.host_and_path(F.col("html"))[0].alias("h"), "page_id")  # any column will do
+    assert {r.h for r in renamed.collect()} == {""}
+    t = pages.drop("host").toPandas()
+    import duckdb
+
+    assert sorted(duckdb.sql(urlfilter.ORACLE.replace("FROM pages", "FROM t")).fetchall(), key=str) == expect and len(t) == len(rows)
     assert urlfilter.judge(pages.drop("host").limit(0), urlfilter.entries(spark)).collect() == []
 
 
 def test_many_listed_entries_and_false_positives(spark, monkeypatch):
     monkeypatch.setattr(urlfilter, "MAX_BLOCKS", 2)  # a full filter lets everything through
-    listed = [f"h{i}.org/p{i}/" for i in range(300)]
+    listed = spark.createDataFrame([(f"{'https://' * (i % 2)}H{i}.org{':80' * (i % 3 == 1)}/p{i}/?q",) for i in range(300)] + [(None,), ("",)], "url string")
     pages = spark.createDataFrame([(i, f"http://s.h{i}.org/p{i + i % 2}/x") for i in range(300)], "page_id long, url string")
     got = urlfilter.judge(pages, urlfilter.entries(spark, (), listed)).collect()
     assert {r.page_id for r in got if r.verdict == "block"} == {i for i in range(300) if i % 2 == 0}

@@ -128,3 +128,13 @@ def test_gaps_are_repacked(spark, docs, monkeypatch):
         used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
     assert max(used.values()) <= 1024
     assert len(used) <= packing.lower_bound(np.array([r.length for r in rows])) + 2
+
+
+def test_sequence_numbers_of_many_groups_stay_apart(spark):
+    from pyspark.sql import functions as F
+
+    cells = [(r, p, b) for r in range(4) for p in (0, 1, 2**20 - 1, 2**20, 2**33) for b in (0, 1, 2**20 - 1)]
+    df = spark.createDataFrame([(p, b) for _, p, b in cells if _ == 0], "part long, bin long")
+    made = [x[0] for r in range(4) for x in df.select(packing.sequence_number(r, F.col("part"), F.col("bin"))).collect()]
+    assert len(set(made)) == len(cells) and all(x >= 0 and x % 2 == 0 for x in made)
+    assert packing.GROUP << 2 * (packing.ROUNDS - 1) <= 2**20 and packing.ROUNDS <= 4
