@@ -3,10 +3,12 @@
 The order key of a row is crc32(text) << 31 | 31 bits of xxhash64(doc_id): equal texts are neighbours, and a group of
 copies of any size can be cut between two of its rows. Splitters are found as in histogram sort: each round counts the
 exact bytes and rows below equally spaced probes inside the intervals that still hold a splitter, and keeps the
-sub-interval around each target until some probe is within the tolerance. Only counts come to the driver, at most
-``2 ** FIRST_BITS`` rows or ``2 ** NEXT_BITS`` for each splitter. There are ``CELLS`` ranges (cells) in each shard, so that
-the one exchange that follows deals to many tasks, not one for each shard; a row's slot is the exact number of its shard's
-rows in earlier cells plus its place in the cell.
+sub-interval around each target until some probe is within the tolerance. Where all rows at a splitter share one key, being
+repeats of text and id, they are cut by a number of their own, in the same way.
+
+Only counts come to the driver, at most ``2 ** FIRST_BITS`` rows or ``2 ** NEXT_BITS`` for each splitter. There are 16 to 64 ranges
+(cells) in each shard, by the size of all texts, so that the one exchange of the documents that follows deals to many tasks; a
+row's slot is the exact number of its shard's rows in earlier cells plus its place in the cell.
 """
 
 from __future__ import annotations
@@ -14,110 +16,124 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import shared_dir, written
 
 KEY_BITS = 63
 FIRST_BITS = 12
 NEXT_BITS = 6
-CELLS = 16
+#: Ranges in a shard: one for each ``CELL_BYTES`` of it within these bounds.
+CELLS, MOST_CELLS, CELL_BYTES = 16, 64, 1 << 30
 #: Of a shard's mean bytes, how far a splitter may be from its target.
 TOLERANCE = 0.0005
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size (UTF-8 bytes plus 1), text_crc32 and the order key. A null text counts as an empty one, a null id as any
-    other id; a repeated row has its twin's key, and stays beside it."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        (F.octet_length(text) + F.lit(1)).cast("long").alias("size"),
-        F.crc32(text.cast("binary")).alias("text_crc32"),
-    ).withColumn("key", F.shiftleft("text_crc32", 31).bitwiseOR(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 31) - 1))))
+def order_key(text: Column, doc_id: Column) -> Column:
+    return F.shiftleft(F.crc32(F.coalesce(text, F.lit("")).cast("binary")), 31).bitwiseOR(F.xxhash64(doc_id).bitwiseAND(F.lit((1 << 31) - 1)))
 
 
-def splitters(rows: DataFrame, parts: int, tolerance: float) -> list[tuple[int, int, int]]:
-    """(key, bytes below it, rows below it) for each of parts - 1 splitters, ascending."""
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    targets = [total * j / parts for j in range(1, parts)]
-    shift = KEY_BITS - FIRST_BITS
-    found: dict[int, tuple[int, int, int]] = {}
-    #: Splitter -> interval prefix at the last shift, bytes and rows below the interval.
-    open_: dict[int, tuple[int, int, int]] = dict.fromkeys(range(parts - 1), (0, 0, 0))
-    width = FIRST_BITS
+def sized(text: Column) -> Column:
+    """UTF-8 bytes plus 1; a null text counts as an empty one."""
+    return (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(1)).cast("long")
+
+
+def _narrowed(rows: DataFrame, column: str, open_: dict, targets: list[float], tolerance: float, by: tuple = ()) -> tuple[dict, dict]:
+    """open_: splitter -> (group, bytes and rows below the group), group a tuple of by's values. Splits each group by ``column``.
+
+    Returns (found, stuck): splitter -> (group, value, bytes below, rows below) where a boundary is within the tolerance, or as near as
+    any, and splitter -> the same where one value's rows outweigh the tolerance on both sides."""
+    found, stuck = {}, {}
+    at = {j: (group, 0, b, n) for j, (group, b, n) in open_.items()}
+    width, shift = FIRST_BITS, KEY_BITS - FIRST_BITS
     within = rows
-    while open_:
-        counts = within.groupBy(F.shiftright("key", shift).alias("probe")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
-        by_interval: dict[int, list] = {}
+    while at:
+        counts = within.groupBy(*by, F.shiftright(column, shift).alias("probe")).agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n")).collect()
+        inside: dict[tuple, list] = {}
         for r in sorted(counts):
-            by_interval.setdefault(r.probe >> width, []).append(r)
+            inside.setdefault((tuple(r[: len(by)]), r.probe >> width), []).append(r)
         still = {}
-        for j, (prefix, bytes_below, rows_below) in open_.items():
-            edge = (prefix << width, bytes_below, rows_below)
-            best, inside = edge, edge
-            for r in by_interval.get(prefix, []):
-                inside = (r.probe, edge[1], edge[2])
+        for j, (group, prefix, bytes_below, rows_below) in at.items():
+            edge = best = (prefix << width, bytes_below, rows_below)
+            around = edge
+            for r in inside.get((group, prefix), []):
+                around = (r.probe, edge[1], edge[2])
                 edge = (r.probe + 1, edge[1] + r.bytes, edge[2] + r.n)
                 if abs(edge[1] - targets[j]) < abs(best[1] - targets[j]):
                     best = edge
                 if edge[1] >= targets[j]:
                     break
-            if abs(best[1] - targets[j]) <= tolerance or shift == 0:
-                found[j] = (best[0] << shift, best[1], best[2])
+            if abs(best[1] - targets[j]) <= tolerance:
+                found[j] = (group, best[0] << shift, best[1], best[2])
+            elif shift == 0:
+                (stuck if edge[2] - around[2] > 1 else found)[j] = (group, *(around if edge[2] - around[2] > 1 else best))
+            else:
+                still[j] = (group, *around)
+        at = still
+        if at:
+            groups = sorted({(*g, p) for g, p, _, _ in at.values()})
+            if by:
+                within = rows.where(F.struct(*by, F.shiftright(column, shift)).isin([F.struct(*[F.lit(x).cast("long") for x in g]) for g in groups]))
             else:
-                still[j] = inside
-        open_ = still
-        if open_:
-            prefixes = sorted({p for p, _, _ in open_.values()})
-            within = rows.where(F.shiftright("key", shift).isin(prefixes))
+                within = rows.where(F.shiftright(column, shift).isin([p for (p,) in groups]))
             width = min(NEXT_BITS, shift)
             shift -= width
-    return [found[j] for j in range(parts - 1)]
+    return found, stuck
 
 
-def cell_of(key: Column, edges: list[int], low: int = 0, high: int | None = None) -> Column:
-    """Number of edges at or below the key, by a balanced tree of comparisons."""
+def cell_of(key: Column, number: Column, edges: list[tuple[int, int]], low: int = 0, high: int | None = None) -> Column:
+    """Number of edges at or below (key, number), by a balanced tree of comparisons."""
     high = len(edges) if high is None else high
     if low == high:
         return F.lit(low)
     mid = (low + high) // 2
-    return F.when(key < F.lit(edges[mid]), cell_of(key, edges, low, mid)).otherwise(cell_of(key, edges, mid + 1, high))
+    k, n = edges[mid]
+    below = key < F.lit(k) if n == 0 else (key < F.lit(k)) | ((key == F.lit(k)) & (number < F.lit(n)))
+    return F.when(below, cell_of(key, number, edges, low, mid)).otherwise(cell_of(key, number, edges, mid + 1, high))
 
 
-def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row.
+def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents with all their columns, a folder for each shard, and their ``slot`` in it; returns what was written.
 
-    Law ``bytes``: the shards' sizes are equal within ``TOLERANCE`` of their mean, or within one row where a row is larger.
-    An empty table gives no rows; other columns are not read; ties in the key take neighbouring slots of one cell.
-    """
-    rows = written(keyed(docs, id_col, text_col), "keys")
+    Law ``bytes``: the shards' sizes are equal within ``TOLERANCE`` of their mean, or within one row where a row is larger. Every row
+    is kept, null texts and ids and repeated rows too; an empty table gives an empty one. Columns shard and slot of docs give way."""
+    docs = docs.drop("shard", "slot")
+    key, size = order_key(F.col(text_col), F.col(id_col)).alias("key"), sized(F.col(text_col)).alias("size")
+    rows = written(docs.select(key, size), "keys")
     total = rows.agg(F.sum("size")).first()[0] or 0
-    cuts = splitters(rows, shards * CELLS, TOLERANCE * total / shards)
-    edges = [k for k, _, _ in cuts]
-    before = [0] + [n for _, _, n in cuts]
+    cells, tolerance = max(CELLS, min(MOST_CELLS, total // shards // CELL_BYTES)), TOLERANCE * total / shards
+    parts = shards * cells
+    targets = [total * j / parts for j in range(1, parts)]
+    found, stuck = _narrowed(rows, "key", dict.fromkeys(range(parts - 1), ((), 0, 0)), targets, tolerance)
+    cut = {j: (k, 0, b, n) for j, (_, k, b, n) in found.items()}
+    number = F.lit(0).cast("long")
+    if stuck:  # repeats of text and id: they need numbers that stay, so the documents are written with theirs
+        docs = written(docs.withColumn("__number", F.monotonically_increasing_id()), "numbered")
+        number = F.col("__number")
+        heavy = sorted({k for _, k, _, _ in stuck.values()})
+        rows = written(docs.select(key, number.alias("number"), size).where(F.col("key").isin(heavy)), "repeats")
+        # one repeat is one step: nothing is nearer than the nearest number
+        near, rest = _narrowed(rows, "number", {j: ((k,), b, n) for j, (_, k, b, n) in stuck.items()}, targets, tolerance, ("key",))
+        cut |= {j: (group[0], x, b, n) for j, (group, x, b, n) in (near | rest).items()}
+    cuts = [cut[j] for j in range(parts - 1)]
+    before = [0] + [n for *_, n in cuts]
     # rows below the cell, less those below its shard
-    offsets = [before[c] - before[c // CELLS * CELLS] for c in range(shards * CELLS)]
-    first = F.element_at(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("cell") + 1)
-    order = Window.partitionBy("cell").orderBy("key", "doc_id")
-    return (
-        rows.withColumn("cell", cell_of(F.col("key"), edges))
-        .withColumn("place", F.row_number().over(order))
-        .select(
-            "doc_id", "size", "text_crc32",
-            F.lit("bytes").alias("law"),
-            F.floor(F.col("cell") / F.lit(CELLS)).cast("int").alias("shard"),
-            (first + F.col("place") - 1).cast("long").alias("slot"),
-            F.lit(None).cast("int").alias("grown_shard"),
-        )
-    )
+    offsets = [before[c] - before[c // cells * cells] for c in range(shards * cells)]
+    first = F.element_at(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("__cell") + 1)
+    order = Window.partitionBy("__cell").orderBy("__key", number)
+    placed = (
+        docs.withColumn("__key", key)
+        .withColumn("__cell", cell_of(F.col("__key"), number, [c[:2] for c in cuts]))
+        .withColumn("slot", (first + F.row_number().over(order) - 1).cast("long"))
+        .withColumn("shard", F.floor(F.col("__cell") / F.lit(cells)).cast("int"))
+        .drop("__key", "__cell", "__number")
+    )
+    placed.write.partitionBy("shard").parquet(path)
+    return docs.sparkSession.read.schema(placed.schema).parquet(path)
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 8) -> DataFrame:
-    """The documents themselves, one folder for each shard, by the same splitters; returns what was written."""
-    rows = written(keyed(docs), "keys")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    edges = [k for k, _, _ in splitters(rows, shards * CELLS, TOLERANCE * total / shards)]
-    text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.shiftleft(F.crc32(text.cast("binary")), 31).bitwiseOR(F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 31) - 1)))
-    cells = docs.withColumn("__cell", cell_of(key, edges)).withColumn("shard", F.floor(F.col("__cell") / F.lit(CELLS)).cast("int"))
-    cells.repartition("__cell").drop("__cell").write.partitionBy("shard").parquet(path)
-    return docs.sparkSession.read.parquet(path)
+def shard(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row, read from the shards that were written."""
+    out = write_shards(docs.select(id_col, text_col), f"{shared_dir(docs.sparkSession)}/shards", shards, id_col, text_col)
+    return out.select(
+        F.col(id_col).alias("doc_id"), sized(F.col(text_col)).alias("size"), F.crc32(F.coalesce(text_col, F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), "slot", F.lit(None).cast("int").alias("grown_shard"),
+    )

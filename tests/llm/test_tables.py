@@ -75,15 +75,21 @@ def test_shards(spark, docs):
 
 
 def test_shards_of_repeats_and_of_nothing(spark, docs):
-    rows = sharding.shard(docs(["t"] * 64, [1] * 64)).collect()
-    assert len(rows) == 64 and len({(r.shard, r.slot) for r in rows}) == 64
+    for ids in ([1] * 4000, [None] * 4000, [*range(2000), *[7] * 2000]):
+        df = docs(["some text of a copy"] * 4000, ids).repartition(5)
+        rows = sharding.shard(df).collect()
+        assert len(rows) == 4000 and len({(r.shard, r.slot) for r in rows}) == 4000
+        n = [sum(r.shard == k for r in rows) for k in range(8)]
+        assert max(n) - min(n) <= 4 and all({r.slot for r in rows if r.shard == k} == set(range(n[k])) for k in range(8))
     assert sharding.shard(docs(["t"]).limit(0)).collect() == []
     assert [(r.shard is not None, r.slot) for r in sharding.shard(docs(["t"])).collect()] == [(True, 0)]
 
 
 def test_written_shards_hold_every_row(docs, tmp_path):
     df = docs([f"text {i} " * (i % 40) for i in range(300)])
+    df = df.selectExpr("*", "'x' AS shard", "1 AS key")
     out = sharding.write_shards(df, str(tmp_path / "s"))
+    assert set(out.columns) == {*df.columns, "slot"}
     assert sorted(r.doc_id for r in out.collect()) == list(range(300)) and out.select("shard").distinct().count() == 8
 
 
