@@ -2,12 +2,13 @@
 
 Four kinds always stand once they pass their checks: email, ip, card (Luhn) and phone. Three more are added where their score
 reaches ``KEEP``: iban (mod 97), national_id and local_phone, whose pattern alone is too weak without a context word. Added
-spans that overlap any other are left out. Scans take time linear in the text.
+spans that overlap any other are left out. Scans take time linear in the text, and a span is compared with its neighbours only.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, insort
 from itertools import accumulate
 from typing import NamedTuple
 
@@ -45,7 +46,16 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}\b")
+_IBAN = re.compile(r"\b([A-Z]{2})[0-9]{2}(?= ?[A-Z0-9])")
+#: How many letters and digits a country's IBAN has.
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24,
+    "DE": 22, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28,
+    "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20,
+    "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25,
+    "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29,
+    "VA": 22, "VG": 24, "XK": 20,
+}
 _NATIONAL = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+])(?:\([0-9]{3}\) |[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9])")
 
@@ -112,6 +122,20 @@ def _phones(text: str):
             yield m.span()
 
 
+def _ibans(text: str):
+    """As many letters and digits, single spaces between them, as the country's have, with no letter or digit right after."""
+    for m in _IBAN.finditer(text):
+        left, at, n = IBAN_LENGTHS.get(m[1], 0) - 4, m.end(), len(text)
+        while left > 0:
+            if at < n and text[at] == " ":
+                at += 1
+            if at >= n or not ("0" <= text[at] <= "9" or "A" <= text[at] <= "Z"):
+                break
+            at, left = at + 1, left - 1
+        if left == 0 and not (at < n and (text[at].isalnum() or text[at] == "_")):
+            yield m.start(), at
+
+
 def _context(kind: str, text: str, start: int, end: int) -> float:
     near = f"{text[max(0, start - NEAR) : start]} {text[end : end + NEAR]}".lower()
     return CONTEXT if any(re.search(rf"\b{w}\b", near) for w in WORDS[kind]) else 0.0
@@ -130,13 +154,17 @@ def spans(text: str | None) -> list[Span]:
             out += [Span("phone", a, b, 0) for a, b in _phones(text)]
     out = [s._replace(score=min(1.0, s.score + SCORES[s.kind] + _context(s.kind, text, s.start, s.end))) for s in out]
     if digits:
-        for kind, pattern in zip(ADDED, (_IBAN, _NATIONAL, _LOCAL_PHONE)):
-            for m in pattern.finditer(text):
-                a, b = m.span()
+        base = sorted((s.start, s.end) for s in out)
+        starts, reach = [a for a, _ in base], list(accumulate((b for _, b in base), max))
+        taken: list[tuple[int, int]] = []  # added spans, none over another
+        for kind, found in zip(ADDED, (_ibans(text), (m.span() for m in _NATIONAL.finditer(text)), (m.span() for m in _LOCAL_PHONE.finditer(text)))):
+            for a, b in found:
                 score = SCORES[kind] + _context(kind, text, a, b)
                 if kind == "iban":
-                    score += CHECKSUM if mod97(m[0].replace(" ", "")) else -CHECKSUM
-                if score >= KEEP and not any(s.start < b and a < s.end for s in out):
+                    score += CHECKSUM if mod97(text[a:b].replace(" ", "")) else -CHECKSUM
+                k, i = bisect_left(starts, b), bisect_left(taken, (b, 0))
+                if score >= KEEP and not (k and reach[k - 1] > a) and not (i and taken[i - 1][1] > a):
+                    insort(taken, (a, b))
                     out.append(Span(kind, a, b, min(1.0, score)))
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(out, key=lambda s: (order[s.kind], s.start))
@@ -147,7 +175,8 @@ _TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end"
 
 
 def found(docs: DataFrame) -> DataFrame:
-    """doc_id and its spans for every row of docs (doc_id, text); other columns are not read."""
+    """doc_id and its spans for every row of docs (doc_id, text); null ids and repeated rows keep their rows, null and empty texts
+    have no spans, an empty table no rows; other columns are not read, whatever their names."""
 
     def task(batches):
         for batch in batches:
