@@ -11,6 +11,7 @@ The model is made of at most ``SAMPLE`` labelled rows, the least by a hash of th
 from __future__ import annotations
 
 import operator
+import unicodedata
 from itertools import combinations
 
 import numpy as np
@@ -37,34 +38,40 @@ FEATURES = (
 )
 
 
-def _mask(chars) -> np.ndarray:
-    m = np.zeros(256)
-    m[[c if isinstance(c, int) else ord(c) for c in chars]] = 1
-    return m
+UPPER, LOWER, LETTER, DIGIT, SPACE, SYMBOL, STOP, OTHER = range(8)
+#: Marks that end a sentence or its parts, and symbols of markup.
+STOPS, SYMBOLS = ".,;:?。、，．；：？…！؟؛،।·", "#$%&*@~^_=+<>{}[]\\/"
+_ENDS = frozenset(".!?。！？…।؟")
 
 
-_UPPER = _mask("ABCDEFGHIJKLMNOPQRSTUVWXYZ") + _mask(c for c in range(0xC0, 0xDF) if c != 0xD7)
-_LOWER = _mask("abcdefghijklmnopqrstuvwxyz") + _mask(c for c in range(0xDF, 0x100) if c != 0xF7)
-_SYMBOL, _DIGIT, _SPACE, _STOP = _mask("#$%&*@~^_=+<>{}[]\\/"), _mask("0123456789"), _mask(" \t\n\r"), _mask(".,;:?")
-_ASCII = np.arange(256) < 128
+def _classes() -> np.ndarray:
+    """A class for each code point of the basic plane, from its Unicode category; letters without case are LETTER."""
+    kinds = {"Lu": UPPER, "Lt": UPPER, "Ll": LOWER, "Lo": LETTER, "Lm": LETTER, "Mn": LETTER, "Mc": LETTER, "Nd": DIGIT, "Zs": SPACE}
+    out = np.array([kinds.get(unicodedata.category(chr(c)), OTHER) for c in range(1 << 16)], np.uint8)
+    for chars, kind in ((" \t\n\r", SPACE), (STOPS, STOP), (SYMBOLS, SYMBOL)):
+        out[[ord(c) for c in chars]] = kind
+    return out
+
+
+_CLASS = _classes()
 
 
 def features(text: str | None) -> list[float]:
-    """All 0 for a null text or one without words."""
+    """All 0 for a null text or one without words. Characters beyond the basic plane are of no class."""
     found = (text or "").split()
     if not found:
         return [0.0] * len(FEATURES)
-    n = len(found)
-    seen = np.bincount(np.frombuffer(text.encode("latin-1", "replace"), np.uint8), minlength=256)
-    chars, upper, lower = len(text), seen @ _UPPER, seen @ _LOWER
-    lines = text.split("\n")
+    n, chars = len(found), len(text)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    seen = np.bincount(_CLASS[np.minimum(points, 0xFFFF)], minlength=8)
+    cased, lines = seen[UPPER] + seen[LOWER], text.split("\n")
     return [
-        np.log1p(chars), np.log1p(n), (chars - seen @ _SPACE) / n, upper / max(upper + lower, 1), (seen @ _SYMBOL) / chars,
-        seen[124] / n, seen[33] / n, (seen @ _DIGIT) / chars, (seen @ _STOP) / n,
-        1 - (upper + lower + seen @ _SYMBOL + seen @ _DIGIT + seen @ _SPACE + seen @ _STOP) / chars,
+        np.log1p(chars), np.log1p(n), (chars - seen[SPACE]) / n, seen[UPPER] / max(cased, 1), seen[SYMBOL] / chars,
+        text.count("|") / n, (text.count("!") + text.count("！")) / n, seen[DIGIT] / chars, seen[STOP] / n,
+        seen[OTHER] / chars,
         len(set(found)) / n, sum(map(operator.eq, found, found[1:])) / n, 1 - len(set(lines)) / len(lines), len(lines) / n,
-        sum(len(w) < 4 for w in found) / n, (seen @ _ASCII) / chars, np.log1p(max(map(len, lines))),
-        float(text.rstrip()[-1:] in ".!?"),
+        sum(len(w) < 4 for w in found) / n, np.count_nonzero(points < 128) / chars, np.log1p(max(map(len, lines))),
+        float(text.rstrip()[-1:] in _ENDS),
     ]
 
 
@@ -194,18 +201,20 @@ def fit(docs: DataFrame, labels: DataFrame, allowed=None) -> Additive:
     return Additive(x, held["y"].to_numpy(float))
 
 
-def scored(docs: DataFrame, model: Additive) -> DataFrame:
+def scored(docs: DataFrame, model: Additive, score: str = "score", predicted: str = "predicted") -> DataFrame:
+    """docs with two more columns; columns of docs that have their names give way."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(DoubleType())
-    def score(text: pd.Series) -> pd.Series:
+    def told(text: pd.Series) -> pd.Series:
         return pd.Series(sent.value.scores(np.array([features(t) for t in text], float).reshape(-1, len(FEATURES))))
 
-    return docs.withColumn("score", score("text")).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+    return docs.withColumn(score, told("text")).withColumn(predicted, F.when(F.col(score) >= 0.5, 1).otherwise(0))
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs; labels are learned from rows with crc32(doc_id) mod 3 <> 1.
-    Null and empty texts have features of 0 and a score like any other; repeated rows score alike."""
+    Null and empty texts have features of 0 and a score like any other; repeated rows score alike; a null id is not held out and has no
+    labels; other columns are not read, whatever their names; an empty table gives no rows."""
     model = fit(docs, labels, doc_crc() % 3 != 1)
-    return scored(docs.select("doc_id", "text"), model).select("doc_id", (doc_crc() % 3 == 1).alias("held_out"), "score", "predicted")
+    return scored(docs.select("doc_id", "text"), model).select("doc_id", F.coalesce(doc_crc() % 3 == 1, F.lit(False)).alias("held_out"), "score", "predicted")

@@ -42,6 +42,43 @@ def test_added_spans_need_checksum_or_context():
     assert pii.spans(None) == pii.spans("") == []
 
 
+def test_ibans_end_where_their_country_says():
+    for text in ("IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX", "pay DE89 3704 0044 0532 0130 00 EUR 500", "GB82WEST12345698765432, FR14 2004 1010 0505 0001 3M02 606"):
+        got = [text[s.start : s.end] for s in pii.spans(text) if s.kind == "iban"]
+        assert got in (["DE89 3704 0044 0532 0130 00"], ["GB82WEST12345698765432", "FR14 2004 1010 0505 0001 3M02 606"])
+    assert pii.spans("GB82WEST123456987654321 ZZ82 1234 1234 1234 1234") == []
+
+
+def test_scores_move_added_spans_both_ways(monkeypatch):
+    text = "his ssn: 078-05-1120 and 078-05-1121 " + "x" * 60 + " 078-05-1122"
+    assert len(pii.spans(text)) == 2  # the last has no context
+    monkeypatch.setattr(pii, "CONTEXT", 0.0)
+    assert pii.spans(text) == []
+    monkeypatch.setattr(pii, "KEEP", 0.2)
+    assert len(pii.spans(text)) == 3
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    for one in ("a@b.co 1.2.3.4 +1 (017) 555-7713 ", "call 555-123-4567 ", "tel 555-123-4567 ssn 078-05-1120 "):
+        took = []
+        for n in (10_000, 40_000):
+            began = time.process_time()
+            assert len(pii.spans(one * n)) >= n
+            took.append(time.process_time() - began)
+        assert took[1] < 10 * took[0] + 0.5
+
+
+def test_added_spans_leave_out_overlaps():
+    text = "tel 555-123-4567 0 call (555) 123-4567 bank DE89370400440532013000 tel +1 555-123-4567"
+    kinds = [(s.kind, s.start, s.end) for s in pii.spans(text)]
+    for i, a in enumerate(kinds):
+        for b in kinds[i + 1 :]:
+            assert a[2] <= b[1] or b[2] <= a[1]
+    assert [k for k, *_ in kinds].count("iban") == 1
+
+
 def test_long_runs_take_linear_time():
     for text in ("a" * 200_000 + "@", "1" * 200_000, "1." * 100_000, "+1" + "(" * 200_000, "a@" * 50_000):
         pii.spans(text)
@@ -59,6 +96,9 @@ def test_digest(spark, docs):
         base = ",".join(f"{k}:{a}:{b}" for k, a, b in brute_spans(t or ""))
         assert rows[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest() and rows[i].spans == base
     assert (rows[2].n_email, rows[2].n_ip, rows[2].n_card, rows[2].n_phone) == (1, 1, 0, 1)
+    more = docs(texts + texts[2:3], [0, 1, None, 3, 2]).selectExpr("*", "1 AS spans", "2 AS n_email")
+    assert [r.n_email for r in pii.digest(more).where("doc_id IS NULL OR doc_id = 2").collect()] == [1, 1]
+    assert pii.digest(more.limit(0)).collect() == []
     out = pii.redacted(docs(texts))
     assert out.columns == docs(texts).columns and {r.doc_id: r.n_chars for r in out.collect()}[2] == len(pii.masked(texts[2]))
 
@@ -237,3 +277,31 @@ def test_decontamination_keeps_a_verbatim_run_beside_a_changed_filling(spark, do
     bench = spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")
     got = [(r.doc_id, r.aligned) for r in decontam.contaminated(docs([" ".join(changed), _prose(rng, 60)]), bench).collect()]
     assert [g[0] for g in got] == [0] and got[0][1] >= 50
+
+
+def test_features_count_letters_of_any_script():
+    f = lambda t: dict(zip(quality.FEATURES, quality.features(t)))
+    plain = f("Это простое предложение на русском языке, и в нём нет ничего странного.")
+    assert plain["ascii_share"] < 0.25 and plain["stops"] < 0.2 and plain["other_share"] == 0 and 0 < plain["upper_share"] < 0.1
+    assert f("这是一个普通的句子，没有什么奇怪的。")["other_share"] == 0 and f("这是。")["last_stop"] == 1
+    assert f("🙂🙂 ok")["other_share"] > 0.2 and f("a" * 100_000)["log_chars"] > 11
+    assert f(None) == f("") == f(" \n ") and set(f(None).values()) == {0.0}
+
+
+def test_quality_of_odd_rows_and_scores_by_hand(spark, docs):
+    rng = random.Random(9)
+    y = [i % 2 for i in range(120)]
+    texts = [_prose(rng, 40) if t else "| # | " * 30 for t in y]
+    df = docs([*texts, None, "", "é" * 50_000, texts[1], "x"], [*range(120), 500, 501, 502, 1, None]).selectExpr("*", "'mine' AS score", "7 AS predicted", "0 AS x", "1 AS y")
+    labels = spark.createDataFrame([(i, t, 0) for i, t in enumerate(y)], "doc_id long, quality int, toxic int")
+    rows = quality.classified(df, labels).collect()
+    assert len(rows) == 125 and all(isinstance(r.held_out, bool) for r in rows)
+    model = quality.fit(df, labels, quality.doc_crc() % 3 != 1)
+    by = {}
+    for t, i in zip([*texts, None, "", "é" * 50_000, texts[1], "x"], [*range(120), 500, 501, 502, 1, None]):
+        by.setdefault(i, t)
+    for r in rows:
+        x, z = np.array(quality.features(by[r.doc_id])), model.base
+        z += sum(table[(e <= v).sum()] for table, e, v in zip(model.tables, model.edges, x))
+        z += sum(table[(model.coarse[i] <= x[i]).sum(), (model.coarse[j] <= x[j]).sum()] for i, j, table in model.pairs)
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9 and r.predicted == int(r.score >= 0.5)
