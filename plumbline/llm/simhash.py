@@ -77,7 +77,7 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, name: str = "fingerprints") -> tuple[DataFrame, DataFrame]:
-    """The documents' fingerprints, and (fp, component_id) for each distinct one.
+    """The documents' fingerprints, and (fp, root, component_id) for each distinct one, root being one fingerprint of the component.
 
     Null ids take part, and name a component only if it has no other id. Repeated rows share their component. An empty
     table gives empty results; other columns of docs are not read.
@@ -87,22 +87,32 @@ def groups(docs: DataFrame, name: str = "fingerprints") -> tuple[DataFrame, Data
     roots = components(chain(fps.select("fp")))
     named = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id")).withColumnRenamed("root", "least_root")
-    classes = named.join(least, F.col("root") + F.lit(0) == F.col("least_root") + F.lit(0)).select("fp", "component_id")
+    classes = named.join(least, F.col("root") + F.lit(0) == F.col("least_root") + F.lit(0)).select("fp", "root", "component_id")
     return rows, written(classes, "classes")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of docs (doc_id, text)."""
     rows, classes = groups(docs)
-    return rows.join(classes, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return rows.join(classes.drop("root"), "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the one with the least id. Of rows that repeat that id, one of the component's
-    texts stays; a component without ids keeps one row for each of its texts."""
+    """docs with one row of each component: of its least id, one without an id only where none has; of texts that share the id
+    that with the least hash, once.
+
+    Texts stay where they are: the dropped rows' keys are anti-joined. Only rows that repeat the kept id and text are gathered,
+    reduced where they stand before that."""
     rows, classes = groups(docs, "stage_fingerprints")
-    kept = rows.join(classes, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = written(kept.groupBy("component_id", "fp", "doc_id").agg(F.min("text_hash").alias("text_hash")).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "kept")
+    placed = rows.join(classes.select("fp", "root"), "fp").select("root", "doc_id", "text_hash")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash"))
+    several = placed.groupBy("root").agg(best.alias("best"), F.count(F.lit(1)).alias("n")).where("n > 1").withColumnRenamed("root", "its_root")
+    # joined by keys of their own, so that both sides are dealt anew and a large component can be split
+    members = placed.join(several, F.col("root") + F.lit(0) == F.col("its_root") + F.lit(0))
+    chosen = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
+    marked = members.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), chosen.alias("__chosen")).agg(F.count(F.lit(1)).alias("__n"))
+    marked = written(marked.where("NOT __chosen OR __n > 1"), "dropped")
     mine = F.xxhash64("text")
-    out = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (mine == F.col("__hash")), "left_semi")
-    return out.withColumn("__hash", mine).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (mine == F.col("__hash"))
+    once = docs.join(marked.where("__chosen"), on, "left_semi").withColumn("__hash", mine).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    return docs.join(marked, on, "left_anti").unionAll(once)

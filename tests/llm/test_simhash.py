@@ -89,6 +89,9 @@ def test_one_document_of_each_group_stays(spark, docs):
     df = docs([a, a, b, b, "solo", None, None], [7, 3, 9, 9, 4, None, 12])
     kept = sorted(((r.doc_id is None, r.doc_id or 0, r.text) for r in simhash.deduplicated(df).collect()), key=str)
     assert kept == sorted([(False, 3, a), (False, 9, b), (False, 4, "solo"), (False, 12, None)], key=str)
+    near = a.upper()
+    kept = simhash.deduplicated(docs([a, near, near, b, b, "solo"], [1, 1, 1, None, None, None])).collect()
+    assert len(kept) == 3 and {r.doc_id for r in kept} == {1, None} and {r.text for r in kept} >= {b, "solo"}
 
 
 def test_empty_and_clashing_columns(spark, docs):
