@@ -1,15 +1,25 @@
-"""Toxicity by class-conditional counts of words and pairs of words, with backoff to shared predictions.
-
-Both classes, toxic and ordinary, have counts of words and of pairs of neighbours, over all labelled rows that are admitted.
-What is counted are documents that hold an expression, and texts that are equal count once in a class: such counts add up, so
-classes of different sizes compare, which counts of distinct neighbours don't, since those of frequent words run full. A class's
-departure from what the shared counts predict for it is discounted: an expression too rare to depart by more than the discount
-keeps the shared probability in both classes, and moves no score. A text's evidence is the sum of its words' and pairs' log odds
-divided by its number of words; two numbers fitted on labelled documents that the counts left out turn it into a score.
-
-Counts and odds are Spark's; what they hold grows with the labelled rows, of which the driver sees eight bytes each. Only the two numbers come from a bounded sample, a
-``CALIBRATE``-th of the rows, at most ``SAMPLE / CALIBRATE`` of each class. Up to ``ENTRIES`` expressions with odds are sent to the
-tasks; where there are more, texts' expressions are joined to them.
+"""Toxicity by class-conditional Kneser-Ney models of words that share their backoff counts.
+
+Both classes, toxic and ordinary, have a model P_c(word | word before it), interpolated over three orders:
+
+    P_c(w | h) = A_c(h w) / n_c(h) + g_c(h) P_c(w)        g_c(h): what the discounts of h's pairs left
+    P_c(w)     = A_c(w) / N_c + l_c P(w)                  l_c: what the discounts of words left
+    P(w)       = (k(w) - d) / K + d V / K / (V + 1)       k(w): distinct words before w, in both classes together
+
+n_c counts labelled texts of class c that hold an expression (equal texts once in a class), n_c(h) and N_c are their sums; the last
+order is a Kneser-Ney continuation count that the classes share, with d = n1 / (n1 + 2 n2), and an unknown word has its share of
+it. Each of the three sums to 1. A_c is the discounted count, max(0, n_c - e_c - ``DISCOUNT`` sqrt(e_c + 1)), where e_c is the part
+of both classes' count that lower orders let class c expect. So the discount isn't a constant: it takes away all that is common to
+the classes or may be chance, and the shared counts get that mass; a word or pair that sets the classes apart keeps the rest. A
+constant discount, n1 / (n1 + 2 n2) or larger, was tried and scored worse (README).
+
+A text's evidence is log P_toxic(text) - log P_ordinary(text) by its number of words; two numbers fitted on labelled documents
+that the counts left out turn it into a score. Only expressions with A_c > 0 in a class have a difference of their own, so that
+these alone are kept, as what they add to l_toxic / l_ordinary, which every word has.
+
+Counts and differences are Spark's; what they hold grows with the labelled rows. Only the two numbers come from a bounded sample,
+a ``CALIBRATE``-th of the rows, at most ``SAMPLE / CALIBRATE`` of each class. Up to ``ENTRIES`` differences are sent to the tasks;
+where there are more, texts' expressions are joined to them.
 """
 
 from __future__ import annotations
@@ -29,11 +39,11 @@ from .common import doc_crc, teaching, written
 #: Of labelled documents, the part that fits the two numbers, and that part of ``SAMPLE`` of each class at most.
 SAMPLE = 4000
 CALIBRATE = 4
-#: Expressions with odds that are sent to the tasks at most.
+#: Expressions with a difference that are sent to the tasks at most.
 ENTRIES = 1_000_000
 #: Distinct expressions that a task holds before it passes them on.
 HELD = 100_000
-#: Times the square root of one more than the predicted count.
+#: Times the square root of one more than the expected count.
 DISCOUNT = 3.0
 #: Words added to a text's length, so that a few words prove little.
 PRIOR_WORDS = 8.0
@@ -45,40 +55,25 @@ def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def log_odds(count: tuple[float, float], share: float) -> float:
-    """log P(expression | toxic) / P(expression | ordinary) of counts (ordinary, toxic), where the toxic class has that share of
-    all that precedes the expression; 0 where neither count departs enough from the shared prediction."""
-    both, out = count[0] + count[1], 0.0
-    for n, part, sign in ((count[0], 1 - share, -1), (count[1], share, 1)):
-        predicted = both * part
-        excess = abs(n - predicted) - DISCOUNT * math.sqrt(predicted + 1)
-        if excess > 0:
-            out += sign * math.log((predicted + math.copysign(excess, n - predicted)) / predicted)
-    return out
-
-
-def odds_column(n0: Column, n1: Column, share: Column) -> Column:
-    """``log_odds`` of columns."""
-    both, out = n0 + n1, F.lit(0.0)
-    for n, part, sign in ((n0, 1 - share, -1), (n1, share, 1)):
-        predicted = both * part
-        excess = F.abs(n - predicted) - DISCOUNT * F.sqrt(predicted + 1)
-        out = out + F.when(excess > 0, sign * F.log((predicted + F.signum(n - predicted) * excess) / predicted)).otherwise(0.0)
-    return out
-
-
 def expressions(found: list[str]):
-    """The words, and each pair of neighbours as two words with a space between."""
+    """The words; for each pair of neighbours the first with a space after it, as a history, and both with a space between."""
     yield from found
-    yield from map(" ".join, zip(found, found[1:]))
+    for a, b in zip(found, found[1:]):
+        yield f"{a} "
+        yield f"{a} {b}"
+
+
+def _kept(n: Column, expected: Column) -> Column:
+    """A_c of the docstring."""
+    return F.greatest(F.lit(0.0), n - expected - DISCOUNT * F.sqrt(expected + 1))
 
 
 class Model:
-    """table: (entry, odds) of each expression with odds; odds: the same as a dict, None where there are more than ``ENTRIES``.
-    An unknown expression has 0."""
+    """table: (entry, odds), what each expression adds to the log of P_toxic / P_ordinary; odds: the same as a dict, None where there
+    are more than ``ENTRIES``; every word has ``base``, an unknown expression adds 0."""
 
-    def __init__(self, table: DataFrame):
-        self.table, self.odds = table, None
+    def __init__(self, table: DataFrame, base: float):
+        self.table, self.odds, self.base = table, None, base
         if table.count() <= ENTRIES:
             self.odds = {r.entry: r.odds for r in table.toLocalIterator()}
         self.slope, self.shift = 1.0, 0.0
@@ -100,44 +95,55 @@ class Model:
         self.slope, self.shift = float(w[0] / scale), float(w[1])
 
     def score(self, text: str | None) -> float:
-        return self.probability(evidence(text, self.odds))
+        return self.probability(evidence(text, self.odds, self.base))
 
     def probability(self, evidence: float) -> float:
         z = max(-30.0, min(30.0, self.slope * evidence + self.shift))
         return 1 / (1 + math.exp(-z))
 
 
-def evidence(text: str | None, odds: dict[str, float]) -> float:
-    """Sum of the odds, normalised by length; 0 for a text without words."""
+def _heads(odds: dict[str, float]) -> frozenset:
+    return frozenset(e[:-1] for e in odds if e.endswith(" "))
+
+
+def evidence(text: str | None, odds: dict[str, float], base: float, heads: frozenset | None = None) -> float:
+    """Difference of the log-likelihoods, normalised by length; 0 for a text without words."""
     found, get = words(text), odds.get
-    return math.fsum(get(e, 0.0) for e in expressions(found)) / (len(found) + PRIOR_WORDS)
+    heads = _heads(odds) if heads is None else heads
+    total = math.fsum(get(w, 0.0) for w in found)
+    if not heads.isdisjoint(found):
+        total += math.fsum(get(f"{a} ", 0.0) + get(f"{a} {b}", 0.0) for a, b in zip(found, found[1:]) if a in heads)
+    return (total + base * len(found)) / (len(found) + PRIOR_WORDS)
 
 
-def with_evidence(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the column evidence."""
+def with_evidence(docs: DataFrame, model: Model, to: str = "evidence") -> DataFrame:
+    """docs with one more column; a column of docs that has its name gives way."""
+    docs = docs.drop(to)
     if model.odds is not None:
-        sent = docs.sparkSession.sparkContext.broadcast(model.odds)
+        sent = docs.sparkSession.sparkContext.broadcast((model.odds, model.base, _heads(model.odds)))
 
         @F.pandas_udf(DoubleType())
         def told(text: pd.Series) -> pd.Series:
-            return pd.Series([evidence(t, sent.value) for t in text], dtype="float64")
+            odds, base, heads = sent.value
+            return pd.Series([evidence(t, odds, base, heads) for t in text], dtype="float64")
 
-        return docs.withColumn("evidence", told("text"))
+        return docs.withColumn(to, told("text"))
 
     def task(frames):
         for df in frames:
             for text, key in zip(df["text"], df["text_key"]):
                 found = words(text)
                 counts = Counter(expressions(found))
-                yield pd.DataFrame({"text_key": key, "size": len(found), "entry": list(counts), "n": list(counts.values())})
+                # a row of its own for the length, so that texts without a kept expression have their evidence too
+                yield pd.DataFrame({"text_key": key, "size": len(found), "entry": ["", *counts], "n": [0, *counts.values()]})
 
-    keyed = docs.withColumn("text_key", F.sha2(F.col("text").cast("binary"), 256))
-    held = keyed.where("text IS NOT NULL").select("text", "text_key").mapInPandas(task, "text_key string, size long, entry string, n long")
+    texts = docs.where("text IS NOT NULL").select("text", F.sha2(F.col("text").cast("binary"), 256).alias("text_key"))
+    held = texts.mapInPandas(task, "text_key string, size long, entry string, n long")
     # copies give the same rows, which count once
-    sums = held.distinct().join(model.table, "entry").groupBy("text_key", "size").agg(F.sum(F.col("n") * F.col("odds")).alias("total"))
-    sums = sums.select("text_key", (F.col("total") / (F.col("size") + PRIOR_WORDS)).alias("evidence"))
-    out = keyed.join(sums, "text_key", "left").withColumn("evidence", F.coalesce("evidence", F.lit(0.0)))
-    return out.select(*docs.columns, "evidence")
+    sums = held.distinct().join(model.table, "entry", "left").groupBy("text_key", "size").agg(F.sum(F.col("n") * F.coalesce("odds", F.lit(0.0))).alias("total"))
+    sums = sums.select(F.col("text_key").alias("__key"), ((F.col("total") + F.lit(model.base) * F.col("size")) / (F.col("size") + PRIOR_WORDS)).alias("__told"))
+    out = docs.join(sums, F.sha2(F.col("text").cast("binary"), 256) == F.col("__key"), "left")
+    return out.withColumn(to, F.coalesce("__told", F.lit(0.0))).drop("__key", "__told")
 
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, allowed) -> DataFrame:
@@ -154,12 +160,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.xxhash64("doc_id", F.xxhash64("text")).alias("key"))
 
 
-def _count(docs: DataFrame, picked: DataFrame, pairs: bool) -> DataFrame:
-    """(entry, n0, n1): picked texts of the ordinary and of the toxic class that hold each word, or each pair. The picked keys go to
-    the tasks as eight bytes each, so that texts stay where they are."""
-    keys = [np.sort(picked.where(F.col("y") == c).select("key").toPandas()["key"].to_numpy(np.int64)) for c in (0, 1)]
-    repeated = {r.key: r.rows for r in picked.where("rows > 1").select("key", "rows").toLocalIterator()}
-    sent = docs.sparkSession.sparkContext.broadcast((keys, repeated))
+def _count(docs: DataFrame, picked: DataFrame) -> DataFrame:
+    """(entry, n0, n1): picked texts of the ordinary and of the toxic class that hold each word, and each pair."""
 
     def told(held: Counter):
         y, entry = zip(*held)
@@ -167,43 +169,71 @@ def _count(docs: DataFrame, picked: DataFrame, pairs: bool) -> DataFrame:
 
     def task(frames):
         held: Counter = Counter()
-        keys, repeated = sent.value
         for df in frames:
-            for y in (0, 1):
-                if not len(keys[y]):
-                    continue
-                found = df["key"].to_numpy(np.int64)
-                at = np.minimum(np.searchsorted(keys[y], found), len(keys[y]) - 1)
-                for i in np.flatnonzero(keys[y][at] == found):
-                    own = words(df["text"].iat[i])
-                    weight = 1 / repeated.get(int(found[i]), 1)
-                    for e in set(map(" ".join, zip(own, own[1:])) if pairs else own):
-                        held[y, e] += weight
-                    if len(held) > HELD:
-                        yield told(held)
-                        held.clear()
+            for text, y, rows in zip(df["text"], df["y"], df["rows"]):
+                own = words(text)
+                for e in {*own, *map(" ".join, zip(own, own[1:]))}:
+                    held[y, e] += 1 / rows
+                if len(held) > HELD:
+                    yield told(held)
+                    held.clear()
         if held:
             yield told(held)
 
-    seen = _keyed(docs).select("text", "key").mapInPandas(task, "y int, entry string, n double")
+    texts = _keyed(docs).join(picked.select("key", "y", "rows"), "key").select("text", "y", "rows")
+    seen = texts.mapInPandas(task, "y int, entry string, n double")
     return seen.groupBy("entry").agg(*[F.round(F.sum(F.when(F.col("y") == c, F.col("n")).otherwise(0.0)), 3).alias(f"n{c}") for c in (0, 1)])
 
 
-def odds_table(single: DataFrame, pair: DataFrame) -> DataFrame:
-    """(entry, odds) of each expression whose odds are not 0, of counts of words and of pairs; a pair counts only where its second
-    word has none."""
-    single = written(single, "toxic_counts")
-    total = single.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
-    share = (total[1] + 1.0) / (total[0] + total[1] + 2.0)
-    word = single.select("entry", ((F.col("n1") + 1.0) / (F.col("n0") + F.col("n1") + 2.0)).alias("share"), odds_column(F.col("n0"), F.col("n1"), F.lit(share)).alias("odds"))
-    word = written(word.where("odds <> 0"), "toxic_words")
-    few = (lambda df: F.broadcast(df)) if word.count() <= ENTRIES else (lambda df: df)
-    # no count up to DISCOUNT departs by more than the discount, whatever the share
-    pair = pair.where(F.col("n0") + F.col("n1") > DISCOUNT)
-    pair = pair.select("*", F.split_part("entry", F.lit(" "), F.lit(1)).alias("a"), F.split_part("entry", F.lit(" "), F.lit(2)).alias("b"))
-    pair = pair.join(few(word.select(F.col("entry").alias("a"), "share")), "a", "left").join(few(word.select(F.col("entry").alias("b"))), "b", "left_anti")
-    pair = pair.select("entry", odds_column(F.col("n0"), F.col("n1"), F.coalesce("share", F.lit(share))).alias("odds")).where("odds <> 0")
-    return written(word.select("entry", "odds").unionAll(pair), "toxic_odds")
+def counts_table(counts: DataFrame) -> DataFrame:
+    """(kind, a, b, n0, n1, k): for each word b its counts and the number of distinct words before it; for each word a the counts of all
+    pairs that it begins; and each pair a b that may keep a count. One pass over the counts: conditions stand within aggregates, since
+    a filter on the entry would be moved before the counting and make Spark count once for each kind."""
+    pair = F.instr("entry", " ") > 0
+    rows = counts.select("n0", "n1", F.when(pair, F.substring_index("entry", " ", 1)).alias("a"), F.substring_index("entry", " ", -1).alias("b"))
+    alone, both = F.col("a").isNull(), F.greatest("n0", "n1")
+    word = rows.groupBy("b").agg(*[F.coalesce(F.max(F.when(alone, F.col(c))), F.lit(0.0)).alias(c) for c in ("n0", "n1")], F.count("a").alias("k"))
+    history = rows.groupBy("a").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    # no count up to DISCOUNT is kept, whatever is expected
+    pairs = rows.where(F.when(alone, 0.0).otherwise(both) > DISCOUNT)
+    none = F.lit(None)
+    return (
+        word.select(F.lit("word").alias("kind"), none.cast("string").alias("a"), "b", "n0", "n1", "k")
+        .unionAll(history.select(F.lit("history").alias("kind"), "a", none.cast("string").alias("b"), "n0", "n1", none.cast("long").alias("k")))
+        .unionAll(pairs.select(F.lit("pair").alias("kind"), "a", "b", "n0", "n1", none.cast("long").alias("k")))
+    )
+
+
+def differences(counts: DataFrame) -> tuple[DataFrame, float]:
+    """(entry, odds) of each expression that adds to the log of P_toxic / P_ordinary, and what every word has; of counts_table's rows."""
+    word = counts.where("kind = 'word'").select("b", "n0", "n1", "k")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in ("n0", "n1", "k")]
+    t = word.agg(*sums, F.count(F.lit(1)).alias("v"), F.count_if(F.col("k") > 0).alias("after"), *[F.count_if(F.col("k") == i).alias(f"f{i}") for i in (1, 2)]).first()
+    share = (t.n1 + 1.0) / (t.n0 + t.n1 + 2.0)
+    d = t.f1 / (t.f1 + 2.0 * t.f2) if t.f1 else 0.5
+    flat = d * t.after / t.k / (t.v + 1) if t.k else 1.0 / (t.v + 1)
+    shared = F.greatest(F.lit(0.0), F.col("k") - F.lit(d)) / F.lit(t.k or 1.0) + F.lit(flat)
+    total = F.col("n0") + F.col("n1")
+    word = word.withColumns({"kept0": _kept(F.col("n0"), total * (1 - share)), "kept1": _kept(F.col("n1"), total * share)})
+    kept = word.agg(*[F.coalesce(F.sum(f"kept{c}"), F.lit(0.0)) for c in (0, 1)]).first()
+    left = [1 - kept[c] / (t[f"n{c}"] or 1.0) for c in (0, 1)]
+    word = word.select("b", "kept0", "kept1", *[(F.col(f"kept{c}") / F.lit(t[f"n{c}"] or 1.0) + F.lit(left[c]) * shared).alias(f"p{c}") for c in (0, 1)])
+    base = math.log(left[1] / left[0])
+    apart = word.where("kept0 > 0 OR kept1 > 0").select(F.col("b").alias("entry"), (F.log(F.col("p1") / F.col("p0")) - F.lit(base)).alias("odds"))
+
+    pair = counts.where("kind = 'pair'").select("a", "b", "n0", "n1")
+    history = counts.where("kind = 'history' AND a IS NOT NULL").select("a", F.col("n0").alias("h0"), F.col("n1").alias("h1"))
+    pair = pair.join(word.select("b", "p0", "p1"), "b").join(history, "a")
+    expected1 = F.col("h1") * F.col("p1") / (F.col("h0") * F.col("p0") + F.col("h1") * F.col("p1"))
+    pair = pair.withColumns({"kept0": _kept(F.col("n0"), (F.col("n0") + F.col("n1")) * (1 - expected1)), "kept1": _kept(F.col("n1"), (F.col("n0") + F.col("n1")) * expected1)})
+    pair = written(pair.where("kept0 > 0 OR kept1 > 0"), "toxic_pairs")
+    spent = pair.groupBy("a").agg(*[(1 - F.sum(F.when(F.col(f"h{c}") > 0, F.col(f"kept{c}") / F.col(f"h{c}")).otherwise(0.0))).alias(f"g{c}") for c in (0, 1)])
+    after = F.log(F.col("g1") / F.col("g0"))
+    heads = spent.select(F.concat("a", F.lit(" ")).alias("entry"), after.alias("odds"))
+    now = [F.when(F.col(f"h{c}") > 0, F.col(f"kept{c}") / F.col(f"h{c}")).otherwise(0.0) + F.col(f"g{c}") * F.col(f"p{c}") for c in (0, 1)]
+    # less what its word and its history add on their own
+    beside = pair.join(spent, "a").select(F.concat_ws(" ", "a", "b").alias("entry"), (F.log(now[1] / now[0]) - after - F.log(F.col("p1") / F.col("p0"))).alias("odds"))
+    return written(apart.unionAll(heads).unionAll(beside), "toxic_odds"), base
 
 
 def fit(docs: DataFrame, labels: DataFrame, allowed=None) -> Model:
@@ -215,23 +245,26 @@ def fit(docs: DataFrame, labels: DataFrame, allowed=None) -> Model:
     parts = [rows.where((F.col("y") == c) & (F.col("turn") == 0)).orderBy(order, "doc_id").limit(SAMPLE // CALIBRATE) for c in (0, 1)]
     out = written(parts[0].unionAll(parts[1]), "toxic_left_out")
     counted = written(rows.join(F.broadcast(out.select("key", "y")), ["key", "y"], "left_anti"), "toxic_counted")
-    model = Model(odds_table(_count(docs, counted, False), _count(docs, counted, True)))
+    model = Model(*differences(written(counts_table(_count(docs, counted)), "toxic_counts")))
     # at most 2 * SAMPLE / CALIBRATE rows
     texts = _keyed(docs).join(F.broadcast(out.select("key", "y")), "key").dropDuplicates(["key", "y"])
-    held = with_evidence(texts, model).select("y", "evidence").toPandas()
+    held = with_evidence(texts.select("text", "y"), model).select("y", "evidence").toPandas()
     model.calibrate(held["evidence"].to_numpy(float), held["y"].to_numpy(float))
     return model
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the columns toxic_score and toxic (score of at least 0.5)."""
-    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("evidence") * model.slope + model.shift))
-    out = with_evidence(docs, model).withColumn("toxic_score", 1 / (1 + F.exp(-z))).drop("evidence")
-    return out.withColumn("toxic", F.when(F.col("toxic_score") >= 0.5, 1).otherwise(0))
+def scored(docs: DataFrame, model: Model, score: str = "toxic_score", toxic: str = "toxic") -> DataFrame:
+    """docs with two more columns, the score and whether it is at least 0.5; columns of docs that have their names give way."""
+    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("__evidence") * model.slope + model.shift))
+    out = with_evidence(docs, model, "__evidence").withColumn(score, 1 / (1 + F.exp(-z))).drop("__evidence")
+    return out.withColumn(toxic, F.when(F.col(score) >= 0.5, 1).otherwise(0))
 
 
 def classified(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs; labels are learned from rows with crc32(doc_id) mod 5 <> 0."""
+    """doc_id, held_out, score, predicted for every row of docs; labels are learned from rows with crc32(doc_id) mod 5 <> 0.
+
+    Null and empty texts have no words and evidence 0; a null id is not held out and has no label; repeated rows score alike, and count
+    once; other columns are not read, whatever their names; an empty table gives no rows."""
     model = fit(docs, labels, doc_crc() % 5 != 0)
     out = scored(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", (doc_crc() % 5 == 0).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic").alias("predicted"))
+    return out.select("doc_id", F.coalesce(doc_crc() % 5 == 0, F.lit(False)).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic").alias("predicted"))

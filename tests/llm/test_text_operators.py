@@ -146,9 +146,91 @@ def test_without_labels_every_text_is_alike(taught):
     assert toxicity.classified(df.limit(0), labels).collect() == quality.classified(df.limit(0), labels).collect() == []
 
 
-def test_log_odds_need_evidence():
-    assert toxicity.log_odds((1, 0), 0.1) == toxicity.log_odds((0, 1), 0.1) == 0.0
-    assert toxicity.log_odds((0, 100), 0.1) > 1 and toxicity.log_odds((1000, 0), 0.5) < -1
+def brute_models(texts, y):
+    """P(c, word, history) of the docstring's formulas, and the vocabulary. None as a word is an unknown one."""
+    from collections import Counter
+
+    uni, bi = [Counter(), Counter()], [Counter(), Counter()]
+    for t, c in {(t, c) for t, c in zip(texts, y)}:
+        w = toxicity.words(t)
+        uni[c].update(set(w))
+        bi[c].update(set(zip(w, w[1:])))
+    n = [sum(u.values()) for u in uni]
+    share = (n[1] + 1) / (sum(n) + 2)
+    vocabulary, k = set(uni[0]) | set(uni[1]), Counter(b for _, b in set(bi[0]) | set(bi[1]))
+    f = Counter(k.values())
+    d = f[1] / (f[1] + 2 * f[2]) if f[1] else 0.5
+    total = sum(k.values())
+    shared = lambda w: max(0, k[w] - d) / total + d * len(k) / total / (len(vocabulary) + 1)
+    kept = lambda m, e: max(0.0, m - e - toxicity.DISCOUNT * (e + 1) ** 0.5)
+    a1 = [{w: kept(uni[c][w], (uni[0][w] + uni[1][w]) * (share if c else 1 - share)) for w in vocabulary} for c in (0, 1)]
+    single = lambda c, w: a1[c].get(w, 0) / n[c] + (1 - sum(a1[c].values()) / n[c]) * shared(w)
+    h = [Counter(), Counter()]
+    for c in (0, 1):
+        for (a, _), m in bi[c].items():
+            h[c][a] += m
+    a2 = [{}, {}]
+    for a, b in set(bi[0]) | set(bi[1]):
+        m, p = [bi[c][a, b] for c in (0, 1)], [h[c][a] * single(c, b) for c in (0, 1)]
+        for c in (0, 1):
+            if kept(m[c], sum(m) * p[c] / sum(p)) > 0:
+                a2[c].setdefault(a, {})[b] = kept(m[c], sum(m) * p[c] / sum(p))
+
+    def probability(c, w, before=None):
+        own = a2[c].get(before, {})
+        return single(c, w) if not own else own.get(w, 0) / h[c][before] + (1 - sum(own.values()) / h[c][before]) * single(c, w)
+
+    return probability, vocabulary, a2
+
+
+def test_both_models_sum_to_one_and_give_the_evidence(spark, docs):
+    rng = random.Random(23)
+    names = [f"{a}{b}" for a in ("ka", "lo", "mi", "nu", "pe", "ri") for b in ("", "s", "t")]
+
+    def text(bad):
+        w = [rng.choice(names) for _ in range(25)]
+        if bad:
+            w[rng.randrange(20)] = "vile"
+            w[22:24] = ["grim", "tide"]  # toxic only together
+        elif rng.random() < 0.5:
+            w[20:24] = ["grim", "ka", "high", "tide"]
+        return " ".join(w)
+
+    y = [i % 4 == 0 for i in range(600)]
+    texts = [text(t) for t in y]
+    df = docs(texts)
+    labels = spark.createDataFrame([(i, 1, int(t)) for i, t in enumerate(y)], "doc_id long, quality int, toxic int")
+    rows = toxicity.labelled(df, labels, "toxic", toxicity.F.lit(True))
+    table, base = toxicity.differences(toxicity.written(toxicity.counts_table(toxicity._count(df, rows)), "t"))
+    model = toxicity.Model(table, base)
+    p, vocabulary, pairs = brute_models(texts, map(int, y))
+    assert "tide" in pairs[1]["grim"]
+    for c in (0, 1):
+        for before in (None, "ka", "grim", "vile", "high", "never"):
+            assert abs(sum(p(c, w, before) for w in [*vocabulary, None]) - 1) < 1e-9
+    for t in [*texts[:40], "grim tide", "high tide, grim ka", "an unknown vile", "", None]:
+        w = toxicity.words(t)
+        expect = sum(np.log(p(1, b if b in vocabulary else None, a) / p(0, b if b in vocabulary else None, a)) for a, b in zip([None, *w], w)) / (len(w) + toxicity.PRIOR_WORDS)
+        assert abs(toxicity.evidence(t, model.odds, base) - expect) < 1e-9
+    assert toxicity.evidence("grim tide", model.odds, base) > toxicity.evidence("high tide", model.odds, base)
+
+
+def test_counting_reads_texts_once(spark, docs):
+    df = docs(["a b c"] * 3)
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(3)], "doc_id long, quality int, toxic int")
+    counts = toxicity.counts_table(toxicity._count(df, toxicity.written(toxicity.labelled(df, labels, "toxic", toxicity.F.lit(True)), "rows")))
+    counts.collect()
+    plan = counts._jdf.queryExecution().executedPlan().toString()
+    plan = plan[plan.index("Final Plan") : plan.index("Initial Plan")] if "Initial Plan" in plan else plan
+    assert plan.count("MapInPandas") == 1
+
+
+def test_toxicity_of_odd_rows(taught, docs):
+    df, labels, y = taught
+    odd = df.selectExpr("*", "'mine' AS toxic", "1 AS evidence", "2 AS toxic_score", "3 AS y", "4 AS key").unionAll(docs(["grob vile muck " * 30_000, "x", "x"], [None, 7000, 7000]).selectExpr("*", "'mine'", "1", "2", "3", "4"))
+    rows = toxicity.classified(odd, labels).collect()
+    assert len(rows) == 406 and all(isinstance(r.held_out, bool) for r in rows)
+    assert [r.predicted for r in rows if r.doc_id is None] == [1] and len({r.score for r in rows if r.doc_id == 7000}) == 1
 
 
 def test_quality_held_out(spark, docs):
@@ -254,8 +336,7 @@ def test_toxicity_counts_every_labelled_row(spark, docs, monkeypatch):
     labels = spark.createDataFrame([(i, 1, int(t)) for i, t in enumerate(y)] + [(300, 1, 1)], "doc_id long, quality int, toxic int")
     monkeypatch.setattr(toxicity, "SAMPLE", 40)  # 10 of each class are left out
     model = toxicity.fit(df, labels)
-    expect = toxicity.log_odds((0, 90), _share(texts, y, model))
-    assert abs(model.odds["grob"] - expect) < 0.05
+    assert model.odds["grob"] > 0.9 and len(model.odds) < 20
     whole = {r.doc_id: r.toxic_score for r in toxicity.scored(df, model).collect()}
     assert all(abs(whole[i] - model.score(t)) < 1e-12 for i, t in enumerate(texts))
     monkeypatch.setattr(toxicity, "ENTRIES", 0)  # joined, not sent
@@ -264,11 +345,6 @@ def test_toxicity_counts_every_labelled_row(spark, docs, monkeypatch):
     assert all(abs(r.toxic_score - whole[r.doc_id]) < 1e-9 for r in toxicity.scored(df, joined).collect())
 
 
-def _share(texts, y, model):
-    n = [sum(len(set(toxicity.words(t))) for t, c in zip(texts, y) if c == k) for k in (False, True)]
-    return n[1] * 0.9 / (n[0] * 0.95 + n[1] * 0.9)
-
-
 def test_decontamination_keeps_a_verbatim_run_beside_a_changed_filling(spark, docs):
     rng = random.Random(31)
     words = _prose(rng, 60).split()
