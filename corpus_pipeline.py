@@ -6,13 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.llm import decontam, packing, pii, simhash, toxicity
-from plumbline.llm.common import read, written
+from plumbline.llm.common import read, remove, scratch, shared_dir, written_at
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under 0.5, by a model of the labelled documents among docs; null and empty texts stay."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model).where("toxic = 0").select(*docs.columns)
+    return toxicity.scored(docs, model, "__score", "__toxic").where("__toxic = 0").select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage wrote on its way goes once its own table is written, and that once the next one's is."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        path = shared_dir(spark)
+        with scratch():
+            docs = written_at(stage(spark, docs, sf_dir), f"{path}/{name.replace(' ', '_')}")
+        if before:
+            remove([before])
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
