@@ -41,6 +41,8 @@ SAMPLE = 4000
 CALIBRATE = 4
 #: Expressions with a difference that are sent to the tasks at most.
 ENTRIES = 1_000_000
+#: Labelled rows whose keys, some 40 bytes each, are sent to where the texts are; where there are more, texts are dealt by key.
+KEYS = 4_000_000
 #: Distinct expressions that a task holds before it passes them on.
 HELD = 100_000
 #: Times the square root of one more than the expected count.
@@ -180,7 +182,8 @@ def _count(docs: DataFrame, picked: DataFrame) -> DataFrame:
         if held:
             yield told(held)
 
-    texts = _keyed(docs).join(picked.select("key", "y", "rows"), "key").select("text", "y", "rows")
+    keys = picked.select("key", "y", "rows")
+    texts = _keyed(docs).join(F.broadcast(keys) if picked.count() <= KEYS else keys, "key").select("text", "y", "rows")
     seen = texts.mapInPandas(task, "y int, entry string, n double")
     return seen.groupBy("entry").agg(*[F.round(F.sum(F.when(F.col("y") == c, F.col("n")).otherwise(0.0)), 3).alias(f"n{c}") for c in (0, 1)])
 
