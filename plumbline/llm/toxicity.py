@@ -44,7 +44,7 @@ ENTRIES = 1_000_000
 #: Labelled rows whose keys, some 40 bytes each, are sent to where the texts are; where there are more, texts are dealt by key.
 KEYS = 4_000_000
 #: Distinct expressions that a task holds before it passes them on.
-HELD = 100_000
+HELD = 200_000
 #: Times the square root of one more than the expected count.
 DISCOUNT = 3.0
 #: Words added to a text's length, so that a few words prove little.
@@ -163,19 +163,30 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _count(docs: DataFrame, picked: DataFrame) -> DataFrame:
-    """(entry, n0, n1): picked texts of the ordinary and of the toxic class that hold each word, and each pair."""
+    """(entry, n0, n1, h0, h1): picked texts of the ordinary and of the toxic class that hold each word, and each pair; for a word also
+    the sums of the pairs that it begins."""
 
-    def told(held: Counter):
-        y, entry = zip(*held)
-        return pd.DataFrame({"y": y, "entry": entry, "n": list(held.values())})
+    def told(held: dict):
+        order = sorted(held)  # neighbours are alike, so that what is shuffled packs better
+        return pd.DataFrame([[e, *held[e]] for e in order], columns=["entry", "n0", "n1", "h0", "h1"])
 
     def task(frames):
-        held: Counter = Counter()
+        held: dict[str, list[float]] = {}
+
+        def add(entry: str, at: int, weight: float):
+            sums = held.get(entry)
+            if sums is None:
+                sums = held[entry] = [0.0, 0.0, 0.0, 0.0]
+            sums[at] += weight
+
         for df in frames:
             for text, y, rows in zip(df["text"], df["y"], df["rows"]):
-                own = words(text)
-                for e in {*own, *map(" ".join, zip(own, own[1:]))}:
-                    held[y, e] += 1 / rows
+                own, weight = words(text), 1 / rows
+                for w in set(own):
+                    add(w, y, weight)
+                for a, b in set(zip(own, own[1:])):
+                    add(f"{a} {b}", y, weight)
+                    add(a, 2 + y, weight)
                 if len(held) > HELD:
                     yield told(held)
                     held.clear()
@@ -184,32 +195,28 @@ def _count(docs: DataFrame, picked: DataFrame) -> DataFrame:
 
     keys = picked.select("key", "y", "rows")
     texts = _keyed(docs).join(F.broadcast(keys) if picked.count() <= KEYS else keys, "key").select("text", "y", "rows")
-    seen = texts.mapInPandas(task, "y int, entry string, n double")
-    return seen.groupBy("entry").agg(*[F.round(F.sum(F.when(F.col("y") == c, F.col("n")).otherwise(0.0)), 3).alias(f"n{c}") for c in (0, 1)])
+    seen = texts.mapInPandas(task, "entry string, n0 double, n1 double, h0 double, h1 double")
+    return seen.groupBy("entry").agg(*[F.round(F.sum(c), 3).alias(c) for c in ("n0", "n1", "h0", "h1")])
 
 
 def counts_table(counts: DataFrame) -> DataFrame:
-    """(kind, a, b, n0, n1, k): for each word b its counts and the number of distinct words before it; for each word a the counts of all
-    pairs that it begins; and each pair a b that may keep a count. One pass over the counts: conditions stand within aggregates, since
-    a filter on the entry would be moved before the counting and make Spark count once for each kind."""
+    """(a, b, n0, n1, h0, h1, k): for each word b, with a null, its counts and the number of distinct words before it; and each pair a b
+    that may keep a count. One pass over the counts: conditions stand within aggregates, since a filter on the entry would be moved
+    before the counting and make Spark count twice."""
     pair = F.instr("entry", " ") > 0
-    rows = counts.select("n0", "n1", F.when(pair, F.substring_index("entry", " ", 1)).alias("a"), F.substring_index("entry", " ", -1).alias("b"))
-    alone, both = F.col("a").isNull(), F.greatest("n0", "n1")
-    word = rows.groupBy("b").agg(*[F.coalesce(F.max(F.when(alone, F.col(c))), F.lit(0.0)).alias(c) for c in ("n0", "n1")], F.count("a").alias("k"))
-    history = rows.groupBy("a").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    rows = counts.select("n0", "n1", "h0", "h1", F.when(pair, F.substring_index("entry", " ", 1)).alias("a"), F.substring_index("entry", " ", -1).alias("b"))
+    alone = F.col("a").isNull()
+    sums = ("n0", "n1", "h0", "h1")
+    word = rows.groupBy("b").agg(*[F.sum(F.when(alone, F.col(c)).otherwise(0.0)).alias(c) for c in sums], F.count("a").alias("k"))
     # no count up to DISCOUNT is kept, whatever is expected
-    pairs = rows.where(F.when(alone, 0.0).otherwise(both) > DISCOUNT)
+    pairs = rows.where(F.when(alone, 0.0).otherwise(F.greatest("n0", "n1") + 0 * (F.col("h0") + F.col("h1"))) > DISCOUNT)
     none = F.lit(None)
-    return (
-        word.select(F.lit("word").alias("kind"), none.cast("string").alias("a"), "b", "n0", "n1", "k")
-        .unionAll(history.select(F.lit("history").alias("kind"), "a", none.cast("string").alias("b"), "n0", "n1", none.cast("long").alias("k")))
-        .unionAll(pairs.select(F.lit("pair").alias("kind"), "a", "b", "n0", "n1", none.cast("long").alias("k")))
-    )
+    return word.select(none.cast("string").alias("a"), "b", *sums, "k").unionAll(pairs.select("a", "b", *sums, none.cast("long").alias("k")))
 
 
 def differences(counts: DataFrame) -> tuple[DataFrame, float]:
     """(entry, odds) of each expression that adds to the log of P_toxic / P_ordinary, and what every word has; of counts_table's rows."""
-    word = counts.where("kind = 'word'").select("b", "n0", "n1", "k")
+    word = counts.where("a IS NULL").select("b", "n0", "n1", "h0", "h1", "k")
     sums = [F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in ("n0", "n1", "k")]
     t = word.agg(*sums, F.count(F.lit(1)).alias("v"), F.count_if(F.col("k") > 0).alias("after"), *[F.count_if(F.col("k") == i).alias(f"f{i}") for i in (1, 2)]).first()
     share = (t.n1 + 1.0) / (t.n0 + t.n1 + 2.0)
@@ -220,13 +227,12 @@ def differences(counts: DataFrame) -> tuple[DataFrame, float]:
     word = word.withColumns({"kept0": _kept(F.col("n0"), total * (1 - share)), "kept1": _kept(F.col("n1"), total * share)})
     kept = word.agg(*[F.coalesce(F.sum(f"kept{c}"), F.lit(0.0)) for c in (0, 1)]).first()
     left = [1 - kept[c] / (t[f"n{c}"] or 1.0) for c in (0, 1)]
-    word = word.select("b", "kept0", "kept1", *[(F.col(f"kept{c}") / F.lit(t[f"n{c}"] or 1.0) + F.lit(left[c]) * shared).alias(f"p{c}") for c in (0, 1)])
+    word = word.select("b", "kept0", "kept1", "h0", "h1", *[(F.col(f"kept{c}") / F.lit(t[f"n{c}"] or 1.0) + F.lit(left[c]) * shared).alias(f"p{c}") for c in (0, 1)])
     base = math.log(left[1] / left[0])
     apart = word.where("kept0 > 0 OR kept1 > 0").select(F.col("b").alias("entry"), (F.log(F.col("p1") / F.col("p0")) - F.lit(base)).alias("odds"))
 
-    pair = counts.where("kind = 'pair'").select("a", "b", "n0", "n1")
-    history = counts.where("kind = 'history' AND a IS NOT NULL").select("a", F.col("n0").alias("h0"), F.col("n1").alias("h1"))
-    pair = pair.join(word.select("b", "p0", "p1"), "b").join(history, "a")
+    pair = counts.where("a IS NOT NULL").select("a", "b", "n0", "n1")
+    pair = pair.join(word.select("b", "p0", "p1"), "b").join(word.select(F.col("b").alias("a"), "h0", "h1"), "a")
     expected1 = F.col("h1") * F.col("p1") / (F.col("h0") * F.col("p0") + F.col("h1") * F.col("p1"))
     pair = pair.withColumns({"kept0": _kept(F.col("n0"), (F.col("n0") + F.col("n1")) * (1 - expected1)), "kept1": _kept(F.col("n1"), (F.col("n0") + F.col("n1")) * expected1)})
     pair = written(pair.where("kept0 > 0 OR kept1 > 0"), "toxic_pairs")
