@@ -1,44 +1,50 @@
 """Token ids of documents in binary files, each with a minimal perfect hash index from document key to place.
 
-File, all little-endian: magic ``PLTK``, uint32 version, uint32 bytes of an id (2 where every id fits, else 4), uint64 ids,
-uint64 index position; then the raw ids, documents in ascending doc_id order, each with its end id; then the index as an
-``npz`` of
+File, all little-endian: magic ``PLTK``, uint32 version, uint32 bytes of an id (2 where every id fits, else 4); then the raw ids,
+documents in ascending doc_id order, each with its end id; then the index, sections at places that the end of the file gives:
 
-* ``level_*``: bits of a minimal perfect hash of the distinct keys. In level k a key's position is its hash for that level
+* levels: bits of a minimal perfect hash of the distinct keys. In level k a key's position is its hash for that level
   modulo the level's size; keys alone at their position stay there, the others go on to the next level. A key's slot is the
-  number of set bits before its own in all levels;
-* ``fingerprint`` (uint32 of another hash, so that a strange key is refused), ``first`` (the key's first document in the
-  file) and ``count`` (documents that repeat the key) by slot;
-* ``doc_id``, ``null`` and ``start`` (ids before the document in this file) by document.
+  number of set bits before its own in all levels; ranks hold that number for each ``RANK`` bits;
+* slots: fingerprint (uint32 of another hash, so that a strange key is refused), count (documents that repeat the key) and first
+  (the key's first document in the file) by slot;
+* doc_id, null and start (ids before the document in this file) by document.
 
-Spark range-partitions the documents by (doc_id, hash of the text), so that a repeated id is cut too, and sorts within
+So a key costs a read of some bytes in each section, whatever the file's size. A file's first and last key stand in the manifest,
+of which the driver keeps a row for each file, ``MOST_FILES`` at most; a key's file is found by bisection.
+
+Spark range-partitions the documents by (doc_id, hash of the text, row), so that any repeats are cut too, and sorts within
 partitions; each task streams its ids to one file, written under an attempt's name and renamed, so a task that runs again
-leaves one whole file. The driver keeps a row for each file: the manifest.
+leaves one whole file.
 """
 
 from __future__ import annotations
 
-import io
 import os
 import struct
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import END_ID, TOKENIZER, shared_dir
 from .tokens import encoder
 
-HEAD = struct.Struct("<4sIIQQ")
-MAGIC, VERSION = b"PLTK", 1
+HEAD = struct.Struct("<4sII")
+MAGIC, VERSION = b"PLTK", 2
 GAMMA = 2
-#: UTF-8 bytes of text for each file.
-FILE_BYTES = 16 << 20
+RANK = 512
+#: UTF-8 bytes of text for each file, of which a document counts ``ROW_BYTES`` more, and files at most: beyond both, files grow.
+FILE_BYTES, ROW_BYTES, MOST_FILES = 32 << 20, 64, 1 << 16
 BLOCK = 4 << 20
+SLOT = np.dtype([("fingerprint", "<u4"), ("count", "<u4"), ("first", "<u8")])
+SECTIONS = ("levels", "ranks", "slots", "doc_id", "null", "start")
 
 
 def _mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -55,6 +61,7 @@ class PerfectHash:
 
     def __init__(self, levels: list[np.ndarray]):
         self.levels = levels
+        #: Set bits before each bit, over all levels before too.
         self.ranks = []
         before = 0
         for bits in levels:
@@ -112,7 +119,7 @@ def _write_file(batches: Iterator[pa.RecordBatch], folder: str, part: int, token
         if out is None:
             fs.create_dir(root, recursive=True)
             out = fs.open_output_stream(temporary)
-            out.write(HEAD.pack(MAGIC, VERSION, width, 0, 0))
+            out.write(HEAD.pack(MAGIC, VERSION, width))
         column = batch.column("doc_id")
         nulls.append(np.asarray(column.is_null()))
         ids.append(column.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -131,36 +138,56 @@ def _write_file(batches: Iterator[pa.RecordBatch], folder: str, part: int, token
     doc_id, null = np.concatenate(ids), np.concatenate(nulls)
     start = np.concatenate(([0], np.cumsum(np.array(counts, np.int64))))
     keys = as_keys(doc_id, null)
-    fresh = np.concatenate(([True], (keys[1:] != keys[:-1]) | (null[1:] != null[:-1])))
-    first = np.flatnonzero(fresh)
+    first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (null[1:] != null[:-1]))))
     distinct = np.unique(keys[first])
     mph = PerfectHash.build(distinct)
-    slot = mph.slots(keys[first])
-    by_slot = {n: np.zeros(len(distinct), t) for n, t in (("fingerprint", np.uint32), ("first", np.int64), ("count", np.int64))}
-    by_slot["fingerprint"][slot] = (_mix(keys[first], 99) >> np.uint64(32)).astype(np.uint32)
-    by_slot["first"][slot] = first
-    by_slot["count"][slot] = np.diff(np.concatenate((first, [len(keys)])))
-    index = io.BytesIO()
-    np.savez(index, doc_id=doc_id, null=null, start=start, **by_slot, **{f"level_{k}": b for k, b in enumerate(mph.levels)})
-    out.write(index.getvalue())
-    out.write(struct.pack("<QQ", total, HEAD.size + total * width))
+    slots = np.zeros(len(distinct), SLOT)
+    at = mph.slots(keys[first])
+    slots["fingerprint"][at] = (_mix(keys[first], 99) >> np.uint64(32)).astype(np.uint32)
+    slots["first"][at] = first
+    slots["count"][at] = np.diff(np.concatenate((first, [len(keys)])))
+    ranks = np.concatenate([np.append(r[:-1:RANK], r[-1]) for r in mph.ranks])
+    place, ends = HEAD.size + total * width, []
+    for section in (b"".join(x.tobytes() for x in mph.levels), ranks.astype("<i8").tobytes(), slots.tobytes(), doc_id.astype("<i8").tobytes(), null.tobytes(), start.astype("<i8").tobytes()):
+        ends.append((place, len(section)))
+        out.write(section)
+        place += len(section)
+    sizes = [8 * len(x) for x in mph.levels]
+    end = struct.pack(f"<{len(sizes)}Q", *sizes) + struct.pack("<12Q", *[x for e in ends for x in e])
+    out.write(end + struct.pack("<QQI", total, len(doc_id), len(sizes)))
     out.close()
     fs.move(temporary, final)
-    return pa.RecordBatch.from_pydict({"part": [part], "file": [f"{folder}/part-{part:06d}.ids"], "docs": [len(doc_id)], "ids": [total]}, schema=MANIFEST)
+    row = {"part": part, "file": f"{folder}/part-{part:06d}.ids", "docs": len(doc_id), "ids": total, "first": None if null[0] else int(doc_id[0]), "last": None if null[-1] else int(doc_id[-1])}
+    return pa.RecordBatch.from_pylist([row], schema=MANIFEST)
+
+
+MANIFEST = pa.schema([("part", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+
+
+class File(NamedTuple):
+    """A row of the manifest: file, documents, ids, ids in all files before, and the keys (0, 0) for null or (1, doc_id) at its ends."""
 
+    file: str
+    docs: int
+    ids: int
+    before: int
+    first: tuple[int, int]
+    last: tuple[int, int]
 
-MANIFEST = pa.schema([("part", pa.int64()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
 
+def _order(doc_id: int | None) -> tuple[int, int]:
+    return (0, 0) if doc_id is None else (1, doc_id)
 
-def write(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> list[tuple]:
-    """Writes the files and returns the manifest: (file, documents, ids, ids in all files before), in doc_id order.
 
-    Null ids come first; null texts are empty; repeated ids stand together; an empty table writes no file. Other columns of
-    docs are not read.
+def write(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> list[File]:
+    """Writes the files and returns the manifest, in doc_id order.
+
+    Null ids come first; null texts are empty; repeated ids stand together, in several files if need be; an empty table writes no file.
+    Other columns of docs are not read.
     """
     spark = docs.sparkSession
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(spark.sparkContext.defaultParallelism, size // FILE_BYTES + 1)
+    text, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    parts = max(spark.sparkContext.defaultParallelism, min(MOST_FILES, (text + ROW_BYTES * rows) // FILE_BYTES + 1))
 
     def task(batches):
         from pyspark import TaskContext
@@ -169,98 +196,150 @@ def write(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int
         if made is not None:
             yield made
 
-    rows = (
-        docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id"), F.xxhash64("text"))
-        .sortWithinPartitions("doc_id", F.xxhash64("text")).select("doc_id", "text")
-        .mapInArrow(task, "part long, file string, docs long, ids long").collect()
+    made = (
+        docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+        .repartitionByRange(parts, F.col("doc_id"), F.xxhash64("text"), F.col("row"))
+        .sortWithinPartitions("doc_id", F.xxhash64("text"), "row").select("doc_id", "text")
+        .mapInArrow(task, "part long, file string, docs long, ids long, first long, last long").collect()
     )
     out, before = [], 0
-    for r in sorted(rows):
-        out.append((r.file, r.docs, r.ids, before))
+    for r in sorted(made, key=lambda r: r.part):
+        out.append(File(r.file, r.docs, r.ids, before, _order(r["first"]), _order(r["last"])))
         before += r.ids
     return out
 
 
 class Reader:
-    """Keyed access to one file."""
+    """Keyed access to one file. Sections are read in part for one key and whole for many."""
 
-    def __init__(self, file: str, fs=None):
-        if fs is None:
-            fs, file = _fs(file)
-        self.source = fs.open_input_file(file)
-        magic, version, self.width, _, _ = HEAD.unpack(self.source.read_at(HEAD.size, 0))
+    def __init__(self, file: str):
+        fs, path = _fs(file)
+        self.file, self.source = file, fs.open_input_file(path)
+        magic, version, self.width = HEAD.unpack(self.source.read_at(HEAD.size, 0))
         if magic != MAGIC or version != VERSION:
             raise ValueError(f"{file} is not a token id file")
         size = self.source.size()
-        self.ids, at = struct.unpack("<QQ", self.source.read_at(16, size - 16))
-        index = np.load(io.BytesIO(self.source.read_at(size - 16 - at, at)))
-        self.doc_id, self.null, self.start, self.fingerprint, self.first, self.count = (index[n] for n in ("doc_id", "null", "start", "fingerprint", "first", "count"))
-        self.hash = PerfectHash([index[f"level_{k}"] for k in range(sum(n.startswith("level_") for n in index.files))])
+        self.ids, self.docs, n = struct.unpack("<QQI", self.source.read_at(20, size - 20))
+        end = self.source.read_at(8 * n + 96, size - 116 - 8 * n)
+        self.sizes = struct.unpack(f"<{n}Q", end[: 8 * n])
+        places = struct.unpack("<12Q", end[8 * n :])
+        self.places = dict(zip(SECTIONS, zip(places[::2], places[1::2])))
+        self._whole: dict[str, np.ndarray] = {}
+
+    def _part(self, section: str, at: int, n: int) -> bytes:
+        return self.source.read_at(n, self.places[section][0] + at)
+
+    def section(self, name: str) -> np.ndarray:
+        if name not in self._whole:
+            kind = {"levels": np.uint8, "ranks": "<i8", "slots": SLOT, "doc_id": "<i8", "null": np.bool_, "start": "<i8"}[name]
+            self._whole[name] = np.frombuffer(self._part(name, 0, self.places[name][1]), kind)
+        return self._whole[name]
+
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
+        """The ids of each document of that key, by a few short reads."""
+        key = as_keys(np.array([doc_id or 0], np.int64), np.array([doc_id is None]))
+        level, rank = 0, 0
+        for k, size in enumerate(self.sizes):
+            at = int(_mix(key, k)[0] % np.uint64(size))
+            block = at // RANK
+            bits = int.from_bytes(self._part("levels", (level + block * RANK) // 8, min(RANK, size - block * RANK) // 8), "little")
+            if bits >> at % RANK & 1:
+                before = struct.unpack("<q", self._part("ranks", 8 * (rank + block), 8))[0]
+                slot = before + (bits & ((1 << at % RANK) - 1)).bit_count()
+                found = np.frombuffer(self._part("slots", slot * SLOT.itemsize, SLOT.itemsize), SLOT)[0]
+                first, count = int(found["first"]), int(found["count"])
+                own, null = struct.unpack("<q", self._part("doc_id", 8 * first, 8))[0], self._part("null", first, 1) != b"\0"
+                if found["fingerprint"] != _mix(key, 99)[0] >> np.uint64(32) or null != (doc_id is None) or own != (doc_id or 0):
+                    return []
+                start = np.frombuffer(self._part("start", 8 * first, 8 * (count + 1)), "<i8")
+                return self._payloads(start)
+            level, rank = level + size, rank + -(-size // RANK) + 1
+        return []
 
     def find(self, ids: np.ndarray, null: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First document and number of documents of each key; 0 documents for a key that the file lacks."""
+        if "hash" not in self.__dict__:
+            cuts = np.cumsum((0, *self.sizes)) // 8
+            self.hash = PerfectHash([self.section("levels")[a:b] for a, b in zip(cuts, cuts[1:])])
         keys = as_keys(ids, null)
         slot = self.hash.slots(keys)
-        ok = (slot >= 0) & (self.fingerprint[slot] == (_mix(keys, 99) >> np.uint64(32)).astype(np.uint32))
-        first = self.first[slot]
-        ok &= (self.doc_id[first] == np.where(null, 0, ids)) & (self.null[first] == null)
-        return np.where(ok, first, -1), np.where(ok, self.count[slot], 0)
-
-    def payload(self, document: int) -> np.ndarray:
-        a, b = int(self.start[document]), int(self.start[document + 1])
-        return np.frombuffer(self.source.read_at((b - a) * self.width, HEAD.size + a * self.width), f"<u{self.width}")
-
-    def documents(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
-        """Document numbers in keyed order of lookup, with ids read in blocks of about ``BLOCK`` bytes."""
-        n, a = len(self.doc_id), 0
-        while a < n:
-            b = max(a + 1, int(np.searchsorted(self.start, self.start[a] + BLOCK // self.width, "right")) - 1)
-            at, to = int(self.start[a]), int(self.start[b])
-            block = np.frombuffer(self.source.read_at((to - at) * self.width, HEAD.size + at * self.width), f"<u{self.width}")
-            cuts = self.start[a : b + 1] - at
-            yield self.doc_id[a:b], self.null[a:b], self.start[a:b], np.diff(cuts), [block[cuts[i] : cuts[i + 1]] for i in range(b - a)]
+        found = self.section("slots")[slot]
+        first = found["first"].astype(np.int64)
+        ok = (slot >= 0) & (found["fingerprint"] == (_mix(keys, 99) >> np.uint64(32)).astype(np.uint32))
+        ok &= (self.section("doc_id")[first] == np.where(null, 0, ids)) & (self.section("null")[first] == null)
+        return np.where(ok, first, -1), np.where(ok, found["count"], 0).astype(np.int64)
+
+    def _payloads(self, start: np.ndarray) -> list[np.ndarray]:
+        at, to = int(start[0]), int(start[-1])
+        block = np.frombuffer(self.source.read_at((to - at) * self.width, HEAD.size + at * self.width), f"<u{self.width}")
+        return [block[a - at : b - at] for a, b in zip(start.tolist(), start[1:].tolist())]
+
+    def payloads(self, documents: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(document, ids) of ascending documents; neighbours are read at once, about ``BLOCK`` bytes of them."""
+        start, a = self.section("start"), 0
+        apart = np.append(np.flatnonzero(np.diff(documents) != 1) + 1, len(documents))
+        while a < len(documents):
+            end = int(apart[np.searchsorted(apart, a, "right")])
+            reach = int(np.searchsorted(start, start[documents[a]] + BLOCK // self.width, "right")) - 1
+            b = min(end, max(a + 1, a + reach - int(documents[a])))
+            yield from zip(documents[a:b].tolist(), self._payloads(start[documents[a] : documents[b - 1] + 2]))
             a = b
 
 
-def read_back(spark: SparkSession, manifest: list[tuple]) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as uint32), from the files alone.
-    Every key is looked up in its file's index on the way; a key that it doesn't find there ends the query."""
-    schema = "file string, docs long, ids long, before long"
-    files = spark.createDataFrame(manifest, schema)
-    if manifest:
-        files = files.repartition(min(len(manifest), 4096), "file")
+def fetch(keys: DataFrame, manifest: list[File], key: str = "doc_id") -> DataFrame:
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (of the ids as uint32): a row for each document of each of
+    keys, found through its file's index. Keys that no file has give no row; repeated keys count once."""
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
+    spark = keys.sparkSession
+    if not manifest:
+        return spark.createDataFrame([], schema)
+    firsts, lasts = [f.first for f in manifest], [f.last for f in manifest]
 
-    def task(batches):
+    def routed(batches):
         for batch in batches:
-            for file, before in zip(batch.column("file").to_pylist(), batch.column("before").to_pylist()):
-                reader = Reader(file)
-                first, count = reader.find(reader.doc_id, reader.null)
-                if not (count > 0).all() or (np.unique(first).size and count[np.unique(first, return_index=True)[1]].sum() != len(first)):
-                    raise ValueError(f"{file}: its index doesn't find its documents")
-                for doc_id, null, start, n, ids in reader.documents():
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(doc_id, pa.int64(), mask=null),
-                            pa.array(start + before, pa.int64()),
-                            pa.array(n, pa.int64()),
-                            pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
-                        ],
-                        names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                    )
-
-    return files.mapInArrow(task, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
-def lookup(manifest: list[tuple], doc_id: int) -> list[np.ndarray]:
-    """The ids of each document with that key: files are opened until one holds it, those after it while they do."""
-    out = []
-    for file, *_ in manifest:
-        reader = Reader(file)
-        first, count = reader.find(np.array([doc_id]), np.array([False]))
-        out += [reader.payload(int(first[0]) + i) for i in range(int(count[0]))]
-    return out
+            ids = batch.column(0).to_pylist()
+            spans = [(bisect_left(lasts, k), bisect_right(firsts, k)) for k in map(_order, ids)]
+            rows = [(f, i) for i, (a, b) in zip(ids, spans) for f in range(a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64())], names=["file", "doc_id"])
+
+    def answered(batches):
+        reader, at = None, -1
+        for batch in batches:
+            files, ids = batch.column("file").to_numpy(zero_copy_only=False), batch.column("doc_id")
+            null = np.asarray(ids.is_null())
+            ids = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for f in np.unique(files).tolist():
+                if f != at:
+                    reader, at = Reader(manifest[f].file), f
+                mine = files == f
+                first, count = reader.find(ids[mine], null[mine])
+                first, count = first[count > 0], count[count > 0]
+                order = np.argsort(first, kind="stable")
+                documents = np.repeat(first[order], count[order]) + np.concatenate([np.arange(c) for c in count[order]] or [np.zeros(0, np.int64)])
+                rows = [(d, len(x), zlib.crc32(x.astype("<u4").tobytes())) for d, x in reader.payloads(documents)]
+                d = np.array([r[0] for r in rows], np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(reader.section("doc_id")[d], pa.int64(), mask=np.array(reader.section("null")[d])),
+                        pa.array(reader.section("start")[d] + manifest[f].before, pa.int64()),
+                        pa.array([r[1] for r in rows], pa.int64()),
+                        pa.array([r[2] for r in rows], pa.int64()),
+                    ],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
+                )
+
+    sent = keys.select(F.col(key).cast("long").alias("doc_id")).distinct().mapInArrow(routed, "file int, doc_id long")
+    return sent.repartition(min(len(manifest), 4096), "file").sortWithinPartitions("file", "doc_id").mapInArrow(answered, schema)
+
+
+def lookup(manifest: list[File], doc_id: int | None) -> list[np.ndarray]:
+    """The ids of each document with that key, in constant time but for the bisection: one file, or the neighbours that its repeats fill."""
+    k = _order(doc_id)
+    a, b = bisect_left(manifest, k, key=lambda f: f.last), bisect_right(manifest, k, key=lambda f: f.first)
+    return [x for f in manifest[a:b] for x in Reader(f.file).get(doc_id)]
 
 
 def round_trip(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = END_ID) -> DataFrame:
+    """Writes the documents and reads every one back by its key."""
     folder = f"{shared_dir(docs.sparkSession)}/ids"
-    return read_back(docs.sparkSession, write(docs, folder, tokenizer, end_id))
+    return fetch(docs.select("doc_id"), write(docs, folder, tokenizer, end_id))

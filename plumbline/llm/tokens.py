@@ -7,11 +7,13 @@ where the tokenizer's own pattern begins a new word, since no merge crosses word
 * within a piece of plain characters (tab, line ends, ASCII and Latin-1 letters), at each match of that pattern (``_WORD``,
   written out for those characters); such a word goes straight to the library's model, in the model's alphabet of bytes.
 
-Pieces with other characters, and texts with a special token's string, are not cut further; the whole tokenizer encodes them.
+Pieces with other characters, and texts with a special token's string, are not cut further; the whole tokenizer encodes them. So
+it does with all texts where the tokenizer's file asks for anything but that pattern over a plain byte-level model.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -50,6 +52,19 @@ class _Kept(dict):
         return out
 
 
+def cuttable(spec: dict) -> bool:
+    """Whether a tokenizer file's words are those of ``_WORD``: byte-level with its own pattern, nothing before or after it, no token
+    added but of the form <|...|>, and a model whose merges are all that acts within a word."""
+    before, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    plain = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    return (
+        before.get("type") == "ByteLevel" and bool(before.get("use_regex", True)) and not before.get("add_prefix_space")
+        and not any(spec.get(k) for k in ("normalizer", "post_processor", "truncation", "padding"))
+        and all("<|" in t["content"] and not t.get("lstrip") and not t.get("rstrip") for t in spec.get("added_tokens") or [])
+        and model.get("type") == "BPE" and not any(model.get(k) for k in plain)
+    )
+
+
 class Encoder:
     """Ids of whole texts as little-endian uint32 bytes, the end id last."""
 
@@ -58,6 +73,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
+        self.cuts = cuttable(json.loads(self.tokenizer.to_str()))
         self.end = array("I", [end_id]).tobytes()
         self.model, self.alphabet = self.tokenizer.model, _alphabet()
         self.words = _Kept(KEPT_WORDS, self._word)
@@ -81,7 +97,7 @@ class Encoder:
         """A null text counts as an empty one: the end id alone."""
         if not text:
             return self.end
-        if "<|" in text:
+        if not self.cuts or "<|" in text:
             return self._whole(text) + self.end
         if not _PLAIN.fullmatch(text):
             first, *rest = _CUT.split(text)

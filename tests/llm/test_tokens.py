@@ -32,12 +32,15 @@ def test_generations(monkeypatch):
     assert [kept[k] for k in "abcabcab"] == [k.encode() for k in "abcabcab"]
 
 
-def test_files_round_trip(spark, docs, tmp_path):
+def test_files_round_trip(spark, docs, tmp_path, monkeypatch):
     texts = ["the quick brown fox", None, "", "été " * 500, "same", "same", "x"] + [f"doc {i} " * (i % 7) for i in range(200)]
     ids = [5, 900, -3, 17, 40, 40, None, *range(1000, 1200)]
     df = docs(texts, ids).repartition(5)
+    monkeypatch.setattr(tokenids, "FILE_BYTES", 3000)
+    df = df.selectExpr("*", "1 AS row", "2 AS file", "3 AS start")
     manifest = tokenids.write(df, str(tmp_path / "ids"))
-    got = tokenids.read_back(spark, manifest).collect()
+    assert len(manifest) > 4
+    got = tokenids.fetch(df, manifest).collect()
     order = sorted(zip(ids, texts), key=lambda p: (p[0] is not None, p[0] or 0))
     start, expect = 0, []
     for i, t in order:
@@ -46,8 +49,46 @@ def test_files_round_trip(spark, docs, tmp_path):
         start += len(x)
     assert sorted(map(tuple, got), key=str) == sorted(expect, key=str)
     assert [x.tolist() for x in tokenids.lookup(manifest, 17)] == [whole("été " * 500)]
-    assert len(tokenids.lookup(manifest, 40)) == 2 and tokenids.lookup(manifest, 41) == []
-    assert tokenids.read_back(spark, tokenids.write(df.limit(0), str(tmp_path / "none"))).collect() == []
+    for i, t in zip(ids[8:], texts[8:]):
+        if i is None or i >= 1000:
+            assert [x.tolist() for x in tokenids.lookup(manifest, i)] == [whole(t)]
+    assert [x.tolist() for x in tokenids.lookup(manifest, None)] == [whole("x")]
+    assert len(tokenids.lookup(manifest, 40)) == 2 and tokenids.lookup(manifest, 41) == [] == tokenids.lookup(manifest, 1 << 40)
+    some = spark.createDataFrame([(17,), (None,), (41,), (40,), (17,)], "k long")
+    assert sorted(r.doc_id or 0 for r in tokenids.fetch(some, manifest, "k").collect()) == [0, 17, 40, 40]
+    assert tokenids.round_trip(df.limit(0)).collect() == []
+
+
+def test_repeats_fill_several_files(spark, docs, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenids, "FILE_BYTES", 2000)
+    df = docs(["same text"] * 300 + ["other"], [7] * 300 + [8])
+    manifest = tokenids.write(df, str(tmp_path / "ids"))
+    assert len(manifest) > 3 and max(f.docs for f in manifest) < 250
+    assert len(tokenids.lookup(manifest, 7)) == 300 and len(tokenids.lookup(manifest, 8)) == 1
+    rows = sorted(r.start for r in tokenids.fetch(df, manifest).collect())
+    n = len(whole("same text"))
+    assert rows == [n * i for i in range(301)]
+
+
+def test_lookup_reads_a_few_bytes(docs, tmp_path):
+    manifest = tokenids.write(docs([f"text {i} " * 20 for i in range(3000)]).repartition(1), str(tmp_path / "ids"))
+    reader = tokenids.Reader(manifest[0].file)
+    read, real = [], reader.source
+
+    class Source:
+        def read_at(self, n, at):
+            read.append(n)
+            return real.read_at(n, at)
+
+    reader.source = Source()
+    assert len(reader.get(manifest[0].last[1])) == 1 and sum(read) < 2000
+
+
+def test_a_tokenizer_with_another_pattern_is_not_cut():
+    spec = tokens.json.loads(tokens.encoder().tokenizer.to_str())
+    assert tokens.cuttable(spec)
+    for key, value in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("added_tokens", [{"content": "foo"}])):
+        assert not tokens.cuttable(spec | {key: value})
 
 
 def test_perfect_hash():
