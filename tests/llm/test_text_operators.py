@@ -254,8 +254,11 @@ def test_additive_model_learns_an_interaction():
 
 def brute_template(text):
     text = text or ""
-    marked = re.sub(r"(^|[.!?:;|\n][\"')\]]*)(\s*)(?=[A-ZÀ-ÖØ-Þ])", lambda m: f"{m[1]}{m[2]} \u0001", text)
-    raw = [w for w in re.split(r"[^\w\u0001]+|_+", marked) if w]
+    up, low = "A-ZÀ-ÖØ-ÞÑ", "a-zß-öø-ÿ"
+    marked = re.sub(rf"(^|[.!?:;|\n][\"')\]]*)(\s*)(?=[{up}])", lambda m: f"{m[1]}{m[2]} \u0001", text)
+    marked = re.sub(r"(?<=[0-9])[\s.,:/]+(?=[0-9])", "\u0002", marked)
+    marked = re.sub(rf"(?<![^\W_])(?<!\u0001)([{up}][{low}][^\W_]*)[ -]+(?=[{up}][{low}])", lambda m: f"{m[1]}\u0002", marked)
+    raw = [w for w in re.split(r"[^\w\u0001\u0002]+|_+", marked) if w]
     out = []
     for i, w in enumerate(raw):
         if "0" <= w[0] <= "9":
@@ -270,30 +273,47 @@ def brute_template(text):
 
 
 def brute_contaminated(texts, items):
+    """(doc, item, windows, item windows, aligned)"""
     classes = {}
     for i, t in sorted(items.items()):
-        classes.setdefault(tuple(brute_template(t)[0]), i)
+        classes.setdefault(tuple(brute_template(t)[0]), []).append(i)
     out = set()
     for d, t in texts.items():
         raw, words = brute_template(t)
+        own = [w.lower().lstrip("\u0001") for w in raw]
         where = {}
         for a in range(len(words) - 4):
             where.setdefault(tuple(words[a : a + 5]), []).append(a)
-        for key, item in classes.items():
-            iraw, iw = list(key), brute_template(items[item])[1]
-            useful = [p for p in range(len(iw) - 4) if sum(w[0] != "<" for w in iw[p : p + 5]) >= 2]
+        for key, ids in classes.items():
+            iraw, iw = list(key), brute_template(items[ids[0]])[1]
+            if not iw:
+                continue
+            if len(iw) < 5:
+                low, n = [w.lower().lstrip("\u0001") for w in iraw], len(iw)
+                if own == low or (n > 2 and any(own[a : a + n] == low for a in range(len(own)))):
+                    out |= {(d, i, 1, 1, 1) for i in ids}
+                continue
+            plain = [p for p in range(len(iw) - 4) if sum(w[0] != "<" for w in iw[p : p + 5]) >= 2]
+            useful = plain or list(range(len(iw) - 4))
             lines = {}
-            for p in useful:
+            for p in range(len(iw) - 4):
                 for a in where.get(tuple(iw[p : p + 5]), ()):
-                    lines.setdefault(a - p, set()).add(p)
+                    same = all(iraw[q].lower() == raw[q + a - p].lower() for q in range(p, p + 5) if iw[q][0] == "<")
+                    if p in plain or same:
+                        lines.setdefault(a - p, {})[p] = same
             good = {}
             for shift, at in lines.items():
-                slots = {(iw[q], iraw[q].lower(), raw[q + shift].lower()) for p in at for q in range(p, p + 5) if iw[q][0] == "<"}
-                if len(slots) == len({s[:2] for s in slots}):
-                    good[shift] = at
+                strong = {p for p in at if p in useful}
+                slots = {(iw[q], iraw[q].lower(), raw[q + shift].lower()) for p in strong for q in range(p, p + 5) if iw[q][0] == "<"}
+                verbatim = {p for p, same in at.items() if same}
+                run = any(set(range(p, p + 9)) <= verbatim for p in verbatim)
+                consistent = len(slots) == len({s[:2] for s in slots})
+                held = (strong if consistent else set()) | (verbatim if run else set())
+                if held:
+                    good[shift] = held
             n = len(set().union(*good.values())) if good else 0
-            if n and (n >= 0.8 * len(useful) or max(map(len, good.values())) >= 9):
-                out.add((d, item, n, len(useful), max(map(len, good.values()))))
+            if n and (min(1, n / len(useful)) >= 0.8 or max(map(len, good.values())) >= 9):
+                out |= {(d, i, n, len(useful), max(map(len, good.values()))) for i in ids}
     return out
 
 
@@ -302,30 +322,33 @@ def test_decontamination_matches_brute_force(spark, docs):
     items = {
         1: "If Anna buys 12 apples for 3 euros and then Anna sells 12 apples to Bob, how much has she left?",
         2: " ".join(_prose(rng, 40).split()), 3: "too few words", 4: None, 7: "If Anna buys 12 apples for 3 euros and then Anna sells 12 apples to Bob, how much has she left?",
-        9: "the train goes 40 km in 2 hours over the long green bridge by the river",
+        9: "the train goes 40 km in 2 hours over the long green bridge by the river", 10: "zebra", 11: "we saw how John paid 12 dollars for the old blue bicycle",
+        12: "At 7 km 8 Oslo 9 m 10 Rome 11 ft", 13: "Übung macht den Meister",
     }
     same = items[1].replace("Anna", "Carl").replace("12", "55").replace("3 euros", "8 euros").replace("Bob", "Dora")
     broken = items[1].replace("12 apples to", "77 apples to").replace("then Anna", "then Zoe")
     texts = {
         0: _prose(rng, 30) + " . " + same + " " + _prose(rng, 20), 1: _prose(rng, 30) + ". " + broken, 2: "x " + items[2] + " y", 3: " ".join(items[2].split()[:13]), 4: " ".join(items[2].split()[:8]),
-        5: None, 6: "", 7: _prose(rng, 300), 8: items[9].replace("40", "90").replace("km", "miles").replace("2", "5"), 9: "12 12 12 12 12 12 12 12 12",
+        5: None, 6: "", 7: _prose(rng, 300), 8: items[9].replace("40", "90").replace("km", "miles").replace("2", "5"), 9: "12 12 12 12 12 12 12 12 12", 10: "these are too few words, alas",
+        11: "Zebra!", 12: "a zebra stood there", 13: "then we saw how Mary Jane Smith paid 1,250 dollars for the old blue bicycle", 14: "so: at 7 km 8 Oslo 9 m 10 Rome 11 ft.", 15: "so: at 7 km 8 Paris 9 m 10 Rome 12 ft.",
+        16: "ja, Übung macht den Meister",
     }
     bench = spark.createDataFrame([*items.items(), (None, items[2])], "item_id long, text string")
-    df = docs(list(texts.values()), list(texts)).selectExpr("*", "1 AS pos", "2 AS hash", "3 AS item_id")
+    df = docs(list(texts.values()), list(texts)).selectExpr("*", "1 AS pos", "2 AS hash", "3 AS item_id", "4 AS filter", "5 AS raw", "6 AS class_id")
     got = {(r.doc_id, r.item_id, r.windows, r.item_windows, r.aligned) for r in decontam.contaminated(df, bench).collect()}
     assert got == brute_contaminated(texts, {k: v for k, v in items.items()})
-    assert {g[:2] for g in got} == {(0, 1), (2, 2), (3, 2), (8, 9)}
-    assert sorted(r.doc_id for r in decontam.cleaned(df, bench).collect()) == [1, 4, 5, 6, 7, 9]
+    assert {g[:2] for g in got} == {(0, 1), (0, 7), (2, 2), (3, 2), (8, 9), (10, 3), (11, 10), (13, 11), (14, 12), (16, 13)}
+    assert sorted(r.doc_id for r in decontam.cleaned(df, bench).collect()) == [1, 4, 5, 6, 7, 9, 12, 15]
     assert decontam.contaminated(df.limit(0), bench).collect() == [] == decontam.contaminated(df, bench.limit(0)).collect()
 
 
-def test_benchmark_in_blocks_gives_the_same(spark, docs, monkeypatch):
+def test_a_full_filter_gives_the_same(spark, docs, monkeypatch):
     rng = random.Random(2)
-    texts = [_prose(rng, 60) for _ in range(20)]
-    bench = spark.createDataFrame([(i, t[:200]) for i, t in enumerate(texts)], "item_id long, text string")
+    texts = [_prose(rng, 60) for _ in range(20)] + ["only three words"]
+    bench = spark.createDataFrame([(i, t[:200]) for i, t in enumerate(texts)] + [(99, "only three words")], "item_id long, text string")
     whole = sorted(decontam.contaminated(docs(texts), bench).collect())
-    monkeypatch.setattr(decontam, "BLOCK", 100)
-    assert sorted(decontam.contaminated(docs(texts), bench).collect()) == whole != []
+    monkeypatch.setattr(decontam, "FILTER_WORDS", 1)
+    assert sorted(decontam.contaminated(docs(texts), bench).collect()) == whole and {r.item_id for r in whole} == {*range(21), 99}
 
 
 def test_toxicity_counts_every_labelled_row(spark, docs, monkeypatch):
