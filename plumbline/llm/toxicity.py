@@ -30,6 +30,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -44,7 +45,7 @@ ENTRIES = 1_000_000
 #: Labelled rows whose keys, some 40 bytes each, are sent to where the texts are; where there are more, texts are dealt by key.
 KEYS = 4_000_000
 #: Distinct expressions that a task holds before it passes them on.
-HELD = 200_000
+HELD = 60_000
 #: Times the square root of one more than the expected count.
 DISCOUNT = 3.0
 #: Words added to a text's length, so that a few words prove little.
@@ -163,60 +164,66 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _count(docs: DataFrame, picked: DataFrame) -> DataFrame:
-    """(entry, n0, n1, h0, h1): picked texts of the ordinary and of the toxic class that hold each word, and each pair; for a word also
-    the sums of the pairs that it begins."""
-
-    def told(held: dict):
-        order = sorted(held)  # neighbours are alike, so that what is shuffled packs better
-        return pd.DataFrame([[e, *held[e]] for e in order], columns=["entry", "n0", "n1", "h0", "h1"])
-
-    def task(frames):
-        held: dict[str, list[float]] = {}
+    """(entry, n): n holds how many picked texts of the ordinary class have an entry in its low 32 bits, of the toxic one above. Entries
+    are words, pairs, and for each word that begins pairs the word with a space after it, which counts its pairs."""
+
+    def told(held: tuple[Counter, Counter]) -> pa.RecordBatch:
+        sums = dict(held[0])
+        for entry, n in held[1].items():
+            sums[entry] = sums.get(entry, 0) + (n << 32)
+        for h in held:
+            h.clear()
+        return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(sums.values()), pa.int64())], names=["entry", "n"])
+
+    def task(batches):
+        held = Counter(), Counter()
+        for batch in batches:
+            for text, y in zip(batch.column("text"), batch.column("y").to_pylist()):
+                own = words(text.as_py())
+                pairs = set(zip(own, own[1:]))
+                held[y].update(set(own))
+                held[y].update(map(" ".join, pairs))
+                held[y].update([f"{a} " for a, _ in pairs])
+                if len(held[0]) + len(held[1]) > HELD:
+                    yield told(held)
+        yield told(held)
 
-        def add(entry: str, at: int, weight: float):
-            sums = held.get(entry)
-            if sums is None:
-                sums = held[entry] = [0.0, 0.0, 0.0, 0.0]
-            sums[at] += weight
+    picked = picked.select("key", "y", "rows")
+    few = picked.count() <= KEYS
 
-        for df in frames:
-            for text, y, rows in zip(df["text"], df["y"], df["rows"]):
-                own, weight = words(text), 1 / rows
-                for w in set(own):
-                    add(w, y, weight)
-                for a, b in set(zip(own, own[1:])):
-                    add(f"{a} {b}", y, weight)
-                    add(a, 2 + y, weight)
-                if len(held) > HELD:
-                    yield told(held)
-                    held.clear()
-        if held:
-            yield told(held)
+    def texts(rows: DataFrame) -> DataFrame:
+        return _keyed(docs).join(F.broadcast(rows) if few else rows, "key").select("key", "text", "y")
 
-    keys = picked.select("key", "y", "rows")
-    texts = _keyed(docs).join(F.broadcast(keys) if picked.count() <= KEYS else keys, "key").select("text", "y", "rows")
-    seen = texts.mapInPandas(task, "entry string, n0 double, n1 double, h0 double, h1 double")
-    return seen.groupBy("entry").agg(*[F.round(F.sum(c), 3).alias(c) for c in ("n0", "n1", "h0", "h1")])
+    once, more = texts(picked.where("rows = 1")), texts(picked.where("rows > 1")).dropDuplicates(["key", "y"])
+    seen = once.unionAll(more).select("text", "y").mapInArrow(task, "entry string, n long")
+    return seen.groupBy("entry").agg(F.sum("n").alias("n"))
 
 
 def counts_table(counts: DataFrame) -> DataFrame:
-    """(a, b, n0, n1, h0, h1, k): for each word b, with a null, its counts and the number of distinct words before it; and each pair a b
-    that may keep a count. One pass over the counts: conditions stand within aggregates, since a filter on the entry would be moved
-    before the counting and make Spark count twice."""
-    pair = F.instr("entry", " ") > 0
-    rows = counts.select("n0", "n1", "h0", "h1", F.when(pair, F.substring_index("entry", " ", 1)).alias("a"), F.substring_index("entry", " ", -1).alias("b"))
-    alone = F.col("a").isNull()
-    sums = ("n0", "n1", "h0", "h1")
-    word = rows.groupBy("b").agg(*[F.sum(F.when(alone, F.col(c)).otherwise(0.0)).alias(c) for c in sums], F.count("a").alias("k"))
+    """(a, b, n, h, k): for each word b, with a null, its counts, those of the pairs that it begins, and the number of distinct words before
+    it; and each pair a b that may keep a count. One pass over the counts: conditions stand within aggregates, since a filter on the
+    entry would be moved before the counting and make Spark count twice."""
+    parts = F.split("entry", " ")
+    rows = counts.select("n", F.get(parts, F.lit(0)).alias("first"), F.get(parts, F.lit(1)).alias("second"))
+    # a word has no second part, a history an empty one
+    alone, history = F.col("second").isNull(), F.col("second") == ""
+    pair = ~alone & ~history
+    by = rows.groupBy(F.when(pair, F.col("second")).otherwise(F.col("first")).alias("b"))
+    word = by.agg(F.sum(F.when(alone, F.col("n")).otherwise(0)).alias("n"), F.sum(F.when(history, F.col("n")).otherwise(0)).alias("h"), F.count_if(pair).alias("k"))
     # no count up to DISCOUNT is kept, whatever is expected
-    pairs = rows.where(F.when(alone, 0.0).otherwise(F.greatest("n0", "n1") + 0 * (F.col("h0") + F.col("h1"))) > DISCOUNT)
+    pairs = rows.where(F.when(pair, F.greatest(_class(0), _class(1))).otherwise(0) > DISCOUNT)
     none = F.lit(None)
-    return word.select(none.cast("string").alias("a"), "b", *sums, "k").unionAll(pairs.select("a", "b", *sums, none.cast("long").alias("k")))
+    return word.select(none.cast("string").alias("a"), "b", "n", "h", "k").unionAll(pairs.select(F.col("first").alias("a"), F.col("second").alias("b"), "n", none.cast("long").alias("h"), none.cast("long").alias("k")))
+
+
+def _class(c: int, column: str = "n") -> Column:
+    packed = F.col(column)
+    return (F.shiftright(packed, 32) if c else packed.bitwiseAND(F.lit((1 << 32) - 1))).cast("double")
 
 
 def differences(counts: DataFrame) -> tuple[DataFrame, float]:
     """(entry, odds) of each expression that adds to the log of P_toxic / P_ordinary, and what every word has; of counts_table's rows."""
-    word = counts.where("a IS NULL").select("b", "n0", "n1", "h0", "h1", "k")
+    word = counts.where("a IS NULL").select("b", "k", *[_class(c, x).alias(f"{x}{c}") for x in "nh" for c in (0, 1)])
     sums = [F.coalesce(F.sum(c), F.lit(0)).cast("double").alias(c) for c in ("n0", "n1", "k")]
     t = word.agg(*sums, F.count(F.lit(1)).alias("v"), F.count_if(F.col("k") > 0).alias("after"), *[F.count_if(F.col("k") == i).alias(f"f{i}") for i in (1, 2)]).first()
     share = (t.n1 + 1.0) / (t.n0 + t.n1 + 2.0)
@@ -231,7 +238,7 @@ def differences(counts: DataFrame) -> tuple[DataFrame, float]:
     base = math.log(left[1] / left[0])
     apart = word.where("kept0 > 0 OR kept1 > 0").select(F.col("b").alias("entry"), (F.log(F.col("p1") / F.col("p0")) - F.lit(base)).alias("odds"))
 
-    pair = counts.where("a IS NOT NULL").select("a", "b", "n0", "n1")
+    pair = counts.where("a IS NOT NULL").select("a", "b", *[_class(c).alias(f"n{c}") for c in (0, 1)])
     pair = pair.join(word.select("b", "p0", "p1"), "b").join(word.select(F.col("b").alias("a"), "h0", "h1"), "a")
     expected1 = F.col("h1") * F.col("p1") / (F.col("h0") * F.col("p0") + F.col("h1") * F.col("p1"))
     pair = pair.withColumns({"kept0": _kept(F.col("n0"), (F.col("n0") + F.col("n1")) * (1 - expected1)), "kept1": _kept(F.col("n1"), (F.col("n0") + F.col("n1")) * expected1)})

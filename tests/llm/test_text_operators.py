@@ -222,7 +222,7 @@ def test_counting_reads_texts_once(spark, docs):
     counts.collect()
     plan = counts._jdf.queryExecution().executedPlan().toString()
     plan = plan[plan.index("Final Plan") : plan.index("Initial Plan")] if "Initial Plan" in plan else plan
-    assert plan.count("MapInPandas") == 1
+    assert plan.count("MapInArrow") == 1
 
 
 def test_toxicity_of_odd_rows(taught, docs):
