@@ -12,29 +12,24 @@ from ..functions.safe import average_rank, clip, correlation, fraction_of_ceilin
 KEYS = ("task", "split", "seed", "model")
 
 
-def group_mean_predictions(parts: DataFrame, split: str, seed: int, groups: dict[str, str | None]) -> DataFrame:
-    """Predictions for the test entities by the train mean of each model's group; entities of an unseen group get the mean of all.
-    parts: task, mol_id, y, n_docs, part and the groups' columns."""
-    train = parts.where("part = 'train'")
-    mean = train.groupBy("task").agg(F.avg("y").alias("y_train_mean"))
-    test = parts.where("part = 'test'").join(F.broadcast(mean), "task")
-
-    def one(model: str, group: str | None) -> DataFrame:
-        if group is None:
-            out = test.withColumn("pred", F.col("y_train_mean"))
-        else:
-            means = train.groupBy("task", group).agg(F.avg("y").alias("group_mean"))
-            out = test.join(means, ["task", group], "left").withColumn("pred", F.coalesce("group_mean", "y_train_mean"))
-        return out.select("task", F.lit(split).alias("split"), F.lit(seed).alias("seed"), F.lit(model).alias("model"), "mol_id", "y", "pred", "n_docs", "y_train_mean")
-
-    return reduce(DataFrame.unionByName, (one(m, g) for m, g in groups.items()))
+def group_mean_predictions(parts: DataFrame, groups: dict[str, str | None]) -> DataFrame:
+    """Predictions for the test entities of every (split, seed) by the train mean of each model's group; entities of an unseen group
+    get the mean of all. parts: task, split, seed, mol_id, y, n_docs, part and the groups' columns. All models in one pass."""
+    run = ["task", "split", "seed"]
+    models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), (F.lit("") if g is None else F.col(g).cast("string")).alias("group")) for m, g in groups.items()]))
+    train = parts.where("part = 'train'").select(*run, "y", models.alias("m")).select(*run, "y", "m.*")
+    means = train.groupBy(*run, "model", "group").agg(F.avg("y").alias("group_mean"))
+    every = parts.where("part = 'train'").groupBy(*run).agg(F.avg("y").alias("y_train_mean"))
+    test = parts.where("part = 'test'").select(*run, "mol_id", "y", "n_docs", models.alias("m")).select(*run, "mol_id", "y", "n_docs", "m.*")
+    out = test.join(means, [*run, "model", "group"], "left").join(every, run)
+    return out.select(*KEYS, "mol_id", "y", F.coalesce("group_mean", "y_train_mean").alias("pred"), "n_docs", "y_train_mean")
 
 
 def completed(predictions: DataFrame, entities: DataFrame, parts: DataFrame) -> DataFrame:
-    """Predictions with y, n_docs and the train mean filled in from the entities and the split."""
-    mean = parts.where("part = 'train'").groupBy("task").agg(F.avg("y").alias("y_train_mean"))
+    """Predictions with y, n_docs and the train mean filled in from the entities and the splits."""
+    mean = parts.where("part = 'train'").groupBy("task", "split", "seed").agg(F.avg("y").alias("y_train_mean"))
     facts = entities.select("task", "mol_id", "y", "n_docs")
-    return predictions.select("task", "split", "seed", "model", "mol_id", "pred").join(facts, ["task", "mol_id"], "left").join(F.broadcast(mean), "task", "left")
+    return predictions.select("task", "split", "seed", "model", "mol_id", "pred").join(facts, ["task", "mol_id"], "left").join(mean, ["task", "split", "seed"], "left")
 
 
 def metrics(p: DataFrame) -> DataFrame:
@@ -51,35 +46,50 @@ def benchmark(p: DataFrame, parts: DataFrame) -> DataFrame:
     """A row for each run: metrics, the error of the train mean on the same rows, label noise of the test, sizes."""
     base = F.col("y") - F.col("y_train_mean")
     extra = p.groupBy(*KEYS).agg(F.sqrt(F.avg(base * base)).alias("rmse_mean"), F.avg(1 / F.col("n_docs")).alias("test_mean_inv_ndocs"))
-    size = parts.groupBy("task").agg(F.count_if(F.col("part") == "train").alias("n_train"))
-    return metrics(p).join(extra, list(KEYS)).join(F.broadcast(size), "task")
+    size = parts.groupBy("task", "split", "seed").agg(F.count_if(F.col("part") == "train").alias("n_train"))
+    return metrics(p).join(extra, list(KEYS)).join(size, ["task", "split", "seed"]).select(*KEYS, "n_test", "rmse", "mae", "r2", "spearman", "rmse_mean", "test_mean_inv_ndocs", "n_train")
 
 
-def add_ceiling(b: DataFrame, c: DataFrame) -> DataFrame:
-    """benchmark rows with their task's ceiling and the fractions of it; tasks without a ceiling go."""
-    out = b.join(F.broadcast(c.select("task", "sigma", "var_y")), "task").withColumn("floor", F.col("sigma") * F.sqrt("test_mean_inv_ndocs"))
+def add_ceiling(b: DataFrame, c: DataFrame, bounds: DataFrame | None = None) -> DataFrame:
+    """benchmark rows with their task's ceiling and the fractions of it; tasks without a ceiling go. With bounds (task, sigma_lo,
+    sigma_hi), also the fraction at either end of the noise's interval."""
+    out = b.join(c.select("task", "sigma", "var_y"), "task").withColumn("floor", F.col("sigma") * F.sqrt("test_mean_inv_ndocs"))
     out = out.withColumn("r2_max", F.greatest(F.lit(0.0), 1 - ratio(F.col("floor") * F.col("floor"), "var_y")))
     true = {k: F.sqrt(F.greatest(F.lit(0.0), F.col(k) * F.col(k) - F.col("floor") * F.col("floor"))) for k in ("rmse", "rmse_mean")}
     known = F.col("floor").isNotNull()
+    ends = []
+    if bounds is not None:
+        out = out.join(bounds.select("task", "sigma_lo", "sigma_hi"), "task", "left")
+        ends = [fraction_of_ceiling("rmse", "rmse_mean", F.col(f"sigma_{x}") * F.sqrt("test_mean_inv_ndocs")).alias(f"frac_ceiling_at_sigma_{x}") for x in ("lo", "hi")]
     return out.select(
         *b.columns, "sigma", "var_y", F.col("floor").alias("rmse_floor"), F.when(known, F.col("r2_max")).alias("r2_max"),
         fraction_of_ceiling("rmse", "rmse_mean", "floor").alias("frac_ceiling"), ratio("floor", "rmse").alias("frac_rmse"), ratio("r2", F.when(known, F.col("r2_max"))).alias("frac_r2"),
         F.when(known, 1 - ratio(true["rmse"], true["rmse_mean"])).alias("frac_ceiling_true"), F.coalesce(F.col("rmse") < F.col("floor"), F.lit(False)).alias("below_floor"),
         ratio(F.col("rmse_mean") - F.col("floor"), "rmse_mean").alias("headroom"),
         F.coalesce(ratio(F.col("rmse_mean") - F.col("floor"), "rmse_mean") < 0.2, F.lit(False)).alias("low_headroom"),
+        *ends,
     )
 
 
 MEANS = ("rmse", "mae", "r2", "spearman", "rmse_mean", "frac_ceiling", "frac_rmse")
 
 
-def per_task(rows: DataFrame) -> DataFrame:
-    return rows.groupBy("task", "split", "model").agg(*[F.avg(c).alias(c) for c in MEANS], F.sum("n_test").alias("n_test_rows"))
+def _means(rows: DataFrame) -> list[str]:
+    return [*MEANS, *[c for c in ("frac_ceiling_at_sigma_lo", "frac_ceiling_at_sigma_hi") if c in rows.columns]]
+
+
+def per_task(rows: DataFrame, pooled: DataFrame | None = None) -> DataFrame:
+    """Means over seeds; with pooled (task, split, model, frac_pooled, frac_lo, frac_hi), the interval over entities beside them."""
+    out = rows.groupBy("task", "split", "model").agg(*[F.avg(c).alias(c) for c in _means(rows)], F.sum("n_test").alias("n_test_rows"))
+    if pooled is None:
+        return out
+    names = {"frac_pooled": "frac_ceiling_pooled", "frac_lo": "frac_ceiling_lo", "frac_hi": "frac_ceiling_hi"}
+    return out.join(pooled.select("task", "split", "model", *[F.col(a).alias(b) for a, b in names.items()]), ["task", "split", "model"], "left")
 
 
 def leaderboard(tasks: DataFrame) -> DataFrame:
     """Equal weight to each task; the place is by fraction of the ceiling."""
-    out = tasks.groupBy("split", "model").agg(F.count_distinct("task").alias("n_tasks"), *[F.avg(c).alias(c) for c in MEANS])
+    out = tasks.groupBy("split", "model").agg(F.count_distinct("task").alias("n_tasks"), *[F.avg(c).alias(c) for c in _means(tasks)])
     return out.withColumn("place", F.rank().over(Window.partitionBy("split").orderBy(F.round("frac_ceiling", 9).desc_nulls_last())))
 
 
@@ -95,13 +105,13 @@ def paired(tasks: DataFrame, baseline: str) -> DataFrame:
 def common_rows(p: DataFrame) -> DataFrame:
     """Predictions of the (seed, entity) that every model of the task and split has."""
     models = p.groupBy("task", "split").agg(F.count_distinct("model").alias("m"))
-    full = p.groupBy("task", "split", "seed", "mol_id").agg(F.count_distinct("model").alias("k")).join(F.broadcast(models), ["task", "split"]).where("k = m")
+    full = p.groupBy("task", "split", "seed", "mol_id").agg(F.count_distinct("model").alias("k")).join(models, ["task", "split"]).where("k = m")
     return p.join(full.select("task", "split", "seed", "mol_id"), ["task", "split", "seed", "mol_id"], "left_semi")
 
 
 def fraction_over(p: DataFrame, c: DataFrame) -> DataFrame:
     """Fraction of the ceiling pooled over common rows, all models sharing floor and train-mean error."""
-    rows = common_rows(p).join(F.broadcast(c.select("task", "sigma")), "task")
+    rows = common_rows(p).join(c.select("task", "sigma"), "task")
     error, base = F.col("y") - F.col("pred"), F.col("y") - F.col("y_train_mean")
     sums = rows.groupBy("task", "split", "model").agg(
         F.count(F.lit(1)).alias("n_common_rows"), F.sqrt(F.avg(error * error)).alias("rmse"), F.sqrt(F.avg(base * base)).alias("rmse_mean"),
@@ -111,10 +121,10 @@ def fraction_over(p: DataFrame, c: DataFrame) -> DataFrame:
 
 
 def pair_metrics(pairs: DataFrame, p: DataFrame) -> DataFrame:
-    """Of pairs (task, a, b) of entities: how often a model has the sign of their difference right, and the error of it."""
+    """Of pairs (task, split, seed, a, b) of entities: how often a model has the sign of their difference right, and the error of it."""
     a = p.select(*KEYS, F.col("mol_id").alias("a"), F.col("y").alias("ya"), F.col("pred").alias("pa"))
     b = p.select(*KEYS, F.col("mol_id").alias("b"), F.col("y").alias("yb"), F.col("pred").alias("pb"))
-    rows = pairs.select("task", "a", "b").join(a, ["task", "a"]).join(b, [*KEYS, "b"])
+    rows = pairs.select("task", "split", "seed", "a", "b").join(a, ["task", "split", "seed", "a"]).join(b, [*KEYS, "b"])
     dy, dp = F.col("ya") - F.col("yb"), F.col("pa") - F.col("pb")
     return rows.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("n_pairs"), F.avg(F.when(F.signum(dy) == F.signum(dp), 1.0).otherwise(0.0)).alias("sign_acc"), F.sqrt(F.avg((dy - dp) * (dy - dp))).alias("rmse_delta")

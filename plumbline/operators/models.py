@@ -6,27 +6,70 @@ import random
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRIDS = {"ridge": {"alpha": [0.01, 0.1, 1.0, 10.0, 100.0]}, "rf": {"numTrees": [20, 50], "maxDepth": [5, 8]}, "gbt": {"maxIter": [10, 20], "maxDepth": [3, 5]}}
-
-
-def gram(df: DataFrame, features: str, y: str, d: int) -> DataFrame:
-    """(i, j, v): sums of products of the first d components, a one and y (component d + 1): all a linear fit needs."""
-    x = F.concat(F.transform(F.slice(features, 1, d), lambda v: v.cast("double")), F.array(F.lit(1.0), F.col(y).cast("double")))
-    cells = df.where(F.col(features).isNotNull() & F.col(y).isNotNull()).select(F.posexplode(x).alias("i", "a"), x.alias("x"))
-    return cells.select("i", "a", F.posexplode("x").alias("j", "b")).where("i <= j").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("v"))
-
-
-def ridge(df: DataFrame, features: str, y: str, d: int, alpha: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights and intercept, the intercept not shrunk, from (d + 2) squared sums."""
-    g = np.zeros((d + 2, d + 2))
-    for r in gram(df, features, y, d).collect():
+GRIDS = {
+    "ridge": {"alpha": [1.0, 10.0, 100.0, 1000.0, 3000.0, 10000.0]},
+    "rf": {"featureSubsetStrategy": ["sqrt", "0.2", "0.5"], "minInstancesPerNode": [1, 2, 5]},
+    "gbm": {"stepSize": [0.03, 0.05, 0.1], "maxIter": [20, 40], "maxDepth": [4, 5, 6]},
+}
+DEFAULTS = {"rf": {"numTrees": 300, "maxDepth": 8}, "gbm": {"maxIter": 60, "stepSize": 0.05, "maxDepth": 5}}
+
+
+def family(name: str) -> tuple[str, str]:
+    """(features, head) of a model's name: ``ecfp_gbm`` or ``emb-<encoder>_<head>``, a variant after a colon left out."""
+    features, _, head = name.split(":")[0].rpartition("_")
+    if not features or head not in GRIDS:
+        raise ValueError(f"no model of the name {name}")
+    return features, head
+
+
+def dimension(df: DataFrame, features: str) -> int:
+    return df.agg(F.max(F.size(features))).first()[0] or 0
+
+
+def gram(df: DataFrame, features: str, y: str) -> DataFrame:
+    """(i, j, v), i <= j: sums of products of all components, a one and y, the last: all that a linear fit needs. Tasks add up outer
+    products, so that what is shuffled is one matrix for each. Vectors shorter than the longest end in zeros."""
+    d = dimension(df, features)
+
+    def task(batches):
+        total = np.zeros((d + 2, d + 2))
+        for batch in batches:
+            v, x = batch.column("v"), np.zeros((batch.num_rows, d + 2))
+            length, flat = np.diff(v.offsets.to_numpy()), v.flatten().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(length)), length)
+            x[row, np.arange(len(flat)) - np.repeat(np.cumsum(length) - length, length)] = flat
+            x[:, d], x[:, d + 1] = 1.0, batch.column("y").to_numpy(zero_copy_only=False)
+            total += x.T @ x
+        i, j = np.triu_indices(d + 2)
+        yield pa.RecordBatch.from_arrays([pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(total[i, j])], names=["i", "j", "v"])
+
+    whole = df.where(F.col(features).isNotNull() & F.col(y).isNotNull())
+    sent = whole.select(F.transform(features, lambda v: F.coalesce(v.cast("double"), F.lit(0.0))).alias("v"), F.col(y).cast("double").alias("y"))
+    return sent.mapInArrow(task, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
+def ridge(df: DataFrame, features: str, y: str, alpha: float = 10.0, scale: bool = True) -> tuple[np.ndarray, float]:
+    """Weights and intercept, the intercept not shrunk, from the (d + 2) squared sums; with scale, alpha applies to components of unit
+    variance, and one without variance has no weight."""
+    cells = gram(df, features, y).collect()
+    size = max((r.j for r in cells), default=1) + 1
+    g = np.zeros((size, size))
+    for r in cells:
         g[r.i, r.j] = g[r.j, r.i] = r.v
-    a = g[: d + 1, : d + 1] + alpha * np.diag([1.0] * d + [0.0])
-    w = np.linalg.lstsq(a, g[: d + 1, d + 1], rcond=None)[0]
-    return w[:d], float(w[d])
+    d, n = size - 2, g[size - 2, size - 2]
+    if not n:
+        return np.zeros(d), 0.0
+    mean, y_mean = g[:d, d] / n, g[d, d + 1] / n
+    cov, xy = g[:d, :d] - n * np.outer(mean, mean), g[:d, d + 1] - n * mean * y_mean
+    sd = np.sqrt(np.maximum(np.diag(cov) / n, 0)) if scale else np.ones(d)
+    use = sd > 1e-12
+    w = np.zeros(d)
+    w[use] = np.linalg.solve(cov[np.ix_(use, use)] / np.outer(sd[use], sd[use]) + alpha * np.eye(use.sum()), xy[use] / sd[use]) / sd[use]
+    return w, float(y_mean - mean @ w)
 
 
 def linear(df: DataFrame, features: str, weights, intercept: float, to: str = "pred") -> DataFrame:
@@ -46,7 +89,7 @@ def configurations(family: str, trials: int, seed: int = 0) -> list[dict]:
 def ensemble(family: str, seed: int = 0, **settings):
     from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 
-    kind = {"gbt": GBTRegressor, "rf": RandomForestRegressor}[family]
+    kind = {"gbm": GBTRegressor, "rf": RandomForestRegressor}[family]
     return kind(featuresCol="vector", labelCol="y", predictionCol="pred", seed=seed, **settings)
 
 
@@ -58,12 +101,12 @@ def fit_predict(parts: DataFrame, inputs: list[str], family: str, trials: int =
 
     rows = VectorAssembler(inputCols=inputs, outputCol="vector", handleInvalid="skip").transform(parts)
     train = rows.where("part = 'train'")
-    best: dict = {"maxDepth": 4} | ({"maxIter": 10} if family == "gbt" else {"numTrees": 20})
+    best: dict = DEFAULTS[family]
     if trials:
         held = F.pmod(F.xxhash64("task", "mol_id", F.lit(10_000 + seed)), F.lit(5)) == 0
         score = RegressionEvaluator(labelCol="y", predictionCol="pred", metricName="rmse").evaluate
-        tried = [(score(ensemble(family, seed, **c).fit(train.where(~held)).transform(train.where(held))), k, c) for k, c in enumerate(configurations(family, trials, seed))]
-        best = min(tried, key=lambda t: t[:2])[2]
+        tried = [(score(ensemble(family, seed, **DEFAULTS[family] | c).fit(train.where(~held)).transform(train.where(held))), k, c) for k, c in enumerate(configurations(family, trials, seed))]
+        best = best | min(tried, key=lambda t: t[:2])[2]
     return ensemble(family, seed, **best).fit(train).transform(rows.where("part = 'test'")).select("task", "mol_id", "y", "pred")
 
 

@@ -1,19 +1,35 @@
 """Cluster bootstraps over entities, from an entity's sums instead of its rows.
 
 ``hash``: draw i of resample b takes the entity whose ordinal is a hash of (seed, b, i) modulo their number: exactly as many
-draws as entities, the same in any engine. ``poisson``: each entity's weight in resample b is a Poisson(1) number by its own
-hash. It needs no ordinals and no join, so resamples are one partial aggregate of any number of entities: the form for scale.
+draws as entities, the same in any engine. ``poisson``: each entity's weight in resample b is a Poisson(1) number, from the b-th state of
+a multiplicative congruential generator (48271, modulo 2 ** 31 - 1) that its own hash begins. It needs no ordinals and no join:
+tasks multiply weights and values as matrices and pass on sums, so that resamples are one partial aggregate of any number of
+entities: the form for scale, and that of the queries.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.safe import clip, ratio
+from ..functions.safe import average_rank, clip, ratio
 from .replicate import doc_level, entity_stats
+from .splits import hash_unit
+
+DRAWS = 500
+PRIME, FACTOR = (1 << 31) - 1, 48271
+#: States from which on a weight is at least 1, 2, ...
+STEPS = [math.ceil(PRIME * math.exp(-1) * sum(1 / math.factorial(i) for i in range(k + 1))) for k in range(12)]
+#: Entities whose weights a task holds at once, and groups whose sums.
+CHUNK, GROUPS = 2048, 2000
+
+
+def factors(draws: int) -> list[int]:
+    return [pow(FACTOR, b + 1, PRIME) for b in range(draws)]
 
 
 def pick(seed: int, b: str, i: str, n: str) -> Column:
@@ -31,57 +47,149 @@ def hash_weights(entities: DataFrame, draws: int, seed: int, *by: str, key: str
     return picks.join(numbered.withColumn("at", F.col("at").cast("long")), [*by, "at"]).select(*by, key, "b", "w")
 
 
-def poisson_weights(entities: DataFrame, draws: int, seed: int, *by: str, key: str = "mol_id") -> DataFrame:
-    """The same columns, each entity on its own."""
-    u = (F.xxhash64(*by, key, "b", F.lit(seed)).bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))).alias("u")
-    steps, total = [], 0.0
-    for k in range(12):
-        total += math.exp(-1) / math.factorial(k)
-        steps.append(total)
-    w = sum((F.when(F.col("u") >= s, 1).otherwise(0) for s in steps), F.lit(0)).cast("long")
-    rows = entities.select(*by, key).distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
-    return rows.select(*by, key, "b", u).select(*by, key, "b", w.alias("w")).where("w > 0")
+def poisson_sums(rows: DataFrame, by: list[str], values: list[str], draws: int = DRAWS, seed: int = 0, keys: tuple = ("task", "mol_id")) -> DataFrame:
+    """(by, b, values): sums of the values (doubles without nulls) over the rows of each resample, weighted by their entity. An entity,
+    which the keys name, has the same weight in all its rows. by: columns of strings."""
+    state = (hash_unit(seed, *keys) % (PRIME - 1) + 1).alias("__state")
+    mark = "\u0001"
+    # a mark at the end tells a null group from an empty one
+    label = F.concat_ws(mark, *[F.coalesce(F.col(c), F.lit("\u0002")) for c in by])
+    sent = rows.select(label.alias("__g"), state, *[F.col(v).cast("double").alias(v) for v in values])
+
+    def task(batches):
+        steps, of, held = np.array(factors(draws), np.int64), np.array(STEPS, np.int64), {}
+
+        def told():
+            names, sums = list(held), np.concatenate(list(held.values())) if held else np.zeros((0, len(values)))
+            columns = [pa.array(np.repeat(np.array(names, object), draws), pa.string()), pa.array(np.tile(np.arange(draws, dtype=np.int32), len(names)))]
+            held.clear()
+            return pa.RecordBatch.from_arrays(columns + [pa.array(sums[:, j]) for j in range(len(values))], names=["__g", "b", *values])
+
+        for batch in batches:
+            coded = batch.column("__g").dictionary_encode()
+            names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+            state = batch.column("__state").to_numpy(zero_copy_only=False)
+            x = np.stack([batch.column(v).to_numpy(zero_copy_only=False) for v in values], 1)
+            order = np.argsort(code, kind="stable")
+            for at in range(0, len(order), CHUNK):
+                part = order[at : at + CHUNK]
+                s = state[part, None] * steps % PRIME
+                w = np.zeros(s.shape, np.float64)
+                for step in of:
+                    more = s >= step
+                    if not more.any():
+                        break
+                    w += more
+                own = code[part]
+                cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(part)]
+                for a, b in zip(cuts, cuts[1:]):
+                    name = names[own[a]]
+                    held[name] = held.get(name, 0) + w[a:b].T @ x[part[a:b]]
+            if len(held) > GROUPS:
+                yield told()
+        yield told()
+
+    sums = sent.mapInArrow(task, ", ".join(["__g string", "b int", *[f"{v} double" for v in values]]))
+    out = sums.groupBy("__g", "b").agg(*[F.sum(v).alias(v) for v in values])
+    parts = F.split("__g", mark)
+    return out.select(*[F.nullif(F.get(parts, F.lit(i)), F.lit("\u0002")).alias(c) for i, c in enumerate(by)], "b", *values)
 
 
 def interval(x: str, name: str, alpha: float = 0.05) -> list[Column]:
     return [F.percentile(x, F.lit(p)).alias(f"{name}_{s}") for p, s in ((alpha / 2, "lo"), (0.5, "med"), (1 - alpha / 2, "hi"))]
 
 
-def ceiling_draws(m: DataFrame, draws: int = 20, seed: int = 0, min_docs: int = 2, max_range: float = 3.0, mode: str = "hash") -> DataFrame:
+def ceiling_draws(m: DataFrame, draws: int = DRAWS, seed: int = 0, min_docs: int = 2, max_range: float = 3.0, mode: str = "poisson") -> DataFrame:
     """(task, b, sigma, rmse_floor, r2_max)."""
     stats = entity_stats(doc_level(m))
-    weights = (hash_weights if mode == "hash" else poisson_weights)(stats, draws, seed, "task")
-    rows = stats.join(weights, ["task", "mol_id"])
     keep = (F.col("n") >= min_docs) & (F.col("range") <= max_range)
-    w, mean = F.col("w"), F.col("mean")
-    sums = rows.groupBy("task", "b").agg(
-        F.sum(F.when(keep, w * F.col("ss"))).alias("ss"), F.sum(F.when(keep, w * (F.col("n") - 1))).alias("dof"), F.sum(w).alias("sw"),
-        F.sum(w * mean).alias("s1"), F.sum(w * mean * mean).alias("s2"), (F.sum(w / F.col("n")) / F.sum(w)).alias("k"),
-    )
-    noise = ratio("ss", "dof")
-    var = ratio(F.col("s2") - F.col("s1") * F.col("s1") / F.col("sw"), F.col("sw") - 1)
-    return sums.select("task", "b", F.sqrt(noise).alias("sigma"), F.sqrt(noise * F.col("k")).alias("rmse_floor"), clip(1 - ratio(noise * F.col("k"), var), 0.0, 1.0).alias("r2_max"))
-
-
-def ceiling_intervals(m: DataFrame, draws: int = 20, seed: int = 0, mode: str = "hash") -> DataFrame:
+    one = lambda x: F.when(keep, x).otherwise(0.0).cast("double")
+    values = {"ss": one(F.col("ss")), "dof": one(F.col("n") - 1), "sw": F.lit(1.0), "s1": F.col("mean"), "s2": F.col("mean") * F.col("mean"), "inv": 1 / F.col("n")}
+    rows = stats.select("task", "mol_id", *[v.alias(k) for k, v in values.items()])
+    if mode == "poisson":
+        sums = poisson_sums(rows, ["task"], list(values), draws, seed)
+    else:
+        weighted = rows.join(hash_weights(rows, draws, seed, "task"), ["task", "mol_id"])
+        sums = weighted.groupBy("task", "b").agg(*[F.sum(F.col("w") * F.col(v)).alias(v) for v in values])
+    noise, k = ratio("ss", "dof"), ratio("inv", "sw")
+    var = ratio(F.col("s2") - F.col("s1") * F.col("s1") / F.nullif(F.col("sw"), F.lit(0.0)), F.col("sw") - 1)
+    return sums.select("task", "b", F.sqrt(noise).alias("sigma"), F.sqrt(noise * k).alias("rmse_floor"), clip(1 - ratio(noise * k, var), 0.0, 1.0).alias("r2_max"))
+
+
+def ceiling_intervals(m: DataFrame, draws: int = DRAWS, seed: int = 0, mode: str = "poisson") -> DataFrame:
     d = ceiling_draws(m, draws, seed, mode=mode)
     return d.groupBy("task").agg(*interval("sigma", "sigma"), *interval("rmse_floor", "rmse_floor"), *interval("r2_max", "r2_max"), F.count("sigma").alias("n_valid_draws"))
 
 
-def fraction_draws(p: DataFrame, ceilings: DataFrame, draws: int = 20, seed: int = 0, mode: str = "hash") -> DataFrame:
-    """(task, split, model, b, rmse, frac): every model of a task and split on the same resamples of its entities."""
-    weights = (hash_weights if mode == "hash" else poisson_weights)(p, draws, seed, "task", "split")
+def pooled_sums(p: DataFrame) -> DataFrame:
+    """Sums of each model's rows by (task, split, model, entity): rows, squared errors of the model and of the train mean, label noise.
+    Tasks and splits of fewer than ten rows are left out."""
     error, base = F.col("y") - F.col("pred"), F.col("y") - F.col("y_train_mean")
     mols = p.groupBy("task", "split", "model", "mol_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(error * error).alias("e2"), F.sum(base * base).alias("b2"), F.sum(1 / F.col("n_docs")).alias("inv")
+        F.count(F.lit(1)).cast("double").alias("n"), F.sum(error * error).alias("e2"), F.sum(base * base).alias("b2"), F.sum(1 / F.col("n_docs")).alias("inv")
     )
-    w = F.col("w")
-    sums = mols.join(weights, ["task", "split", "mol_id"]).groupBy("task", "split", "model", "b").agg(
-        F.sum(w * F.col("rows")).alias("n"), F.sum(w * F.col("e2")).alias("e2"), F.sum(w * F.col("b2")).alias("b2"), F.sum(w * F.col("inv")).alias("inv")
-    )
-    out = sums.join(F.broadcast(ceilings.select("task", "sigma")), "task")
+    enough = mols.groupBy("task", "split", "model").agg(F.sum("n").alias("all_rows")).where("all_rows >= 10").select("task", "split", "model")
+    return mols.join(enough, ["task", "split", "model"], "left_semi")
+
+
+def _fractions(sums: DataFrame, ceilings: DataFrame, *keys: str) -> DataFrame:
+    out = sums.where("n > 0").join(ceilings.select("task", "sigma"), "task")
     rmse, mean, floor = F.sqrt(F.col("e2") / F.col("n")), F.sqrt(F.col("b2") / F.col("n")), F.col("sigma") * F.sqrt(F.col("inv") / F.col("n"))
-    return out.select("task", "split", "model", "b", rmse.alias("rmse"), ratio(mean - rmse, mean - floor).alias("frac"))
+    return out.select(*keys, rmse.alias("rmse"), ratio(mean - rmse, mean - floor).alias("frac"))
+
+
+def fraction_draws(p: DataFrame, ceilings: DataFrame, draws: int = DRAWS, seed: int = 0, sigma_draws: DataFrame | None = None) -> DataFrame:
+    """(task, split, model, b, rmse, frac): every model of a task and split on the same resamples of its entities. With sigma_draws
+    (task, b, sigma), each resample has the noise of its own."""
+    sums = poisson_sums(pooled_sums(p), ["task", "split", "model"], ["n", "e2", "b2", "inv"], draws, seed)
+    if sigma_draws is not None:
+        return _fractions_with(sums, sigma_draws)
+    return _fractions(sums, ceilings, "task", "split", "model", "b")
+
+
+def _fractions_with(sums: DataFrame, sigma_draws: DataFrame) -> DataFrame:
+    joined = sums.where("n > 0").join(sigma_draws.select("task", "b", "sigma"), ["task", "b"])
+    rmse, mean, floor = F.sqrt(F.col("e2") / F.col("n")), F.sqrt(F.col("b2") / F.col("n")), F.col("sigma") * F.sqrt(F.col("inv") / F.col("n"))
+    return joined.select("task", "split", "model", "b", rmse.alias("rmse"), ratio(mean - rmse, mean - floor).alias("frac"))
+
+
+def pooled_fractions(p: DataFrame, ceilings: DataFrame, draws: int = DRAWS, seed: int = 0) -> DataFrame:
+    """(task, split, model, n_mols, frac_pooled, frac_lo, frac_hi): the fraction over all rows, and its interval over entities."""
+    mols = pooled_sums(p)
+    whole = mols.groupBy("task", "split", "model").agg(*[F.sum(c).alias(c) for c in ("n", "e2", "b2", "inv")], F.count(F.lit(1)).alias("n_mols"))
+    point = _fractions(whole, ceilings, "task", "split", "model", "n_mols").withColumnRenamed("frac", "frac_pooled").drop("rmse")
+    ends = fraction_intervals(fraction_draws(p, ceilings, draws, seed)).select("task", "split", "model", "frac_lo", "frac_hi")
+    return point.join(ends, ["task", "split", "model"], "left")
+
+
+def task_intervals(tasks: DataFrame, value: str = "frac_ceiling", draws: int = DRAWS, seed: int = 0, alpha: float = 0.05) -> DataFrame:
+    """(split, model, lo, hi) of the mean over tasks, resampling tasks; null for fewer than two tasks."""
+    known = tasks.where(F.col(value).isNotNull())
+    sums = poisson_sums(known.select("task", "split", "model", F.lit(1.0).alias("n"), F.col(value).alias("v")), ["split", "model"], ["n", "v"], draws, seed, ("task",))
+    ends = sums.where("n > 0").withColumn("mean", F.col("v") / F.col("n")).groupBy("split", "model").agg(*[F.percentile("mean", F.lit(q)).alias(x) for q, x in ((alpha / 2, "lo"), (1 - alpha / 2, "hi"))])
+    several = known.groupBy("split", "model").agg(F.count_distinct("task").alias("k"))
+    return ends.join(several, ["split", "model"]).select("split", "model", *[F.when(F.col("k") >= 2, F.col(x)).alias(x) for x in ("lo", "hi")])
+
+
+def metric_intervals(p: DataFrame, draws: int = DRAWS, seed: int = 0) -> DataFrame:
+    """Intervals of rmse, mae, r2 and Spearman's rho of each (task, split, model) over entities; rho by the ranks in all rows."""
+    keys = ["task", "split", "model"]
+    r = p.withColumns({"ry": average_rank("y", *keys), "rp": average_rank("pred", *keys)})
+    error = F.col("y") - F.col("pred")
+    terms = {"n": F.lit(1.0), "e2": error * error, "e1": F.abs(error), "y1": F.col("y"), "y2": F.col("y") * F.col("y")}
+    # ranks from their middle, so that sums of products stay exact
+    a, b = (F.col(c) - F.count(F.lit(1)).over(Window.partitionBy(*keys)) / 2.0 for c in ("ry", "rp"))
+    r = r.withColumns({"ra": a, "rb": b})
+    ra, rb = F.col("ra"), F.col("rb")
+    terms |= {"a1": ra, "b1": rb, "aa": ra * ra, "bb": rb * rb, "ab": ra * rb}
+    d = poisson_sums(r.select(*keys, "mol_id", *[t.alias(k) for k, t in terms.items()]), keys, list(terms), draws, seed).where("n > 0")
+    var = F.col("y2") / F.col("n") - (F.col("y1") / F.col("n")) * (F.col("y1") / F.col("n"))
+    va, vb = (F.col(x + x) - F.col(f"{x}1") * F.col(f"{x}1") / F.col("n") for x in "ab")
+    d = d.select(
+        *keys, F.sqrt(F.col("e2") / F.col("n")).alias("rmse"), (F.col("e1") / F.col("n")).alias("mae"), F.when(var > 1e-12, 1 - F.col("e2") / F.col("n") / var).alias("r2"),
+        F.when((va > 1e-9) & (vb > 1e-9), (F.col("ab") - F.col("a1") * F.col("b1") / F.col("n")) / F.sqrt(va * vb)).alias("spearman"),
+    )
+    return d.groupBy(*keys).agg(*[x for m in ("rmse", "mae", "r2", "spearman") for x in interval(m, m)])
 
 
 def fraction_intervals(d: DataFrame) -> DataFrame:

@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def shingles(df: DataFrame, key: str, words: str = "words", k: int = 3) -> DataFrame:
-    """(key, feature, n): the distinct k-word shingles of each row and their number; rows of fewer words have none."""
-    at = F.expr(f"CASE WHEN size({words}) >= {k} THEN sequence(1, size({words}) - {k - 1}) ELSE array() END")
-    grams = F.transform(at, lambda i: F.array_join(F.slice(F.col(words), i, k), " "))
+def shingles(df: DataFrame, key: str, words: str = "words", k: int = 5) -> DataFrame:
+    """(key, feature, n): the distinct k-word shingles of each row and their number; fewer words are one shingle, no words none."""
+    at = F.sequence(F.lit(1), F.greatest(F.size(words) - (k - 1), F.lit(1)))
+    grams = F.when(F.size(words) > 0, F.transform(at, lambda i: F.array_join(F.slice(F.col(words), i, k), " "))).otherwise(F.array().cast("array<string>"))
     rows = df.select(key, F.array_distinct(grams).alias("grams"))
     # outer, since Spark would else test the arrays for rows in a filter of its own and compute the words for each shingle again
     return rows.select(key, F.size("grams").alias("n"), F.explode_outer("grams").alias("feature")).where("feature IS NOT NULL")

@@ -1,14 +1,22 @@
-"""Train/test splits by hashes, so that they depend on keys and a seed only, not on the order of rows."""
+"""Train/test splits by hashes, so that they depend on keys and a seed only, not on the order of rows.
+
+Ranks within a task are counts of lower buckets plus a rank within the bucket: no task's rows pass through one sort.
+"""
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SEEDS = (0, 1, 2, 3, 4)
+BUCKETS = 8
+
 
-def hash_unit(seed: int, *keys) -> Column:
-    """A whole number below 2 ** 32 from the first eight hex digits of md5(seed|keys)."""
-    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("long")
+def hash_unit(seed, *keys) -> Column:
+    """A whole number below 2 ** 32 from the first eight hex digits of md5(seed|keys); seed is a number or a column's name."""
+    first = F.col(seed).cast("string") if isinstance(seed, str) else F.lit(str(seed))
+    return F.conv(F.substring(F.md5(F.concat_ws("|", first, *[F.col(k).cast("string") for k in keys])), 1, 8), 16, 10).cast("long")
 
 
 def _taken(n: Column, share: float) -> Column:
@@ -16,35 +24,51 @@ def _taken(n: Column, share: float) -> Column:
     return F.bround(n * share, 0).cast("long")
 
 
-def _size() -> Column:
-    return F.count(F.lit(1)).over(Window.partitionBy("task"))
+def ranked(rows: DataFrame, by: list[str], bucket: str, *order) -> DataFrame:
+    """rows with __at, the place from 1 among their ``by`` in order of (bucket, order), and __n, how many there are."""
+    w = Window.partitionBy(*by).orderBy(bucket)
+    sizes = rows.groupBy(*by, bucket).agg(F.count(F.lit(1)).alias("__c"))
+    below = F.coalesce(F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*by, bucket, below.alias("__below"), F.sum("__c").over(Window.partitionBy(*by)).alias("__n"))
+    own = F.row_number().over(Window.partitionBy(*by, bucket).orderBy(*order))
+    return rows.withColumn("__own", own).join(sizes, [*by, bucket]).withColumn("__at", F.col("__below") + F.col("__own")).drop("__own", "__below")
+
 
+def seeded(e: DataFrame, seeds) -> DataFrame:
+    return e.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
 
-def random_split(e: DataFrame, seed: int = 0, share: float = 0.2) -> DataFrame:
-    at = F.row_number().over(Window.partitionBy("task").orderBy(hash_unit(seed, "task", "mol_id"), "mol_id"))
-    return e.withColumn("part", F.when(at <= _taken(_size(), share), "test").otherwise("train"))
+
+def random_splits(e: DataFrame, seeds=SEEDS, share: float = 0.2) -> DataFrame:
+    rows = seeded(e, seeds).withColumn("__h", hash_unit("seed", "task", "mol_id")).withColumn("__b", F.shiftright("__h", 32 - BUCKETS))
+    out = ranked(rows, ["task", "seed"], "__b", "__h", "mol_id")
+    return out.withColumn("part", F.when(F.col("__at") <= _taken(F.col("__n"), share), "test").otherwise("train")).drop("__h", "__b", "__at", "__n")
 
 
 def temporal_split(e: DataFrame, share: float = 0.2) -> DataFrame:
     """The latest entities are the test; ties by id. Nothing to take gives an empty test."""
-    at = F.row_number().over(Window.partitionBy("task").orderBy("first_year", "mol_id"))
-    return e.withColumn("part", F.when(at > _size() - _taken(_size(), share), "test").otherwise("train"))
+    out = ranked(e.withColumn("__b", F.coalesce("first_year", F.lit(-1))), ["task"], "__b", "mol_id")
+    return out.withColumn("part", F.when(F.col("__at") > F.col("__n") - _taken(F.col("__n"), share), "test").otherwise("train")).drop("__b", "__at", "__n")
 
 
-def group_split(e: DataFrame, group: str, seed: int = 0, share: float = 0.2) -> DataFrame:
-    """Whole groups, in hashed order, go to test while they fit what is left of its budget. The fold is over a task's groups,
-    each a name and a size."""
-    groups = e.groupBy("task", group).agg(F.count(F.lit(1)).alias("size")).withColumn("at", hash_unit(seed, "task", group))
-    folded = groups.groupBy("task").agg(F.sum("size").alias("n"), F.array_sort(F.collect_list(F.struct("at", F.col(group).alias("name"), "size"))).alias("groups"))
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("names"))
-    budget = _taken(F.col("n"), share)
+def group_splits(e: DataFrame, group: str, seeds=SEEDS, share: float = 0.2) -> DataFrame:
+    """Whole groups, in hashed order, go to test while they fit what is left of its budget. The walk is over a task's groups, each a
+    name and a size; entities without a group are train."""
+    sizes = e.where(F.col(group).isNotNull()).groupBy("task", group).agg(F.count(F.lit(1)).alias("size"))
+    total = e.groupBy("task").agg(_taken(F.count(F.lit(1)), share).alias("budget"))
+    rows = seeded(sizes.join(total, "task"), seeds).withColumn("at", hash_unit("seed", "task", group)).withColumnRenamed(group, "name")
 
-    def add(acc, g):
-        fits = acc["used"] + g["size"] <= budget
-        return F.struct(F.when(fits, acc["used"] + g["size"]).otherwise(acc["used"]).alias("used"), F.when(fits, F.array_append(acc["names"], g["name"])).otherwise(acc["names"]).alias("names"))
+    def walk(df: pd.DataFrame) -> pd.DataFrame:
+        left, taken = int(df["budget"].iat[0]), []
+        df = df.sort_values(["at", "name"])
+        for size in df["size"].tolist():
+            taken.append(size <= left)
+            left -= size * taken[-1]
+        return df.loc[taken, ["task", "seed", "name"]]
 
-    test = folded.select("task", F.explode(F.aggregate("groups", start, add)["names"]).alias(group)).withColumn("part", F.lit("test"))
-    return e.join(test, ["task", group], "left").withColumn("part", F.coalesce("part", F.lit("train")))
+    kind = e.schema[group].dataType.simpleString()
+    test = rows.groupBy("task", "seed").applyInPandas(walk, f"task string, seed int, name {kind}").withColumn("part", F.lit("test")).withColumnRenamed("name", group)
+    out = seeded(e, seeds).join(test, ["task", "seed", group], "left")
+    return out.withColumn("part", F.coalesce("part", F.lit("train")))
 
 
 def sample(e: DataFrame, n: int, seed: int = 0) -> DataFrame:
@@ -52,4 +76,16 @@ def sample(e: DataFrame, n: int, seed: int = 0) -> DataFrame:
     return e.orderBy(hash_unit(seed, "task", "mol_id"), "task", "mol_id").limit(n)
 
 
-SPLITS = {"random": random_split, "scaffold": lambda e, seed=0, share=0.2: group_split(e, "structure", seed, share), "temporal": lambda e, seed=0, share=0.2: temporal_split(e, share)}
+SPLITS = {
+    "random": lambda e, seed=0, share=0.2: random_splits(e, (seed,), share).drop("seed"),
+    "scaffold": lambda e, seed=0, share=0.2: group_splits(e, "structure", (seed,), share).drop("seed"),
+    "temporal": lambda e, seed=0, share=0.2: temporal_split(e, share),
+}
+
+
+def all_splits(e: DataFrame, group: str = "structure", seeds=SEEDS, share: float = 0.2) -> DataFrame:
+    """e once for each split and seed, with split, seed and part. The temporal split is the same for every seed."""
+    runs = {"random": random_splits(e, seeds, share), "scaffold": group_splits(e, group, seeds, share), "temporal": seeded(temporal_split(e, share), seeds)}
+    columns = [*e.columns, "split", "seed", "part"]
+    a, b, c = (df.withColumn("split", F.lit(n)).select(columns) for n, df in runs.items())
+    return a.unionAll(b).unionAll(c)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import quantiles, rounded
 from ..operators import audit, decontaminate, evaluate, models, replicate, resample, significance, similarity, slices, splits
-from ..sources import records, tables
+from ..sources import records, sinks, tables
 
 BASELINE = "mean_by_brand"
 MODELS = {"mean_all": None, "mean_by_brand": "p_brand", "mean_by_type": "p_type", "mean_by_size": "p_size"}
@@ -35,17 +35,26 @@ def entities(s, d):
     return replicate.entities(m(s, d)).join(part, "mol_id")
 
 
+def runs(s, d):
+    """Entities once for each of three splits and five seeds, written since several steps read them."""
+    return sinks.kept(splits.all_splits(entities(s, d)), "runs")
+
+
 def parts(s, d, split="random"):
     return splits.SPLITS[split](entities(s, d))
 
 
 def predictions(s, d):
-    return evaluate.group_mean_predictions(parts(s, d), "random", 0, MODELS).unionByName(evaluate.group_mean_predictions(parts(s, d, "temporal"), "temporal", 0, MODELS))
+    return evaluate.group_mean_predictions(runs(s, d), MODELS)
+
+
+def _benchmark(r):
+    p = sinks.kept(evaluate.group_mean_predictions(r, MODELS), "predictions")
+    return p, evaluate.benchmark(p, r)
 
 
 def benchmark(s, d):
-    runs = [evaluate.benchmark(evaluate.group_mean_predictions(p, n, 0, MODELS), p) for n, p in (("random", parts(s, d)), ("temporal", parts(s, d, "temporal")))]
-    return runs[0].unionByName(runs[1])
+    return _benchmark(runs(s, d))[1]
 
 
 def against_ceiling(s, d):
@@ -56,6 +65,25 @@ def per_task(s, d):
     return evaluate.per_task(against_ceiling(s, d))
 
 
+def _with_intervals(s, d):
+    """Per task: means over seeds, at the ends of the noise's interval too, and intervals over entities."""
+    p, b = _benchmark(runs(s, d))
+    c = replicate.ceilings(m(s, d))
+    rows = evaluate.add_ceiling(b, c, resample.ceiling_intervals(m(s, d)))
+    return evaluate.per_task(rows, resample.pooled_fractions(p, c)), p, c
+
+
+def _sliced(s, d):
+    r = runs(s, d)
+    context = sinks.kept(slices.test_context(r, slices.structure_pairs(entities(s, d))), "context")
+    return r, context, slices.labelled(r, context)
+
+
+def _cells(s, d):
+    r, _, labels = _sliced(s, d)
+    return sinks.kept(slices.cells(evaluate.group_mean_predictions(r, MODELS), labels, BASELINE), "cells"), replicate.ceilings(m(s, d))
+
+
 def registry(s, d):
     return tables.texts(s, d).where("in_registry")
 
@@ -136,12 +164,12 @@ def replicate_windows(s, d):
 
 @query
 def ceiling_bootstrap_hash(s, d):
-    return resample.ceiling_intervals(m(s, d))
+    return resample.ceiling_intervals(m(s, d), mode="hash")
 
 
 @query
 def ceiling_bootstrap_poisson(s, d):
-    return resample.ceiling_intervals(m(s, d), draws=100, mode="poisson")
+    return resample.ceiling_intervals(m(s, d))
 
 
 @query
@@ -216,7 +244,9 @@ def exact_rate(s, d):
 
 @query
 def near_duplicates(s, d):
-    left, right = similarity.shingles(dataset(s, d), "doc_id"), similarity.shingles(registry(s, d).withColumnRenamed("doc_id", "reg_id"), "reg_id")
+    """Registry texts that are equal stand for one, their least id."""
+    reg = registry(s, d).groupBy("key_full").agg(F.min_by("words", "doc_id").alias("words"), F.min("doc_id").alias("reg_id"))
+    left, right = similarity.shingles(dataset(s, d), "doc_id"), similarity.shingles(reg, "reg_id")
     return similarity.similar(left, right, "doc_id", "reg_id", 800, inclusive=False).select("doc_id", "reg_id", "both", "similarity")
 
 
@@ -250,9 +280,27 @@ def year_filter(s, d):
     return decontaminate.after_year(m(s, d), 1998).groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("mol_id").alias("n_mols"))
 
 
+def entity_flags(s, d):
+    """Entities by structure against a registry of some parts' structures."""
+    part = tables.table(s, d, "part").select("p_partkey", "p_size", F.concat_ws(" ", "p_brand", "p_type").alias("structure"))
+    keyed = part.withColumns({"words": F.split("structure", " "), "key_full": F.md5("structure")}).withColumn("key_short", F.md5(F.array_join(F.array_sort(F.array_distinct("words")), " ")))
+    reg = keyed.where("p_size <= 3").withColumn("source", F.concat(F.lit("src"), (F.col("p_size") - 1).cast("string")))
+    return decontaminate.annotate(keyed.withColumnRenamed("p_partkey", "mol_id"), reg, key="mol_id", k=1).select("mol_id", "exact_full", "exact_short", "near", "exact_sources")
+
+
+@query
+def decontam_loss(s, d):
+    return decontaminate.loss_log(m(s, d), entity_flags(s, d), decontaminate.cutoff_year(tables.cutoffs(s), ["alpha", "beta"]))
+
+
 @query
 def model_cutoffs(s, d):
-    return decontaminate.model_cutoffs(m(s, d), tables.cutoffs(s)).withColumn("cutoff", F.col("cutoff").cast("string"))
+    return decontaminate.model_table(m(s, d), sinks.kept(entity_flags(s, d)), tables.cutoffs(s)).withColumn("cutoff", F.col("cutoff").cast("string"))
+
+
+@query
+def model_summary(s, d):
+    return decontaminate.model_summary(decontaminate.model_table(m(s, d), sinks.kept(entity_flags(s, d)), tables.cutoffs(s)).withColumn("cutoff", F.col("cutoff").cast("string")))
 
 
 @query
@@ -277,12 +325,13 @@ def similarity_histogram(s, d):
 
 @query
 def threshold_sweep(s, d):
-    return decontaminate.threshold_sweep(similarities(s, d))
+    exact = decontaminate.flags(dataset(s, d), registry(s, d)).select("doc_id", (F.col("exact_full") | F.col("exact_short")).alias("exact"))
+    return decontaminate.threshold_sweep(similarities(s, d).join(exact, "doc_id"))
 
 
 @query
 def containment_hits(s, d):
-    bench = tables.table(s, d, "benchmark").select("item_id", F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)).alias("words"))
+    bench = tables.table(s, d, "benchmark").select("item_id", tables.words_of("text").alias("words"))
     return similarity.containment(similarity.shingles(bench, "item_id"), similarity.shingles(tables.texts(s, d), "doc_id"), "item_id", "doc_id")
 
 
@@ -320,8 +369,9 @@ def predictions_long(s, d):
 
 @query
 def predictions_completion(s, d):
-    p = evaluate.group_mean_predictions(parts(s, d), "random", 0, MODELS).drop("y", "n_docs", "y_train_mean")
-    return evaluate.completed(p, entities(s, d), parts(s, d)).select("task", "split", "seed", "model", "mol_id", "y", "pred", "n_docs", "y_train_mean")
+    r = runs(s, d)
+    p = evaluate.group_mean_predictions(r, MODELS).drop("y", "n_docs", "y_train_mean")
+    return evaluate.completed(p, entities(s, d), r).select("task", "split", "seed", "model", "mol_id", "y", "pred", "n_docs", "y_train_mean")
 
 
 @query
@@ -355,6 +405,35 @@ def leaderboard(s, d):
     return evaluate.leaderboard(per_task(s, d))
 
 
+@query
+def per_task_intervals(s, d):
+    return _with_intervals(s, d)[0]
+
+
+@query
+def leaderboard_intervals(s, d):
+    """The leaderboard with intervals over tasks and over entities, and the fraction at either end of the noise's."""
+    tasks, p, c = _with_intervals(s, d)
+    tasks = sinks.kept(tasks, "tasks")
+    over_tasks = resample.task_intervals(tasks).select("split", "model", F.col("lo").alias("frac_ceiling_task_lo"), F.col("hi").alias("frac_ceiling_task_hi"))
+    over_mols = resample.aggregate_intervals(resample.fraction_draws(p, c)).select("split", "model", F.col("frac_lo").alias("frac_ceiling_mol_lo"), F.col("frac_hi").alias("frac_ceiling_mol_hi"))
+    pooled = tasks.groupBy("split", "model").agg(F.avg("frac_ceiling_pooled").alias("frac_ceiling_pooled"))
+    out = evaluate.leaderboard(tasks).join(pooled, ["split", "model"]).join(over_tasks, ["split", "model"], "left").join(over_mols, ["split", "model"], "left")
+    return out.orderBy("split", F.col("frac_ceiling").desc_nulls_last())
+
+
+@query
+def metric_intervals(s, d):
+    return resample.metric_intervals(predictions(s, d))
+
+
+@query
+def fraction_intervals_with_noise(s, d):
+    """Fractions of the ceiling where each resample has noise of its own."""
+    c = replicate.ceilings(m(s, d))
+    return resample.fraction_intervals(resample.fraction_draws(predictions(s, d), c, sigma_draws=resample.ceiling_draws(m(s, d), seed=1)))
+
+
 @query
 def paired_vs_baseline(s, d):
     return evaluate.paired(per_task(s, d), BASELINE)
@@ -368,8 +447,8 @@ def attenuation(s, d):
 @query
 def holm_bh(s, d):
     """Adjusted p-values of a family made from the runs: their r2, clipped to a probability."""
-    p = benchmark(s, d).select("task", "split", "model", F.round(F.abs("r2"), 6).alias("p"))
-    return significance.adjusted(p, "p", unique=("task", "split", "model"))
+    p = benchmark(s, d).select("task", "split", "seed", "model", F.round(F.abs("r2"), 6).alias("p"))
+    return significance.adjusted(p, "p", unique=("task", "split", "seed", "model"))
 
 
 @query
@@ -394,17 +473,22 @@ def paired_bootstrap_hash(s, d):
 
 @query
 def slice_labels(s, d):
-    return slices.labelled(parts(s, d))
+    return _sliced(s, d)[2]
 
 
 @query
 def slice_delta(s, d):
-    return slices.deltas(evaluate.group_mean_predictions(parts(s, d), "random", 0, MODELS), slices.labelled(parts(s, d)), replicate.ceilings(m(s, d)), BASELINE)
+    return slices.deltas(*_cells(s, d))
 
 
 @query
 def slice_intervals(s, d):
-    return slices.intervals(evaluate.group_mean_predictions(parts(s, d), "random", 0, MODELS), slices.labelled(parts(s, d)), BASELINE)
+    return slices.intervals(*_cells(s, d))
+
+
+@query
+def slice_table(s, d):
+    return slices.table(*_cells(s, d))
 
 
 @query
@@ -419,14 +503,9 @@ def cliff_mask(s, d):
 
 @query
 def cliff_pair_metrics(s, d):
-    p = evaluate.group_mean_predictions(parts(s, d), "random", 0, MODELS)
-    pairs = audit.doc_pairs(_neighbours(s, d))
-    return evaluate.pair_metrics(pairs.select("task", F.col("doc_a").alias("a"), F.col("doc_b").alias("b")), p)
-
-
-def _neighbours(s, d):
-    """Test entities of one task and structure, as the pairs of a cliff would be."""
-    return parts(s, d).where("part = 'test'").select("task", F.col("structure").alias("mol_id"), F.col("mol_id").alias("doc_id"), "y", F.lit(2000).alias("year"), F.lit(0).alias("assay_id"))
+    r = runs(s, d)
+    pairs = slices.similar_pairs(r, slices.structure_pairs(entities(s, d)))
+    return evaluate.pair_metrics(pairs, evaluate.group_mean_predictions(r, MODELS))
 
 
 @query
@@ -436,7 +515,8 @@ def similarity_to_train(s, d):
 
 @query
 def comparison_artifacts(s, d):
-    return slices.artifacts(parts(s, d), replicate.ceilings(m(s, d)))
+    r, context, _ = _sliced(s, d)
+    return slices.artifacts(r, replicate.ceilings(m(s, d)), context)
 
 
 @query
@@ -462,28 +542,28 @@ def parse_records(s, d):
 @query
 def embedding_lookup(s, d):
     e, lab = tables.table(s, d, "embeddings"), tables.table(s, d, "embeddings").select("vec_id", "label")
-    return models.strict_lookup(lab, e.select("vec_id", "embedding"), "vec_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(F.element_at("embedding", 1).cast("double")).alias("first_mean"))
+    return models.strict_lookup(lab, e.select("vec_id", "embedding"), "vec_id").groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg(F.aggregate("embedding", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))).alias("mean_square"))
 
 
 @query
 def ridge_gram(s, d):
-    return models.gram(tables.table(s, d, "embeddings"), "embedding", "label", 8)
+    return models.gram(tables.table(s, d, "embeddings"), "embedding", "label")
 
 
 @query
 def ridge_predictions(s, d):
     e = tables.table(s, d, "embeddings")
-    return models.linear(e, "embedding", *models.ridge(e, "embedding", "label", 8)).select("vec_id", "label", "pred")
+    return models.linear(e, "embedding", *models.ridge(e, "embedding", "label")).select("vec_id", "label", "pred")
 
 
 @query
 def rf_benchmark(s, d):
-    return models.fit_predict(parts(s, d).withColumn("n_docs", F.col("n_docs").cast("double")), ["p_size", "n_docs", "first_year"], "rf")
+    return models.fit_predict(parts(s, d).withColumn("n_docs", F.col("n_docs").cast("double")), ["p_size", "n_docs", "first_year"], "rf", trials=6)
 
 
 @query
 def gbt_benchmark(s, d):
-    return models.fit_predict(parts(s, d).withColumn("n_docs", F.col("n_docs").cast("double")), ["p_size", "n_docs", "first_year"], "gbt", trials=2)
+    return models.fit_predict(parts(s, d).withColumn("n_docs", F.col("n_docs").cast("double")), ["p_size", "n_docs", "first_year"], "gbm", trials=6)
 
 
 @query

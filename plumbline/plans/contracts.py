@@ -33,8 +33,8 @@ COLUMNS = {
     "loss_last": "source string, left bigint, step string",
     "loss_pivot": "source string, raw bigint, exact_full bigint, exact_short bigint, near bigint",
     "year_filter": "task string, n bigint, n_mols bigint",
-    "model_cutoffs": "task string, model string, cutoff string, basis string, n_mols bigint, n_meas bigint",
-    "model_overlap": "model string, overlap double",
+    "model_cutoffs": "task string, model string, cutoff string, basis string, mols_after_year bigint, n_meas bigint, mols_after_steps12 bigint, overlap double, n_entities bigint",
+    "model_overlap": "model string, overlap double, n_entities bigint",
     "source_overlap": "source string, n bigint, share double",
     "similarity_quantiles": "q05 double, q25 double, q50 double, q75 double, q90 double, q95 double, q99 double",
     "similarity_histogram": "bin int, n bigint",
@@ -55,24 +55,27 @@ COLUMNS = {
     "leaderboard": "split string, model string, n_tasks bigint, rmse double, mae double, r2 double, spearman double, rmse_mean double, frac_ceiling double, frac_rmse double, place int",
     "paired_vs_baseline": "split string, model string, n_tasks bigint, mean_diff double, median_diff double, n_better bigint, mean_diff_rmse double",
     "attenuation": "task string, split string, seed int, model string, reliability double, r2_true double, rho_true double",
-    "holm_bh": "task string, split string, model string, p double, p_holm double, p_bh double",
+    "holm_bh": "task string, split string, seed int, model string, p double, p_holm double, p_bh double",
     "wilcoxon_tests": "split string, model string, n_tasks int, wilcoxon_p double, p_holm double, p_bh double, inside_noise boolean",
     "cluster_bootstrap_hash": "task string, split string, model string, frac_lo double, frac_med double, frac_hi double, rmse_lo double, rmse_med double, rmse_hi double, n_valid_draws bigint",
     "aggregate_bootstrap_hash": "split string, model string, frac_lo double, frac_med double, frac_hi double",
     "paired_bootstrap_hash": "task string, split string, model string, diff_lo double, diff_med double, diff_hi double, p_boot double, inside_noise boolean",
-    "slice_labels": "task string, mol_id bigint, slice_type string, slice_value string",
+    "slice_labels": "task string, split string, seed int, mol_id bigint, slice_type string, slice_value string",
     "slice_delta": "slice_type string, slice_value string, split string, model string, n_tasks bigint, n_mols bigint, delta_rmse double, delta_over_sigma double",
-    "slice_intervals": "slice_type string, slice_value string, split string, model string, d_lo double, d_med double, d_hi double, se double, mde_80 double, flag string",
+    "slice_intervals": "slice_type string, slice_value string, split string, model string, lo double, hi double, lo_over_sigma double, hi_over_sigma double, se double, mde_80 double, flag string",
     "cliff_pairs": "task string, a bigint, b bigint, similarity double, delta double",
     "cliff_mask": "task string, mol_id bigint, cliff boolean",
     "cliff_pair_metrics": "task string, split string, seed int, model string, n_pairs bigint, sign_acc double, rmse_delta double",
     "similarity_to_train": "mol_id bigint, task string, similarity double, sim_bin string",
-    "comparison_artifacts": "task string, n_train bigint, n_test bigint, mean_n_docs double, frac_ge2 double, rmse_floor double, floor_over_sd double, y_mean_train double, y_mean_test double, y_sd_train double, y_sd_test double, sd_ratio double, ks double, frac_outside double, year_train double, year_test double",
+    "comparison_artifacts": "task string, split string, seed int, n_train bigint, n_test bigint, mean_n_docs double, frac_ge2 double, rmse_floor double, floor_over_sd double, y_mean_train double, y_mean_test double, y_sd_train double, y_sd_test double, sd_ratio double, ks double, frac_outside double, maxsim_mean double, maxsim_median double, maxsim_q10 double, maxsim_q90 double, frac_maxsim_ge_08 double, frac_cliff_mols double, year_train double, year_test double",
     "ks_statistic": "task string, ks double",
     "parse_records": "target_id string, molecule_id string, structure string, standard_type string, value double, assay_id string, doc_id string, doc_year int",
-    "embedding_lookup": "label int, n bigint, first_mean double",
+    "embedding_lookup": "label int, n bigint, mean_square double",
     "ridge_gram": "i int, j int, v double",
     "ridge_predictions": "vec_id bigint, label int, pred double",
     "value_quantiles": "task string, q05 double, q50 double, q95 double",
     "cutoff_table": "model string, cutoff string, basis string, cut_year int",
+    "model_summary": "model string, cutoff string, basis string, mols_after_year bigint, overlap double",
+    "decontam_loss": "task string, step_no int, step string, mols_removed bigint, meas_removed bigint, mols_left bigint, meas_left bigint",
+    "slice_table": "slice_type string, slice_value string, split string, model string, n_tasks bigint, n_mols bigint, delta_rmse double, delta_over_sigma double, lo double, hi double, lo_over_sigma double, hi_over_sigma double, se double, mde_80 double, flag string",
 }

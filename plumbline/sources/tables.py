@@ -37,12 +37,20 @@ def measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+WORDS = r"[\p{L}\p{M}\p{N}]+"
+
+
+def words_of(text: str):
+    """Runs of letters, marks and digits of any script, in lower case."""
+    return F.regexp_extract_all(F.lower(text), F.lit(WORDS), F.lit(0))
+
+
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, key_full, key_short, words, in_registry: documents with an exact and an order-free key."""
+    """doc_id, source, key_full, key_short, words, in_registry: documents with an exact and an order-free key; a text without words has
+    no order-free key and matches nothing by it."""
     rows = table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    words = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
-    rows = rows.select("doc_id", "source", F.md5("text").alias("key_full"), words.alias("words"))
-    short = F.md5(F.array_join(F.array_sort(F.array_distinct("words")), " "))
+    rows = rows.select("doc_id", "source", F.md5("text").alias("key_full"), words_of("text").alias("words"))
+    short = F.when(F.size("words") > 0, F.md5(F.array_join(F.array_sort(F.array_distinct("words")), " ")))
     return rows.select("doc_id", "source", "key_full", short.alias("key_short"), "words", F.col("source").isin("src0", "src1", "src2", "src3").alias("in_registry"))
 
 
