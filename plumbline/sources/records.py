@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable
+from importlib import import_module
+from urllib.parse import urlencode, urljoin
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
 from .tables import RAW
 
@@ -54,11 +56,12 @@ def fetch(get: Callable[[str], str], url: str, pause: Callable[[float], None] =
 
 
 def pages(get: Callable[[str], str], url: str, key: str, pause: Callable[[float], None] = time.sleep):
-    """Every record under ``key``, following page_meta.next to its end."""
+    """Every record under ``key``, following page_meta.next, which may be relative to the page, to its end."""
     while url:
         page = fetch(get, url, pause)
         yield from page[key]
-        url = (page.get("page_meta") or {}).get("next")
+        following = (page.get("page_meta") or {}).get("next")
+        url = urljoin(url, following) if following else None
 
 
 def http_get(url: str) -> str:
@@ -68,6 +71,12 @@ def http_get(url: str) -> str:
         return answer.read().decode()
 
 
+#: What the service is asked to leave out; parse() checks again.
+FILTERS = {"standard_relation": "=", "pchembl_value__isnull": "false", "assay_type": "B", "data_validity_comment__isnull": "true", "limit": "1000"}
+#: Columns whose equality the service takes as a filter of the same name.
+SERVED = ("target_chembl_id", "standard_type", "molecule_chembl_id", "assay_chembl_id", "document_chembl_id", "document_year")
+
+
 class _Target(InputPartition):
     def __init__(self, target: str, kind: str):
         super().__init__((target, kind))
@@ -75,22 +84,42 @@ class _Target(InputPartition):
 
 class _Reader(DataSourceReader):
     def __init__(self, options: dict, names: list[str]):
-        self.options, self.names = options, names
+        self.options, self.names, self.asked = options, names, {}
 
     def partitions(self):
         return [_Target(t, k) for t in self.options["targets"].split(",") for k in self.options.get("types", "IC50,Ki").split(",")]
 
     def read(self, partition):
         target, kind = partition.value
-        # the service filters first; parse() checks again
-        url = f"{self.options['url']}?target_chembl_id={target}&standard_type={kind}&standard_relation==&pchembl_value__isnull=false"
-        for r in pages(self.options.get("get", http_get) if callable(self.options.get("get")) else http_get, url, "activities"):
+        get = _transport(self.options.get("get"))
+        url = f"{self.options['url']}?{urlencode({'target_chembl_id': target, 'standard_type': kind} | FILTERS | self.asked)}"
+        for r in pages(get, url, "activities"):
             values = [r.get(n) for n in self.names]
             yield tuple(v if v is None or n == "document_year" else str(v) for n, v in zip(self.names, values))
 
 
+class _PushingReader(_Reader):
+    def pushFilters(self, filters):
+        """Equalities that the service knows go to it; Spark checks the others, and those of targets and types again, which are lists."""
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == (f.attribute[0],) and f.attribute[0] in SERVED[2:]:
+                self.asked[f.attribute[0]] = str(f.value)
+            else:
+                yield f
+
+
+def _transport(name: str | None) -> Callable[[str], str]:
+    """``module:function``, or plain HTTP."""
+    if not name:
+        return http_get
+    module, _, function = name.partition(":")
+    return getattr(import_module(module), function)
+
+
 class Activities(DataSource):
-    """``spark.read.format("activities")``, options url, targets and types: one partition for each target and type."""
+    """``spark.read.format("activities")``, options url, targets, types and get, the transport as ``module:function``: one partition for
+    each target and type. With the option push, equalities on served columns are asked of the service; Spark wants
+    spark.sql.python.filterPushdown.enabled for that."""
 
     @classmethod
     def name(cls):
@@ -100,14 +129,25 @@ class Activities(DataSource):
         return RECORD
 
     def reader(self, schema):
-        return _Reader(self.options, [f.name for f in schema.fields])
+        kind = _PushingReader if str(self.options.get("push", "")).lower() == "true" else _Reader
+        return kind(dict(self.options), [f.name for f in schema.fields])
+
+
+CATALOGUE = (
+    "owner struct<slug:string>, slug string, nRows long, tableContent struct<size:long>, createdAt string, userAttributes struct<year:string>, source string, license string, "
+    "tags array<string>, annotations map<string,struct<modality:string>>"
+)
 
 
-def catalogue(datasets: DataFrame) -> DataFrame:
-    """A nested catalogue flattened: owner, name, size, tags packed, names of annotated columns; whatever is missing is null."""
+def catalogue(datasets: DataFrame, today: str | None = None) -> DataFrame:
+    """A nested catalogue (``CATALOGUE``) flattened: owner, slug, n_rows, table_bytes, created, year, source, license, tags packed, names of
+    the columns that hold molecules, and the day it was read; whatever is missing is null, and empty where it is packed."""
+    packed = lambda c: F.coalesce(F.array_join(c, ";"), F.lit(""))
     return datasets.select(
-        F.col("owner.slug").alias("owner"), "name", F.col("tableContent.size").alias("size"), F.array_join("tags", ";").alias("tags"),
-        F.array_join(F.array_sort(F.map_keys(F.map_filter("annotations", lambda k, v: v["is_pointer"] | v["modality"].isNotNull()))), ";").alias("columns"),
+        F.col("owner.slug").alias("owner"), "slug", F.col("nRows").alias("n_rows"), F.col("tableContent.size").alias("table_bytes"), F.substring("createdAt", 1, 10).alias("created"),
+        F.col("userAttributes.year").alias("year"), "source", "license", packed("tags").alias("tags"),
+        packed(F.array_sort(F.map_keys(F.map_filter("annotations", lambda k, v: F.coalesce(v["modality"] == "MOLECULE", F.lit(False)))))).alias("mol_cols"),
+        (F.lit(today) if today else F.current_date().cast("string")).alias("downloaded"),
     )
 
 

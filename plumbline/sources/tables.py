@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,16 +65,32 @@ def cutoffs(spark: SparkSession, rows=None, today: str = "2001-06-30") -> DataFr
     return df.select("model", cut.alias("cutoff"), basis.alias("basis"), F.year(cut).alias("cut_year"), F.split("sources", ";").alias("sources"))
 
 
-def csv(spark: SparkSession, path: str, schema: str, sep: str | None = None) -> DataFrame:
-    """CSV files, plain or gzipped, by a fixed schema; ``sep`` is found from the first line where it isn't given."""
+def cutoffs_file(spark: SparkSession, path: str, today: str) -> DataFrame:
+    """The same from a YAML file: models, each with training_cutoff, paper_date and registry_sources, any of them null or absent."""
+    import yaml
+
+    with open(path) as f:
+        models = yaml.safe_load(f).get("models") or {}
+    day = lambda x: None if x is None else str(x)
+    return cutoffs(spark, [(k, day(v.get("training_cutoff")), day(v.get("paper_date")), ";".join(v.get("registry_sources") or []) or None) for k, v in models.items()], today)
+
+
+def csv(spark: SparkSession, path: str, schema: str, sep: str | None = None, stem: str | None = None) -> DataFrame:
+    """CSV files, plain or gzipped, by a fixed schema; ``sep`` is found from the first line where it isn't given. Empty files have no
+    rows. With ``stem``, a column of that name holds each row's file name up to its first dot."""
     if sep is None:
         first = spark.read.text(path).limit(1).collect()
         line = first[0].value if first else ""
         sep = "\t" if line.count("\t") > line.count(",") else ","
-    return spark.read.schema(schema).option("header", True).option("sep", sep).csv(path)
+    df = spark.read.schema(schema).option("header", True).option("sep", sep).csv(path)
+    return df.withColumn(stem, F.substring_index(F.col("_metadata.file_name"), ".", 1)) if stem else df
 
 
-def structure_column(columns, names=("canonical_smiles", "smiles", "structure", "mol", "molecule", "drug", "text")) -> str:
+#: Names of a structure column, the first that is there counts.
+STRUCTURE_COLUMNS = ("smiles", "mol", "drug", "x", "canonical_smiles", "mol_smiles", "smiles_text")
+
+
+def structure_column(columns, names=(*STRUCTURE_COLUMNS, "structure", "molecule", "text")) -> str:
     """The first of ``names`` that the columns have, whatever their case."""
     lower = {c.lower(): c for c in columns}
     for n in names:
@@ -81,29 +99,43 @@ def structure_column(columns, names=("canonical_smiles", "smiles", "structure",
     raise ValueError(f"no structure column among {list(columns)}")
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(path if "://" in path or path.startswith("/") else os.path.abspath(path))
+    return system.get_file_info(root).type != fs.FileType.NotFound
+
+
 def registry(spark: SparkSession, path: str, sources=None) -> DataFrame:
-    """The registry's files, partitioned by source; an empty folder gives an empty table of its schema."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        df = spark.read.schema(REGISTRY).parquet(path)
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        df = spark.createDataFrame([], REGISTRY)
+    """The registry's files, partitioned by source; a folder that isn't there gives an empty table of its schema."""
+    df = spark.read.schema(REGISTRY).parquet(path) if _exists(spark, path) else spark.createDataFrame([], REGISTRY)
     return df.where(F.col("source").isin(*sources)) if sources else df
 
 
-def predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet, else CSV with a header; every required column must be there."""
-    from pyspark.errors import AnalysisException
+def paired(measurements: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables of the tasks that have both: a task's entities count only where its measurements are there."""
+    tasks = measurements.select("task").distinct()
+    kept = entities.join(tasks, "task", "left_semi")
+    return measurements.join(kept.select("task").distinct(), "task", "left_semi"), kept
+
+
+def shards(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """One table of Parquet tables whose columns may differ; what one lacks is null."""
+    from functools import reduce
+
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (spark.read.parquet(p) for p in paths))
+
 
-    try:
+def predictions(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at path, else the CSV file of that name or with .csv for .parquet; None where neither is there. Every required
+    column must be there."""
+    plain = path.removesuffix(".parquet") + ".csv"
+    if _exists(spark, path) and not path.endswith((".csv", ".csv.gz")):
         df = spark.read.parquet(path)
-    except (AnalysisException, Exception) as e:  # noqa: B014  a CSV file fails as Parquet only when it is read
-        if "Parquet" not in str(e) and "PARQUET" not in str(e) and "INFER" not in str(e):
-            raise
-        df = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    elif found := next((p for p in (path, plain, f"{plain}.gz") if p.endswith((".csv", ".csv.gz")) and _exists(spark, p)), None):
+        df = spark.read.option("header", True).option("inferSchema", True).csv(found)
+    else:
+        return None
     missing = [c for c in PREDICTION_KEYS if c not in df.columns]
     if missing:
         raise ValueError(f"predictions lack {missing}")

@@ -79,7 +79,7 @@ def _record(**kw):
 def test_record_rules_and_paging(spark):
     all_ = [_record(), _record(standard_relation="<"), _record(pchembl_value=None), _record(pchembl_value=""), _record(data_validity_comment="x"), _record(potential_duplicate=1), _record(potential_duplicate="True"),
             _record(canonical_smiles=None), _record(document_year=None), _record(assay_chembl_id="Z")]
-    served = {"u": {"activities": all_[:4], "page_meta": {"next": "v"}}, "v": {"activities": all_[4:], "page_meta": {"next": None}}}
+    served = {"http://s/api/u?a=1": {"activities": all_[:4], "page_meta": {"next": "/api/v?offset=4"}}, "http://s/api/v?offset=4": {"activities": all_[4:], "page_meta": {"next": None}}}
     tries = []
 
     def get(url):
@@ -89,7 +89,7 @@ def test_record_rules_and_paging(spark):
         return json.dumps(served[url])
 
     waits = []
-    got = list(records.pages(get, "u", "activities", waits.append))
+    got = list(records.pages(get, "http://s/api/u?a=1", "activities", waits.append))
     assert len(got) == 10 and waits == [2]
     names = [c.split()[0] for c in records.RECORD.split(", ")]
     df = spark.createDataFrame([tuple(r[n] if r[n] is None or n == "document_year" else str(r[n]) for n in names) for r in got], records.RECORD)
@@ -114,3 +114,84 @@ def test_sinks(spark, tmp_path):
     assert tables.csv(spark, str(tmp_path / "a.csv"), "a int, b string").first().b == "x,y"
     assert tables.structure_column(["ID", "SMILES"]) == "SMILES"
     assert tables.registry(spark, str(tmp_path / "nowhere")).count() == 0
+
+
+def answer(url):
+    """A service of two pages for each target and type, with a relative next."""
+    from urllib.parse import parse_qs, urlparse
+
+    q = {k: v[0] for k, v in parse_qs(urlparse(url).query, keep_blank_values=True).items()}
+    assert q["standard_relation"] == "=" and q["data_validity_comment__isnull"] == "true" and q["limit"] == "1000" and q["assay_type"] == "B"
+    page = int(q.get("offset", 0))
+    rows = [_record(target_chembl_id=q["target_chembl_id"], standard_type=q["standard_type"], molecule_chembl_id=f"M{page}{i}", document_chembl_id=d) for i, d in enumerate("DE")]
+    rows = [r for r in rows if q.get("document_chembl_id", r["document_chembl_id"]) == r["document_chembl_id"]]
+    following = None if page else "/api/activity.json?" + urlparse(url).query + "&offset=2"
+    return json.dumps({"activities": rows, "page_meta": {"next": following}})
+
+
+def test_activities_source(spark):
+    spark.dataSource.register(records.Activities)
+    options = {"url": "http://s/api/activity.json", "targets": "T1,T2", "types": "Ki,IC50", "get": f"{__name__}:answer"}
+    df = spark.read.format("activities").options(**options).load()
+    assert df.rdd.getNumPartitions() == 4 and df.count() == 16
+    assert {(r.target_chembl_id, r.standard_type) for r in df.collect()} == {(t, k) for t in ("T1", "T2") for k in ("Ki", "IC50")}
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    some = spark.read.format("activities").options(**options, push="true").load().where("document_chembl_id = 'E' AND standard_type = 'Ki'")
+    assert some.count() == 4 and records.parse(some).count() == 4
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_catalogue_takes_molecules_only(spark):
+    row = {"owner": {"slug": "o"}, "slug": "s", "nRows": 3, "createdAt": "2024-02-03T01:02", "tags": ["b", "a"], "annotations": {"m": {"modality": "MOLECULE"}, "p": {"modality": "PROTEIN"}, "q": {"modality": None}}}
+    df = spark.read.schema(records.CATALOGUE).json(spark.sparkContext.parallelize([json.dumps(row), json.dumps({"slug": "t"})]))
+    a, b = sorted(records.catalogue(df, "2024-05-06").collect(), key=lambda r: r.slug)
+    assert (a.owner, a.n_rows, a.table_bytes, a.created, a.tags, a.mol_cols, a.downloaded) == ("o", 3, None, "2024-02-03", "b;a", "m", "2024-05-06")
+    assert (b.owner, b.tags, b.mol_cols) == (None, "", "")
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "c.yaml").write_text("models:\n  a: {training_cutoff: 2020-01-02, paper_date: 2021-01-01, registry_sources: [s1, s2]}\n  b: {training_cutoff: null, paper_date: 2022-03-04}\n  c: {}\n")
+    got = {r.model: (str(r.cutoff), r.basis, r.sources) for r in tables.cutoffs_file(spark, str(tmp_path / "c.yaml"), "2024-05-06").collect()}
+    assert got == {"a": ("2020-01-02", "training_cutoff", ["s1", "s2"]), "b": ("2022-03-04", "paper_date", None), "c": ("2024-05-06", "today", None)}
+    (tmp_path / "raw").mkdir()
+    (tmp_path / "raw" / "T1.csv").write_text("a,b\n1,x\n")
+    (tmp_path / "raw" / "T2.csv").write_text("")
+    assert [tuple(r) for r in tables.csv(spark, str(tmp_path / "raw"), "a int, b string", stem="target").collect()] == [(1, "x", "T1")]
+    assert tables.structure_column(["id", "X"]) == "X" and tables.structure_column(["canonical_smiles", "Drug"]) == "Drug"
+    m = spark.createDataFrame([("t1", 1), ("t2", 2)], "task string, mol_id int")
+    e = spark.createDataFrame([("t2", 2), ("t3", 3)], "task string, mol_id int")
+    assert [[r.task for r in df.collect()] for df in tables.paired(m, e)] == [["t2"], ["t2"]]
+    m.write.parquet(str(tmp_path / "s1"))
+    e.withColumnRenamed("mol_id", "n").write.parquet(str(tmp_path / "s2"))
+    assert tables.shards(spark, [str(tmp_path / "s1"), str(tmp_path / "s2")]).count() == 4
+    assert tables.predictions(spark, str(tmp_path / "p.parquet")) is None
+    (tmp_path / "p.csv").write_text("task,split,seed,model,mol_id,pred\nt,random,0,m,1,2.5\n")
+    assert tables.predictions(spark, str(tmp_path / "p.parquet")).first().pred == 2.5
+    with pytest.raises(ValueError):
+        tables.predictions(spark, str(tmp_path / "s1"))
+
+
+def test_vector_store_embeds_only_what_is_missing(spark, tmp_path):
+    asked = []
+
+    def embed(df):
+        asked.append(sorted(r.k for r in df.collect()))
+        return df.selectExpr("k", "array(1.0, 2.0) AS vector")
+
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "k long")
+    assert sinks.store_vectors(ids.where("k < 3"), str(tmp_path / "v"), embed, "k", "r1").count() == 2
+    assert sinks.store_vectors(ids, str(tmp_path / "v"), embed, "k", "r1").count() == 3 and asked == [[1, 2], [3]]
+    text = json.loads(sinks.metadata("d", {"v": spark.read.parquet(str(tmp_path / "v"))}, "http://x"))
+    assert all(len(f["md5"]) == 32 for f in text["distribution"]) and text["conformsTo"].endswith("/1.0")
+    with pytest.raises(ValueError):
+        sinks.merge(spark, "/a/b", ids, "k", "/a/b/")
+
+
+def test_loss_log_balances(spark):
+    m = spark.createDataFrame([("t", i, y) for i in range(6) for y in (1990, 2005)][:-1], "task string, mol_id int, year int")
+    flags = spark.createDataFrame([(0, True, True, False), (1, False, True, False), (2, False, False, True), (3, False, False, False), (4, False, False, False), (5, False, False, False)], "mol_id int, exact_full boolean, exact_short boolean, near boolean")
+    log = [tuple(r)[2:] for r in decontaminate.loss_log(m, flags, 2000).orderBy("step_no").collect()]
+    assert log == [("raw", 0, 0, 6, 11), ("exact_full", 1, 2, 5, 9), ("exact_short", 1, 2, 4, 7), ("near", 1, 2, 3, 5), ("year>2000", 1, 3, 2, 2)]
+    cuts = tables.cutoffs(spark, [("a", "1995-01-01", None, None), ("b", "2010-01-01", None, None)], "2020-01-01")
+    got = {r.model: (r.n_mols, r.n_meas) for r in decontaminate.model_cutoffs(decontaminate.clean_base(m, flags), cuts).collect()}
+    assert got == {"a": (2, 2), "b": (0, 0)} and decontaminate.cutoff_year(cuts) == 2010 and decontaminate.cutoff_year(cuts, ["a"]) == 1995 and decontaminate.cutoff_year(cuts, None, 0) == 0

@@ -7,10 +7,11 @@ from plumbline.operators import evaluate, significance, slices
 
 
 def test_holm_and_bh(spark):
-    df = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03), ("d", 0.005), ("e", None), ("f", float("nan"))], "k string, p double")
+    # by hand: sorted .002 .02 .024 .2, times 4 3 2 1, then the running maximum; and times 4/1 4/2 4/3 4/4, then the minimum from above
+    df = spark.createDataFrame([("a", 0.2), ("b", 0.002), ("c", 0.024), ("d", 0.02), ("e", None), ("f", float("nan"))], "k string, p double")
     rows = {r.k: (r.p_holm, r.p_bh) for r in significance.adjusted(df, "p", unique=("k",)).collect()}
-    assert [rows[k][0] for k in "abcd"] == pytest.approx([0.03, 0.06, 0.06, 0.02])
-    assert [rows[k][1] for k in "abcd"] == pytest.approx([0.02, 0.04, 0.04, 0.02])
+    assert [rows[k][0] for k in "abcd"] == pytest.approx([0.2, 0.008, 0.06, 0.06])
+    assert [rows[k][1] for k in "abcd"] == pytest.approx([0.2, 0.008, 0.032, 0.032])
     assert rows["e"] == rows["f"] == (None, None)
 
 
