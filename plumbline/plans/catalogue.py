@@ -558,12 +558,12 @@ def ridge_predictions(s, d):
 
 @query
 def rf_benchmark(s, d):
-    return models.fit_predict(parts(s, d).withColumn("n_docs", F.col("n_docs").cast("double")), ["p_size", "n_docs", "first_year"], "rf", trials=6)
+    return models.fit_predict(parts(s, d).withColumn("n_docs", F.col("n_docs").cast("double")), ["p_size", "n_docs", "first_year"], "rf")
 
 
 @query
 def gbt_benchmark(s, d):
-    return models.fit_predict(parts(s, d).withColumn("n_docs", F.col("n_docs").cast("double")), ["p_size", "n_docs", "first_year"], "gbm", trials=6)
+    return models.fit_predict(parts(s, d).withColumn("n_docs", F.col("n_docs").cast("double")), ["p_size", "n_docs", "first_year"], "gbm")
 
 
 @query
