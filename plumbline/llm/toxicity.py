@@ -180,7 +180,7 @@ def _count(docs: DataFrame, picked: DataFrame) -> DataFrame:
     are words, pairs, and for each word that begins pairs the word with a space after it, which counts its pairs.
 
     Most pairs are seen once. So what tasks pass on has a row for each bucket, with its entries line by line and a count only where
-    it isn't 1: a third of the bytes that a row for each entry has."""
+    it isn't 1, which shuffles fewer bytes than a row for each entry."""
 
     def told(held: tuple[Counter, Counter]) -> pa.RecordBatch:
         sums = dict(held[0])
