@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, packing, pii, quality, sharding, simhash, tokenids, topk, toxicity, urlfilter
+from . import decontam, graphs, packing, periodic, pii, quality, sharding, simhash, tokenids, topk, toxicity, urlfilter, variants
 from .common import read
 
 
@@ -46,8 +46,23 @@ def op10_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op11_periodic(spark, sf_dir):
+    return periodic.digest(read(spark, sf_dir, "documents"))
+
+
+def op12_variants(spark, sf_dir):
+    return variants.grouped(read(spark, sf_dir, "documents"))
+
+
+def op13_neighbours(spark, sf_dir):
+    return graphs.nearest(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_toxicity, op3_pii, op4_urlfilter, op5_decontam, op6_topk, op7_quality, op8_sharding, op9_tokenids, op10_packing)
+    for f in (
+        op1_simhash, op2_toxicity, op3_pii, op4_urlfilter, op5_decontam, op6_topk, op7_quality, op8_sharding, op9_tokenids, op10_packing, op11_periodic, op12_variants,
+        op13_neighbours,
+    )
 }
 ORACLE = {"op4_urlfilter": urlfilter.ORACLE, "op6_topk": topk.ORACLE}
