@@ -1,34 +1,42 @@
 """Histogram sort: rows in even shards by exact byte counts below candidate key boundaries, DataFrame functions only.
 
-The order key of a row is crc32(text) << 31 | 31 bits of xxhash64(doc_id): equal texts are neighbours, and a group of
-copies of any size can be cut between two of its rows. Splitters are found as in histogram sort: each round counts the
-exact bytes and rows below equally spaced probes inside the intervals that still hold a splitter, and keeps the
-sub-interval around each target until some probe is within the tolerance. Where all rows at a splitter share one key, being
-repeats of text and id, they are cut by a number of their own, in the same way.
-
-Only counts come to the driver, at most ``2 ** FIRST_BITS`` rows or ``2 ** NEXT_BITS`` for each splitter. There are 16 to 64 ranges
-(cells) in each shard, by the size of all texts, so that the one exchange of the documents that follows deals to many tasks; a
-row's slot is the exact number of its shard's rows in earlier cells plus its place in the cell.
+Rows are ordered by 63 bits of the text's hash, then of the id's: equal texts are neighbours (among texts that share such a hash they
+mix), and a group of copies of any size can be cut between two of its rows. Splitters are found as in histogram sort: each
+round counts the exact bytes and rows below equally spaced probes inside the intervals that still hold a splitter, and keeps the
+sub-interval around each target until some probe is within the tolerance. Where all rows at a splitter have one text, they are cut by
+their ids' hashes in the same way, and repeats of text and id by a number of their own.
+
+Only counts come to the driver, at most ``2 ** FIRST_BITS`` rows or ``2 ** NEXT_BITS`` for each splitter. A shard is cut into ranges
+(cells) of about ``CELL_BYTES``, ``CELLS`` at least and ``MOST_CELLS`` in all, so that the one exchange of the documents that follows
+deals to many tasks; a row's slot is the exact number of its shard's rows in earlier cells plus its place in the cell.
 """
 
 from __future__ import annotations
 
+import json
+from bisect import bisect_left
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import free, shared_dir, written
 
 KEY_BITS = 63
 FIRST_BITS = 12
 NEXT_BITS = 6
-#: Ranges in a shard: one for each ``CELL_BYTES`` of it within these bounds.
-CELLS, MOST_CELLS, CELL_BYTES = 16, 64, 1 << 30
+#: The driver holds up to ``2 ** NEXT_BITS`` counts for each of ``MOST_CELLS`` ranges; beyond them, ranges and their tasks grow.
+CELLS, MOST_CELLS, CELL_BYTES = 16, 1 << 14, 1 << 28
 #: Of a shard's mean bytes, how far a splitter may be from its target.
 TOLERANCE = 0.0005
 
 
-def order_key(text: Column, doc_id: Column) -> Column:
-    return F.shiftleft(F.crc32(F.coalesce(text, F.lit("")).cast("binary")), 31).bitwiseOR(F.xxhash64(doc_id).bitwiseAND(F.lit((1 << 31) - 1)))
+def text_key(text: Column) -> Column:
+    """A null text counts as an empty one."""
+    return F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
+
+
+def id_key(doc_id: Column) -> Column:
+    return F.xxhash64(doc_id).bitwiseAND(F.lit((1 << KEY_BITS) - 1))
 
 
 def sized(text: Column) -> Column:
@@ -79,15 +87,19 @@ def _narrowed(rows: DataFrame, column: str, open_: dict, targets: list[float], t
     return found, stuck
 
 
-def cell_of(key: Column, number: Column, edges: list[tuple[int, int]], low: int = 0, high: int | None = None) -> Column:
-    """Number of edges at or below (key, number), by a balanced tree of comparisons."""
-    high = len(edges) if high is None else high
-    if low == high:
-        return F.lit(low)
-    mid = (low + high) // 2
-    k, n = edges[mid]
-    below = key < F.lit(k) if n == 0 else (key < F.lit(k)) | ((key == F.lit(k)) & (number < F.lit(n)))
-    return F.when(below, cell_of(key, number, edges, low, mid)).otherwise(cell_of(key, number, edges, mid + 1, high))
+def cell_of(place: Column, edges: list[tuple[int, int, int]]) -> Column:
+    """Number of edges at or below place, a struct of (key, sub, number). The edges are one value; a key's leading bits tell
+    how many of them are below all such keys, so that only those with the same bits are compared."""
+    shift = KEY_BITS - FIRST_BITS
+    heads = [k >> shift for k, *_ in edges]
+    below = [bisect_left(heads, x) for x in range((1 << FIRST_BITS) + 1)]
+    start = F.from_json(F.lit(json.dumps(below)), "array<int>")
+    listed = F.from_json(F.lit(json.dumps([dict(zip("ksn", e)) for e in edges])), "array<struct<k: bigint, s: bigint, n: bigint>>")
+    at = F.shiftright(place["key"], shift).cast("int")
+    first = F.get(start, at)
+    near = F.slice(listed, first + 1, F.get(start, at + 1) - first)
+    passed = lambda e: (e["k"] < place["key"]) | ((e["k"] == place["key"]) & ((e["s"] < place["sub"]) | ((e["s"] == place["sub"]) & (e["n"] <= place["number"]))))
+    return first + F.aggregate(near, F.lit(0), lambda n, e: n + F.when(passed(e), 1).otherwise(0))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -96,35 +108,41 @@ def write_shards(docs: DataFrame, path: str, shards: int = 8, id_col: str = "doc
     Law ``bytes``: the shards' sizes are equal within ``TOLERANCE`` of their mean, or within one row where a row is larger. Every row
     is kept, null texts and ids and repeated rows too; an empty table gives an empty one. Columns shard and slot of docs give way."""
     docs = docs.drop("shard", "slot")
-    key, size = order_key(F.col(text_col), F.col(id_col)).alias("key"), sized(F.col(text_col)).alias("size")
-    rows = written(docs.select(key, size), "keys")
+    key, sub, size = text_key(F.col(text_col)), id_key(F.col(id_col)), sized(F.col(text_col))
+    rows = written(docs.select(key.alias("key"), sub.alias("sub"), size.alias("size")), "keys")
     total = rows.agg(F.sum("size")).first()[0] or 0
-    cells, tolerance = max(CELLS, min(MOST_CELLS, total // shards // CELL_BYTES)), TOLERANCE * total / shards
-    parts = shards * cells
+    parts = shards * max(CELLS, min(MOST_CELLS // shards, total // shards // CELL_BYTES))
+    cells, tolerance = parts // shards, TOLERANCE * total / shards
     targets = [total * j / parts for j in range(1, parts)]
     found, stuck = _narrowed(rows, "key", dict.fromkeys(range(parts - 1), ((), 0, 0)), targets, tolerance)
-    cut = {j: (k, 0, b, n) for j, (_, k, b, n) in found.items()}
+    cut = {j: (k, 0, 0, b, n) for j, (_, k, b, n) in found.items()}
     number = F.lit(0).cast("long")
+    if stuck:  # copies of a text, cut by the hashes of their ids
+        copies = written(rows.where(F.col("key").isin(sorted({k for _, k, _, _ in stuck.values()}))), "copies")
+        found, stuck = _narrowed(copies, "sub", {j: ((k,), b, n) for j, (_, k, b, n) in stuck.items()}, targets, tolerance, ("key",))
+        cut |= {j: (*group, x, 0, b, n) for j, (group, x, b, n) in found.items()}
     if stuck:  # repeats of text and id: they need numbers that stay, so the documents are written with theirs
-        docs = written(docs.withColumn("__number", F.monotonically_increasing_id()), "numbered")
-        number = F.col("__number")
-        heavy = sorted({k for _, k, _, _ in stuck.values()})
-        rows = written(docs.select(key, number.alias("number"), size).where(F.col("key").isin(heavy)), "repeats")
+        own = free("__number", docs)
+        docs = written(docs.withColumn(own, F.monotonically_increasing_id()), "numbered")
+        number = F.col(own)
+        heavy = sorted({(*group, x) for group, x, _, _ in stuck.values()})
+        repeats = docs.select(key.alias("key"), sub.alias("sub"), number.alias("number"), size.alias("size"))
+        repeats = written(repeats.where(F.struct("key", "sub").isin([F.struct(*[F.lit(x).cast("long") for x in g]) for g in heavy])), "repeats")
         # one repeat is one step: nothing is nearer than the nearest number
-        near, rest = _narrowed(rows, "number", {j: ((k,), b, n) for j, (_, k, b, n) in stuck.items()}, targets, tolerance, ("key",))
-        cut |= {j: (group[0], x, b, n) for j, (group, x, b, n) in (near | rest).items()}
+        near, rest = _narrowed(repeats, "number", {j: ((*group, x), b, n) for j, (group, x, b, n) in stuck.items()}, targets, tolerance, ("key", "sub"))
+        cut |= {j: (*group, x, b, n) for j, (group, x, b, n) in (near | rest).items()}
     cuts = [cut[j] for j in range(parts - 1)]
     before = [0] + [n for *_, n in cuts]
     # rows below the cell, less those below its shard
-    offsets = [before[c] - before[c // cells * cells] for c in range(shards * cells)]
-    first = F.element_at(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("__cell") + 1)
-    order = Window.partitionBy("__cell").orderBy("__key", number)
+    offsets = [before[c] - before[c // cells * cells] for c in range(parts)]
+    place, cell = free("__place", docs), free("__cell", docs)
+    first = F.get(F.from_json(F.lit(json.dumps(offsets)), "array<bigint>"), F.col(cell))
+    placed = docs.withColumn(place, F.struct(key.alias("key"), sub.alias("sub"), number.alias("number")))
+    placed = placed.withColumn(cell, cell_of(F.col(place), [c[:3] for c in cuts]))
     placed = (
-        docs.withColumn("__key", key)
-        .withColumn("__cell", cell_of(F.col("__key"), number, [c[:2] for c in cuts]))
-        .withColumn("slot", (first + F.row_number().over(order) - 1).cast("long"))
-        .withColumn("shard", F.floor(F.col("__cell") / F.lit(cells)).cast("int"))
-        .drop("__key", "__cell", "__number")
+        placed.withColumn("slot", (first + F.row_number().over(Window.partitionBy(cell).orderBy(place)) - 1).cast("long"))
+        .withColumn("shard", F.floor(F.col(cell) / F.lit(cells)).cast("int"))
+        .drop(place, cell, *([own] if stuck else []))
     )
     placed.write.partitionBy("shard").parquet(path)
     return docs.sparkSession.read.schema(placed.schema).parquet(path)
