@@ -12,8 +12,8 @@ does. A query goes through every shard by beam search, and the results' scores a
 again from the vectors as they came, in double precision. Searches and pruning are numpy over a batch of vectors at once.
 
 A task holds one shard at a time; queries stream by it in batches, ordered behind the shard's nodes by the shuffle that brings both
-together. Rows whose vector is null, zero, or holds a null or non-finite component take no part, nor do rows with a null id; rows
-that repeat an id are candidates and queries each for itself; vectors of different lengths have graphs of their own. An empty table
+together. Rows whose vector is null, zero, or holds a null or non-finite component take no part; rows that
+repeat an id are candidates and queries each for itself, those without one candidates that come last among ties; vectors of different lengths have graphs of their own. An empty table
 gives no rows. Other columns aren't read.
 """
 
@@ -43,14 +43,14 @@ def vectors(embeddings: DataFrame) -> DataFrame:
     """row, vec_id, v (doubles), size for the rows that take part."""
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     some = F.exists("embedding", lambda x: x != 0)
-    rows = embeddings.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite & some)
+    rows = embeddings.where(F.col("embedding").isNotNull() & finite & some)
     return rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.col("embedding").cast("array<double>").alias("v"), F.size("embedding").alias("size"))
 
 
 def nodes(rows: DataFrame, k: int = K) -> DataFrame:
     """shard, size, v, members (the k + 1 least (vec_id, row)) for each distinct vector of rows. The tails of equal vectors go
     where the rows stand, before any shuffle."""
-    order = Window.partitionBy("v").orderBy("vec_id", "row")
+    order = Window.partitionBy("v").orderBy(F.col("vec_id").asc_nulls_last(), "row")
     least = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
     each = written(least.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("vec_id", "row"))).alias("members")), "distinct")
     shards = -(-each.count() // SHARD)
@@ -235,8 +235,8 @@ def _found(index, asked, k: int, beam: int) -> pa.RecordBatch:
     for (row, query_id, v), at in zip(asked, ids):
         at = at[at >= 0]
         score = (x[at] * np.array(v)).sum(axis=1)
-        best = sorted((-s, vec_id, r) for s, j in zip(score.tolist(), at.tolist()) for vec_id, r in ((m["vec_id"], m["row"]) for m in members[j]) if r != row)
-        out += [(row, query_id, vec_id, -s) for s, vec_id, r in best[:k]]
+        best = [(-s, m["vec_id"] is None, m["vec_id"]) for s, j in zip(score.tolist(), at.tolist()) for m in members[j] if m["row"] != row]
+        out += [(row, query_id, vec_id, -s) for s, _, vec_id in sorted(best, key=lambda b: b[:2] + (b[2] or 0,))[:k]]
     columns = zip(*out) if out else [[]] * 4
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(),) * 3 + (pa.float64(),))], names=["query_row", "query_id", "vec_id", "score"])
 
@@ -252,7 +252,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = K, beam: int = BEAM) -
     known = index.select("shard", "size", "node", "entry", "v", "members", "edges", F.lit(None).cast("long").alias("query_row"), F.lit(None).cast("long").alias("query_id"))
     both = known.unionAll(asked).repartition("shard", "size").sortWithinPartitions("shard", "size", F.col("node").asc_nulls_last(), "query_row")
     found = both.mapInArrow(_answered(k, beam), "query_row long, query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
     return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "query_row")
 
 
