@@ -4,25 +4,27 @@ of near-duplicates stays, contaminated documents go, personal data is masked, an
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from plumbline.llm import decontam, packing, pii, simhash, toxicity
-from plumbline.llm.common import read, remove, scratch, shared_dir, written_at
+from plumbline.llm.common import free, read, remove, scratch, shared_dir, written_at
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored under 0.5, by a model of the labelled documents among docs; null and empty texts stay."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, "__score", "__toxic").where("__toxic = 0").select(*docs.columns)
+    score, toxic = free("__score", docs), free("__toxic", docs)
+    return toxicity.scored(docs, model, score, toxic).where(F.col(toxic) == 0).drop(score, toxic)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each component of near-duplicates."""
-    return simhash.deduplicated(docs).select(*docs.columns)
+    return simhash.deduplicated(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
-    return decontam.cleaned(docs, read(spark, sf_dir, "benchmark")).select(*docs.columns)
+    return decontam.cleaned(docs, read(spark, sf_dir, "benchmark"))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,9 +17,23 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(name: str, *frames: DataFrame) -> str:
+    """name, longer by underscores until no column of the frames is called so."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 _made: list[list[str]] = []
 
 
+def _hadoop(spark: SparkSession, path: str):
+    """The Hadoop file system of path, and its path there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder in the one that the cluster names in spark.checkpoint.dir. A temporary one stands in only where that is unset
     and driver and executors are one process; a cluster without it is an error, since its executors share no local folder."""
@@ -29,19 +43,18 @@ def shared_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/plumbline-{uuid.uuid4().hex}"
+    # as Hadoop names it in full: a path without a scheme is another thing to Spark than to a task's own file access
+    system, at = _hadoop(spark, base)
+    path = f"{system.makeQualified(at).toString().rstrip('/')}/plumbline-{uuid.uuid4().hex}"
     if _made:
         _made[-1].append(path)
     return path
 
 
 def remove(paths: list[str]) -> None:
-    from pyarrow import fs
-
     for path in paths:
-        system, root = fs.FileSystem.from_uri(path)
-        if system.get_file_info(root).type == fs.FileType.Directory:
-            system.delete_dir(root)
+        system, at = _hadoop(SparkSession.active(), path)
+        system.delete(at, True)
 
 
 @contextmanager

@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import free, written
 
 WINDOW = 5
 SHARE = 0.8
@@ -196,5 +196,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def cleaned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the contaminated ones."""
-    bad = written(matches(docs, benchmark)[0].select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "contaminated")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+    id_, hash_ = free("__id", docs), free("__hash", docs)
+    bad = written(matches(docs, benchmark)[0].select(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_)).distinct(), "contaminated")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("text") == F.col(hash_)), "left_anti")

@@ -229,4 +229,4 @@ def redacted(docs: DataFrame) -> DataFrame:
     out = docs.withColumn("text", _masked("text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out

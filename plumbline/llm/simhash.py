@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import written
+from .common import free, written
 from .components import components
 
 RADIUS = 2
@@ -110,9 +110,10 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     # joined by keys of their own, so that both sides are dealt anew and a large component can be split
     members = placed.join(several, F.col("root") + F.lit(0) == F.col("its_root") + F.lit(0))
     chosen = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))
-    marked = members.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), chosen.alias("__chosen")).agg(F.count(F.lit(1)).alias("__n"))
-    marked = written(marked.where("NOT __chosen OR __n > 1"), "dropped")
+    id_, hash_, kept, n = (free(c, docs) for c in ("__id", "__hash", "__kept", "__n"))
+    marked = members.groupBy(F.col("doc_id").alias(id_), F.col("text_hash").alias(hash_), chosen.alias(kept)).agg(F.count(F.lit(1)).alias(n))
+    marked = written(marked.where(~F.col(kept) | (F.col(n) > 1)), "dropped")
     mine = F.xxhash64("text")
-    on = F.col("doc_id").eqNullSafe(F.col("__id")) & (mine == F.col("__hash"))
-    once = docs.join(marked.where("__chosen"), on, "left_semi").withColumn("__hash", mine).dropDuplicates(["doc_id", "__hash"]).drop("__hash")
+    on = F.col("doc_id").eqNullSafe(F.col(id_)) & (mine == F.col(hash_))
+    once = docs.join(marked.where(kept), on, "left_semi").withColumn(hash_, mine).dropDuplicates(["doc_id", hash_]).drop(hash_)
     return docs.join(marked, on, "left_anti").unionAll(once)

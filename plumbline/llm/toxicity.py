@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import doc_crc, teaching, written
+from .common import doc_crc, free, teaching, written
 
 #: Of labelled documents, the part that fits the two numbers, and that part of ``SAMPLE`` of each class at most.
 SAMPLE = 4000
@@ -149,9 +149,10 @@ def with_evidence(docs: DataFrame, model: Model, to: str = "evidence") -> DataFr
     held = texts.mapInPandas(task, "text_key string, size long, entry string, n long")
     # copies give the same rows, which count once
     sums = held.distinct().join(model.table, "entry", "left").groupBy("text_key", "size").agg(F.sum(F.col("n") * F.coalesce("odds", F.lit(0.0))).alias("total"))
-    sums = sums.select(F.col("text_key").alias("__key"), ((F.col("total") + F.lit(model.base) * F.col("size")) / (F.col("size") + PRIOR_WORDS)).alias("__told"))
-    out = docs.join(sums, F.sha2(F.col("text").cast("binary"), 256) == F.col("__key"), "left")
-    return out.withColumn(to, F.coalesce("__told", F.lit(0.0))).drop("__key", "__told")
+    key, told = free("__key", docs), free("__told", docs)
+    sums = sums.select(F.col("text_key").alias(key), ((F.col("total") + F.lit(model.base) * F.col("size")) / (F.col("size") + PRIOR_WORDS)).alias(told))
+    out = docs.join(sums, F.sha2(F.col("text").cast("binary"), 256) == F.col(key), "left")
+    return out.withColumn(to, F.coalesce(told, F.lit(0.0))).drop(key, told)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, allowed) -> DataFrame:
@@ -295,8 +296,9 @@ def fit(docs: DataFrame, labels: DataFrame, allowed=None) -> Model:
 
 def scored(docs: DataFrame, model: Model, score: str = "toxic_score", toxic: str = "toxic") -> DataFrame:
     """docs with two more columns, the score and whether it is at least 0.5; columns of docs that have their names give way."""
-    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col("__evidence") * model.slope + model.shift))
-    out = with_evidence(docs, model, "__evidence").withColumn(score, 1 / (1 + F.exp(-z))).drop("__evidence")
+    told = free("__evidence", docs)
+    z = F.greatest(F.lit(-30.0), F.least(F.lit(30.0), F.col(told) * model.slope + model.shift))
+    out = with_evidence(docs, model, told).withColumn(score, 1 / (1 + F.exp(-z))).drop(told)
     return out.withColumn(toxic, F.when(F.col(score) >= 0.5, 1).otherwise(0))
 
 

@@ -1,9 +1,14 @@
+import pathlib
 import random
+import re
 
 import corpus_pipeline
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from plumbline.llm import decontam, packing, pii, simhash, toxicity
+from plumbline.llm.common import written
 
 from .test_simhash import brute_components, brute_fingerprint
 from .test_text_operators import brute_contaminated
@@ -65,3 +70,22 @@ def test_stages_against_plain_ones(spark, tmp_path):
     run = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in run) == sorted((r.doc_id, r.piece, r.ids_crc32) for r in packed)
     assert decontam.WINDOW == 5 and simhash.RADIUS == 2
+
+
+def test_columns_of_any_name_go_through(spark, tmp_path):
+    """Every name that the operators use inside, and one with a dot, as a column of documents."""
+    _tables(spark, str(tmp_path))
+    code = " ".join(p.read_text() for p in pathlib.Path(pii.__file__).parent.glob("*.py"))
+    names = sorted({n.lower() for n in re.findall(r"\"([A-Za-z_]\w*)\"", code)} - {"doc_id", "text", "lang", "source", "n_chars"})
+    assert {"__id", "__hash", "__evidence", "__told", "root", "fp"} <= set(names)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    more = [F.lit(k).alias(n) for k, n in enumerate([*names, "a.b", "__score", "__toxic"])]
+    plain, wide = docs.where("doc_id % 3 = 0 OR doc_id > 250"), docs.where("doc_id % 3 = 0 OR doc_id > 250").select("*", *more)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        plain, wide = (written(stage(spark, d, str(tmp_path)), "stage") for d in (plain, wide))
+        assert wide.columns == [*plain.columns, *names, "a.b", "__score", "__toxic"]
+        own = [F.col(c) for c in plain.columns]
+        assert sorted(map(tuple, wide.select(*own).collect()), key=str) == sorted(map(tuple, plain.collect()), key=str)
+        assert wide.select(*[F.col(f"`{c}`") for c in wide.columns[len(plain.columns) :]]).distinct().count() == 1
+    packed = [sorted((r.doc_id, r.piece, r.ids_crc32) for r in corpus_pipeline.STAGES[-1][1](spark, d, str(tmp_path)).collect()) for d in (plain, wide)]
+    assert packed[0] == packed[1]

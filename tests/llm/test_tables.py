@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 
 from pyspark.sql import functions as F
 
@@ -85,9 +86,37 @@ def test_shards_of_repeats_and_of_nothing(spark, docs):
     assert [(r.shard is not None, r.slot) for r in sharding.shard(docs(["t"])).collect()] == [(True, 0)]
 
 
+def test_shards_are_in_order_of_texts(spark, docs):
+    """Against a plain sort: texts with one crc32 don't mix, slots follow the order, and shards are cut where bytes say."""
+    one, two = "a02552f76dbdf5fd", "670009b22c087272"
+    assert zlib.crc32(one.encode()) == zlib.crc32(two.encode())
+    rng = random.Random(8)
+    texts = [one, two] * 20 + ["copy " * 9] * 900 + [f"t{i} " * rng.randrange(60) for i in range(600)] + [None, ""]
+    df = docs(texts)
+    keys = {i: tuple(xxhash.xxh64_intdigest(b, 42) & (2**63 - 1) for b in ((t or "").encode(), i.to_bytes(8, "little"))) for i, t in enumerate(texts)}
+    rows = sorted(sharding.shard(df).collect(), key=lambda r: (r.shard, r.slot))
+    assert [keys[r.doc_id] for r in rows] == sorted(keys.values())
+    order = [texts[r.doc_id] or "" for r in rows]
+    assert sum(a != b for a, b in zip(order, order[1:])) == len(set(order)) - 1
+    total, largest = sum(r["size"] for r in rows), max(r["size"] for r in rows)
+    for k in range(1, 8):
+        below = sum(r["size"] for r in rows if r.shard < k)
+        assert abs(below - total * k / 8) <= max(largest, sharding.TOLERANCE * total / 8)
+    for k in range(8):
+        assert [r.slot for r in rows if r.shard == k] == list(range(sum(r.shard == k for r in rows)))
+
+
+def test_many_cells(docs, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_BYTES", 256)
+    df = docs(["copy"] * 1500 + [f"text {i}" for i in range(1500)])
+    rows = sharding.shard(df).collect()
+    assert len({(r.shard, r.slot) for r in rows}) == 3000
+    assert all({r.slot for r in rows if r.shard == k} == set(range(sum(r.shard == k for r in rows))) for k in range(8))
+
+
 def test_written_shards_hold_every_row(docs, tmp_path):
     df = docs([f"text {i} " * (i % 40) for i in range(300)])
-    df = df.selectExpr("*", "'x' AS shard", "1 AS key")
+    df = df.selectExpr("*", "'x' AS shard", "1 AS key", "2 AS __cell", "3 AS __place", "4 AS __number")
     out = sharding.write_shards(df, str(tmp_path / "s"))
     assert set(out.columns) == {*df.columns, "slot"}
     assert sorted(r.doc_id for r in out.collect()) == list(range(300)) and out.select("shard").distinct().count() == 8
@@ -103,11 +132,11 @@ def test_topk_matches_brute_force(spark):
     got = {}
     for r in topk.nearest(df).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    v = np.floor(1024 * x.astype(np.float64)).astype(np.int64)
+    v = np.floor(1024 * np.concatenate((x, x[:1])).astype(np.float64)).astype(np.int64)
     for q in range(0, 900, 100):
         s = v @ v[q]
-        order = sorted((i for i in range(900) if i != q), key=lambda i: (-s[i], i))[:10]
-        assert sorted(got[q]) == [(k + 1, i, int(s[i])) for k, i in enumerate(order)]
+        order = sorted((i for i in range(901) if i != q), key=lambda i: (-s[i], i))[:10]  # the row without an id is 900 here, last of ties
+        assert sorted(got[q]) == [(k + 1, i if i < 900 else None, int(s[i])) for k, i in enumerate(order)]
     assert [g[1] for g in got[1100]] == [1101]
     assert set(got) == set(range(0, 900, 100)) | {1100}
     assert topk.nearest(df.limit(0)).collect() == []
@@ -141,6 +170,18 @@ def test_topk_of_large_components_is_exact_or_an_error(spark):
             top([(0, [bad, 1.0]), (1, [bad, 2.0])])
 
 
+def test_topk_with_huge_vectors_beside_others(spark):
+    rows = [(0, [1.0, 0.0]), (100, [3e12, 1.0]), (1, [0.0, 1e30]), (2, [-1e30, 0.0])] + [(i, [float(i), 1.0]) for i in range(3, 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in topk.nearest(df, 1000).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    best = [(1, 100, 1024 * 1024 * 3 * 10**12)] + [(k, i, 1024 * 1024 * i) for k, i in enumerate(range(15, 6, -1), 2)]
+    assert {q: sorted(v) for q, v in got.items()} == {0: best}
+    with pytest.raises(Exception, match="query 0 doesn't fit 64 bits"):
+        topk.nearest(df.where("vec_id <> 15"), 1000, 17).collect()
+
+
 def test_batches_of_queries_give_the_same(spark, monkeypatch):
     rng = np.random.default_rng(2)
     df = spark.createDataFrame([(100 * i, [float(v) for v in r]) for i, r in enumerate(rng.normal(0, 1, (60, 8)))], "vec_id long, embedding array<float>")
@@ -153,6 +194,6 @@ def test_a_block_stops_early_on_proof(monkeypatch):
     rng = np.random.default_rng(3)
     x = rng.integers(-300, 300, (4000, 32))
     x[7] = x[11] = 900
-    block, q = topk.Block(np.arange(4000), np.arange(4000), x), np.full(32, 50)
+    block, q = topk.Block(np.arange(4000), np.arange(4000), np.ones(4000, bool), x), np.full(32, 50)
     at, scores = block.search(-1, q, 2, None)
     assert {7, 11} <= set(at.tolist()) and len(at) < 4000 and (scores == x[at] @ q).all()
