@@ -22,8 +22,8 @@ from .common import END_ID, TOKENIZER
 
 #: Words and pieces whose ids a process keeps in each of two generations: once the new one is full it becomes the old one, and
 #: what is met again moves from the old one to the new.
-KEPT_WORDS = 400_000
-KEPT_PIECES = 200_000
+KEPT_WORDS = 200_000
+KEPT_PIECES = 100_000
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_L}]*")
 _WORD = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
