@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -34,24 +34,15 @@ def share(condition: Column) -> Column:
     return F.avg(F.when(condition, 1.0).otherwise(0.0))
 
 
-def average_rank(x: str, *by: str) -> Column:
-    """Ranks from 1 within ``by``; ties share the mean of theirs."""
-    peers = F.count(F.lit(1)).over(Window.partitionBy(*by, x))
-    return F.rank().over(Window.partitionBy(*by).orderBy(x)) + (peers - 1) / F.lit(2.0)
-
-
 def correlation(x, y) -> Column:
-    """Pearson's; null where either side has no variance."""
-    return F.when((F.var_pop(col(x)) > 0) & (F.var_pop(col(y)) > 0), F.covar_pop(col(x), col(y)) / F.sqrt(F.var_pop(col(x)) * F.var_pop(col(y))))
-
-
-def quantiles(x, *at: float) -> list[Column]:
-    return [F.percentile(col(x), F.lit(p)) for p in at]
+    """Pearson's; null where either side has no variance, by its ends: partial variances of equal values may add up to a rounding
+    error."""
+    return F.when((F.max(col(x)) > F.min(col(x))) & (F.max(col(y)) > F.min(col(y))), F.covar_pop(col(x), col(y)) / F.sqrt(F.var_pop(col(x)) * F.var_pop(col(y))))
 
 
 def rounded(df, digits: int = 6):
-    """Doubles at ``digits`` decimals, so that sums in another order compare equal."""
-    return df.select(*[F.round(c, digits).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+    """Doubles at ``digits`` decimals, so that sums in another order compare equal; no zero is negative."""
+    return df.select(*[(F.round(c, digits) + 0.0).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
 
 
 def rmse_floor(sigma, inverse_docs) -> Column:

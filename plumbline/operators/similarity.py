@@ -10,6 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.stored import kept
+
+#: Bounds of the best match's rounds, per mille.
+FALLS = (800, 400, 150, 0)
+
 
 def shingles(df: DataFrame, key: str, words: str = "words", k: int = 5) -> DataFrame:
     """(key, feature, n): the distinct k-word shingles of each row and their number; fewer words are one shingle, no words none."""
@@ -52,9 +57,48 @@ def similar(left: DataFrame, right: DataFrame, lkey: str, rkey: str, per_mille:
     return counted.where(exact >= union if inclusive else exact > union)
 
 
-def best(left: DataFrame, right: DataFrame, lkey: str, rkey: str) -> DataFrame:
-    """(lkey, similarity): each row's largest similarity to the right side; rows that share no feature are not in it."""
-    return jaccard(overlaps(left, right, lkey, rkey)).groupBy(lkey).agg(F.max("similarity").alias("similarity"))
+def best(left: DataFrame, right: DataFrame, lkey: str, rkey: str, falls: tuple[int, ...] = FALLS, joined: list[int] | None = None) -> DataFrame:
+    """(lkey, similarity): each row's largest similarity to the right side; rows that share no feature are not in it.
+
+    A bound falls from round to round. First every feature names a witness, its smallest row on the right, and the features that
+    name one witness count together: what each row has at least. A round of bound t then looks for similarities of t or more
+    that exceed what a row has, on features from the rarest on: a pair whose first common feature has i features after it, itself
+    included, has no more than i in common, so features late in a row's order, which are the frequent ones, are joined only while
+    that could still be enough. A row that has t or more after its round is proven and leaves; the last round's bound is 0, so
+    that each row's own similarity is the bound. joined takes the pairs that each round compares in full."""
+    seen = right.groupBy("feature").agg(F.count(F.lit(1)).alias("f"), F.min(F.struct(F.col("n").alias("size"), F.col(rkey).alias("key"))).alias("witness"))
+    seen = kept(seen, "features")
+    order = F.col("f").desc(), F.col("feature").desc()
+    b = right.select(rkey, F.col("n").alias("rn"), "feature").join(seen.select("feature", "f"), "feature")
+    b = kept(b.select(rkey, "rn", "feature", F.row_number().over(Window.partitionBy(rkey).orderBy(*order)).alias("r_rest")), "right")
+    a = left.select(lkey, F.col("n").alias("ln"), "feature").join(seen, "feature")
+    a = kept(a.select(lkey, "ln", "feature", "witness", F.row_number().over(Window.partitionBy(lkey).orderBy(*order)).alias("l_rest")), "left")
+    both = F.count(F.lit(1)).alias("both")
+    start = a.groupBy(lkey, "ln", "witness").agg(both).groupBy(lkey, "ln")
+    state = kept(start.agg(F.max(F.col("both") / (F.col("ln") + F.col("witness.size") - F.col("both"))).alias("has")), "state")
+    before = 1000
+    for t in falls:
+        open_ = state.where(F.col("has") * 1000 < before)
+        before = t
+        if open_.isEmpty():
+            continue
+
+        def enough(i, sizes, t=t):
+            return (i * 1000 >= (sizes - i) * t) & (i / (sizes - i) > F.col("has"))
+
+        early = open_.drop("ln").join(a, lkey).where(enough(F.col("l_rest"), F.col("ln") + F.greatest("witness.size", "l_rest")))
+        late = b.where(F.col("r_rest") * 1000 >= F.col("rn") * t)
+        pairs = early.join(late, "feature").where(enough(F.least("l_rest", "r_rest"), F.col("ln") + F.col("rn"))).select(lkey, rkey, "ln", "rn").distinct()
+        pairs = kept(pairs, "pairs")
+        if joined is not None:
+            joined.append(pairs.count())
+        # whole rows meet as arrays: no row for each common feature
+        ours = a.join(pairs.select(lkey).distinct(), lkey, "left_semi").groupBy(lkey).agg(F.collect_list("feature").alias("x"))
+        theirs = b.join(pairs.select(rkey).distinct(), rkey, "left_semi").groupBy(rkey).agg(F.collect_list("feature").alias("z"))
+        counted = pairs.join(ours, lkey).join(theirs, rkey).select(lkey, "ln", "rn", F.size(F.array_intersect("x", "z")).alias("both"))
+        found = jaccard(counted).groupBy(lkey).agg(F.max("similarity").alias("found"))
+        state = kept(state.join(found, lkey, "left").select(lkey, "ln", F.greatest("has", "found").alias("has")), "state")
+    return state.select(lkey, F.col("has").alias("similarity"))
 
 
 def containment(items: DataFrame, docs: DataFrame, ikey: str, dkey: str, least: float = 0.8) -> DataFrame:

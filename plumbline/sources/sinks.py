@@ -10,6 +10,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.stored import kept
 from ..operators.decontaminate import upsert
 from .tables import _exists
 
@@ -19,21 +20,6 @@ def exists(spark: SparkSession, path: str) -> bool:
     return _exists(spark, f"{path}/_SUCCESS")
 
 
-def kept(df: DataFrame, name: str = "kept") -> DataFrame:
-    """df written to the folder that spark.checkpoint.dir names and read again, where several consumers would each compute it. Only a
-    session whose driver and executors are one process may do without that setting."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="plumbline-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def write_tasks(m: DataFrame, path: str) -> None:
     """Measurements and entities by task, and the table of tasks."""
     from ..operators.replicate import entities, task_summary

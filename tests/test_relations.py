@@ -1,9 +1,12 @@
 import json
 import random
 
+import numpy as np
 import pytest
 
-from plumbline.operators import decontaminate, similarity, splits
+from pyspark.sql import functions as F
+
+from plumbline.operators import decontaminate, order, similarity, splits
 from plumbline.sources import records, sinks, tables
 
 
@@ -195,3 +198,71 @@ def test_loss_log_balances(spark):
     cuts = tables.cutoffs(spark, [("a", "1995-01-01", None, None), ("b", "2010-01-01", None, None)], "2020-01-01")
     got = {r.model: (r.n_mols, r.n_meas) for r in decontaminate.model_cutoffs(decontaminate.clean_base(m, flags), cuts).collect()}
     assert got == {"a": (2, 2), "b": (0, 0)} and decontaminate.cutoff_year(cuts) == 2010 and decontaminate.cutoff_year(cuts, ["a"]) == 1995 and decontaminate.cutoff_year(cuts, None, 0) == 0
+
+
+def _sets(spark, rows, key):
+    return spark.createDataFrame([(k, f, len(s)) for k, s in enumerate(rows) for f in s], f"{key} long, feature string, n int")
+
+
+def test_best_match_with_a_falling_bound(spark):
+    """Equal to brute force to the last digit; what is compared in full stays far under what a common feature would join."""
+    rng = random.Random(3)
+    common = {f"b{i}" for i in range(20)}
+
+    def row(shared):
+        return (set(common) if rng.random() < shared else set()) | {f"w{rng.randrange(300)}" for _ in range(rng.randrange(30))}
+
+    left, right = [row(0.5) for _ in range(120)] + [{"only"}, set(), {"b0"}], [row(0.5) for _ in range(120)]
+    for i in range(40):
+        right[i] = left[i] | ({f"z{i}"} if i % 2 else set())
+    expect = {k: m for k, s in enumerate(left) if (m := max(len(s & r) / len(s | r) if s | r else 0 for r in right)) > 0}
+    for falls in (similarity.FALLS, (0,), (1000, 999, 1, 0)):
+        got = {r.a: r.similarity for r in similarity.best(_sets(spark, left, "a"), _sets(spark, right, "b"), "a", "b", falls).collect()}
+        assert got == expect
+    assert similarity.best(_sets(spark, [set(), {"x"}], "a"), _sets(spark, [{"y"}], "b"), "a", "b").collect() == []
+
+
+def test_a_boilerplate_feature_joins_nothing(spark):
+    """Texts of own shingles and a passage that all share: the passage's witness proves each row, no pair is compared."""
+    passage = {f"p{i}" for i in range(15)}
+    left, right = ([passage | {f"{side}{k}.{i}" for i in range(30 + k % 3)} for k in range(200)] for side in "lr")
+    joined = []
+    got = similarity.best(_sets(spark, left, "a"), _sets(spark, right, "b"), "a", "b", joined=joined).collect()
+    assert {round(r.similarity, 9) for r in got} == {round(15 / (75 + k), 9) for k in range(3)} and len(got) == 200
+    assert sum(joined) == 0  # the common features alone would join 200 x 200 rows fifteen times
+
+
+@pytest.mark.parametrize("listed,cell,group", [(2048, 100_000, 10**6), (3, 4, 1), (3, 10**5, 1000)])
+def test_order_statistics_and_ranks(spark, monkeypatch, listed, cell, group):
+    for name, value in (("LISTED", listed), ("CELL", cell), ("GROUP", group)):
+        monkeypatch.setattr(order, name, value)
+    rng = random.Random(1)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([rng.gauss(0, 1), round(rng.gauss(0, 1), 1), None, float("nan")]), float(rng.randrange(5))) for _ in range(3000)]
+    rows += [("c", None, 1.0), ("d", 2.5, None), ("e", float("inf"), -0.0), ("e", -1e-310, 0.0)]
+    df = spark.createDataFrame(rows, "t string, x double, y double")
+    real = lambda g, i: [r[i] for r in rows if r[0] == g and r[i] is not None and r[i] == r[i]]
+    wanted = {"a": ("x", 0.05), "b": ("x", 0.5), "c": ("y", 0.9), "d": ("y", 1 / 3)}
+    got = {r.t: r for r in order.quantiles(df, ["t"], wanted).collect()}
+    for g in ("a", "b", None, "c", "d"):
+        for name, (column, p) in wanted.items():
+            v = real(g, "txy".index(column))
+            assert got[g][name] == (pytest.approx(float(np.quantile(v, p))) if v else None)
+    ranked = order.ranks(df, ["t"], {"rx": "x", "ry": "y"}).collect()
+    assert len(ranked) == len(rows)
+    values = {(g, i): np.array(real(g, i)) for g in ("a", "b", None, "c", "d", "e") for i in (1, 2)}
+    for r in ranked:
+        for i, x, rank in ((1, r.x, r.rx), (2, r.y, r.ry)):
+            v = values[r.t, i]
+            assert rank == (None if x is None or x != x else (v < x).sum() + ((v == x).sum() + 1) / 2)
+    assert order.quantiles(df.where("false"), (), {"a": ("x", 0.5)}).collect() == [(None,)]
+
+
+def test_ordered_is_the_bits_of_a_double(spark):
+    import math
+    import struct
+
+    rng = random.Random(2)
+    xs = [0.0, -0.0, 1.0, -1.0, 5e-324, 1e-310, 2.0**-1022, 1.7976931348623157e308, float("inf"), float("-inf"), 7.999999999999999, 8.0, 8.000000000000002, 2.0**1023]
+    xs += [rng.choice([-1, 1]) * math.ldexp(rng.random() + 0.5, rng.randrange(-1070, 1023)) for _ in range(2000)]
+    got = spark.createDataFrame(list(enumerate(xs)), "i int, x double").select("i", order.ordered(F.col("x")).alias("k")).orderBy("i").collect()
+    assert [r.k for r in got] == [(-1 if x < 0 else 1) * struct.unpack("<q", struct.pack("<d", abs(x)))[0] for x in xs]
