@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.safe import quantiles, share
+from ..functions.safe import share
 from . import similarity
+from .order import quantiles
 
 STEPS = ("exact_full", "exact_short", "near")
 
@@ -150,7 +151,7 @@ def source_overlap(annotated: DataFrame) -> DataFrame:
 
 
 def similarity_quantiles(sims: DataFrame, at=(0.05, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
-    return sims.agg(*[c.alias(f"q{int(100 * p):02d}") for c, p in zip(quantiles("similarity", *at), at)])
+    return quantiles(sims, (), {f"q{int(100 * p):02d}": ("similarity", p) for p in at})
 
 
 def similarity_histogram(sims: DataFrame, bins: int = 10) -> DataFrame:

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.safe import average_rank, clip, correlation, fraction_of_ceiling, ratio
+from ..functions.safe import clip, correlation, fraction_of_ceiling, ratio
+from .order import ranks
 
 KEYS = ("task", "split", "seed", "model")
 
@@ -32,22 +33,22 @@ def completed(predictions: DataFrame, entities: DataFrame, parts: DataFrame) ->
     return predictions.select("task", "split", "seed", "model", "mol_id", "pred").join(facts, ["task", "mol_id"], "left").join(mean, ["task", "split", "seed"], "left")
 
 
-def metrics(p: DataFrame) -> DataFrame:
+def metrics(p: DataFrame, stored: bool = False) -> DataFrame:
     """rmse, mae, r2 (population variance; null without any) and Spearman's rho of each run."""
-    ranked = p.withColumns({"ry": average_rank("y", *KEYS), "rp": average_rank("pred", *KEYS)})
+    ranked = ranks(p.select(*KEYS, "y", "pred"), KEYS, {"ry": "y", "rp": "pred"}, stored)
     error = F.col("y") - F.col("pred")
     return ranked.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("n_test"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(F.abs(error)).alias("mae"),
-        F.when(F.var_pop("y") > 0, 1 - F.avg(error * error) / F.var_pop("y")).alias("r2"), correlation("ry", "rp").alias("spearman"),
+        F.when(F.max("y") > F.min("y"), 1 - F.avg(error * error) / F.var_pop("y")).alias("r2"), correlation("ry", "rp").alias("spearman"),
     )
 
 
-def benchmark(p: DataFrame, parts: DataFrame) -> DataFrame:
+def benchmark(p: DataFrame, parts: DataFrame, stored: bool = False) -> DataFrame:
     """A row for each run: metrics, the error of the train mean on the same rows, label noise of the test, sizes."""
     base = F.col("y") - F.col("y_train_mean")
     extra = p.groupBy(*KEYS).agg(F.sqrt(F.avg(base * base)).alias("rmse_mean"), F.avg(1 / F.col("n_docs")).alias("test_mean_inv_ndocs"))
     size = parts.groupBy("task", "split", "seed").agg(F.count_if(F.col("part") == "train").alias("n_train"))
-    return metrics(p).join(extra, list(KEYS)).join(size, ["task", "split", "seed"]).select(*KEYS, "n_test", "rmse", "mae", "r2", "spearman", "rmse_mean", "test_mean_inv_ndocs", "n_train")
+    return metrics(p, stored).join(extra, list(KEYS)).join(size, ["task", "split", "seed"]).select(*KEYS, "n_test", "rmse", "mae", "r2", "spearman", "rmse_mean", "test_mean_inv_ndocs", "n_train")
 
 
 def add_ceiling(b: DataFrame, c: DataFrame, bounds: DataFrame | None = None) -> DataFrame:

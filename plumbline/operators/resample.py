@@ -16,7 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.safe import average_rank, clip, ratio
+from ..functions.safe import clip, ratio
+from .order import ranks
 from .replicate import doc_level, entity_stats
 from .splits import hash_unit
 
@@ -174,7 +175,7 @@ def task_intervals(tasks: DataFrame, value: str = "frac_ceiling", draws: int = D
 def metric_intervals(p: DataFrame, draws: int = DRAWS, seed: int = 0) -> DataFrame:
     """Intervals of rmse, mae, r2 and Spearman's rho of each (task, split, model) over entities; rho by the ranks in all rows."""
     keys = ["task", "split", "model"]
-    r = p.withColumns({"ry": average_rank("y", *keys), "rp": average_rank("pred", *keys)})
+    r = ranks(p, keys, {"ry": "y", "rp": "pred"})
     error = F.col("y") - F.col("pred")
     terms = {"n": F.lit(1.0), "e2": error * error, "e1": F.abs(error), "y1": F.col("y"), "y2": F.col("y") * F.col("y")}
     # ranks from their middle, so that sums of products stay exact

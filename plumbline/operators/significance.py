@@ -7,6 +7,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..functions.stored import kept
+from .order import cumulated, known
+
 
 def adjusted(df: DataFrame, p: str, *by: str, unique: tuple[str, ...]) -> DataFrame:
     """df with p_holm and p_bh over each family ``by``; null p-values are in no family and stay null. ``unique`` settles ties."""
@@ -67,8 +70,9 @@ def paired_tests(tasks: DataFrame, baseline: str) -> DataFrame:
 
 def ks(df: DataFrame, value: str, side: str, *by: str) -> DataFrame:
     """Two-sample Kolmogorov-Smirnov distance of value between side true and false; null where a side is empty."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(F.col(side)).alias("a"), F.count_if(~F.col(side)).alias("b"))
-    up = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    all_ = Window.partitionBy(*by)
-    gap = F.abs(F.sum("a").over(up) / F.nullif(F.sum("a").over(all_), F.lit(0)) - F.sum("b").over(up) / F.nullif(F.sum("b").over(all_), F.lit(0)))
-    return counts.withColumn("gap", gap).groupBy(*by).agg(F.max("gap").alias("ks"))
+    rows = df.select(F.struct(*by).alias("g"), known(value).alias("k"), F.col(side).alias("side")).where("k IS NOT NULL")
+    counts = kept(rows.groupBy("g", "k").agg(F.count_if("side").alias("a"), F.count_if(~F.col("side")).alias("b")), "values")
+    total = counts.groupBy("g").agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
+    none = F.lit(0)
+    gap = F.abs(F.col("upto_a") / F.nullif("all_a", none) - F.col("upto_b") / F.nullif("all_b", none))
+    return cumulated(counts, ["a", "b"]).join(total, "g").groupBy("g").agg(F.max(gap).alias("ks")).select("g.*", "ks")

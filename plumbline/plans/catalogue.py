@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.safe import quantiles, rounded
-from ..operators import audit, decontaminate, evaluate, models, replicate, resample, significance, similarity, slices, splits
+from ..functions.safe import rounded
+from ..operators import audit, decontaminate, evaluate, models, order, replicate, resample, significance, similarity, slices, splits
 from ..sources import records, sinks, tables
 
 BASELINE = "mean_by_brand"
@@ -50,7 +50,7 @@ def predictions(s, d):
 
 def _benchmark(r):
     p = sinks.kept(evaluate.group_mean_predictions(r, MODELS), "predictions")
-    return p, evaluate.benchmark(p, r)
+    return p, evaluate.benchmark(p, r, stored=True)
 
 
 def benchmark(s, d):
@@ -568,7 +568,7 @@ def gbt_benchmark(s, d):
 
 @query
 def value_quantiles(s, d):
-    return m(s, d).groupBy("task").agg(*[c.alias(f"q{int(100 * p):02d}") for c, p in zip(quantiles("y", 0.05, 0.5, 0.95), (0.05, 0.5, 0.95))])
+    return order.quantiles(m(s, d), ["task"], {f"q{int(100 * p):02d}": ("y", p) for p in (0.05, 0.5, 0.95)})
 
 
 @query

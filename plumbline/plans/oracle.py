@@ -148,7 +148,7 @@ f0 AS (SELECT task, split, model, b, sqrt(e2 / n) AS rmse, sqrt(b2 / n) AS mean,
 fd AS MATERIALIZED (SELECT task, split, model, b, rmse, CASE WHEN mean - floor > 0 THEN (mean - rmse) / (mean - floor) END AS frac FROM f0)"""
 _L = _P + """,
 sg0 AS (SELECT DISTINCT structure, string_split(structure, ' ') AS ws FROM e WHERE structure IS NOT NULL), sg AS (SELECT structure, len(ws) AS n, unnest(ws) AS w FROM (SELECT structure, list_distinct(ws) AS ws FROM sg0)),
-sp AS MATERIALIZED (SELECT structure, other, CAST(k AS DOUBLE) / (an + bn - k) AS sim FROM (SELECT a.structure, b.structure AS other, a.n AS an, b.n AS bn, count(*) AS k FROM sg a JOIN sg b USING (w) GROUP BY ALL) WHERE k * 1000 >= (an + bn - k) * 400),
+sp AS MATERIALIZED (SELECT structure, other, CAST(k AS DOUBLE) / (an + bn - k) AS sim FROM (SELECT a.structure, b.structure AS other, a.n AS an, b.n AS bn, count(*) AS k FROM sg a JOIN sg b USING (w) GROUP BY ALL) ),
 rt AS (SELECT task, split, seed, structure AS other, min(y) AS low, max(y) AS high FROM pa WHERE part = 'train' GROUP BY ALL),
 xt AS (SELECT task, split, seed, mol_id, structure, y, n_docs FROM pa WHERE part = 'test'),
 xs AS (SELECT xt.task, xt.split, xt.seed, mol_id, max(sim) AS max_sim, bool_or(sim >= 8e-1 AND (y - low >= 15e-1 OR high - y >= 15e-1)) AS cliff FROM xt JOIN sp USING (structure) JOIN rt USING (task, split, seed, other) GROUP BY ALL),
@@ -330,9 +330,9 @@ _RAW = {
 
 
 def _typed(name: str) -> str:
-    """The query with its columns in the types of its contract, doubles at six decimals."""
+    """The query with its columns in the types of its contract, doubles at six decimals, no zero negative."""
     columns = (c.split() for c in COLUMNS[name].split(", "))
-    out = [f'round(CAST("{c}" AS DOUBLE), 6) AS "{c}"' if t == "double" else f'CAST("{c}" AS {t.upper()}) AS "{c}"' for c, t in columns]
+    out = [f'round(CAST("{c}" AS DOUBLE), 6) + 0e0 AS "{c}"' if t == "double" else f'CAST("{c}" AS {t.upper()}) AS "{c}"' for c, t in columns]
     raw = _RAW[name].replace("WITH", "WITH RECURSIVE", 1) if "pc AS" in _RAW[name] else _RAW[name]
     return f"SELECT {', '.join(out)} FROM ({raw})"
 
