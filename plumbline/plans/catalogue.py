@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.safe import rounded
-from ..operators import audit, decontaminate, evaluate, models, order, replicate, resample, significance, similarity, slices, splits
+from ..operators import audit, boost, decontaminate, evaluate, models, order, replicate, resample, significance, similarity, slices, splits
 from ..sources import records, sinks, tables
 
 BASELINE = "mean_by_brand"
@@ -561,9 +561,25 @@ def rf_benchmark(s, d):
     return models.fit_predict(parts(s, d).withColumn("n_docs", F.col("n_docs").cast("double")), ["p_size", "n_docs", "first_year"], "rf")
 
 
+def boosted(r):
+    settings = [{"step": c["stepSize"], "depth": c["maxDepth"], "trees": c["maxIter"]} for c in models.configurations("gbm", 6)]
+    return boost.boosted(r, ["p_size", "n_docs", "first_year"], settings)
+
+
 @query
 def gbt_benchmark(s, d):
-    return models.fit_predict(parts(s, d).withColumn("n_docs", F.col("n_docs").cast("double")), ["p_size", "n_docs", "first_year"], "gbm")
+    """Boosted trees of every task, split and seed, six settings compared in each run."""
+    return boosted(runs(s, d)).select("task", "split", "seed", "mol_id", "y", "pred", "trees", "setting")
+
+
+@query
+def trained_leaderboard(s, d):
+    """The leaderboard with the boosted trees among the models."""
+    r = runs(s, d)
+    means = evaluate.group_mean_predictions(r, MODELS)
+    trees = boosted(r).withColumn("model", F.lit("boosted_trees")).select(*means.columns)
+    p = sinks.kept(means.unionAll(trees), "predictions")
+    return evaluate.leaderboard(evaluate.per_task(evaluate.add_ceiling(evaluate.benchmark(p, r, stored=True), replicate.ceilings(m(s, d)))))
 
 
 @query
