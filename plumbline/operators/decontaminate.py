@@ -12,6 +12,11 @@ from .order import quantiles
 STEPS = ("exact_full", "exact_short", "near")
 
 
+def keyed(data: DataFrame, key: str) -> DataFrame:
+    """data whose rows all have a short key: one that has none is known by its id, so that no two such rows are one entity."""
+    return data.withColumn("key_short", F.coalesce("key_short", F.col(key).cast("string")))
+
+
 def flags(data: DataFrame, registry: DataFrame) -> DataFrame:
     """data with exact_full, exact_short and the registry's sources of the short key."""
     full = registry.select("key_full").distinct().withColumn("exact_full", F.lit(True))

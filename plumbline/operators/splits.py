@@ -5,9 +5,14 @@ Ranks within a task are counts of lower buckets plus a rank within the bucket: n
 
 from __future__ import annotations
 
-import pandas as pd
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
+
+from ..functions.stored import kept
+from .order import ranks
 
 SEEDS = (0, 1, 2, 3, 4)
 BUCKETS = 8
@@ -45,29 +50,62 @@ def random_splits(e: DataFrame, seeds=SEEDS, share: float = 0.2) -> DataFrame:
 
 
 def temporal_split(e: DataFrame, share: float = 0.2) -> DataFrame:
-    """The latest entities are the test; ties by id. Nothing to take gives an empty test."""
-    out = ranked(e.withColumn("__b", F.coalesce("first_year", F.lit(-1))), ["task"], "__b", "mol_id")
-    return out.withColumn("part", F.when(F.col("__at") > F.col("__n") - _taken(F.col("__n"), share), "test").otherwise("train")).drop("__b", "__at", "__n")
+    """The latest entities are the test; ties by id. Nothing to take gives an empty test.
+
+    Whole years are placed by their counts; only the year that the cut falls in is ranked, by :func:`ranks`, whose hot groups
+    don't meet in one task (ids are numbers; others are ranked by a window)."""
+    e = kept(e.withColumn("__y", F.coalesce("first_year", F.lit(-1))), "entities")
+    years = e.groupBy("task", "__y").agg(F.count(F.lit(1)).alias("__c"))
+    upto = F.sum("__c").over(Window.partitionBy("task").orderBy("__y").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    years = years.select("task", "__y", (upto - F.col("__c")).alias("__below"), upto.alias("__upto"), F.sum("__c").over(Window.partitionBy("task")).alias("__n"))
+    cut = F.col("__n") - _taken(F.col("__n"), share)
+    years = years.withColumn("__place", F.when(F.col("__below") >= cut, "test").when(F.col("__upto") <= cut, "train")).withColumn("__cut", cut - F.col("__below"))
+    placed = e.join(years.select("task", "__y", "__place", "__cut"), ["task", "__y"])
+    split = placed.where("__place IS NULL")
+    if isinstance(e.schema["mol_id"].dataType, IntegralType):
+        ranked_ = ranks(split, ["task"], {"__at": "mol_id"})
+    else:
+        ranked_ = split.withColumn("__at", F.row_number().over(Window.partitionBy("task").orderBy("mol_id")))
+    split = ranked_.withColumn("__place", F.when(F.col("__at") > F.col("__cut"), "test").otherwise("train")).drop("__at")
+    out = placed.where("__place IS NOT NULL").unionByName(split)
+    return out.withColumn("part", F.col("__place")).drop("__y", "__place", "__cut")
+
+
+def _prefixes(rows: DataFrame, by: list[str], bucket: Column, order: list[str], size: str) -> DataFrame:
+    """rows with ``upto``, the sum of size over rows up to and with each in order of (bucket, order) within by: sums of lower buckets, and
+    a running sum in the bucket."""
+    rows = rows.withColumn("bucket", bucket)
+    w = Window.partitionBy(*by).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.groupBy(*by, "bucket").agg(F.sum(size).alias("all"))
+    below = sums.select(*by, "bucket", (F.sum("all").over(w) - F.col("all")).alias("below"))
+    own = F.sum(size).over(Window.partitionBy(*by, "bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("own", own).join(below, [*by, "bucket"]).withColumn("upto", F.col("own") + F.col("below")).drop("bucket", "own", "below")
 
 
 def group_splits(e: DataFrame, group: str, seeds=SEEDS, share: float = 0.2) -> DataFrame:
-    """Whole groups, in hashed order, go to test while they fit what is left of its budget. The walk is over a task's groups, each a
-    name and a size; entities without a group are train."""
+    """Whole groups, in hashed order, go to test while they fit what is left of its budget; entities without a group are train.
+
+    In rounds for all tasks and seeds: groups larger than what is left can't fit any more and go; of the others the longest run from
+    the start that fits is what a walk would take; it lessens what is left for those behind it. Sizes and prefix sums of groups
+    are all that moves, and no task's groups meet in one place."""
     sizes = e.where(F.col(group).isNotNull()).groupBy("task", group).agg(F.count(F.lit(1)).alias("size"))
-    total = e.groupBy("task").agg(_taken(F.count(F.lit(1)), share).alias("budget"))
+    total = e.groupBy("task").agg(_taken(F.count(F.lit(1)), share).alias("left"))
     rows = seeded(sizes.join(total, "task"), seeds).withColumn("at", hash_unit("seed", "task", group)).withColumnRenamed(group, "name")
-
-    def walk(df: pd.DataFrame) -> pd.DataFrame:
-        left, taken = int(df["budget"].iat[0]), []
-        df = df.sort_values(["at", "name"])
-        for size in df["size"].tolist():
-            taken.append(size <= left)
-            left -= size * taken[-1]
-        return df.loc[taken, ["task", "seed", "name"]]
-
-    kind = e.schema[group].dataType.simpleString()
-    test = rows.groupBy("task", "seed").applyInPandas(walk, f"task string, seed int, name {kind}").withColumn("part", F.lit("test")).withColumnRenamed("name", group)
-    out = seeded(e, seeds).join(test, ["task", "seed", group], "left")
+    run, taken = ["task", "seed"], []
+    while True:
+        fitting = rows.where(F.col("size") <= F.col("left"))
+        now = kept(_prefixes(fitting, run, F.shiftright("at", 20), ["at", "name"], "size"), "groups")
+        if now.isEmpty():
+            break
+        first = now.where("upto <= left")
+        taken.append(first.select(*run, "name"))
+        used = first.groupBy(*run).agg(F.max("upto").alias("used"))
+        rows = now.where("upto > left").join(used, run).select(*run, "name", "size", "at", (F.col("left") - F.col("used")).alias("left"))
+    out = seeded(e, seeds)
+    if not taken:
+        return out.withColumn("part", F.lit("train"))
+    test = reduce(DataFrame.unionAll, taken).withColumn("part", F.lit("test")).withColumnRenamed("name", group)
+    out = out.join(test, [*run, group], "left")
     return out.withColumn("part", F.coalesce("part", F.lit("train")))
 
 

@@ -194,7 +194,7 @@ def big_pairs(s, d):
 
 @query
 def sigma_from_pairs(s, d):
-    return audit.sigma_from_pairs(audit.doc_pairs(m(s, d)))
+    return audit.sigma_from_pairs(audit.doc_facts(m(s, d)))
 
 
 @query
@@ -217,6 +217,11 @@ def audit_summary(s, d):
     return audit.summary(m(s, d))
 
 
+@query
+def audit_table(s, d):
+    return audit.table(m(s, d), F.concat_ws("-", "structure", F.pmod("assay_id", F.lit(2))))
+
+
 @query
 def assays_per_doc(s, d):
     return audit.assays_per_doc(m(s, d))
@@ -234,7 +239,8 @@ def multi_variant(s, d):
 
 @query
 def exact_match_flags(s, d):
-    return decontaminate.flags(dataset(s, d), registry(s, d)).select("doc_id", "exact_full", "exact_short", F.array_join("exact_sources", ";").alias("exact_sources"))
+    data = decontaminate.keyed(dataset(s, d), "doc_id")
+    return decontaminate.flags(data, registry(s, d)).select("doc_id", "key_short", "exact_full", "exact_short", F.array_join("exact_sources", ";").alias("exact_sources"))
 
 
 @query
@@ -536,7 +542,7 @@ def parse_records(s, d):
         F.when(F.pmod("o_orderkey", F.lit(17)) == 0, "outside range").alias("data_validity_comment"), F.when(F.pmod("o_orderkey", F.lit(19)) == 0, "1").otherwise("0").alias("potential_duplicate"),
     )
     assays = s.range(13).select(F.col("id").cast("string").alias("assay_chembl_id"), F.col("id").alias("confidence_score"), F.lit("B").alias("assay_type"))
-    return records.parse(r, records.confident(assays)).select("target_id", "molecule_id", "structure", "standard_type", "value", "assay_id", "doc_id", "doc_year")
+    return records.parse(r, records.confident(assays), ("F", "O")).select("target_id", "molecule_id", "structure", "standard_type", "value", "assay_id", "doc_id", "doc_year")
 
 
 @query

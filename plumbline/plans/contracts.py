@@ -21,10 +21,11 @@ COLUMNS = {
     "doc_shift": "task string, doc_id bigint, n_overlap bigint, mean_shift double, sd double, se double, z double, flag_shift boolean",
     "assay_shift": "task string, assay_id bigint, n_overlap bigint, mean_shift double, sd double, se double, z double, flag_shift boolean",
     "audit_summary": "task string, n_meas bigint, n_docs bigint, n_assays bigint, year_min int, year_max int, n_mols bigint, n_ge2 bigint, n_ge3 bigint, frac_ge2 double, top_doc_share double",
+    "audit_table": "task string, n_meas bigint, n_docs bigint, n_assays bigint, year_min int, year_max int, n_mols bigint, n_ge2 bigint, n_ge3 bigint, frac_ge2 double, top_doc_share double, sigma_nofilter double, n_rep_mols_nofilter bigint, sigma_diff3 double, n_rep_mols_diff3 bigint, sigma_diff2 double, n_rep_mols_diff2 bigint, sigma_pairs_dyear_le3 double, sigma_pairs_dyear_gt3 double, n_pairs_dyear_le3 bigint, n_pairs_dyear_gt3 bigint, frac_pairs_same_assay_id double, spearman_delta_dyear double, spearman_delta_mean double, n_docs_flag_shift bigint, n_docs_in_shift bigint, assays_per_doc_mean double, n_mols_multi_fullkey bigint, frac_mols_multi_fullkey double",
     "assays_per_doc": "task string, assays_per_doc double",
-    "type_compare": "target string, n_both bigint, mean_diff double, sd_diff double, median_diff double, pearson double, spearman double",
+    "type_compare": "target string, n_both bigint, mean_diff double, sd_diff double, median_diff double, pearson double, spearman double, sigma_ic50 double, sigma_ki double",
     "multi_variant": "task string, n_multi bigint, frac_multi double, n_same bigint, delta_same double, n_other bigint, delta_other double",
-    "exact_match_flags": "doc_id bigint, exact_full boolean, exact_short boolean, exact_sources string",
+    "exact_match_flags": "doc_id bigint, key_short string, exact_full boolean, exact_short boolean, exact_sources string",
     "exact_rate": "full_rate double, short_rate double, n bigint",
     "near_duplicates": "doc_id bigint, reg_id bigint, both bigint, similarity double",
     "max_similarity": "doc_id bigint, similarity double",

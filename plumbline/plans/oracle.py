@@ -86,7 +86,7 @@ x AS (SELECT *, CASE WHEN len(words) > 0 THEN md5(array_to_string(list_sort(list
 g AS (SELECT doc_id, len(gs) AS n, unnest(gs) AS feature FROM
       (SELECT doc_id, list_distinct(CASE WHEN len(words) < 5 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')) END) AS gs FROM x WHERE len(words) >= 1)),
 rg AS (SELECT * FROM x WHERE in_registry), ds AS (SELECT * FROM x WHERE NOT in_registry),
-fl AS (SELECT ds.doc_id, ds.source, key_full IN (SELECT key_full FROM rg) AS exact_full, s.src IS NOT NULL AS exact_short, s.src AS exact_sources FROM ds
+fl AS (SELECT ds.doc_id, ds.source, ds.key_short, key_full IN (SELECT key_full FROM rg) AS exact_full, s.src IS NOT NULL AS exact_short, s.src AS exact_sources FROM ds
        LEFT JOIN (SELECT key_short, list_sort(list_distinct(list(source))) AS src FROM rg WHERE key_short IS NOT NULL GROUP BY ALL) s USING (key_short))"""
 _J = _X + """,
 o AS (SELECT a.doc_id, b.doc_id AS reg_id, a.n AS an, b.n AS bn, count(*) AS "both" FROM g a JOIN g b USING (feature) WHERE a.doc_id IN (SELECT doc_id FROM ds) AND b.doc_id IN (SELECT doc_id FROM rg) GROUP BY ALL),
@@ -98,12 +98,14 @@ st AS (SELECT source, count(*) AS total, count(*) FILTER (exact_full) AS f, coun
 lg AS (SELECT source, u.step_no, u.step, u.removed, u."left" FROM st, LATERAL (SELECT unnest([0, 1, 2, 3]) AS step_no, unnest(['raw', 'exact_full', 'exact_short', 'near']) AS step,
        unnest([0, f, h, r]) AS removed, unnest([total, total - f, total - f - h, total - f - h - r]) AS "left") u)"""
 _CUT = "cu(model, cutoff, basis, cut_year, sources) AS (VALUES ('alpha', DATE '1998-03-01', 'training_cutoff', 1998, ['src0', 'src1']), ('beta', DATE '1999-11-15', 'paper_date', 1999, ['src2']), ('gamma', DATE '2001-06-30', 'today', 2001, NULL))"
-_PAIRS = _D + """,
+_Q = """
 q AS (SELECT a.task, a.mol_id, a.doc_id AS doc_a, b.doc_id AS doc_b, abs(a.y - b.y) AS delta, abs(a.year - b.year) AS d_year, (a.y + b.y) / 2 AS mean_y, a.assays = b.assays AS same_assays
-      FROM d a JOIN d b ON a.task = b.task AND a.mol_id = b.mol_id AND a.doc_id < b.doc_id),
+      FROM d a JOIN d b ON a.task = b.task AND a.mol_id = b.mol_id AND a.doc_id < b.doc_id)"""
+_WQ = """
 wd AS (SELECT task, mol_id, doc_id, assay_id, avg(y) AS y FROM m GROUP BY ALL),
 wq AS (SELECT a.task, a.mol_id, a.doc_id, a.assay_id AS assay_a, b.assay_id AS assay_b, abs(a.y - b.y) AS delta FROM wd a JOIN wd b
        ON a.task = b.task AND a.mol_id = b.mol_id AND a.doc_id = b.doc_id AND a.assay_id < b.assay_id)"""
+_PAIRS = _D + "," + _Q
 
 
 def _profile(source: str, kind: str) -> str:
@@ -219,11 +221,11 @@ _RAW = {
     "ceiling_bootstrap_poisson": "WITH" + _S + """,
       s9 AS (SELECT task, mol_id, CASE WHEN n >= 2 AND range <= 3 THEN ss ELSE 0e0 END AS ss, CASE WHEN n >= 2 AND range <= 3 THEN CAST(n - 1 AS DOUBLE) ELSE 0e0 END AS dof, 1e0 AS sw, mean AS s1, mean * mean AS s2, 1e0 / n AS inv FROM s),
       """ + _poisson("s9", "task", ("ss", "dof", "sw", "s1", "s2", "inv"), name="bs") + "," + _CEIL_DRAWS,
-    "doc_pairs": "WITH" + _PAIRS + "SELECT * FROM q",
-    "within_doc_pairs": "WITH" + _PAIRS + "SELECT * FROM wq",
-    "delta_profile": "WITH" + _PAIRS + _profile("q", "between_docs") + " UNION ALL " + _profile("wq", "within_doc"),
-    "big_pairs": "WITH" + _PAIRS + "SELECT q.task, q.mol_id, doc_a, doc_b, delta, t.structure, delta >= 0.9 AS very_big FROM q LEFT JOIN (SELECT task, mol_id, any_value(structure) AS structure FROM m GROUP BY ALL) t ON q.task = t.task AND q.mol_id = t.mol_id WHERE delta >= 0.8",
-    "sigma_from_pairs": "WITH" + _PAIRS + """SELECT task, sqrt(avg(delta * delta) / 2) AS sigma_pairs, sqrt(avg(delta * delta) FILTER (d_year <= 3) / 2) AS sigma_near, sqrt(avg(delta * delta) FILTER (d_year > 3) / 2) AS sigma_far,
+    "doc_pairs": "WITH" + _PAIRS + " SELECT * FROM q",
+    "within_doc_pairs": "WITH" + _M + "," + _WQ + " SELECT * FROM wq",
+    "delta_profile": "WITH" + _PAIRS + "," + _WQ + " " + _profile("q", "between_docs") + " UNION ALL " + _profile("wq", "within_doc"),
+    "big_pairs": "WITH" + _PAIRS + " SELECT q.task, q.mol_id, doc_a, doc_b, delta, t.structure, delta >= 0.9 AS very_big FROM q LEFT JOIN (SELECT task, mol_id, any_value(structure) AS structure FROM m GROUP BY ALL) t ON q.task = t.task AND q.mol_id = t.mol_id WHERE delta >= 0.8",
+    "sigma_from_pairs": "WITH" + _PAIRS + """ SELECT task, sqrt(avg(delta * delta) / 2) AS sigma_pairs, sqrt(avg(delta * delta) FILTER (d_year <= 3) / 2) AS sigma_near, sqrt(avg(delta * delta) FILTER (d_year > 3) / 2) AS sigma_far,
       count(*) FILTER (d_year <= 3) AS n_near, count(*) FILTER (d_year > 3) AS n_far, avg(CASE WHEN same_assays THEN 1e0 ELSE 0e0 END) AS frac_same_assays FROM q GROUP BY task""",
     "spearman_delta_year": "WITH" + _PAIRS + f", r AS (SELECT task, {_rank('delta', 'task')} AS r, {_rank('d_year', 'task')} AS ry, {_rank('mean_y', 'task')} AS rm FROM q) SELECT task, count(*) AS n_pairs, {_corr('r', 'ry')} AS rho_year, {_corr('r', 'rm')} AS rho_mean FROM r GROUP BY task",
     "doc_shift": "WITH" + _D + ",\n" + _shift("SELECT task, mol_id, doc_id, y FROM d", "doc_id"),
@@ -235,11 +237,16 @@ _RAW = {
     "assays_per_doc": "WITH" + _M + "SELECT task, avg(k) AS assays_per_doc FROM (SELECT task, doc_id, count(DISTINCT assay_id) AS k FROM m GROUP BY ALL) GROUP BY task",
     "type_compare": "WITH" + _M + f""", td AS (SELECT target, type, mol_id, doc_id, avg(y) AS y FROM m GROUP BY ALL), tm AS (SELECT target, type, mol_id, avg(y) AS y FROM td GROUP BY ALL),
       tb AS (SELECT a.target, a.y AS a, b.y AS b, b.y - a.y AS d FROM tm a JOIN tm b ON a.target = b.target AND a.mol_id = b.mol_id AND a.type = 'IC50' AND b.type = 'Ki'),
-      tr AS (SELECT *, {_rank('a', 'target')} AS ra, {_rank('b', 'target')} AS rb FROM tb)
-      SELECT target, count(*) AS n_both, avg(d) AS mean_diff, stddev_samp(d) AS sd_diff, quantile_cont(d, 0.5) AS median_diff, {_corr('a', 'b')} AS pearson, {_corr('ra', 'rb')} AS spearman FROM tr GROUP BY target HAVING count(*) >= 5""",
+      tr AS (SELECT *, {_rank('a', 'target')} AS ra, {_rank('b', 'target')} AS rb FROM tb),
+      tk AS (SELECT target, count(*) AS n, avg(d) AS mean_diff, stddev_samp(d) AS sd_diff, quantile_cont(d, 0.5) AS median_diff, {_corr('a', 'b')} AS pearson, {_corr('ra', 'rb')} AS spearman FROM tr GROUP BY target HAVING count(*) >= 5),
+      tn AS (SELECT target, type, CASE WHEN sum(n - 1) FILTER (n >= 2) > 0 THEN sqrt(sum(ss) FILTER (n >= 2) / sum(n - 1) FILTER (n >= 2)) END AS sigma
+             FROM (SELECT target, type, mol_id, count(*) AS n, var_pop(y) * count(*) AS ss FROM td GROUP BY ALL) GROUP BY ALL),
+      tc AS (SELECT target, count(*) AS n_both FROM tb GROUP BY target)
+      SELECT i.target, coalesce(n_both, 0) AS n_both, mean_diff, sd_diff, median_diff, pearson, spearman, i.sigma AS sigma_ic50, k.sigma AS sigma_ki
+      FROM tn i JOIN tn k ON i.target = k.target AND i.type = 'IC50' AND k.type = 'Ki' LEFT JOIN tc ON tc.target = i.target LEFT JOIN tk ON tk.target = i.target""",
     "multi_variant": "WITH" + _V + """SELECT * FROM (SELECT task, count(*) FILTER (k > 1) AS n_multi, avg(CASE WHEN k > 1 THEN 1e0 ELSE 0e0 END) AS frac_multi FROM vk GROUP BY task)
       LEFT JOIN (SELECT task, count(*) FILTER (same) AS n_same, avg(delta) FILTER (same) AS delta_same, count(*) FILTER (NOT same) AS n_other, avg(delta) FILTER (NOT same) AS delta_other FROM vp GROUP BY task) USING (task)""",
-    "exact_match_flags": "WITH" + _X + "SELECT doc_id, exact_full, exact_short, array_to_string(exact_sources, ';') AS exact_sources FROM fl",
+    "exact_match_flags": "WITH" + _X + "SELECT doc_id, coalesce(key_short, CAST(doc_id AS VARCHAR)) AS key_short, exact_full, exact_short, array_to_string(exact_sources, ';') AS exact_sources FROM fl",
     "exact_rate": "WITH" + _X + "SELECT avg(CASE WHEN exact_full THEN 1e0 ELSE 0e0 END) AS full_rate, avg(CASE WHEN exact_short THEN 1e0 ELSE 0e0 END) AS short_rate, count(*) AS n FROM fl",
     "near_duplicates": "WITH" + _J + ', rd AS (SELECT min(doc_id) AS reg_id FROM rg GROUP BY key_full) SELECT doc_id, reg_id, "both", similarity FROM j JOIN rd USING (reg_id) WHERE "both" * 1000 > (an + bn - "both") * 800',
     "max_similarity": "WITH" + _J + "SELECT * FROM sm",
@@ -318,7 +325,7 @@ _RAW = {
     "slice_table": "WITH" + _SI + ", " + _SD + " SELECT sx.*, lo, hi, lo_over_sigma, hi_over_sigma, se, mde_80, flag FROM sx JOIN sv USING (slice_type, slice_value, split, model)",
     "parse_records": """SELECT CAST(o_custkey AS VARCHAR) AS target_id, CAST(o_orderkey AS VARCHAR) AS molecule_id, o_orderpriority AS structure, o_orderstatus AS standard_type, CAST(o_custkey AS DOUBLE) AS value,
       CAST(o_custkey % 13 AS VARCHAR) AS assay_id, CAST(o_custkey AS VARCHAR) AS doc_id, CAST(year(o_orderdate) AS INTEGER) AS doc_year FROM orders
-      WHERE o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0 AND o_custkey % 13 >= 8""",
+      WHERE o_orderstatus IN ('F', 'O') AND o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0 AND o_custkey % 13 >= 8""",
     "embedding_lookup": "SELECT label, count(*) AS n, avg(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS mean_square FROM embeddings GROUP BY label",
     "ridge_gram": """WITH v AS (SELECT list_concat(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), [1e0, CAST(label AS DOUBLE)]) AS x FROM embeddings),
       i AS (SELECT x, CAST(unnest(range(0, len(x))) AS INTEGER) AS i FROM v), j AS (SELECT x, i, CAST(unnest(range(0, len(x))) AS INTEGER) AS j FROM i)
@@ -329,6 +336,16 @@ _RAW = {
 
 
 
+_FILTERED = " UNION ALL ".join("SELECT '" + n + "' AS filter, * FROM (" + _ceil("n >= 2" + (f" AND range <= {r}" if r else ""), "task") + ")" for n, r in (("nofilter", None), ("diff3", 3), ("diff2", 2)))
+_RAW["audit_table"] = f"""SELECT a.*, n.* EXCLUDE (task), p.* EXCLUDE (task), r.* EXCLUDE (task), f.* EXCLUDE (task), d.assays_per_doc AS assays_per_doc_mean, v.n_multi AS n_mols_multi_fullkey, v.frac_multi AS frac_mols_multi_fullkey
+FROM ({_RAW["audit_summary"]}) a
+LEFT JOIN (WITH {_S} SELECT task, {", ".join(f"max(sigma) FILTER (filter = '{n}') AS sigma_{n}, max(n_mols_rep) FILTER (filter = '{n}') AS n_rep_mols_{n}" for n in ("nofilter", "diff3", "diff2"))} FROM ({_FILTERED}) GROUP BY task) n ON n.task = a.task
+LEFT JOIN (SELECT task, sigma_near AS sigma_pairs_dyear_le3, sigma_far AS sigma_pairs_dyear_gt3, n_near AS n_pairs_dyear_le3, n_far AS n_pairs_dyear_gt3, frac_same_assays AS frac_pairs_same_assay_id FROM ({_RAW["sigma_from_pairs"]})) p ON p.task = a.task
+LEFT JOIN (SELECT task, rho_year AS spearman_delta_dyear, rho_mean AS spearman_delta_mean FROM ({_RAW["spearman_delta_year"]})) r ON r.task = a.task
+LEFT JOIN (SELECT task, count(*) FILTER (flag_shift) AS n_docs_flag_shift, count(*) AS n_docs_in_shift FROM ({_RAW["doc_shift"]}) GROUP BY task) f ON f.task = a.task
+LEFT JOIN ({_RAW["assays_per_doc"]}) d ON d.task = a.task LEFT JOIN ({_RAW["multi_variant"]}) v ON v.task = a.task"""
+
+
 def _typed(name: str) -> str:
     """The query with its columns in the types of its contract, doubles at six decimals, no zero negative."""
     columns = (c.split() for c in COLUMNS[name].split(", "))

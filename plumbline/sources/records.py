@@ -21,15 +21,19 @@ RECORD = (
 PAUSES = (2, 4, 8, 16)
 
 
-def parse(records: DataFrame, assays: DataFrame | None = None) -> DataFrame:
-    """Raw rows of the records that are exact measurements: relation '=', a value, no doubt on validity, no potential duplicate, a
-    structure, a year, and an assay among ``assays`` where given."""
+#: Types of measurement that make tasks.
+TYPES = ("IC50", "Ki")
+
+
+def parse(records: DataFrame, assays: DataFrame | None = None, types: tuple[str, ...] | None = TYPES) -> DataFrame:
+    """Raw rows of the records that are exact measurements: a type among ``types``, relation '=', a value, no doubt on validity, no
+    potential duplicate, a structure, a year, and an assay among ``assays`` where given."""
     value = F.expr("try_cast(pchembl_value AS double)")
     keep = (
         (F.col("standard_relation") == "=") & value.isNotNull() & (F.coalesce("data_validity_comment", F.lit("")) == "")
         & ~F.lower(F.coalesce("potential_duplicate", F.lit("0"))).isin("1", "true") & (F.coalesce("canonical_smiles", F.lit("")) != "") & F.col("document_year").isNotNull()
     )
-    rows = records.where(keep)
+    rows = records.where(keep if types is None else keep & F.col("standard_type").isin(*types))
     if assays is not None:
         rows = rows.join(assays.select("assay_chembl_id").distinct(), "assay_chembl_id", "left_semi")
     return rows.select(

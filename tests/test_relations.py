@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import decontaminate, order, similarity, splits
+from plumbline.operators import audit, decontaminate, order, similarity, splits
 from plumbline.sources import records, sinks, tables
 
 
@@ -266,3 +266,74 @@ def test_ordered_is_the_bits_of_a_double(spark):
     xs += [rng.choice([-1, 1]) * math.ldexp(rng.random() + 0.5, rng.randrange(-1070, 1023)) for _ in range(2000)]
     got = spark.createDataFrame(list(enumerate(xs)), "i int, x double").select("i", order.ordered(F.col("x")).alias("k")).orderBy("i").collect()
     assert [r.k for r in got] == [(-1 if x < 0 else 1) * struct.unpack("<q", struct.pack("<d", abs(x)))[0] for x in xs]
+
+
+def test_group_splits_walk_through_hashed_groups(spark):
+    """Rounds of prefix sums take what a walk takes, group by group."""
+    rng = random.Random(11)
+    rows = [(t, f"m{i}", rng.choice([None, *[f"g{k}" for k in range(40)], "big", "big", "big"])) for t in ("a", "b", "c") for i in range(300)] + [("d", "m0", "whole")]
+    e = spark.createDataFrame(rows, "task string, mol_id string, structure string")
+    for share in (0.2, 0.03, 0.0):
+        got = splits.group_splits(e, "structure", (0, 3), share)
+        hashed = {(r.task, r.structure, r.seed): r.h for r in splits.seeded(e, (0, 3)).select("task", "structure", "seed", splits.hash_unit("seed", "task", "structure").alias("h")).distinct().collect()}
+        parts = {(r.task, r.seed, r.mol_id): r.part for r in got.collect()}
+        assert len(parts) == 2 * len(rows)
+        for task in "abcd":
+            for seed in (0, 3):
+                size = {}
+                for t, _, g in rows:
+                    if t == task and g is not None:
+                        size[g] = size.get(g, 0) + 1
+                left, test = round(sum(t == task for t, *_ in rows) * share), set()
+                for g in sorted(size, key=lambda g: (hashed[task, g, seed], g)):
+                    if size[g] <= left:
+                        left, test = left - size[g], test | {g}
+                assert {m for t, m, g in rows if t == task and g in test} == {m for (t, s, m), p in parts.items() if (t, s, p) == (task, seed, "test")}
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_temporal_split_cuts_within_a_year(spark, kind):
+    rng = random.Random(12)
+    rows = [(t, i, rng.choice([None, 2000, 2001, 2001, 2001, 2002])) for t in ("a", "b") for i in range(90)] + [("c", i, 1999) for i in range(10)]
+    e = spark.createDataFrame(rows, "task string, mol_id long, first_year int").withColumn("mol_id", F.lpad(F.col("mol_id").cast("string"), 3, "0").cast(kind))
+    for share in (0.2, 0.5, 1.0):
+        got = {(r.task, int(r.mol_id)) for r in splits.temporal_split(e, share).where("part = 'test'").collect()}
+        expect = set()
+        for task in "abc":
+            own = sorted((y if y is not None else -1, i) for t, i, y in rows if t == task)
+            expect |= {(task, i) for _, i in own[len(own) - round(len(own) * share) :]}
+        assert got == expect
+    assert splits.temporal_split(e).columns == [*e.columns, "part"]
+
+
+def test_pair_statistics_without_pairs(spark):
+    """Equal to those of the pairs themselves, with unknown years and repeated assays."""
+    rng = random.Random(13)
+    rows = [(t, f"m{rng.randrange(6)}", f"d{i}", rng.choice(["a", "b", "c"]), rng.choice([None, *range(1990, 2003)]), 5 + rng.gauss(0, 1)) for t in ("t", "u") for i in range(60)]
+    rows += [("one", "m", "d", "a", 2000, 1.0), ("same", "m", "d1", "a", None, 1.0), ("same", "m", "d2", "a", 2000, 1.0)]
+    m = spark.createDataFrame(rows, "task string, mol_id string, doc_id string, assay_id string, year int, y double")
+    got = {r.task: r for r in audit.sigma_from_pairs(audit.doc_facts(m)).collect()}
+    pairs = audit.doc_pairs(m).collect()
+    assert set(got) == {p.task for p in pairs} == {"t", "u", "same"}
+    for task, r in got.items():
+        own = [p for p in pairs if p.task == task]
+        close, far = ([p.delta for p in own if p.d_year is not None and (p.d_year <= 3) == near] for near in (True, False))
+        sigma = lambda d: (sum(x * x for x in d) / len(d) / 2) ** 0.5 if d else None
+        assert (r.n_near, r.n_far) == (len(close), len(far)) and r.frac_same_assays == pytest.approx(sum(p.same_assays for p in own) / len(own))
+        for value, expect in ((r.sigma_pairs, sigma([p.delta for p in own])), (r.sigma_near, sigma(close)), (r.sigma_far, sigma(far))):
+            assert value == (None if expect is None else pytest.approx(expect))
+
+
+def test_targets_of_few_common_entities_keep_their_row(spark):
+    rows = [("T", k, f"m{i}", f"d{j}", 5.0 + i + (k == "Ki") + 0.1 * j) for k in ("IC50", "Ki") for i in range(6) for j in range(2)]
+    rows += [("U", "IC50", "m1", "d1", 1.0), ("U", "IC50", "m1", "d2", 2.0), ("U", "Ki", "m2", "d1", 1.0), ("V", "Ki", "m1", "d1", 1.0)]
+    m = spark.createDataFrame(rows, "target string, type string, mol_id string, doc_id string, y double")
+    got = {r.target: r for r in audit.type_compare(m).collect()}
+    assert set(got) == {"T", "U"} and got["T"].n_both == 6 and got["T"].mean_diff == pytest.approx(1.0) and got["T"].pearson == pytest.approx(1.0)
+    assert (got["U"].n_both, got["U"].mean_diff, got["U"].spearman, got["U"].sigma_ki) == (0, None, None, None) and got["U"].sigma_ic50 == pytest.approx(0.5**0.5)
+    assert got["T"].sigma_ki == pytest.approx((0.005) ** 0.5)
+
+
+def test_rows_without_a_short_key_are_known_by_their_id(spark):
+    df = spark.createDataFrame([(1, "k"), (2, None)], "doc_id long, key_short string")
+    assert sorted(r.key_short for r in decontaminate.keyed(df, "doc_id").collect()) == ["2", "k"]

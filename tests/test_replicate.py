@@ -53,7 +53,7 @@ def test_pairs(m):
     assert sorted(round(r.delta, 6) for r in pairs.collect()) == [0.2, 0.5, 0.7, 0.8, 4.0]
     r = audit.delta_profile(pairs, "k").first()
     assert [r.q50, r.q75, r.q90, r.q95, r.q99, r.max] == pytest.approx([0.7, 0.8, 2.72, 3.36, 3.872, 4.0])
-    assert audit.sigma_from_pairs(pairs).first().sigma_pairs == pytest.approx(1.319848, abs=1e-6)
+    assert audit.sigma_from_pairs(audit.doc_facts(m)).first().sigma_pairs == pytest.approx(1.319848, abs=1e-6)
     assert audit.within_doc_pairs(m).count() == 1
 
 
