@@ -1,7 +1,7 @@
 """Cluster bootstraps over entities, from an entity's sums instead of its rows.
 
 ``hash``: draw i of resample b takes the entity whose ordinal is a hash of (seed, b, i) modulo their number: exactly as many
-draws as entities, the same in any engine. ``poisson``: each entity's weight in resample b is a Poisson(1) number, from the b-th state of
+draws as entities, the same in any engine; an entity then carries the resamples that drew it as one list. ``poisson``: each entity's weight in resample b is a Poisson(1) number, from the b-th state of
 a multiplicative congruential generator (48271, modulo 2 ** 31 - 1) that its own hash begins. It needs no ordinals and no join:
 tasks multiply weights and values as matrices and pass on sums, so that resamples are one partial aggregate of any number of
 entities: the form for scale, and that of the queries.
@@ -17,9 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import clip, ratio
+from ..functions.stored import kept
 from .order import ranks
 from .replicate import doc_level, entity_stats
-from .splits import hash_unit
+from .splits import hash_unit, ranked
 
 DRAWS = 500
 PRIME, FACTOR = (1 << 31) - 1, 48271
@@ -34,31 +35,41 @@ def factors(draws: int) -> list[int]:
 
 
 def pick(seed: int, b: str, i: str, n: str) -> Column:
+    """The ordinal that draw i of resample b takes."""
     text = F.concat_ws("|", F.lit(str(seed)), F.col(b).cast("string"), F.col(i).cast("string"))
     return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.col(n))
 
 
 def hash_weights(entities: DataFrame, draws: int, seed: int, *by: str, key: str = "mol_id") -> DataFrame:
-    """(by, key, b, w): how often resample b draws each entity; zeros are left out. All models of a task share them."""
-    keys = entities.select(*by, key).distinct()
-    numbered = keys.withColumn("at", F.dense_rank().over(Window.partitionBy(*by).orderBy(key)) - 1)
-    sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("g"))
-    picks = sizes.select(*by, "g", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("i"))
-    picks = picks.select(*by, "b", pick(seed, "b", "i", "g").alias("at")).groupBy(*by, "b", "at").agg(F.count(F.lit(1)).alias("w"))
-    return picks.join(numbered.withColumn("at", F.col("at").cast("long")), [*by, "at"]).select(*by, key, "b", "w")
+    """(by, key, drawn): the resamples that draw each entity, one entry for each time; entities that none draws have no row. In each
+    resample as many draws as ``by`` has entities. Ordinals follow the entities' own hash: counts of lower hashes and a place
+    among those of the same leading bits, so that no task's entities meet in one sort."""
+    keys = entities.select(*by, key).distinct().withColumn("__h", hash_unit(0, *by, key))
+    keys = kept(ranked(keys.withColumn("__b", F.shiftright("__h", 20)), list(by), "__b", "__h", key), "numbered")
+    numbered = keys.select(*by, key, (F.col("__at") - 1).alias("at"))
+    sizes = keys.groupBy(*by).agg(F.first("__n").alias("g"))
+    # few rows that become many: dealt out before they do
+    spark = entities.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    picks = sizes.select(*by, "g", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).repartition(tasks, *by, "b").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("g") - 1)).alias("i"))
+    drawn = picks.select(*by, "b", pick(seed, "b", "i", "g").alias("at")).groupBy(*by, "at").agg(F.collect_list("b").alias("drawn"))
+    return drawn.join(numbered, [*by, "at"]).select(*by, key, "drawn")
 
 
-def poisson_sums(rows: DataFrame, by: list[str], values: list[str], draws: int = DRAWS, seed: int = 0, keys: tuple = ("task", "mol_id")) -> DataFrame:
-    """(by, b, values): sums of the values (doubles without nulls) over the rows of each resample, weighted by their entity. An entity,
-    which the keys name, has the same weight in all its rows. by: columns of strings."""
-    state = (hash_unit(seed, *keys) % (PRIME - 1) + 1).alias("__state")
-    mark = "\u0001"
-    # a mark at the end tells a null group from an empty one
-    label = F.concat_ws(mark, *[F.coalesce(F.col(c), F.lit("\u0002")) for c in by])
-    sent = rows.select(label.alias("__g"), state, *[F.col(v).cast("double").alias(v) for v in values])
+MARK = "\u0001"
+
+
+def _labelled(by: list[str]) -> Column:
+    """One string for the group of a row; a mark tells a null from an empty one."""
+    return F.concat_ws(MARK, *[F.coalesce(F.col(c), F.lit("\u0002")) for c in by]).alias("__g")
+
+
+def _sums(sent: DataFrame, by: list[str], values: list[str], draws: int, weigh) -> DataFrame:
+    """(by, b, values): the values of sent (__g, values, and what ``weigh`` reads) times the weights, added up. weigh: of a batch, a
+    function from row numbers to their weights, a row for each and a column for each resample."""
 
     def task(batches):
-        steps, of, held = np.array(factors(draws), np.int64), np.array(STEPS, np.int64), {}
+        held: dict[str, np.ndarray] = {}
 
         def told():
             names, sums = list(held), np.concatenate(list(held.values())) if held else np.zeros((0, len(values)))
@@ -69,19 +80,12 @@ def poisson_sums(rows: DataFrame, by: list[str], values: list[str], draws: int =
         for batch in batches:
             coded = batch.column("__g").dictionary_encode()
             names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
-            state = batch.column("__state").to_numpy(zero_copy_only=False)
             x = np.stack([batch.column(v).to_numpy(zero_copy_only=False) for v in values], 1)
+            weights = weigh(batch)
             order = np.argsort(code, kind="stable")
             for at in range(0, len(order), CHUNK):
                 part = order[at : at + CHUNK]
-                s = state[part, None] * steps % PRIME
-                w = np.zeros(s.shape, np.float64)
-                for step in of:
-                    more = s >= step
-                    if not more.any():
-                        break
-                    w += more
-                own = code[part]
+                w, own = weights(part), code[part]
                 cuts = [0, *(np.flatnonzero(np.diff(own)) + 1).tolist(), len(part)]
                 for a, b in zip(cuts, cuts[1:]):
                     name = names[own[a]]
@@ -92,10 +96,54 @@ def poisson_sums(rows: DataFrame, by: list[str], values: list[str], draws: int =
 
     sums = sent.mapInArrow(task, ", ".join(["__g string", "b int", *[f"{v} double" for v in values]]))
     out = sums.groupBy("__g", "b").agg(*[F.sum(v).alias(v) for v in values])
-    parts = F.split("__g", mark)
+    parts = F.split("__g", MARK)
     return out.select(*[F.nullif(F.get(parts, F.lit(i)), F.lit("\u0002")).alias(c) for i, c in enumerate(by)], "b", *values)
 
 
+def poisson_sums(rows: DataFrame, by: list[str], values: list[str], draws: int = DRAWS, seed: int = 0, keys: tuple = ("task", "mol_id")) -> DataFrame:
+    """(by, b, values): sums of the values (doubles without nulls) over the rows of each resample, weighted by their entity. An entity,
+    which the keys name, has the same weight in all its rows. by: columns of strings."""
+    state = (hash_unit(seed, *keys) % (PRIME - 1) + 1).alias("__state")
+    sent = rows.select(_labelled(by), state, *[F.col(v).cast("double").alias(v) for v in values])
+
+    def weigh(batch):
+        steps, of = np.array(factors(draws), np.int64), np.array(STEPS, np.int64)
+        state = batch.column("__state").to_numpy(zero_copy_only=False)
+
+        def weights(part):
+            s = state[part, None] * steps % PRIME
+            w = np.zeros(s.shape, np.float64)
+            for step in of:
+                more = s >= step
+                if not more.any():
+                    break
+                w += more
+            return w
+
+        return weights
+
+    return _sums(sent, by, values, draws, weigh)
+
+
+def exact_sums(rows: DataFrame, by: list[str], values: list[str], draws: int = DRAWS, seed: int = 0, of: tuple[str, ...] = ("task",), key: str = "mol_id") -> DataFrame:
+    """The same where each resample draws exactly as many entities as there are in ``of``, a part of by; the rows of an entity meet its draws
+    in one join, and are multiplied as above."""
+    joined = rows.join(hash_weights(rows, draws, seed, *of, key=key), [*of, key])
+    sent = joined.select(_labelled(by), "drawn", *[F.col(v).cast("double").alias(v) for v in values])
+
+    def weigh(batch):
+        lists = batch.column("drawn")
+        ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
+
+        def weights(part):
+            at = [flat[ends[i] : ends[i + 1]] + k * draws for k, i in enumerate(part.tolist())]
+            return np.bincount(np.concatenate(at), minlength=len(part) * draws).reshape(len(part), draws).astype(np.float64)
+
+        return weights
+
+    return _sums(sent, by, values, draws, weigh)
+
+
 def interval(x: str, name: str, alpha: float = 0.05) -> list[Column]:
     return [F.percentile(x, F.lit(p)).alias(f"{name}_{s}") for p, s in ((alpha / 2, "lo"), (0.5, "med"), (1 - alpha / 2, "hi"))]
 
@@ -107,11 +155,7 @@ def ceiling_draws(m: DataFrame, draws: int = DRAWS, seed: int = 0, min_docs: int
     one = lambda x: F.when(keep, x).otherwise(0.0).cast("double")
     values = {"ss": one(F.col("ss")), "dof": one(F.col("n") - 1), "sw": F.lit(1.0), "s1": F.col("mean"), "s2": F.col("mean") * F.col("mean"), "inv": 1 / F.col("n")}
     rows = stats.select("task", "mol_id", *[v.alias(k) for k, v in values.items()])
-    if mode == "poisson":
-        sums = poisson_sums(rows, ["task"], list(values), draws, seed)
-    else:
-        weighted = rows.join(hash_weights(rows, draws, seed, "task"), ["task", "mol_id"])
-        sums = weighted.groupBy("task", "b").agg(*[F.sum(F.col("w") * F.col(v)).alias(v) for v in values])
+    sums = (poisson_sums if mode == "poisson" else exact_sums)(rows, ["task"], list(values), draws, seed)
     noise, k = ratio("ss", "dof"), ratio("inv", "sw")
     var = ratio(F.col("s2") - F.col("s1") * F.col("s1") / F.nullif(F.col("sw"), F.lit(0.0)), F.col("sw") - 1)
     return sums.select("task", "b", F.sqrt(noise).alias("sigma"), F.sqrt(noise * k).alias("rmse_floor"), clip(1 - ratio(noise * k, var), 0.0, 1.0).alias("r2_max"))
@@ -139,10 +183,12 @@ def _fractions(sums: DataFrame, ceilings: DataFrame, *keys: str) -> DataFrame:
     return out.select(*keys, rmse.alias("rmse"), ratio(mean - rmse, mean - floor).alias("frac"))
 
 
-def fraction_draws(p: DataFrame, ceilings: DataFrame, draws: int = DRAWS, seed: int = 0, sigma_draws: DataFrame | None = None) -> DataFrame:
+def fraction_draws(p: DataFrame, ceilings: DataFrame, draws: int = DRAWS, seed: int = 0, sigma_draws: DataFrame | None = None, mode: str = "poisson") -> DataFrame:
     """(task, split, model, b, rmse, frac): every model of a task and split on the same resamples of its entities. With sigma_draws
-    (task, b, sigma), each resample has the noise of its own."""
-    sums = poisson_sums(pooled_sums(p), ["task", "split", "model"], ["n", "e2", "b2", "inv"], draws, seed)
+    (task, b, sigma), each resample has the noise of its own. Mode ``hash`` draws exactly as many entities as a task's split has."""
+    by, values = ["task", "split", "model"], ["n", "e2", "b2", "inv"]
+    rows = pooled_sums(p)
+    sums = poisson_sums(rows, by, values, draws, seed) if mode == "poisson" else exact_sums(kept(rows, "pooled"), by, values, draws, seed, ("task", "split"))
     if sigma_draws is not None:
         return _fractions_with(sums, sigma_draws)
     return _fractions(sums, ceilings, "task", "split", "model", "b")

@@ -462,19 +462,38 @@ def wilcoxon_tests(s, d):
     return significance.paired_tests(per_task(s, d), BASELINE)
 
 
+def _fraction_draws(s, d, mode):
+    return resample.fraction_draws(predictions(s, d), replicate.ceilings(m(s, d)), mode=mode)
+
+
 @query
 def cluster_bootstrap_hash(s, d):
-    return resample.fraction_intervals(resample.fraction_draws(predictions(s, d), replicate.ceilings(m(s, d))))
+    return resample.fraction_intervals(_fraction_draws(s, d, "hash"))
+
+
+@query
+def cluster_bootstrap_poisson(s, d):
+    return resample.fraction_intervals(_fraction_draws(s, d, "poisson"))
 
 
 @query
 def aggregate_bootstrap_hash(s, d):
-    return resample.aggregate_intervals(resample.fraction_draws(predictions(s, d), replicate.ceilings(m(s, d))))
+    return resample.aggregate_intervals(_fraction_draws(s, d, "hash"))
+
+
+@query
+def aggregate_bootstrap_poisson(s, d):
+    return resample.aggregate_intervals(_fraction_draws(s, d, "poisson"))
 
 
 @query
 def paired_bootstrap_hash(s, d):
-    return resample.paired_intervals(resample.fraction_draws(predictions(s, d), replicate.ceilings(m(s, d))), BASELINE)
+    return resample.paired_intervals(sinks.kept(_fraction_draws(s, d, "hash"), "draws"), BASELINE)
+
+
+@query
+def paired_bootstrap_poisson(s, d):
+    return resample.paired_intervals(sinks.kept(_fraction_draws(s, d, "poisson"), "draws"), BASELINE)
 
 
 @query

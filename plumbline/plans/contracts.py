@@ -59,8 +59,11 @@ COLUMNS = {
     "holm_bh": "task string, split string, seed int, model string, p double, p_holm double, p_bh double",
     "wilcoxon_tests": "split string, model string, n_tasks int, wilcoxon_p double, p_holm double, p_bh double, inside_noise boolean",
     "cluster_bootstrap_hash": "task string, split string, model string, frac_lo double, frac_med double, frac_hi double, rmse_lo double, rmse_med double, rmse_hi double, n_valid_draws bigint",
+    "cluster_bootstrap_poisson": "task string, split string, model string, frac_lo double, frac_med double, frac_hi double, rmse_lo double, rmse_med double, rmse_hi double, n_valid_draws bigint",
     "aggregate_bootstrap_hash": "split string, model string, frac_lo double, frac_med double, frac_hi double",
+    "aggregate_bootstrap_poisson": "split string, model string, frac_lo double, frac_med double, frac_hi double",
     "paired_bootstrap_hash": "task string, split string, model string, diff_lo double, diff_med double, diff_hi double, p_boot double, inside_noise boolean",
+    "paired_bootstrap_poisson": "task string, split string, model string, diff_lo double, diff_med double, diff_hi double, p_boot double, inside_noise boolean",
     "slice_labels": "task string, split string, seed int, mol_id bigint, slice_type string, slice_value string",
     "slice_delta": "slice_type string, slice_value string, split string, model string, n_tasks bigint, n_mols bigint, delta_rmse double, delta_over_sigma double",
     "slice_intervals": "slice_type string, slice_value string, split string, model string, lo double, hi double, lo_over_sigma double, hi_over_sigma double, se double, mde_80 double, flag string",

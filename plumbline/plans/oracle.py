@@ -126,7 +126,7 @@ def _iv(x: str, name: str) -> str:
 
 
 def _picks(source: str, by: str, key: str = "mol_id") -> str:
-    return f"""kk AS (SELECT *, dense_rank() OVER (PARTITION BY {by} ORDER BY {key}) - 1 AS "at" FROM (SELECT DISTINCT {by}, {key} FROM {source})),
+    return f"""kk AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {_hash(*by.split(', '), key)}, {key}) - 1 AS "at" FROM (SELECT DISTINCT {by}, {key} FROM {source})),
 kg AS (SELECT {by}, count(*) AS g FROM kk GROUP BY ALL), kb AS (SELECT *, unnest(range(0, g)) AS i FROM (SELECT *, unnest(range(0, {DRAWS})) AS b FROM kg)),
 kp AS (SELECT {by}, b, CAST('0x' || substr(md5(concat_ws('|', '0', b, i)), 1, 8) AS BIGINT) % g AS "at" FROM kb),
 wt AS (SELECT {by}, {key}, b, count(*) AS w FROM kp JOIN kk USING ({by}, "at") GROUP BY ALL)"""
@@ -142,12 +142,18 @@ def _poisson(source: str, by: str, values: tuple, keys: str = "task, mol_id", na
 {name} AS (SELECT {by}, b, {weighed} FROM {name}w GROUP BY ALL)"""
 
 
-_FD = _P.rstrip() + """,
+_FP = _P.rstrip() + """,
 pm AS (SELECT task, split, model, mol_id, CAST(count(*) AS DOUBLE) AS n, sum((y - pred) ** 2) AS e2, sum((y - y_train_mean) ** 2) AS b2, sum(1e0 / n_docs) AS inv FROM p GROUP BY ALL),
-pn AS (SELECT pm.* FROM pm JOIN (SELECT task, split, model FROM pm GROUP BY ALL HAVING sum(n) >= 10) USING (task, split, model)),
-""" + _poisson("pn", "task, split, model", ("n", "e2", "b2", "inv")) + """,
+pn AS MATERIALIZED (SELECT pm.* FROM pm JOIN (SELECT task, split, model FROM pm GROUP BY ALL HAVING sum(n) >= 10) USING (task, split, model)),
+"""
+_FRACTIONS = """,
 f0 AS (SELECT task, split, model, b, sqrt(e2 / n) AS rmse, sqrt(b2 / n) AS mean, sigma * sqrt(inv / n) AS floor FROM ps JOIN (SELECT task, sigma FROM c) USING (task) WHERE n > 0),
 fd AS MATERIALIZED (SELECT task, split, model, b, rmse, CASE WHEN mean - floor > 0 THEN (mean - rmse) / (mean - floor) END AS frac FROM f0)"""
+_FD = {
+    "poisson": _FP + _poisson("pn", "task, split, model", ("n", "e2", "b2", "inv")) + _FRACTIONS,
+    "hash": _FP + _picks("pn", "task, split") + """,
+ps AS (SELECT task, split, model, b, sum(w * n) AS n, sum(w * e2) AS e2, sum(w * b2) AS b2, sum(w * inv) AS inv FROM pn JOIN wt USING (task, split, mol_id) GROUP BY ALL)""" + _FRACTIONS,
+}
 _L = _P + """,
 sg0 AS (SELECT DISTINCT structure, string_split(structure, ' ') AS ws FROM e WHERE structure IS NOT NULL), sg AS (SELECT structure, len(ws) AS n, unnest(ws) AS w FROM (SELECT structure, list_distinct(ws) AS ws FROM sg0)),
 sp AS MATERIALIZED (SELECT structure, other, CAST(k AS DOUBLE) / (an + bn - k) AS sim FROM (SELECT a.structure, b.structure AS other, a.n AS an, b.n AS bn, count(*) AS k FROM sg a JOIN sg b USING (w) GROUP BY ALL) ),
@@ -287,10 +293,6 @@ _RAW = {
     "holm_bh": "WITH" + _B + """, h AS (SELECT task, split, seed, model, round(abs(r2), 6) AS p FROM bm), hk AS (SELECT *, count(*) OVER () AS k, row_number() OVER (ORDER BY p, task, split, seed, model) AS i FROM h WHERE p IS NOT NULL)
       SELECT h.task, h.split, h.seed, h.model, h.p, p_holm, p_bh FROM h LEFT JOIN (SELECT task, split, seed, model, least(1e0, max((k - i + 1) * p) OVER (ORDER BY i)) AS p_holm,
         least(1e0, min(CAST(k AS DOUBLE) / i * p) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS p_bh FROM hk) u ON h.task = u.task AND h.split = u.split AND h.seed = u.seed AND h.model = u.model""",
-    "cluster_bootstrap_hash": "WITH" + _FD + f"SELECT task, split, model, {_iv('frac', 'frac')}, {_iv('rmse', 'rmse')}, count(frac) AS n_valid_draws FROM fd GROUP BY ALL",
-    "aggregate_bootstrap_hash": "WITH" + _FD + f"SELECT split, model, {_iv('frac', 'frac')} FROM (SELECT split, model, b, avg(frac) AS frac FROM fd GROUP BY ALL) GROUP BY ALL",
-    "paired_bootstrap_hash": "WITH" + _FD + f""", pd AS (SELECT a.task, a.split, a.model, a.frac - b.frac AS d FROM fd a JOIN fd b ON a.task = b.task AND a.split = b.split AND a.b = b.b AND b.model = 'mean_by_brand' WHERE a.model <> 'mean_by_brand' AND a.frac IS NOT NULL AND b.frac IS NOT NULL),
-      pq AS (SELECT task, split, model, {_iv('d', 'diff')}, least(1e0, 2 * least(avg(CASE WHEN d <= 0 THEN 1e0 ELSE 0e0 END), avg(CASE WHEN d >= 0 THEN 1e0 ELSE 0e0 END))) AS p_boot FROM pd GROUP BY ALL) SELECT *, diff_lo <= 0 AND diff_hi >= 0 AS inside_noise FROM pq""",
     "slice_labels": "WITH" + _L + "SELECT * FROM sl",
     "slice_delta": "WITH" + _L + ", " + _SD + " SELECT * FROM sx",
     "slice_intervals": "WITH" + _SI + " SELECT * FROM sv",
@@ -336,6 +338,13 @@ _RAW = {
 
 
 
+for _mode, _fd in _FD.items():
+    _RAW |= {
+        f"cluster_bootstrap_{_mode}": "WITH" + _fd + f" SELECT task, split, model, {_iv('frac', 'frac')}, {_iv('rmse', 'rmse')}, count(frac) AS n_valid_draws FROM fd GROUP BY ALL",
+        f"aggregate_bootstrap_{_mode}": "WITH" + _fd + f" SELECT split, model, {_iv('frac', 'frac')} FROM (SELECT split, model, b, avg(frac) AS frac FROM fd GROUP BY ALL) GROUP BY ALL",
+        f"paired_bootstrap_{_mode}": "WITH" + _fd + f""", pd AS (SELECT a.task, a.split, a.model, a.frac - b.frac AS d FROM fd a JOIN fd b ON a.task = b.task AND a.split = b.split AND a.b = b.b AND b.model = 'mean_by_brand' WHERE a.model <> 'mean_by_brand' AND a.frac IS NOT NULL AND b.frac IS NOT NULL),
+      pq AS (SELECT task, split, model, {_iv('d', 'diff')}, least(1e0, 2 * least(avg(CASE WHEN d <= 0 THEN 1e0 ELSE 0e0 END), avg(CASE WHEN d >= 0 THEN 1e0 ELSE 0e0 END))) AS p_boot FROM pd GROUP BY ALL) SELECT *, diff_lo <= 0 AND diff_hi >= 0 AS inside_noise FROM pq""",
+    }
 _FILTERED = " UNION ALL ".join("SELECT '" + n + "' AS filter, * FROM (" + _ceil("n >= 2" + (f" AND range <= {r}" if r else ""), "task") + ")" for n, r in (("nofilter", None), ("diff3", 3), ("diff2", 2)))
 _RAW["audit_table"] = f"""SELECT a.*, n.* EXCLUDE (task), p.* EXCLUDE (task), r.* EXCLUDE (task), f.* EXCLUDE (task), d.assays_per_doc AS assays_per_doc_mean, v.n_multi AS n_mols_multi_fullkey, v.frac_multi AS frac_mols_multi_fullkey
 FROM ({_RAW["audit_summary"]}) a

@@ -4,6 +4,8 @@ import math
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from plumbline.operators import audit, replicate, resample
 
 ROWS = [
@@ -81,3 +83,24 @@ def test_bootstrap_brackets_sigma(spark, mode):
     assert r.sigma_lo < sigma < r.sigma_hi and r.n_valid_draws == 60
     se = (r.sigma_hi - r.sigma_lo) / 3.92
     assert 0.3 < se / (0.5 / math.sqrt(2 * 600)) < 2.5
+
+
+def test_exact_resamples_draw_as_many_as_there_are(spark):
+    """In each resample of each group the draws add up to its entities; sums equal those of the drawn entities, one by one."""
+    import hashlib
+
+    rows = [(t, f"m{i}", float(i), s) for t, n in (("a", 40), ("b", 7), ("c", 1)) for i in range(n) for s in ("x", None) if (i + len(s or "")) % 5]
+    df = spark.createDataFrame(rows, "task string, mol_id string, v double, side string").withColumn("one", F.lit(1.0))
+    got = {(r.task, r.side, r.b): (r.one, r.v) for r in resample.exact_sums(df, ["task", "side"], ["one", "v"], draws=30, seed=5).collect()}
+    unit = lambda *k: int(hashlib.md5("|".join(map(str, k)).encode()).hexdigest()[:8], 16)
+    for task in "abc":
+        mols = sorted({m for t, m, *_ in rows if t == task}, key=lambda m: (unit(0, task, m), m))
+        for b in range(30):
+            drawn = [mols[unit(5, b, i) % len(mols)] for i in range(len(mols))]
+            for side in ("x", None):
+                own = {m: v for t, m, v, s in rows if (t, s) == (task, side)}
+                expect = (sum(m in own for m in drawn), sum(own.get(m, 0.0) for m in drawn))
+                assert got.get((task, side, b), (0, 0.0)) == pytest.approx(expect)
+    drawn = resample.hash_weights(df, 30, 5, "task").select("task", F.explode("drawn").alias("b")).groupBy("task", "b").count().collect()
+    assert len(drawn) == 90 and {(r.task, r["count"]) for r in drawn} == {("a", len({m for t, m, *_ in rows if t == "a"})), ("b", len({m for t, m, *_ in rows if t == "b"})), ("c", 1)}
+    assert resample.exact_sums(df.where("false"), ["task"], ["v"], draws=3).collect() == []
