@@ -22,8 +22,8 @@ from .common import END_ID, TOKENIZER
 
 #: Words and pieces whose ids a process keeps in each of two generations: once the new one is full it becomes the old one, and
 #: what is met again moves from the old one to the new.
-KEPT_WORDS = 200_000
-KEPT_PIECES = 100_000
+KEPT_WORDS = 100_000
+KEPT_PIECES = 160_000
 _L = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(rf"[\t\n\r\x20-\x7e{_L}]*")
 _WORD = re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{_L}]+| ?[0-9]+| ?[^\s{_L}0-9]+|\s+(?!\S)|\s+")
@@ -85,7 +85,9 @@ class Encoder:
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        return self._plain(" " + piece)
+        """A piece of one word, as most are, is kept once, as a piece."""
+        found = _WORD.findall(" " + piece)
+        return self._word(found[0]) if len(found) == 1 else b"".join(map(self.words.__getitem__, found))
 
     def _plain(self, text: str) -> bytes:
         return b"".join(map(self.words.__getitem__, _WORD.findall(text)))
