@@ -96,7 +96,8 @@ def quantiles(df: DataFrame, by: list[str] | tuple[str, ...], wanted: dict[str,
     values = reduce(DataFrame.unionAll, found)
     low, high = values.select("g", "c", F.col("asked").alias("low"), F.col("value").alias("v0")), values.select("g", "c", F.col("asked").alias("next"), F.col("value").alias("v1"))
     both = total.withColumn("next", F.least(F.col("low") + 1, F.col("total") - 1)).join(low, ["g", "c", "low"]).join(high, ["g", "c", "next"])
-    both = both.withColumn("q", F.col("v0") * (1 - F.col("part")) + F.when(F.col("part") > 0, F.col("v1") * F.col("part")).otherwise(0.0))
+    # between equal values, infinite ones too, there is nothing to weigh
+    both = both.withColumn("q", F.when((F.col("v0") == F.col("v1")) | (F.col("part") == 0), F.col("v0")).otherwise(F.col("v0") * (1 - F.col("part")) + F.col("v1") * F.col("part")))
     own = [F.max(F.when((F.col("c") == columns[str(c)][0]) & (F.col("p") == p), F.col("q"))).alias(name) for name, (c, p) in wanted.items()]
     return both.groupBy("g").agg(*own).select("g.*", *wanted) if by else both.agg(*own)
 

@@ -122,7 +122,9 @@ SPLITS = {
 
 
 def all_splits(e: DataFrame, group: str = "structure", seeds=SEEDS, share: float = 0.2) -> DataFrame:
-    """e once for each split and seed, with split, seed and part. The temporal split is the same for every seed."""
+    """e once for each split and seed, with split, seed and part. The temporal split is the same for every seed. e is written first, so that
+    an entity's value is one and the same in all splits, to the last digit."""
+    e = kept(e, "entities")
     runs = {"random": random_splits(e, seeds, share), "scaffold": group_splits(e, group, seeds, share), "temporal": seeded(temporal_split(e, share), seeds)}
     columns = [*e.columns, "split", "seed", "part"]
     a, b, c = (df.withColumn("split", F.lit(n)).select(columns) for n, df in runs.items())

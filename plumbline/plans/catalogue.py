@@ -75,13 +75,13 @@ def _with_intervals(s, d):
 
 def _sliced(s, d):
     r = runs(s, d)
-    context = sinks.kept(slices.test_context(r, slices.structure_pairs(entities(s, d))), "context")
-    return r, context, slices.labelled(r, context)
+    context = sinks.kept(slices.test_context(r, sinks.kept(slices.structure_pairs(r), "similar")), "context")
+    return r, context
 
 
 def _cells(s, d):
-    r, _, labels = _sliced(s, d)
-    return sinks.kept(slices.cells(evaluate.group_mean_predictions(r, MODELS), labels, BASELINE), "cells"), replicate.ceilings(m(s, d))
+    r, context = _sliced(s, d)
+    return sinks.kept(slices.cells(evaluate.group_mean_predictions(r, MODELS), slices.marked(r, context), BASELINE), "cells"), replicate.ceilings(m(s, d))
 
 
 def registry(s, d):
@@ -498,7 +498,7 @@ def paired_bootstrap_poisson(s, d):
 
 @query
 def slice_labels(s, d):
-    return _sliced(s, d)[2]
+    return slices.labelled(*_sliced(s, d))
 
 
 @query
@@ -540,7 +540,7 @@ def similarity_to_train(s, d):
 
 @query
 def comparison_artifacts(s, d):
-    r, context, _ = _sliced(s, d)
+    r, context = _sliced(s, d)
     return slices.artifacts(r, replicate.ceilings(m(s, d)), context)
 
 

@@ -9,7 +9,9 @@ import __spark_entry__
 from plumbline.plans import catalogue, oracle
 
 duckdb = pytest.importorskip("duckdb")
-CHECKED = ("task_ceiling", "ceiling_sensitivity", "audit_summary", "delta_profile", "exact_match_flags", "decontam_funnel", "split_scaffold", "leaderboard", "ceiling_bootstrap_hash", "holm_bh")
+CHECKED = ("task_ceiling", "ceiling_sensitivity", "audit_summary", "delta_profile", "exact_match_flags", "decontam_funnel", "split_scaffold", "leaderboard", "ceiling_bootstrap_hash", "holm_bh",
+           "audit_table", "type_compare", "sigma_from_pairs", "within_doc_pairs", "big_pairs", "max_similarity", "similarity_quantiles", "regression_metrics", "comparison_artifacts",
+           "split_temporal", "split_random", "ks_statistic", "value_quantiles", "parse_records")
 
 
 def rows(frame):
