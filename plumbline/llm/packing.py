@@ -46,6 +46,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, en
             names = ("doc_id", "piece", "start", "length", "ids_crc32")
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
+        enc.forget()  # a worker that goes on to other stages doesn't carry them along
 
     return docs.select("doc_id", "text").mapInArrow(task, PIECES)
 

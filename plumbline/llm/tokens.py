@@ -80,6 +80,12 @@ class Encoder:
         #: Keys lack the space that stands before a piece.
         self.pieces = _Kept(KEPT_PIECES, self._piece)
 
+    def forget(self) -> None:
+        """Drops the ids kept so far."""
+        for kept in (self.words, self.pieces):
+            kept.clear()
+            kept.old = {}
+
     def _word(self, word: str) -> bytes:
         letters = word.encode().decode("latin-1").translate(self.alphabet)
         return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
