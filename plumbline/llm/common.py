@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from contextlib import contextmanager
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
+#: Bytes of rows that go to a Python worker at once while a table is written: texts are in memory several times there, as Arrow,
+#: as Python's strings and as what is made of them. A longer text goes alone.
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,10 +82,45 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def written_at(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
+    with small_batches(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def small_batches(spark: SparkSession):
+    """Inside, Arrow batches hold ``BATCH_BYTES`` at most, or what the session allows where that is less; its setting is put back."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(before)
+    spark.conf.set(key, f"{min(BATCH_BYTES, now)}b")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def give_back() -> None:
+    """Returns to the system what this process has freed. Workers live through many stages; what the allocators keep of one stage's peak
+    would stand beside the next one's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
+def lean(task):
+    """A task over an iterator of batches, after which its worker gives back memory; the task's own variables are gone by then."""
+
+    @wraps(task)
+    def run(batches):
+        yield from task(batches)
+        give_back()
+
+    return run
+
+
 def doc_crc(column: str = "doc_id"):
     """crc32 of an id's decimal text, as the fold rules use it."""
     return F.crc32(F.col(column).cast("string").cast("binary"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import END_ID, TOKENIZER, written
+from .common import END_ID, TOKENIZER, lean, written
 from .tokens import encoder
 
 LENGTH = 1024
@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, en
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
         enc.forget()  # a worker that goes on to other stages doesn't carry them along
 
-    return docs.select("doc_id", "text").mapInArrow(task, PIECES)
+    return docs.select("doc_id", "text").mapInArrow(lean(task), PIECES)
 
 
 def best_fit(lengths: np.ndarray, room: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:

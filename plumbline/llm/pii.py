@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 from itertools import accumulate
 from typing import NamedTuple
 
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .common import give_back
+
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("iban", "national_id", "local_phone")
 KINDS = BASE + ADDED
@@ -220,8 +223,10 @@ def masked(text: str | None) -> str | None:
 
 
 @F.pandas_udf(StringType())
-def _masked(text: pd.Series) -> pd.Series:
-    return pd.Series([masked(t) for t in text], dtype=object)
+def _masked(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for text in texts:
+        yield pd.Series([masked(t) for t in text], dtype=object)
+    give_back()
 
 
 def redacted(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ pairs within the radius are given by :func:`links`.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -16,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from .common import free, written
+from .common import free, give_back, written
 from .components import components
 
 RADIUS = 2
@@ -45,8 +47,10 @@ def fingerprint(text: str | None) -> int:
 
 
 @F.pandas_udf(LongType())
-def _fingerprints(text: pd.Series) -> pd.Series:
-    return pd.Series(np.array([fingerprint(t) for t in text], np.uint64).view(np.int64))
+def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for text in texts:
+        yield pd.Series(np.array([fingerprint(t) for t in text], np.uint64).view(np.int64))
+    give_back()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

@@ -28,6 +28,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import doc_crc, free, teaching, written
+from .common import doc_crc, free, give_back, lean, teaching, written
 
 #: Of labelled documents, the part that fits the two numbers, and that part of ``SAMPLE`` of each class at most.
 SAMPLE = 4000
@@ -131,9 +132,11 @@ def with_evidence(docs: DataFrame, model: Model, to: str = "evidence") -> DataFr
         sent = docs.sparkSession.sparkContext.broadcast((model.odds, model.base, _heads(model.odds)))
 
         @F.pandas_udf(DoubleType())
-        def told(text: pd.Series) -> pd.Series:
+        def told(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
             odds, base, heads = sent.value
-            return pd.Series([evidence(t, odds, base, heads) for t in text], dtype="float64")
+            for text in texts:
+                yield pd.Series([evidence(t, odds, base, heads) for t in text], dtype="float64")
+            give_back()
 
         return docs.withColumn(to, told("text"))
 
@@ -215,7 +218,7 @@ def _count(docs: DataFrame, picked: DataFrame) -> DataFrame:
         return _keyed(docs).join(F.broadcast(rows) if few else rows, "key").select("key", "text", "y")
 
     once, more = texts(picked.where("rows = 1")), texts(picked.where("rows > 1")).dropDuplicates(["key", "y"])
-    seen = once.unionAll(more).select("text", "y").mapInArrow(task, "bucket int, lines string")
+    seen = once.unionAll(more).select("text", "y").mapInArrow(lean(task), "bucket int, lines string")
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(GROUPS * PARTS, texts_in // TEXTS))
     line = seen.repartition(tasks, "bucket").select("bucket", F.explode(F.split("lines", "\n")).alias("line")).where("line <> ''")
     n = F.when(F.instr("line", "\t") > 0, F.substring_index("line", "\t", -1).cast("long")).otherwise(F.lit(1))
