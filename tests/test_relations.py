@@ -32,6 +32,24 @@ def test_prefix_filter_finds_exactly_the_similar(spark):
         assert got == {(i, j) for i, a in left.items() for j, b in right.items() if near(a, set(b))}
 
 
+@pytest.mark.parametrize("frequent,sent", [(1, 10**6), (2, 3), (10**9, 1)])
+def test_rows_meet_by_the_hashes_of_their_prefixes(spark, monkeypatch, frequent, sent):
+    """Equal to brute force whichever features are known to be frequent; no feature's text is shuffled, and a passage that all texts
+    share makes no candidate."""
+    monkeypatch.setattr(similarity, "FREQUENT", frequent)
+    monkeypatch.setattr(similarity, "SENT", sent)
+    rng, passage = random.Random(5), [f"p{i}" for i in range(20)]
+    texts = [[f"w{rng.randrange(40)}" for _ in range(rng.randrange(0, 40))] for _ in range(60)]
+    texts += [t[:-1] for t in texts[:25]] + [t + ["z"] for t in texts[:25]] + [passage + [f"{k}.{i}" for i in range(60)] for k in range(30)]
+    rows = similarity.rows(spark.createDataFrame(list(enumerate(texts)), "a long, words array<string>"), "a")
+    sets = [{" ".join(t[i : i + 5]) for i in range(max(1, len(t) - 4))} if t else set() for t in texts]
+    for per_mille, where in ((800, None), (800, "a < b"), (300, None)):
+        got = {(r.a, r.b): r.similarity for r in similarity.similar_rows(rows, rows.withColumnRenamed("a", "b"), "a", "b", per_mille, where=where).collect()}
+        pairs = {(a, b): len(x & y) / len(x | y) for a, x in enumerate(sets) for b, y in enumerate(sets) if x and y and (a < b or not where)}
+        assert got == {p: v for p, v in pairs.items() if v >= per_mille / 1000}
+    assert "feature" not in rows.columns and dict(rows.dtypes)["hashes"] == "array<bigint>"
+
+
 def test_funnel_balances(spark):
     data = spark.createDataFrame([(1, "s", "f1", "k1", ["a", "b", "c", "d"]), (2, "s", "f9", "k1", ["d", "a", "b", "c"]), (3, "s", "f8", "k8", list("abcdefghijklmnopqrsu")), (4, "s", "f7", "k7", ["x", "y", "z"]), (5, "s", None, None, [])],
                                  "doc_id long, source string, key_full string, key_short string, words array<string>")
