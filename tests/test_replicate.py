@@ -104,3 +104,15 @@ def test_exact_resamples_draw_as_many_as_there_are(spark):
     drawn = resample.hash_weights(df, 30, 5, "task").select("task", F.explode("drawn").alias("b")).groupBy("task", "b").count().collect()
     assert len(drawn) == 90 and {(r.task, r["count"]) for r in drawn} == {("a", len({m for t, m, *_ in rows if t == "a"})), ("b", len({m for t, m, *_ in rows if t == "b"})), ("c", 1)}
     assert resample.exact_sums(df.where("false"), ["task"], ["v"], draws=3).collect() == []
+
+
+def test_draws_are_counted_where_they_are_made(spark, monkeypatch):
+    """Blocks of counts, as many rows as groups, blocks and resamples, hold the draws of the lists; sums over several blocks are theirs."""
+    monkeypatch.setattr(resample, "BLOCK", 8)
+    monkeypatch.setattr(resample, "HASHED", 5)
+    df = spark.createDataFrame([(t, i, float(i * i)) for t, n in (("a", 30), ("b", 9)) for i in range(n)], "task string, mol_id long, v double")
+    counts = resample.draw_counts(spark, [30, 9], 20, 3).collect()
+    assert len(counts) == (4 + 2) * 20 and sum(sum(r.counts[::2]) for r in counts) == 20 * 39
+    drawn = df.join(resample.hash_weights(df, 20, 3, "task"), ["task", "mol_id"]).select("task", F.explode("drawn").alias("b"), "v")
+    expect = {(r.task, r.b): r.v for r in drawn.groupBy("task", "b").agg(F.sum("v").alias("v")).collect()}
+    assert {(r.task, r.b): r.v for r in resample.exact_sums(df, ["task"], ["v"], 20, 3).collect()} == expect
