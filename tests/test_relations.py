@@ -6,7 +6,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import audit, decontaminate, order, similarity, splits
+from plumbline.operators import audit, decontaminate, evaluate, order, similarity, slices, splits
 from plumbline.sources import records, sinks, tables
 
 
@@ -355,3 +355,18 @@ def test_targets_of_few_common_entities_keep_their_row(spark):
 def test_rows_without_a_short_key_are_known_by_their_id(spark):
     df = spark.createDataFrame([(1, "k"), (2, None)], "doc_id long, key_short string")
     assert sorted(r.key_short for r in decontaminate.keyed(df, "doc_id").collect()) == ["2", "k"]
+
+
+def test_pairs_are_added_up_where_they_are_made(spark):
+    """The metrics of a table of pairs, from entities that carry their predictions."""
+    rng = random.Random(2)
+    parts = [("t", "s", seed, i, f"x{i % 3}" if i % 7 else None, rng.uniform(0, 6), "test" if i % 4 else "train") for seed in (0, 1) for i in range(60)]
+    df = spark.createDataFrame(parts, "task string, split string, seed int, mol_id long, structure string, y double, part string")
+    pairs = spark.createDataFrame([(a, b, 1.0 if a == b else 0.8) for a in ("x0", "x1", "x2") for b in ("x0", "x1", "x2") if (a, b) not in (("x0", "x2"), ("x2", "x0"))], "structure string, other string, sim double")
+    preds = [("t", "s", r[2], m, r[3], r[5], rng.uniform(0, 6)) for r in parts if r[6] == "test" for m in ("m", "n") if (m, r[3] % 5) != ("n", 0)]
+    p = spark.createDataFrame(preds, "task string, split string, seed int, model string, mol_id long, y double, pred double")
+    keys = ["task", "split", "seed", "model"]
+    rows = lambda out: {tuple(r[k] for k in keys): (r.n_pairs, pytest.approx(r.sign_acc), pytest.approx(r.rmse_delta)) for r in out.collect()}
+    fused = slices.similar_pair_metrics(df, pairs, p)
+    got = {tuple(r[k] for k in keys): (r.n_pairs, r.sign_acc, r.rmse_delta) for r in fused.collect()}
+    assert got == rows(evaluate.pair_metrics(slices.similar_pairs(df, pairs), p)) and len(got) == 4
