@@ -1,8 +1,9 @@
-"""Models to judge: ridge regression from Gram sums, tree ensembles by MLlib, and a choice among settings."""
+"""Models to judge: ridge regression from Gram sums, forests, boosted trees by MLlib, and a choice among settings."""
 
 from __future__ import annotations
 
 import random
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -10,6 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.stored import kept
+from . import forest
+
 GRIDS = {
     "ridge": {"alpha": [1.0, 10.0, 100.0, 1000.0, 3000.0, 10000.0]},
     "rf": {"featureSubsetStrategy": ["sqrt", "0.2", "0.5"], "minInstancesPerNode": [1, 2, 5]},
@@ -86,35 +90,40 @@ def configurations(family: str, trials: int, seed: int = 0) -> list[dict]:
     return all_[:trials]
 
 
-def ensemble(family: str, seed: int = 0, **settings):
-    from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+def ensemble(family: str, train: DataFrame, rows: DataFrame, inputs: list[str], seed: int = 0, **settings) -> DataFrame:
+    """rows with ``pred``: forests by :mod:`.forest`, boosted trees by MLlib."""
+    if family == "rf":
+        return forest.predicted(train, rows, inputs, seed, **settings)
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GBTRegressor
 
-    kind = {"gbm": GBTRegressor, "rf": RandomForestRegressor}[family]
-    return kind(featuresCol="vector", labelCol="y", predictionCol="pred", seed=seed, **settings)
+    vectors = VectorAssembler(inputCols=inputs, outputCol="vector")
+    model = GBTRegressor(featuresCol="vector", labelCol="y", predictionCol="pred", seed=seed, **settings).fit(vectors.transform(train))
+    return model.transform(vectors.transform(rows))
 
 
 def fit_predict(parts: DataFrame, inputs: list[str], family: str, trials: int = 0, seed: int = 0) -> DataFrame:
     """Predictions for the test rows. With trials, settings are compared on a hashed fifth of the train, the first best wins, and
-    it is fitted on all of the train."""
+    it is fitted on all of the train. Rows that lack an input have no part."""
     from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import VectorAssembler
 
-    rows = VectorAssembler(inputCols=inputs, outputCol="vector", handleInvalid="skip").transform(parts)
+    whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in inputs))
+    rows = kept(parts.where(whole).select("task", "mol_id", "y", "part", *inputs), "parts")
     train = rows.where("part = 'train'")
     best: dict = DEFAULTS[family]
     if trials:
         held = F.pmod(F.xxhash64("task", "mol_id", F.lit(10_000 + seed)), F.lit(5)) == 0
         score = RegressionEvaluator(labelCol="y", predictionCol="pred", metricName="rmse").evaluate
-        tried = [(score(ensemble(family, seed, **DEFAULTS[family] | c).fit(train.where(~held)).transform(train.where(held))), k, c) for k, c in enumerate(configurations(family, trials, seed))]
+        tried = [(score(ensemble(family, train.where(~held), train.where(held), inputs, seed, **DEFAULTS[family] | c)), k, c) for k, c in enumerate(configurations(family, trials, seed))]
         best = best | min(tried, key=lambda t: t[:2])[2]
-    return ensemble(family, seed, **best).fit(train).transform(rows.where("part = 'test'")).select("task", "mol_id", "y", "pred")
+    return ensemble(family, train, rows.where("part = 'test'"), inputs, seed, **best).select("task", "mol_id", "y", "pred")
 
 
 def masked_mean(df: DataFrame, tokens: str, mask: str) -> DataFrame:
     """Mean of the token vectors whose mask is 1, component by component."""
-    kept = F.filter(F.arrays_zip(F.col(tokens).alias("v"), F.col(mask).alias("m")), lambda t: t["m"] == 1)
-    total = F.aggregate(kept, F.transform(F.get(tokens, F.lit(0)), lambda x: F.lit(0.0)), lambda s, t: F.zip_with(s, t["v"], lambda a, b: a + b))
-    return df.withColumn("pooled", F.when(F.size(kept) > 0, F.transform(total, lambda x: x / F.size(kept))))
+    used = F.filter(F.arrays_zip(F.col(tokens).alias("v"), F.col(mask).alias("m")), lambda t: t["m"] == 1)
+    total = F.aggregate(used, F.transform(F.get(tokens, F.lit(0)), lambda x: F.lit(0.0)), lambda s, t: F.zip_with(s, t["v"], lambda a, b: a + b))
+    return df.withColumn("pooled", F.when(F.size(used) > 0, F.transform(total, lambda x: x / F.size(used))))
 
 
 def strict_lookup(df: DataFrame, vectors: DataFrame, key: str) -> DataFrame:
