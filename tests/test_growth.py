@@ -1,5 +1,6 @@
 """Steps whose rows stay where they are: plans without the exchanges, and results as plain counts give them."""
 
+import os
 import random
 
 import numpy as np
@@ -7,7 +8,9 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import evaluate, order, resample, slices, splits
+from plumbline.operators import evaluate, order, replicate, resample, slices, splits
+from plumbline.plans import catalogue
+from plumbline.sources import tables
 
 PARTS = "task string, split string, seed int, mol_id long, structure string, y double, n_docs long, part string, g string"
 
@@ -82,3 +85,14 @@ def test_context_and_cells_by_plain_counts(spark):
     for r in slices.labelled(df, context).collect():
         expect.setdefault((r.slice_type, r.slice_value, r.task), []).append(r.mol_id)
     assert out == {k: (len(set(v)), len(v)) for k, v in expect.items()}
+
+
+def test_entities_are_dealt_by_the_size_of_the_input(spark, sf, monkeypatch):
+    """The rows of a task stay as many: more files, more tasks; and one exchange does for both sums."""
+    monkeypatch.setattr(tables, "DEALT", os.path.getsize(f"{sf}/lineitem.parquet") // 10)
+    df = catalogue.QUERIES["entity_stats"](spark, sf)
+    dealt = [x.split("\n")[0] for x in plan(df).split("Exchange hashpartitioning(")[1:] if "mol_id" in x.split(")")[0]]
+    assert len(dealt) == 1 and int(dealt[0].split(", ")[1].split(")")[0]) >= 10
+    plain = replicate.entity_stats(replicate.doc_level(tables.measurements(spark, sf)))
+    got, expect = ({(r.task, r.mol_id): (r.n, r["mean"], r.ss, r.range) for r in x.collect()} for x in (df, plain))
+    assert got.keys() == expect.keys() and all(got[k] == pytest.approx(expect[k], abs=2e-6) for k in got)
