@@ -59,6 +59,16 @@ def test_funnel_balances(spark):
     assert sorted(r.doc_id for r in decontaminate.cleaned(data, decontaminate.annotate(data, registry)).collect()) == [4, 5]
 
 
+def test_near_looks_at_every_order_of_the_same_words(spark):
+    """Two registry texts of one short key, each with a near copy; one at 0.8 itself is no match."""
+    a, five = list("abcdefghijklmnopqrst"), [f"x{i}" for i in range(8)]
+    b, short = a[10:] + a[:10], F.md5(F.array_join(F.array_sort(F.array_distinct("words")), " "))
+    registry = spark.createDataFrame([(1, a), (2, b), (3, five)], "id long, words array<string>").select(F.lit("src").alias("source"), F.md5(F.col("id").cast("string")).alias("key_full"), short.alias("key_short"), "words")
+    data = spark.createDataFrame([(1, [*a, "z"]), (2, [*b, "z"]), (3, [*five, "z"])], "doc_id long, words array<string>").select("doc_id", F.md5(F.concat(F.lit("d"), F.col("doc_id"))).alias("key_full"), short.alias("key_short"), "words")
+    assert registry.select("key_short").distinct().count() == 2
+    assert {r.doc_id: r.near for r in decontaminate.annotate(data, registry).collect()} == {1: True, 2: True, 3: False}
+
+
 def test_year_filter_is_strict(spark):
     df = spark.createDataFrame([(2019,), (2020,), (2021,), (None,)], "year int")
     assert [r.year for r in decontaminate.after_year(df, 2020).collect()] == [2021]
