@@ -380,3 +380,29 @@ def test_pairs_are_added_up_where_they_are_made(spark):
     fused = slices.similar_pair_metrics(df, pairs, p)
     got = {tuple(r[k] for k in keys): (r.n_pairs, r.sign_acc, r.rmse_delta) for r in fused.collect()}
     assert got == rows(evaluate.pair_metrics(slices.similar_pairs(df, pairs), p)) and len(got) == 4
+
+
+@pytest.mark.parametrize("held", [1 << 18, 7])
+def test_no_pair_is_made(spark, monkeypatch, held):
+    """Equal to a walk over all pairs, at bounds that ties and rounding meet; missing models and predictions, groups that go on over batches."""
+    from plumbline.operators import pairs as pair_sums
+
+    monkeypatch.setattr(pair_sums, "HELD", held)
+    rng = random.Random(6)
+    data = [("t", "s", seed, i, f"x{i % 4}" if i % 9 else None, rng.choice([0.1 * rng.randrange(40), rng.uniform(0, 4), None]), [(m, rng.choice([None, 0.5, 0.3 * rng.randrange(9)])) for m in "mno" if (i, m) not in ((3, "n"), (8, "n")) and m != "o" or i == 2]) for seed in (0, 1) for i in range(80)]
+    test = spark.createDataFrame(data, "task string, split string, seed int, mol_id long, structure string, y double, preds array<struct<model:string,pred:double>>").repartition(3)
+    similar = {(a, b) for a in ("x0", "x1", "x2", "x3") for b in ("x0", "x1", "x2", "x3") if {a, b} != {"x0", "x2"} and (a, b) != ("x3", "x3")}
+    sim = spark.createDataFrame([(a, b, 0.8) for a, b in sorted(similar)], "structure string, other string, sim double")
+    df = slices.tested_pair_metrics(test, sim, delta=0.3)
+    expect = {}
+    for a in data:
+        for b in data:
+            if a[2] == b[2] and a[3] < b[3] and (a[4], b[4]) in similar and None not in (a[5], b[5]) and abs(a[5] - b[5]) >= 0.3:
+                for m, u in a[6]:
+                    for v in (v for k, v in b[6] if k == m):
+                        dy, dp = a[5] - b[5], None if None in (u, v) else u - v
+                        expect.setdefault((a[2], m), []).append((dp is not None and np.sign(dy) == np.sign(dp), None if dp is None else (dy - dp) ** 2))
+    got = {(r.seed, r.model): (r.n_pairs, r.sign_acc, r.rmse_delta) for r in df.collect()}
+    want = {k: (len(v), sum(s for s, _ in v) / len(v), np.sqrt(np.mean([e for _, e in v if e is not None]))) for k, v in expect.items()}
+    assert got.keys() == want.keys() and len(got) == 4 and all(got[k] == pytest.approx(want[k]) for k in got)
+    assert df.schema["seed"].dataType.simpleString() == "int"
